@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import exact_dedup, simhash
+from corpusguard.llm import byte_bpe, exact_dedup, simhash, toxicity, wordpiece
 from corpusguard.llm.runtime import table
 
 
@@ -18,7 +19,25 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_simhash_near_dedup)}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(byte_bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256")
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_dedup, op8_simhash_near_dedup, op9_byte_bpe, op10_toxicity)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""

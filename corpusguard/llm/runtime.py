@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 #: ASCII white space, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,3 +39,23 @@ def text_or_empty(column: str | Column) -> Column:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def map_texts(docs: DataFrame, id_col: str, text: Column, results: dict[str, pa.DataType], start: Callable[[], Callable[[list], Sequence]]) -> DataFrame:
+    """``id_col`` and columns computed from each text, in Arrow batches, without a shuffle.
+
+    ``start`` runs once in each task and returns the function that takes a list of texts
+    and returns one list for each result column. Ids stay as they are, nulls included.
+    """
+    schema = pa.schema([(id_col, pa.int64()), *results.items()])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                columns = function(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, results.values()))], schema=schema)
+
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text.alias("_text"))
+    return rows.mapInArrow(compute, from_arrow_schema(schema))

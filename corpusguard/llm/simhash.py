@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusguard.llm.graph import connected_components
-from corpusguard.llm.runtime import checkpointed, text_or_empty
+from corpusguard.llm.runtime import checkpointed, map_texts, text_or_empty
 
 #: Bits of each of the two segments of a fingerprint.
 HALF = 32
@@ -47,13 +45,14 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
     """``id_col`` and ``fp`` (the 64 bits as a long) for every row; texts stay in their tasks."""
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in batch["_text"]], dtype=np.uint64)
-            yield pd.DataFrame({id_col: batch[id_col], "fp": fps.view(np.int64)})
+    def start():
+        return lambda texts: [[_signed(fingerprint(t, shingle, seed)) for t in texts]]
+
+    return map_texts(docs, id_col, text_or_empty(text_col).cast("binary"), {"fp": pa.int64()}, start)
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).cast("binary").alias("_text"))
-    return rows.mapInPandas(compute, f"`{id_col}` long, fp long")
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _flipped(value: Column, width: int, flips: int) -> Column:
