@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import byte_bpe, exact_dedup, simhash, toxicity, wordpiece
+from corpusguard.llm import byte_bpe, decontaminate, exact_dedup, host_boilerplate, line_hash_dedup, line_runs, merkle, simhash, toxicity, wordpiece
 from corpusguard.llm.runtime import table
 
 
@@ -37,7 +37,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_exact_dedup, op8_simhash_near_dedup, op9_byte_bpe, op10_toxicity)}
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages against a replica with altered, missing and added records."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("host"))
+    altered = F.when(F.col("page_id") % 41 == 7, F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    replica = pages.where("page_id % 97 <> 5").withColumn("html", altered)
+    added = pages.where("page_id % 89 = 3").withColumn("page_id", F.col("page_id") + 1_000_000_000)
+    return merkle.fixity_audit(pages, replica.unionByName(added), "host", "page_id", ("url", "html")).drop("branch")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_hash_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op6_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_runs.drop_later_runs(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("n_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_boilerplate.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_merkle_fixity, op2_token_counts, op3_exact_dedup, op4_decontamination, op5_line_hash_dedup, op6_line_run_dedup, op7_html_extraction,
+        op8_simhash_near_dedup, op9_byte_bpe, op10_toxicity,
+    )
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
@@ -47,4 +79,59 @@ ORACLE_SQL = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM d JOIN g USING (norm)
     """,
+    "op1_merkle_fixity": r"""
+        WITH a AS (
+            SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS archive, url, html FROM pages
+        ), b AS (
+            SELECT page_id, archive, url, CASE WHEN page_id % 41 = 7 THEN html || ' ' ELSE html END AS html FROM a WHERE page_id % 97 <> 5
+            UNION ALL SELECT page_id + 1000000000, archive, url, html FROM a WHERE page_id % 89 = 3
+        ), ha AS (
+            SELECT page_id, archive, sha256(length(url) || ':' || url || length(html) || ':' || html) AS h FROM a
+        ), hb AS (
+            SELECT page_id, archive, sha256(length(url) || ':' || url || length(html) || ':' || html) AS h FROM b
+        )
+        SELECT coalesce(ha.archive, hb.archive) AS archive, coalesce(ha.page_id, hb.page_id) AS pos,
+            CASE WHEN hb.h IS NULL THEN 'missing' WHEN ha.h IS NULL THEN 'extra' ELSE 'altered' END AS status,
+            ha.h AS primary_hash, hb.h AS replica_hash
+        FROM ha FULL JOIN hb ON ha.archive = hb.archive AND ha.page_id = hb.page_id
+        WHERE ha.h IS DISTINCT FROM hb.h
+    """,
+    "op5_line_hash_dedup": r"""
+        WITH s AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit
+            FROM documents
+        ), p AS (
+            SELECT doc_id, unit, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS normal
+            FROM s
+        ), u AS (
+            SELECT doc_id, unit, start, start + length(line) AS "end", len(string_split(normal, ' ')) AS n_words, normal FROM p
+            WHERE normal <> '' AND len(string_split(normal, ' ')) >= 25
+        ), r AS (
+            SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(unit) OVER w AS keep_unit FROM u
+            WINDOW w AS (PARTITION BY normal ORDER BY doc_id, unit)
+        )
+        SELECT doc_id, unit::INTEGER AS unit, start::INTEGER AS start, "end"::INTEGER AS "end", n_words::INTEGER AS n_words, keep_id, keep_unit::INTEGER AS keep_unit
+        FROM r WHERE doc_id <> keep_id OR unit <> keep_unit
+    """,
+    "op6_line_run_dedup": r"""
+        WITH s AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number
+            FROM documents
+        ), l AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS normal FROM s),
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number) AS place FROM l WHERE normal <> ''),
+        w AS (SELECT *, lead(normal) OVER (PARTITION BY doc_id ORDER BY place) AS following FROM k),
+        f AS (
+            SELECT *, row_number() OVER (PARTITION BY normal, following ORDER BY doc_id, place) > 1 AS later FROM w WHERE following IS NOT NULL
+        ), gone AS (SELECT doc_id, place FROM f WHERE later UNION SELECT doc_id, place + 1 FROM f WHERE later),
+        kept AS (
+            SELECT l.doc_id, l.number, l.line, l.normal, g.place IS NOT NULL AS gone
+            FROM l LEFT JOIN k ON l.doc_id = k.doc_id AND l.number = k.number LEFT JOIN gone g ON k.doc_id = g.doc_id AND k.place = g.place
+        ), texts AS (
+            SELECT doc_id, coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY number), '') AS text,
+                bool_or(gone) AS cut, bool_or(normal <> '' AND NOT gone) AS words
+            FROM kept GROUP BY doc_id
+        )
+        SELECT doc_id, length(text) AS n_left, sha256(text) AS text_sha256 FROM texts WHERE words OR NOT cut
+    """,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -14,8 +16,8 @@ from corpusguard.llm.runtime import checkpointed, map_texts, text_or_empty
 
 #: Bits of each of the two segments of a fingerprint.
 HALF = 32
-#: Buckets with more fingerprints than this are linked through midpoints instead of by pairs.
-PAIRED = 32
+#: Buckets with more fingerprints than this are linked through midpoints instead of by comparison.
+COMPARED = 2048
 
 
 def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
@@ -70,8 +72,18 @@ def _segment(fp: Column, which: Column | int) -> Column:
     return F.when(F.lit(which) == 0, low).otherwise(high) if isinstance(which, int) else F.when(which == 0, low).otherwise(high)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+def forest(fps: np.ndarray, radius: int) -> np.ndarray:
+    """Edges (two rows: one end, the other) of a spanning forest of the pairs within ``radius`` bits."""
+    left, edges = np.unique(fps.astype(np.int64)), []
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            fp = reached.pop()
+            near = np.bitwise_count(np.bitwise_xor(left, fp).view(np.uint64)) <= radius
+            edges += [(int(other), int(fp)) for other in left[near]]
+            reached += left[near].tolist()
+            left = left[~near]
+    return np.array(edges, dtype=np.int64).reshape(-1, 2).T
 
 
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
@@ -83,16 +95,19 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     where the segments are within 2 bits. Rows per fingerprint are fixed (66), and a
     64-bit space split at 32 bits keeps chance meetings rare at any size.
 
-    Buckets of up to 32 fingerprints are paired, and each pair's complete distance is
-    verified. A larger bucket is never paired: its members enter a second table under
-    every value near their other segment, within what the bucket leaves of the 4 bits,
-    and members that meet there are within 4 bits by the triangle inequality; one star
-    for each meeting value keeps the classes exact while its rows stay in proportion to
-    the members.
+    In buckets of up to 2,048 fingerprints the complete distances are verified, and a
+    spanning forest of the pairs within ``radius`` is all that leaves the task. A larger
+    bucket is never compared pair by pair: its members enter a second table under every
+    value near their other segment, within what the bucket leaves of the 4 bits, and
+    members that meet there are within 4 bits by the triangle inequality; one star for
+    each meeting value keeps the classes exact while its rows stay in proportion to the
+    members.
 
-    ``radius`` above 4 also links the pairs of small buckets up to that distance: more
-    recall for similar texts without more probes. 4 or less is exact.
+    ``radius`` above 4 also links what meets in a compared bucket up to that distance:
+    more recall for similar texts without more probes. All pairs within 4 are found.
     """
+    if radius < 4:
+        raise ValueError("the tables are laid out for a radius of 4 or more")
     probe = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("fp"), s).alias("v"), _segment(F.col("fp"), 1 - s).alias("rest")) for s in (0, 1)]))
     rows = distinct.select("fp", probe.alias("p")).select("fp", "p.s", "p.rest", F.explode(_flipped(F.col("p.v"), HALF, 1)).alias("k"))
     rows = rows.select(F.col("k.key").bitwiseXOR(F.col("s").cast("long") * (1 << HALF)).alias("bucket"), F.col("k.r").alias("r"), "fp")
@@ -100,18 +115,20 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     rows = rows.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1")
     met = checkpointed(rows)
 
-    members = met.where(F.col("n") <= PAIRED).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-    pairs = members.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a > b")
-    pairs = pairs.where(_distance(F.col("a"), F.col("b")) <= radius)
+    members = met.where(F.col("n") <= COMPARED).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = [forest(np.array(fps, dtype=np.int64), radius) for fps in batch.column(0).to_pylist()] or [np.zeros((2, 0), np.int64)]
+            a, b = np.concatenate(edges, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    pairs = members.select("fps").mapInArrow(forests, "a long, b long")
 
-    large = met.where(F.col("n") > PAIRED)
+    large = met.where(F.col("n") > COMPARED)
     other = F.when(F.shiftrightunsigned("bucket", HALF) == 0, _segment(F.col("fp"), 1)).otherwise(_segment(F.col("fp"), 0))
-    exact = min(radius, 4)
-    # both ends together may flip `exact` bits: each spends r in the bucket and the rest here
-    reach = {r: max(exact // 2 - r, 0) for r in (0, 1)}
-    near = F.when(F.col("r") == 0, _flipped(other, HALF, reach[0])).otherwise(_flipped(other, HALF, reach[1])) if exact == 4 else None
-    if near is None:
-        raise ValueError("radius must be 4 or more")
+    # both ends together may flip 4 bits: each spends r of its 2 in the bucket and the rest here
+    near = F.when(F.col("r") == 0, _flipped(other, HALF, 2)).otherwise(_flipped(other, HALF, 1))
     near = large.select("bucket", "fp", F.explode(near).alias("z")).select("bucket", F.col("z.key").alias("z"), "fp")
     centres = near.groupBy("bucket", "z").agg(F.min("fp").alias("c"), F.max("fp").alias("top")).where("c < top")
     stars = near.join(centres, ["bucket", "z"]).where("fp > c").select(F.col("fp").alias("a"), F.col("c").alias("b"))
