@@ -1,0 +1,201 @@
+"""Pattern scans of file contents: rules, sensitive data, indicators by path."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusguard.catalogs import files as catalog
+from corpusguard.catalogs import rules as rule_catalog
+from corpusguard.functions import columns as C
+
+#: Rules as ``(id, severity, category, pattern, weakness)``.
+RULES = [*rule_catalog.SECURITY_RULES, *((i, s, "webshell", p, "CWE-94") for i, s, _, p in rule_catalog.WEBSHELLS)]
+
+
+def text_of(content: Column) -> Column:
+    """UTF-8 with replacement characters for what is not."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def scannable(path: Column, size: Column, limit: int = catalog.SCAN_LIMIT) -> Column:
+    """Files that content scans read."""
+    return (C.extension(path).isin(catalog.SCANNABLE) | C.filename(path).isin(catalog.SCANNABLE)) & (size <= limit) & ~C.in_dirs(path, catalog.SKIP_DIRS)
+
+
+def rule_hits(files: DataFrame, rules=RULES) -> DataFrame:
+    """``path, rule_id, text``: which rules a file meets, decided in native expressions.
+
+    Each pattern is a literal, so that it is compiled once per task; files without a hit
+    leave the plan here, before Python sees any content.
+    """
+    text = text_of(F.col("content"))
+    met = F.filter(F.array(*[F.when(F.col("_text").rlike("(?i)" + p), i) for i, _, _, p, _ in rules]), lambda x: x.isNotNull())
+    return files.select("path", text.alias("_text")).select("path", F.col("_text").alias("text"), met.alias("rule_ids")).where(F.size("rule_ids") > 0)
+
+
+def in_comment(text: str, at: int) -> bool:
+    """Whether a match stands in a block comment or after ``//`` on its line."""
+    opened = text.rfind("/*", 0, at)
+    if opened >= 0 and text.find("*/", opened, at) < 0:
+        return True
+    return "//" in text[text.rfind("\n", 0, at) + 1 : at]
+
+
+def rule_scan(files: DataFrame, rules=RULES, snippet: int = 120) -> DataFrame:
+    """Every match of every rule outside comments, with its line and a snippet.
+
+    The native pass of :func:`rule_hits` prunes; positions, which SQL does not tell, are
+    then found in Arrow batches for the pairs that are left. Nothing is shuffled.
+    """
+    compiled = {i: (s, c, w, p) for i, s, c, p, w in rules}
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = {i: re.compile(p, re.I) for i, (_, _, _, p) in compiled.items()}
+        for batch in batches:
+            rows = []
+            for path, text, ids in zip(batch["path"], batch["text"], batch["rule_ids"]):
+                ends = [m.start() for m in re.finditer("\n", text)]
+                for rule in ids:
+                    for m in patterns[rule].finditer(text):
+                        if in_comment(text, m.start()):
+                            continue
+                        if rule in ("SEC012", "SEC070") and re.search(r"allowed_classes\W+\s*(?:=>)?\s*false", text[m.start() : m.start() + 200], re.I):
+                            continue
+                        line = bisect_right(ends, m.start() - 1)
+                        begin, end = (ends[line - 1] + 1 if line else 0), (ends[line] if line < len(ends) else len(text))
+                        whole = text[begin:end]
+                        if rule == "SEC004" and re.search(r"\bconst\b", whole):
+                            continue
+                        severity, category, weakness, _ = compiled[rule]
+                        rows.append((path, rule, severity, category, line + 1, whole.strip()[:snippet], weakness))
+            yield pd.DataFrame(rows, columns=["path", "rule_id", "severity", "category", "line", "snippet", "cwe_id"])
+
+    schema = "path string, rule_id string, severity string, category string, line int, snippet string, cwe_id string"
+    return rule_hits(files, rules).mapInPandas(find, schema)
+
+
+def scan_rollup(findings: DataFrame) -> DataFrame:
+    """One row: findings, files, and findings by severity."""
+    per = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in catalog.SEVERITIES]
+    return findings.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("path").alias("files"), *per)
+
+
+def sensitive_matches(lines: DataFrame, data_type: str, gate: bool = False) -> DataFrame:
+    """``path, line, value`` of one type of sensitive data, in native expressions, over ``lines(path, line, text)``."""
+    rows = lines.where(F.col("text").rlike(rule_catalog.QUICK_GATE)) if gate else lines
+    patterns = [p for t, _, _, _, p in rule_catalog.SENSITIVE if t == data_type]
+    found = F.flatten(F.array(*[F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(1)) for p in patterns]))
+    return rows.select("path", "line", F.explode(found).alias("value"))
+
+
+def sensitive_scan(lines: DataFrame, gate: bool = False) -> DataFrame:
+    """All sensitive data in pattern order: an earlier match keeps a later one from starting or ending inside it.
+
+    Card numbers must pass the check digit. The snippet shows the line with the match
+    replaced. Order within a line matters, so lines are scanned in Arrow batches where
+    they are; nothing is shuffled.
+    """
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = [(*row[:4], re.compile(row[4], re.I)) for row in rule_catalog.SENSITIVE]
+        for batch in batches:
+            rows = [(path, line, *hit) for path, line, text in zip(batch["path"], batch["line"], batch["text"]) for hit in scan_line(text, patterns)]
+            yield pd.DataFrame(rows, columns=["path", "line", "column", "data_type", "category", "severity", "hipaa", "length", "snippet"])
+
+    rows = lines.where(F.col("text").rlike(rule_catalog.QUICK_GATE)) if gate else lines
+    schema = "path string, line int, column int, data_type string, category string, severity string, hipaa boolean, length int, snippet string"
+    return rows.select("path", "line", "text").mapInPandas(find, schema)
+
+
+def scan_line(text: str, patterns) -> list[tuple]:
+    seen, found = [], []
+    for kind, category, severity, hipaa, pattern in patterns:
+        for m in pattern.finditer(text):
+            start, end = m.span(1)
+            if any(a <= start < b or a < end <= b for a, b in seen):
+                continue
+            if kind.startswith("credit_card") and not _luhn("".join(c for c in m[1] if c.isdigit())):
+                continue
+            seen.append((start, end))
+            found.append((start + 1, kind, category, severity, hipaa, end - start, (text[:start] + rule_catalog.REDACTED + text[end:]).strip()[:200]))
+    return found
+
+
+def _luhn(digits: str) -> bool:
+    values = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+    return len(digits) >= 12 and sum(v - 9 * (v > 9) for v in values) % 10 == 0
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """``path, line, text``: the lines of text files, counted from 1."""
+    numbered = F.posexplode(F.split(text_of(F.col("content")), "\n"))
+    return files.select("path", numbered.alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
+
+
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression: ``**/`` any directories, ``*`` within a part, ``{a,b}`` either, ``|`` between globs."""
+
+    def one(g: str) -> str:
+        out, at = "", 0
+        while at < len(g):
+            if g.startswith("**/", at):
+                out, at = out + "(?:.*/)?", at + 3
+                continue
+            c = g[at]
+            if c == "{" and "}" in g[at:]:
+                end = g.index("}", at)
+                out, at = out + "(?:" + "|".join(map(one, g[at + 1 : end].split(","))) + ")", end + 1
+                continue
+            out, at = out + {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)), at + 1
+        return out
+
+    return "^(?:" + "|".join(one(g.strip()) for g in glob.split("|")) + ")$"
+
+
+def path_indicators(files: DataFrame, globs: dict[str, str]) -> DataFrame:
+    """``path, ioc_id``: the files that each indicator's globs name; a literal pattern each."""
+    met = F.filter(F.array(*[F.when(F.col("path").rlike(glob_pattern(g)), i) for i, g in globs.items()]), lambda x: x.isNotNull())
+    return files.select("path", F.explode(met).alias("ioc_id"))
+
+
+def directory_indicators(files: DataFrame, globs: dict[str, str]) -> DataFrame:
+    """``dir, ioc_id``: the directories above any file that each indicator's globs name."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    dirs = files.where(F.col("path").contains("/")).select(F.explode(above).alias("path")).distinct()
+    return path_indicators(dirs, globs).withColumnRenamed("path", "dir")
+
+
+def location_indicators(files: DataFrame, forbidden: dict[str, list[str]]) -> DataFrame:
+    """``path, directory``: files whose extension is not allowed in the directory that begins their path, or its second part."""
+    parts = F.split("path", "/")
+    found = F.lit(None).cast("string")
+    for directory, extensions in forbidden.items():
+        here = ((F.get(parts, F.lit(0)) == directory) | (F.get(parts, F.lit(1)) == directory)) & C.extension(F.col("path")).isin(extensions)
+        found = F.coalesce(found, F.when(here, directory))
+    return files.select("path", found.alias("directory")).where("directory IS NOT NULL")
+
+
+def unguarded_directories(files: DataFrame, guard: str = ".htaccess") -> DataFrame:
+    """``dir``: directories that hold files but no guard file."""
+    dirs = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), C.filename(F.col("path")).alias("name"))
+    return dirs.select("dir").distinct().join(dirs.where(F.col("name") == guard).select("dir").distinct(), "dir", "left_anti")
+
+
+def functions_outside(files: DataFrame, allowed: list[str]) -> DataFrame:
+    """``path, name``: functions that a file defines and the allow-list does not name."""
+    names = F.array_distinct(F.regexp_extract_all(text_of(F.col("content")), F.lit(r"(?i)\bfunction\s+(\w+)"), F.lit(1)))
+    return files.select("path", F.explode(names).alias("name")).where(~F.col("name").isin(allowed))
+
+
+def sql_strings(files: DataFrame) -> DataFrame:
+    """``path, verb, snippet``: string literals of more than 10 characters that begin with an SQL verb."""
+    literals = F.regexp_extract_all(text_of(F.col("content")), F.lit(r"""["']((?i:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER)\s[^"']{4,})["']"""), F.lit(1))
+    rows = files.select("path", F.explode(literals).alias("literal")).where(F.length("literal") > 10)
+    return rows.select("path", F.upper(F.substring_index(F.col("literal"), " ", 1)).alias("verb"), F.substring("literal", 1, 100).alias("snippet"))

@@ -1,8 +1,9 @@
 """Every query over the given tables, with the SQL that states its result."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+from corpusguard.plans import scans, snapshots, web  # noqa: F401
+from corpusguard.plans.registry import ORACLE_SQL, QUERIES
+from corpusguard.plans.scans import flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
