@@ -14,43 +14,59 @@ from pyspark.sql.window import Window
 from corpusguard.llm.graph import connected_components
 from corpusguard.llm.runtime import checkpointed, map_texts, text_or_empty
 
+#: Seed of the shingle hashes.
+SEED = 42
 #: Bits of each of the two segments of a fingerprint.
 HALF = 32
 #: Buckets with more fingerprints than this are linked through midpoints instead of by comparison.
 COMPARED = 2048
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text: majority of the bits of XXH64 over word shingles.
+def fingerprint(text: bytes, shingle: int, lanes: int = 1) -> list[int]:
+    """The SimHash of a text, 64 bits a lane: majority of the bits of XXH64 over word shingles.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles count as
     often as they occur, and a text with fewer words is one shingle. No words: zero.
+    The first lane takes the hashes as they are, each further one a fixed mixing of them.
     """
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * lanes
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hashed(joined, seed)
+        return _majorities(np.array([hashed(joined, SEED)], dtype="<u8"), lanes)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
     stops = (ends - 1)[shingle - 1 :].tolist()
-    hashes = np.array([hashed(joined[a:b], seed) for a, b in zip(starts, stops)], dtype="<u8")
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 8192):
-        part = hashes[at : at + 8192]
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return _majorities(np.array([hashed(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8"), lanes)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``id_col`` and ``fp`` (the 64 bits as a long) for every row; texts stay in their tasks."""
+def _majorities(hashes: np.ndarray, lanes: int) -> list[int]:
+    found = []
+    for lane in range(lanes):
+        if lane:
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes ^= hashes >> np.uint64(32)
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 8192):
+            part = hashes[at : at + 8192]
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        found.append(int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0]))
+    return found
+
+
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, lanes))]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1) -> DataFrame:
+    """``id_col`` and ``fp`` (64 bits as a long; further lanes ``fp1``, ...) for every row; texts stay in their tasks."""
 
     def start():
-        return lambda texts: [[_signed(fingerprint(t, shingle, seed)) for t in texts]]
+        return lambda texts: list(zip(*([_signed(x) for x in fingerprint(t, shingle, lanes)] for t in texts)))
 
-    return map_texts(docs, id_col, text_or_empty(text_col).cast("binary"), {"fp": pa.int64()}, start)
+    return map_texts(docs, id_col, text_or_empty(text_col).cast("binary"), dict.fromkeys(lane_names(lanes), pa.int64()), start)
 
 
 def _signed(value: int) -> int:
@@ -66,27 +82,28 @@ def _flipped(value: Column, width: int, flips: int) -> Column:
     return F.transform(ball, lambda x: F.struct(value.bitwiseXOR(x["m"]).alias("key"), x["r"].alias("r")))
 
 
-def _segment(fp: Column, which: Column | int) -> Column:
-    low = fp.bitwiseAND(F.lit((1 << HALF) - 1))
-    high = F.shiftrightunsigned(fp, HALF)
-    return F.when(F.lit(which) == 0, low).otherwise(high) if isinstance(which, int) else F.when(which == 0, low).otherwise(high)
+def _segment(fp: Column, which: int) -> Column:
+    return F.shiftrightunsigned(fp, HALF) if which else fp.bitwiseAND(F.lit((1 << HALF) - 1))
 
 
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Edges (two rows: one end, the other) of a spanning forest of the pairs within ``radius`` bits."""
-    left, edges = np.unique(fps.astype(np.int64)), []
+    """Edges (two rows: one end, the other) of a spanning forest of the pairs within ``radius`` bits.
+
+    A row of ``fps`` is a node: its lanes, the first of which names it.
+    """
+    left, edges = fps[np.unique(fps[:, 0], return_index=True)[1]], []
     while len(left):
         reached, left = [left[0]], left[1:]
         while reached and len(left):
-            fp = reached.pop()
-            near = np.bitwise_count(np.bitwise_xor(left, fp).view(np.uint64)) <= radius
-            edges += [(int(other), int(fp)) for other in left[near]]
-            reached += left[near].tolist()
+            node = reached.pop()
+            near = np.bitwise_count(np.bitwise_xor(left, node).view(np.uint64)).sum(1) <= radius
+            edges += [(other, int(node[0])) for other in left[near, 0].tolist()]
+            reached += list(left[near])
             left = left[~near]
     return np.array(edges, dtype=np.int64).reshape(-1, 2).T
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
     """Edges ``(a, b)`` over the distinct fingerprints ``fp`` that connect all pairs within 4 bits.
 
     Two fingerprints within 4 bits are within 2 bits in one of their 32-bit segments.
@@ -103,30 +120,34 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     each meeting value keeps the classes exact while its rows stay in proportion to the
     members.
 
-    ``radius`` above 4 also links what meets in a compared bucket up to that distance:
-    more recall for similar texts without more probes. All pairs within 4 are found.
+    With one lane and a radius of 4 the links are exact. Further lanes enter the tables
+    likewise, and the complete distance is that over all lanes: a larger radius over
+    several lanes links texts that are less alike (by chance of a segment within 2 bits)
+    and tells them by more bits.
     """
     if radius < 4:
         raise ValueError("the tables are laid out for a radius of 4 or more")
-    probe = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("fp"), s).alias("v"), _segment(F.col("fp"), 1 - s).alias("rest")) for s in (0, 1)]))
-    rows = distinct.select("fp", probe.alias("p")).select("fp", "p.s", "p.rest", F.explode(_flipped(F.col("p.v"), HALF, 1)).alias("k"))
-    rows = rows.select(F.col("k.key").bitwiseXOR(F.col("s").cast("long") * (1 << HALF)).alias("bucket"), F.col("k.r").alias("r"), "fp")
+    names = lane_names(lanes)
+    probe = F.explode(F.array(*[F.struct(F.lit(2 * lane + s).alias("s"), _segment(F.col(name), s).alias("v")) for lane, name in enumerate(names) for s in (0, 1)]))
+    rows = distinct.select(*names, probe.alias("p")).select(*names, "p.s", F.explode(_flipped(F.col("p.v"), HALF, 1)).alias("k"))
+    rows = rows.select(F.col("k.key").bitwiseXOR(F.col("s").cast("long") * (1 << HALF)).alias("bucket"), F.col("k.r").alias("r"), *names)
     in_bucket = Window.partitionBy("bucket")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1")
     met = checkpointed(rows)
 
-    members = met.where(F.col("n") <= COMPARED).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
+    members = met.where(F.col("n") <= COMPARED).groupBy("bucket").agg(F.collect_list(F.array(*names)).alias("fps"))
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges = [forest(np.array(fps, dtype=np.int64), radius) for fps in batch.column(0).to_pylist()] or [np.zeros((2, 0), np.int64)]
+            edges = [forest(np.array(fps, dtype=np.int64).reshape(-1, lanes), radius) for fps in batch.column(0).to_pylist()] or [np.zeros((2, 0), np.int64)]
             a, b = np.concatenate(edges, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     pairs = members.select("fps").mapInArrow(forests, "a long, b long")
 
     large = met.where(F.col("n") > COMPARED)
-    other = F.when(F.shiftrightunsigned("bucket", HALF) == 0, _segment(F.col("fp"), 1)).otherwise(_segment(F.col("fp"), 0))
+    table = F.shiftrightunsigned("bucket", HALF)
+    other = F.get(F.array(*[_segment(F.col(name), 1 - s) for name in names for s in (0, 1)]), table.cast("int"))
     # both ends together may flip 4 bits: each spends r of its 2 in the bucket and the rest here
     near = F.when(F.col("r") == 0, _flipped(other, HALF, 2)).otherwise(_flipped(other, HALF, 1))
     near = large.select("bucket", "fp", F.explode(near).alias("z")).select("bucket", F.col("z.key").alias("z"), "fp")
@@ -135,7 +156,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, lanes: int = 1) -> DataFrame:
     """One row per row of ``docs``: its fingerprint and the class it belongs to.
 
     Classes are the connected components of all links of :func:`links`. Equal texts,
@@ -149,9 +170,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns ``id_col``, ``fp`` (long) and ``component_id``, the smallest id of the class.
     """
-    fps = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    classes = connected_components(links(nodes.select("fp"), radius))
+    fps = checkpointed(fingerprints(docs, id_col, text_col, shingle, lanes))
+    more = lane_names(lanes)[1:]
+    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), *([F.min(F.struct(*more)).alias("more")] if more else []))
+    nodes = nodes.select("fp", "first_id", *[f"more.{name}" for name in more])
+    classes = connected_components(links(nodes, radius, lanes))
     named = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_fp = checkpointed(named.join(smallest, "component").select("fp", "component_id"))
@@ -163,8 +186,13 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 10) -> DataFrame:
-    """``docs`` with all its columns and one document of each class of near duplicates: the one with the smallest id."""
-    stays = near_duplicates(docs, id_col, text_col, shingle, radius)
-    stays = stays.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 29, lanes: int = 3) -> DataFrame:
+    """``docs`` with all its columns and one document of each class of near duplicates: the one with the smallest id.
+
+    Three lanes of five-word shingles; 29 of 192 bits is the distance expected at a
+    similarity of 0.8 (the angle between the shingle vectors is acos(2s / (1 + s))).
+    Documents of a class without any id all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius, lanes)
+    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stays")).distinct()
     return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
