@@ -69,8 +69,9 @@ def sarif_files(documents: DataFrame) -> DataFrame:
     """``file, uri``: the distinct files that a document names as artifacts or in results."""
     runs = documents.select("file", F.explode("runs").alias("r"))
     artifacts = F.transform("r.artifacts", lambda a: a["location"]["uri"])
-    results = F.flatten(F.transform("r.results", lambda x: F.transform(x["locations"], lambda p: p["physicalLocation"]["artifactLocation"]["uri"])))
     none = F.array().cast("array<string>")
+    places = lambda x: F.transform(x["locations"], lambda p: p["physicalLocation"]["artifactLocation"]["uri"])
+    results = F.flatten(F.transform("r.results", lambda x: F.coalesce(places(x), none)))
     both = F.concat(F.coalesce(artifacts, none), F.coalesce(results, none))
     return runs.select("file", F.explode(both).alias("uri")).where("uri <> ''").distinct()
 

@@ -1,0 +1,190 @@
+import io
+import re
+import tarfile
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusguard.catalogs import rules as catalog
+from corpusguard.functions import columns as C
+from corpusguard.operators import diff, findings, manifest, rollup, scan, web
+from corpusguard.sources import interop, tree
+from corpusguard.streaming import operators as streams
+
+
+def frame(spark, paths, content=b""):
+    return spark.createDataFrame([(p, content if isinstance(paths, list) else paths[p]) for p in paths], "path string, content binary")
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+@pytest.mark.parametrize("path, ext", [("a/b.PHP", ".php"), (".htaccess", ""), ("d/.user.ini", ".ini"), ("a.php.jpg", ".jpg"), ("noext", ""), ("a.b/c", "")])
+def test_extension(spark, path, ext):
+    assert one(spark, C.extension(F.lit(path))) == ext
+
+
+@pytest.mark.parametrize("n, shown", [(0, "0 B"), (1, "1 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (1 << 20, "1.0 MB"), (1 << 30, "1.0 GB"), (1 << 40, "1.0 TB"), (-1, "-1 B"), (-1024, "-1.0 KB")])
+def test_human_size(spark, n, shown):
+    assert one(spark, C.human_size(F.lit(n).cast("long"))) == shown
+
+
+def test_severities(spark):
+    assert [one(spark, C.severity_named(F.lit(s))) for s in ("error", "Warning", "note", "none", "critical")] == ["HIGH", "MEDIUM", "LOW", "INFO", "CRITICAL"]
+    with pytest.raises(Exception, match="unknown severity"):
+        one(spark, C.severity_named(F.lit("odd")))
+    assert [one(spark, C.weakness_id(F.lit(x))) for x in ("89", "cwe-89", "CWE-89", "", None)] == ["CWE-89"] * 3 + ["", ""]
+    assert one(spark, C.prefix_lookup(F.lit("IOC-FP-004"), catalog.TECHNIQUES)) == "T1505.003"
+
+
+def test_anomalies(spark):
+    files = {
+        "x/shell.php": b"", ".x.php": b"", ".user.ini": b"", "edocs/.htaccess": b"", "a.sqlite": b"", "a.db-wal": b"", "uploads/a.php": b"", "p.png": b"\x89PNG<?php", "z.phar": b"",
+        "q.txt": b"__HALT_COMPILER();", "k.pem": b"", "e.log": b"<?= 1", "i.php.jpg": b"", "ok.php": b"<?php",
+    }
+    found = {r.path: r.a for r in frame(spark, files).select("path", manifest.anomalies(F.col("path"), F.col("content")).alias("a")).collect()}
+    assert found["x/shell.php"] == ["suspicious_filename"] and found[".x.php"] == ["hidden_php_file"] and found[".user.ini"] == ["user_ini_persistence"]
+    assert found["edocs/.htaccess"] == ["htaccess_in_upload_dir"] and found["a.sqlite"] == ["anomalous_extension", "sqlite_file_in_webroot"]
+    assert found["a.db-wal"] == ["sqlite_sidecar_active_writes"] and found["uploads/a.php"] == ["php_in_upload_directory"] and found["p.png"] == ["polyglot_php_in_image"]
+    assert found["z.phar"] == ["anomalous_extension", "phar_archive"] and found["q.txt"] == ["phar_magic_in_non_phar"] and found["k.pem"] == ["certificate_in_webroot"]
+    assert found["e.log"] == ["php_code_in_log_file"] and found["i.php.jpg"] == ["double_extension_php"] and found["ok.php"] == []
+
+
+def test_entropy_and_binary(spark):
+    files = {"a": b"a" * 60, "b": bytes(range(256)), "short": b"abc", "nul": b"a\x00b", "text": "plain é text\n".encode() * 9, "odd": b"\x01\x02\x03abc"}
+    found = {r.path: (r.e, r.b) for r in frame(spark, files).select("path", manifest.byte_entropy(F.col("content")).alias("e"), C.is_binary(F.col("content")).alias("b")).collect()}
+    assert found["a"] == (0.0, False) and found["b"] == (8.0, True) and found["short"] == (0.0, False)
+    assert found["nul"][1] and not found["text"][1] and found["odd"][1]
+
+
+def test_diff(spark, tmp_path):
+    a = diff.hashed(frame(spark, {"same": b"1", "gone.php": b"2", "hooks.php": b"3", ".git/x": b"4"}))
+    b = diff.hashed(frame(spark, {"same": b"1", "hooks.php": b"4", "edocs/new.php": b"5", "new.sh": b"6", "Thumbs.db": b"7"}))
+    d = diff.baseline_diff(a, b)
+    assert {(r.path, r.status) for r in d.collect()} == {("same", "identical"), ("gone.php", "removed"), ("hooks.php", "modified"), ("edocs/new.php", "added"), ("new.sh", "added")}
+    assert {(r.path, r.severity) for r in diff.diff_findings(d).collect()} == {("gone.php", "MEDIUM"), ("hooks.php", "CRITICAL"), ("new.sh", "HIGH")}
+    assert {r.path for r in diff.delta(d).collect()} == {"hooks.php", "new.sh"} and not diff.rollup(d).first().is_clean
+    assert diff.rollup(diff.baseline_diff(a, a)).first().is_clean
+    assert {(r.path, r.tag) for r in diff.suspicious_changes(d).collect()} == {("edocs/new.php", "php_in_data_dir")}
+    diff.save_baseline(a, "1", str(tmp_path / "b"))
+    diff.save_baseline(b, "2", str(tmp_path / "b"))
+    assert {tuple(r) for r in diff.load_baseline(spark, "1", str(tmp_path / "b")).collect()} == {tuple(r) for r in a.collect()}
+
+
+CODE = """<?php
+eval($x); // first
+// eval($y);
+/* system($z); */ system($_GET['c']);
+$o = unserialize($q, ['allowed_classes' => false]);
+const API_KEY = 1; const password = 'abcdefgh12';
+$password = 'abcdefgh12';
+"""
+
+
+def test_rule_scan(spark):
+    found = {(r.rule_id, r.line) for r in scan.rule_scan(frame(spark, {"a.php": CODE.encode(), "b.php": b"clean"})).collect()}
+    assert {("SEC002", 2), ("SEC003", 4), ("WEB001", 4), ("SEC004", 7)} <= found
+    assert ("SEC002", 3) not in found and not any(r == "SEC012" or (r, n) == ("SEC004", 6) for r, n in found)
+
+
+def brute_scan(text):
+    patterns = [(*row[:4], re.compile(row[4], re.I)) for row in catalog.SENSITIVE]
+    return scan.scan_line(text, patterns)
+
+
+def test_sensitive_scan(spark):
+    text = "ssn 123-45-6789 card 4111 1111 1111 1111 bad 4111 1111 1111 1112 mail a.b@c.org"
+    kinds = [(h[0], h[1]) for h in brute_scan(text)]
+    assert ("5", "x") not in kinds and (5, "ssn") in kinds and (22, "credit_card_visa") in kinds and not any(k == "credit_card_visa" and at > 22 for at, k in kinds)
+    assert all("***REDACTED***" in h[6] for h in brute_scan(text))
+    lines = spark.createDataFrame([("f", 1, text), ("f", 2, ""), ("g", 1, None)], "path string, line int, text string").where("text IS NOT NULL")
+    assert scan.sensitive_scan(lines).count() == len(kinds) and scan.sensitive_scan(lines, gate=True).count() == len(kinds)
+    assert one(spark, C.luhn(F.lit("4111111111111111"))) and not one(spark, C.luhn(F.lit("4111111111111112"))) and not one(spark, C.luhn(F.lit("0")))
+
+
+def test_globs(spark):
+    match = lambda g, p: bool(re.match(scan.glob_pattern(g), p))
+    assert match("**/*.db", "a/b/c.db") and match("**/*.db", "c.db") and not match("*.db", "a/c.db") and match("x/{a,b}.php|y/*", "x/b.php") and match("x/{a,b}.php|y/*", "y/z")
+
+
+def test_symbols_and_dedupe(spark):
+    rows = spark.createDataFrame([("f", 5), ("f", 50), ("g", 1)], "path string, line int")
+    symbols = spark.createDataFrame([("f", None, "outer", 1, 20), ("f", "K", None, 2, 30), ("f", "K", "m", 4, 9)], "path string, class string, function string, line int, end_line int")
+    assert {(r.path, r.line, r["class"], r.function) for r in findings.with_symbols(rows, symbols).collect()} == {("f", 5, "K", "m"), ("f", 50, None, None), ("g", 1, None, None)}
+    raw = spark.createDataFrame([("R1", "HIGH", "c", "p", 3, "s", "89"), ("R1", "HIGH", "c", "p", 3, "s", "89"), ("R2", "LOW", "c", "p", 0, "s", "")], "rule_id string, severity string, category string, path string, line int, snippet string, cwe_id string")
+    unified = findings.unified(raw, "scan").withColumn("seq", F.monotonically_increasing_id())
+    assert sorted(unified.drop("seq").columns) == sorted(findings.COLUMNS)
+    assert findings.deduplicated(unified).count() == 2
+    other = unified.withColumn("source", F.lit("other"))
+    by = {(r.source, r.line): (r.corroborated_by, r.confidence) for r in findings.corroborated(unified.unionByName(other)).collect()}
+    assert by["scan", 3] == (["other"], "CONFIRMED") and by["scan", 0] == ([], "MEDIUM")
+    assert [r.seq_id for r in findings.numbered(unified, "rule_id", "seq").orderBy("seq_id").collect()] == ["INV-001", "INV-002", "INV-003"]
+    links = {r.id: r.related_ids for r in findings.linked_by_rule(unified.where("rule_id = 'R2'"), other.where("rule_id = 'R2'").withColumn("id", F.lit("D"))).collect()}
+    assert links["D"] == [unified.where("rule_id = 'R2'").first().id]
+
+
+def test_risk_ladder(spark):
+    level = lambda *s: rollup.risk_level(spark.createDataFrame([(x,) for x in s], "severity string")).first().risk
+    assert [level("CRITICAL"), level("HIGH", "HIGH", "HIGH"), level("HIGH"), level("MEDIUM", "MEDIUM", "MEDIUM"), level("LOW"), level()] == ["CRITICAL", "HIGH", "MEDIUM", "MEDIUM", "LOW", "CLEAN"]
+
+
+def test_tree_source_keeps_dotfiles(spark, tmp_path):
+    for name in (".htaccess", "_x.php", "a/b.txt", "node_modules/c.js", "large.bin"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * (2000 if name == "large.bin" else 3))
+    tree.register(spark)
+    found = spark.read.format("filetree").option("root", str(tmp_path)).option("maxBytes", 1000).load()
+    assert {(r.path, r.length) for r in found.collect()} == {(".htaccess", 3), ("_x.php", 3), ("a/b.txt", 3)}
+
+
+def test_archives(spark):
+    z, t = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "one")
+        f.writestr("../evil", "two")
+    with tarfile.open(fileobj=t, mode="w:gz") as f:
+        info = tarfile.TarInfo("b.txt")
+        info.size = 3
+        f.addfile(info, io.BytesIO(b"tar"))
+    members = interop.archive_members(frame(spark, {"z.zip": z.getvalue(), "t.tgz": t.getvalue()}))
+    assert {(r.archive, r.member, bytes(r.content)) for r in members.collect()} == {("z.zip", "a.txt", b"one"), ("z.zip", "../evil", b"two"), ("t.tgz", "b.txt", b"tar")}
+    assert {(r.member, r.verdict) for r in interop.archive_guard(members).collect()} == {("a.txt", "quarantined"), ("../evil", "unsafe_name"), ("b.txt", "ok")}
+
+
+SARIF = """{"runs":[{"tool":{"driver":{"name":"t","rules":[{"id":"R1","name":"n"}]}},"artifacts":[{"location":{"uri":"only.php"}}],
+"invocations":[{"toolExecutionNotifications":[{"message":{"text":"boom"}},{"message":{"text":""}}]}],
+"results":[{"ruleId":"R1","level":"error","message":{"text":"m"},"taxa":[{"id":"89","toolComponent":{"name":"cwe"}}],
+"locations":[{"physicalLocation":{"artifactLocation":{"uri":"a.php"},"region":{"startLine":10}}}]},{"ruleId":"R2","properties":{"cwe":"CWE-79"}}]}]}"""
+
+
+def test_sarif(spark):
+    docs = interop.parse_sarif(spark.createDataFrame([("f", SARIF), ("bad", "not json"), ("none", None)], "file string, json string"))
+    found = [tuple(r) for r in interop.sarif_results(docs).select("rule_id", "level", "uri", "start_line", "cwe_id").collect()]
+    assert found == [("R1", "error", "a.php", 10, "CWE-89"), ("R2", "warning", "", 0, "CWE-79")]
+    assert interop.sarif_results(docs, max_results=1).count() == 1 and interop.sarif_rules(docs).first().rule_id == "R1"
+    assert [r.error for r in interop.sarif_errors(docs).collect()] == ["boom"] and {r.uri for r in interop.sarif_files(docs).collect()} == {"only.php", "a.php"}
+
+
+def test_weaknesses_and_reports(spark, tmp_path):
+    (tmp_path / "w.csv").write_text('CWE-ID,Name,Status,Description,Potential Mitigations\n79,XSS,Stable,"a ""b""","::PHASE:Design:DESCRIPTION:Escape it::PHASE:X:DESCRIPTION:more::"\n9,Old,Deprecated,d,\n79,XSS2,Stable,d,::DESCRIPTION: last ::\n')
+    assert [tuple(r) for r in interop.read_weaknesses(spark, str(tmp_path / "w.csv")).collect()] == [("CWE-79", "XSS2", "d", "last")]
+    report = 'noise {"suites":[{"title":"s","specs":[{"title":"t","tests":[{"results":[{"status":"passed","duration":5}]}]}]}]}'
+    assert [tuple(r) for r in interop.runtime_results(spark.createDataFrame([(report,)], "json string")).collect()] == [("s", "t", "passed", 5)]
+    lines = spark.createDataFrame([("f", 1, "Rule /x"), ("f", 2, "0x1:$a:b"), ("f", 3, "0x2:$a:c"), ("f", 4, "Two /y")], "file string, line int, text string")
+    assert {(r.rule, r.target, tuple(r.strings)) for r in interop.signature_matches(lines).collect()} == {("Rule", "/x", ("0x1:$a:b", "0x2:$a:c")), ("Two", "/y", ())}
+
+
+def test_urls(spark):
+    check = lambda u: one(spark, web.url_hygiene(F.lit(u)))
+    assert [check(u) for u in ("", " https://a.b/c ", "file:///x", "http:///x", "http://a\x01b")] == ["empty", "ok", "scheme", "host", "control"]
+    assert [one(spark, web.internal_address(F.lit(i))) for i in ("10.0.0.1", "172.20.0.1", "8.8.8.8", "224.0.0.1", "x")] == [True, True, False, True, False]
+
+
+def test_arrivals_are_scanned(spark, tmp_path):
+    frame(spark, {"a.php": b"<?php eval($x);", "b.php": b"ok"}).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("path string, content binary").parquet(str(tmp_path / "in"))
+    run = streams.scan_arrivals(stream).writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "p")).start()
+    run.awaitTermination()
+    assert {(r.path, r.rule_id) for r in spark.table("arrivals").collect()} == {("a.php", "SEC002")}
