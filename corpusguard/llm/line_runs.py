@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusguard.llm.runtime import SPACE, text_or_empty
 from corpusguard.llm.suffix_array import repeated_prefixes
@@ -13,6 +15,24 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, SPACE, " "))
 
 
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines at the given places among their lines with words."""
+
+    def cut(text: str | None, places) -> str | None:
+        if text is None:
+            return None
+        places, at, kept = set(places), -1, []
+        for line in text.split("\n"):
+            spoken = line.strip(" \t\n\r\x0b\x0c") != ""
+            at += spoken
+            if not (spoken and at in places):
+                kept.append(line)
+        return "\n".join(kept)
+
+    return pd.Series([cut(t, g) for t, g in zip(texts, gone)], dtype=object)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, tag, at, name``: the lines with words of each row, their places among these, and their 128-bit ids.
 
@@ -64,11 +84,7 @@ def drop_later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = later_lines(docs, id_col, text_col, min_lines)
     gone = gone.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("gone").alias("_gone"))
     joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(text_or_empty(docs[text_col])) == F.col("_tag")), "left")
-    lines = F.split(docs[text_col], "\n")
-    numbered = F.transform(lines, lambda x, i: F.when(_normal(x) != "", i))
-    spoken = F.filter(numbered, lambda i: i.isNotNull())
-    numbers = F.transform(F.col("_gone"), lambda at: F.get(spoken, at))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(left)
-    emptied = F.col("_gone").isNotNull() & (_normal(left) == "")
-    return joined.where(~F.coalesce(emptied, F.lit(False))).withColumn(text_col, text).select(*docs.columns)
+    cut = F.col("_gone").isNotNull()
+    joined = joined.withColumn("_left", _without(F.when(cut, docs[text_col]), F.col("_gone")))
+    joined = joined.where(~cut | (_normal(F.col("_left")) != "")).withColumn(text_col, F.when(cut, F.col("_left")).otherwise(docs[text_col]))
+    return joined.select(*docs.columns)
