@@ -151,3 +151,33 @@ WEAKNESS_NAMES = {
     "CWE-312": "Cleartext Storage of Sensitive Information", "CWE-328": "Use of Weak Hash", "CWE-434": "Unrestricted Upload", "CWE-502": "Deserialization of Untrusted Data",
     "CWE-506": "Embedded Malicious Code", "CWE-522": "Insufficiently Protected Credentials", "CWE-798": "Use of Hard-coded Credentials",
 }
+
+# Rules for the files of an upgrade: (id, severity, category, names, pattern).
+UPGRADE_RULES = [
+    ("UPG001", "CRITICAL", "upgrade_hijack", ["Upgrade.php", "upgrade.php"], r"(?:eval|assert|create_function)\s*\(\s*\$(?:sql|query|patch|upgrade|code)"),
+    ("UPG002", "CRITICAL", "upgrade_hijack", ["Upgrade.php"], r"""preg_replace\s*\([^)]*\/[eimsxADSUXJu]*e[eimsxADSUXJu]*['"]"""),
+    ("UPG003", "CRITICAL", "upgrade_hijack", ["Upgrade.php"], r"\$\{?\$[a-zA-Z_][a-zA-Z0-9_]*\}?\s*\("),
+    ("UPG010", "HIGH", "file_deletion_bypass", ["Upgrade.php"], r"if\s*\([^)]*\$\w+\s*(!==?|===?|in_array)"),
+    ("UPG011", "HIGH", "file_deletion_bypass", ["Upgrade.php"], r"@?unlink\s*\([^)]*\)"),
+    ("UPG020", "CRITICAL", "persistence_injection", ["Upgrade.php", ".htaccess"], r"auto_prepend_file|auto_append_file|php_value|SetHandler|AddHandler"),
+    ("UPG021", "CRITICAL", "persistence_injection", ["Upgrade.php"], r"fopen\s*\([^)]*\.(?:htaccess|user\.ini|php\.ini)"),
+    ("UPG030", "HIGH", "skip_logic", ["Upgrade.php"], r"return|die|exit|skip|continue\s*(?:;|//|#)"),
+    ("UPG031", "HIGH", "skip_logic", ["Upgrade.php"], r"if\s*\(!\$\w+\)\s*return|if\s*\(empty\(\$\w+\)\)\s*return"),
+    ("UPG040", "CRITICAL", "obfuscation", ["Upgrade.php"], r"(?:base64_decode|gzinflate|gzuncompress|str_rot13)\s*\("),
+    ("UPG050", "HIGH", "config_tampering", ["Upgrade.php", "database.php"], r"\$db_password|\$db_user|\$db_connection|database\.php"),
+]
+
+# Directives of .htaccess files that are reported, and of .user.ini files that make them critical.
+HTACCESS_DIRECTIVES = r"php_value\s+auto_(?:prepend|append)_file|php_flag\s+engine\s+on|AddType\s+application/x-httpd-php|SetHandler\s+application/x-httpd-php"
+USER_INI_CRITICAL = r"auto_(?:prepend|append)_file"
+
+# Rules of failed runtime tests by the first keyword in their names: (suite, keyword, rule id, weakness, category).
+RUNTIME_RULES = [
+    ("admin", "Control Center", "SEC077", "CWE-285", "access-control"), ("admin", "unauthenticated", "SEC021", "CWE-306", "authentication"),
+    ("admin", "API", "SEC077", "CWE-287", "authentication"), ("admin", "cookie", "SEC071", "CWE-614", "session"),
+    ("admin", "config", "SEC065", "CWE-200", "information-disclosure"), ("admin", "audit", "SEC021", "CWE-778", "logging"),
+    ("export", "CSV", "SEC070", "CWE-94", "injection"), ("export", "PDF", "SEC074", "CWE-79", "injection"), ("export", "XSS", "SEC010", "CWE-79", "xss"),
+    ("export", "info leak", "SEC031", "CWE-200", "information-disclosure"), ("export", "export", "SEC076", "CWE-862", "authorization"),
+    ("upgrade", "filesystem", "SEC060", "CWE-506", "persistence"), ("upgrade", "PHP file", "SEC060", "CWE-506", "persistence"),
+    ("upgrade", "suspicious", "SEC062", "CWE-506", "persistence"), ("upgrade", "external network", "SEC061", "CWE-506", "c2"), ("upgrade", "cron", "SEC063", "CWE-506", "persistence"),
+]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
+from corpusguard.functions.session import checkpointed
 
 COLUMNS = ["id", "rule_id", "title", "severity", "confidence", "source", "category", "cwe_id", "path", "line", "snippet", "fingerprint"]
 
@@ -65,10 +66,11 @@ def numbered(findings: DataFrame, *order: str, prefix: str = "INV-") -> DataFram
     """Findings with sequential ids in the given order, without a one-partition sort.
 
     A range partitioning orders them; numbers inside a range are a window over the
-    range, and the offsets are the counts of the ranges before.
+    range, and the offsets are the counts of the ranges before. The placement is
+    checkpointed, so that a lost executor cannot change it.
     """
     ranges = max(1, findings.sparkSession.sparkContext.defaultParallelism)
-    placed = findings.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()).persist()
+    placed = checkpointed(findings.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
@@ -143,3 +145,33 @@ def vectors_met(findings: DataFrame, vectors: dict[str, list[str]]) -> DataFrame
         met.append(F.when(test, name))
     found = F.filter(F.array(*met), lambda x: x.isNotNull())
     return findings.select("fingerprint", found.alias("vectors")).where(F.size("vectors") > 0).distinct()
+
+
+def from_runtime(tests: DataFrame) -> DataFrame:
+    """Failed runtime tests as findings: the rule of the first keyword of the suite that the name holds, or a default."""
+    lower = F.lower("test")
+    rule, cwe, category = F, F, F
+    for suite, word, rule_id, weakness, name in catalog.RUNTIME_RULES:
+        met = (F.col("suite") == suite) & lower.contains(word.lower())
+        rule, cwe, category = rule.when(met, rule_id), cwe.when(met, weakness), category.when(met, name)
+    rows = tests.where("status = 'failed'").select(
+        rule.otherwise("RUNTIME").alias("rule_id"), F.lit("HIGH").alias("severity"), category.otherwise("runtime").alias("category"),
+        F.concat_ws("/", "suite", "test").alias("path"), F.lit(0).alias("line"), F.col("test").alias("snippet"), cwe.otherwise("").alias("cwe_id"),
+    )
+    return unified(rows, "runtime", confidence="HIGH")
+
+
+def escalated(findings: DataFrame, mismatches: DataFrame) -> DataFrame:
+    """Signature findings on files with a content-type mismatch become critical and confirmed."""
+    bad = mismatches.where(~F.col("is_match")).select(F.col("path").alias("_bad")).distinct()
+    met = F.col("_bad").isNotNull()
+    rows = findings.join(bad, F.col("path") == F.col("_bad"), "left")
+    return rows.withColumn("severity", F.when(met, "CRITICAL").otherwise(F.col("severity"))).withColumn("confidence", F.when(met, "CONFIRMED").otherwise(F.col("confidence"))).drop("_bad")
+
+
+def dependency_links(descriptions: DataFrame, code: DataFrame) -> DataFrame:
+    """``token, files``: package-like tokens (with ``/`` or ``-``) of descriptions that code files name, by an equi-join of tokens."""
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9/_@.-]+"), lambda t: t.rlike("[/-]") & (F.length(t) > 3)))
+    wanted = descriptions.select(F.explode(split("text")).alias("token")).distinct()
+    found = code.select("path", F.explode(split("text")).alias("token"))
+    return found.join(wanted, "token").groupBy("token").agg(F.countDistinct("path").alias("files"))

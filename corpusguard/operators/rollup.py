@@ -80,3 +80,15 @@ def corpus_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     both = a.select(*[F.col(m).alias(f"a_{m}") for m in metrics]).crossJoin(F.broadcast(b.select(*[F.col(m).alias(f"b_{m}") for m in metrics])))  # one row each
     rows = both.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"a_{m}").alias("a"), F.col(f"b_{m}").alias("b")) for m in metrics])))
     return rows.withColumn("delta", F.col("b") - F.col("a")).withColumn("percent", C.percent(F.col("b") - F.col("a"), F.col("a"), 2))
+
+
+def severity_matrix(findings: DataFrame) -> DataFrame:
+    """A report table: findings of each category by severity."""
+    per = [F.count_if(F.col("severity") == s).alias(s.lower()) for s in reversed(catalog.SEVERITIES)]
+    return findings.groupBy("category").agg(*per, F.count(F.lit(1)).alias("total"))
+
+
+def outcomes(tests: DataFrame) -> DataFrame:
+    """Passed, failed and skipped runtime tests by suite."""
+    s = F.col("status")
+    return tests.groupBy("suite").agg(F.count_if(s == "passed").alias("passed"), F.count_if(s == "failed").alias("failed"), F.count_if(s.isin("skipped", "pending")).alias("skipped"))

@@ -199,3 +199,39 @@ def sql_strings(files: DataFrame) -> DataFrame:
     literals = F.regexp_extract_all(text_of(F.col("content")), F.lit(r"""["']((?i:SELECT|INSERT|UPDATE|DELETE|DROP|ALTER)\s[^"']{4,})["']"""), F.lit(1))
     rows = files.select("path", F.explode(literals).alias("literal")).where(F.length("literal") > 10)
     return rows.select("path", F.upper(F.substring_index(F.col("literal"), " ", 1)).alias("verb"), F.substring("literal", 1, 100).alias("snippet"))
+
+
+def upgrade_hits(files: DataFrame, rules=rule_catalog.UPGRADE_RULES) -> DataFrame:
+    """``path, rule_id, severity, category``: rules that apply to files of certain names only."""
+    name, text = C.filename(F.col("path")), text_of(F.col("content"))
+    met = F.array(*[F.when(name.isin(names) & text.rlike("(?i)" + p), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(c).alias("category"))) for i, s, c, names, p in rules])
+    return files.select("path", F.inline(F.filter(met, lambda x: x.isNotNull())))
+
+
+def upgrade_report(hits: DataFrame) -> DataFrame:
+    """One row: totals and whether each kind of tampering was met."""
+    kinds = ["upgrade_hijack", "file_deletion_bypass", "persistence_injection", "skip_logic"]
+    return hits.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("path").alias("files"), *[F.coalesce(F.bool_or(F.col("category") == k), F.lit(False)).alias(k) for k in kinds])
+
+
+def config_checks(files: DataFrame) -> DataFrame:
+    """``path, check, severity``: directives in ``.htaccess`` files, and every ``.user.ini``."""
+    name, text = C.filename(F.col("path")), text_of(F.col("content"))
+    check = F.when(name == ".user.ini", "user_ini").when((name == ".htaccess") & text.rlike("(?i)" + rule_catalog.HTACCESS_DIRECTIVES), "htaccess_directive")
+    severity = F.when((name == ".user.ini") & ~text.rlike("(?i)" + rule_catalog.USER_INI_CRITICAL), "HIGH").otherwise("CRITICAL")
+    return files.select("path", check.alias("check"), severity.alias("severity")).where("check IS NOT NULL")
+
+
+def obfuscated(files: DataFrame, least: int = 100, threshold: float = 5.5) -> DataFrame:
+    """``path, entropy`` of files whose code blocks (together ``least`` characters and more) have a high entropy."""
+    from corpusguard.operators.manifest import byte_entropy
+
+    blocks = F.array_join(F.regexp_extract_all(text_of(F.col("content")), F.lit(r"(?s)<\?php(.*?)(?:\?>|$)"), F.lit(1)), "")
+    rows = files.select("path", blocks.alias("code")).where(F.length("code") >= least)
+    return rows.select("path", byte_entropy(F.col("code").cast("binary")).alias("entropy")).where(F.col("entropy") > threshold)
+
+
+def first_candidates(files: DataFrame, names: list[str]) -> DataFrame:
+    """``name, path, sha256``: for each tracked name the first file by path, with its digest."""
+    rows = files.select(C.filename(F.col("path")).alias("name"), "path", F.sha2("content", 256).alias("sha256")).where(F.col("name").isin(names))
+    return rows.groupBy("name").agg(F.min(F.struct("path", "sha256")).alias("f")).select("name", "f.path", "f.sha256")

@@ -283,8 +283,8 @@ def tactic_matrix(spark, sf_dir):
 
 
 def _sarif(spark, sf_dir):
-    """Documents of the interchange format made from findings, one for each severity and hundredth of the paths."""
-    rows = _findings(spark, sf_dir).withColumn("bucket", F.concat("severity", F.lit("-"), F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(100)).cast("string")))
+    """Documents of the interchange format made from findings, one for each severity and path."""
+    rows = _findings(spark, sf_dir).withColumn("bucket", F.concat("severity", F.lit("-"), "path"))
     return interop.parse_sarif(interop.sarif_document(rows, "bucket"))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusguard.functions.session import shared_folder
 from corpusguard.operators import web
 from corpusguard.plans.registry import query, table
 from corpusguard.streaming import operators as streams
@@ -97,8 +97,7 @@ def header_checks(spark, sf_dir):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder for a stream's output and progress, in the place that the session shares."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{named}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
