@@ -181,3 +181,12 @@ RUNTIME_RULES = [
     ("upgrade", "filesystem", "SEC060", "CWE-506", "persistence"), ("upgrade", "PHP file", "SEC060", "CWE-506", "persistence"),
     ("upgrade", "suspicious", "SEC062", "CWE-506", "persistence"), ("upgrade", "external network", "SEC061", "CWE-506", "c2"), ("upgrade", "cron", "SEC063", "CWE-506", "persistence"),
 ]
+
+# What a credential file must not hold, the variables that it may set, and heuristics about its connections.
+CREDENTIAL_FORBIDDEN = [
+    ("function", r"\bfunction\s+\w+\s*\("), ("class", r"\bclass\s+\w+"), ("include", r"""\b(?:include|require)(?:_once)?\s*[\('"]"""),
+    ("execution", r"\b(?:eval|exec|system|passthru|shell_exec|popen|proc_open)\s*\("), ("base64", r"\bbase64_decode\s*\("), ("inflate", r"\bgzinflate\s*\("),
+    ("file_read", r"\bfile_get_contents\s*\("), ("curl", r"\bcurl_exec\s*\("), ("wrapper", r"\bstream_wrapper_register\s*\("), ("ini_set", r"\bini_set\s*\("),
+    ("include_path", r"\bset_include_path\s*\("),
+]
+CREDENTIAL_VARIABLES = ["hostname", "db", "username", "password", "salt"]

@@ -235,3 +235,20 @@ def first_candidates(files: DataFrame, names: list[str]) -> DataFrame:
     """``name, path, sha256``: for each tracked name the first file by path, with its digest."""
     rows = files.select(C.filename(F.col("path")).alias("name"), "path", F.sha2("content", 256).alias("sha256")).where(F.col("name").isin(names))
     return rows.groupBy("name").agg(F.min(F.struct("path", "sha256")).alias("f")).select("name", "f.path", "f.sha256")
+
+
+def credential_file_checks(files: DataFrame, names: tuple[str, ...] = ("database.php",)) -> DataFrame:
+    """``path, check, severity, detail`` of credential files: code they must not hold, variables they must not set, odd connections."""
+    text = F.col("_text")
+    none = F.array().cast("array<string>")
+    forbidden = [F.when(text.rlike("(?i)" + p), F.struct(F.lit("forbidden_pattern").alias("check"), F.lit("CRITICAL").alias("severity"), F.lit(n).alias("detail"))) for n, p in rule_catalog.CREDENTIAL_FORBIDDEN]
+    heuristics = {
+        ("suspicious_connection", "HIGH"): (F.regexp_count(text, F.lit("mysqli_connect")) > 1) | (F.regexp_count(text, F.lit(r"\$mysqli")) > 1),
+        ("obfuscated_creds", "CRITICAL"): text.rlike("(?i)base64_decode|gzinflate|gzuncompress"),
+        ("arbitrary_sql", "CRITICAL"): text.rlike(r"(?i)\$mysqli->query\s*\(\s*\$"),
+    }
+    odd = [F.when(c, F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.lit("").alias("detail"))) for (n, s), c in heuristics.items()]
+    set_ = F.array_except(F.coalesce(F.regexp_extract_all(text, F.lit(r"(?m)^\s*\$(\w+)\s*="), F.lit(1)), none), F.array(*map(F.lit, rule_catalog.CREDENTIAL_VARIABLES)))
+    variables = F.transform(set_, lambda v: F.struct(F.lit("unexpected_variable").alias("check"), F.lit("HIGH").alias("severity"), v.alias("detail")))
+    rows = files.where(C.filename(F.col("path")).isin(*names)).select("path", text_of(F.col("content")).alias("_text"))
+    return rows.select("path", F.inline(F.concat(F.filter(F.array(*forbidden, *odd), lambda x: x.isNotNull()), variables)))

@@ -133,3 +133,23 @@ def dependency_link(spark, sf_dir):
 def severity_alias(spark, sf_dir):
     name = F.get(F.array(*map(F.lit, ["error", " Warning", "note", "none", "critical"])), (F.col("doc_id") % 5).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", C.severity_named(name).alias("severity"))
+
+
+CREDENTIAL_SQL = (
+    FILES_SQL
+    + """, c AS (SELECT doc_id, 'app' || doc_id || '/database.php' AS path, '<?php' || chr(10) || '$db = "x";' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '$extra' || doc_id % 5 || ' = 1;' ELSE '' END
+        || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'eval($x);' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(10) || '$mysqli->query($mysqli);' ELSE '' END AS content FROM files)"""
+)
+
+
+@query(
+    f"""WITH {CREDENTIAL_SQL} SELECT path, 'unexpected_variable' AS "check", 'HIGH' AS severity, 'extra' || doc_id % 5 AS detail FROM c WHERE doc_id % 2 = 0
+    UNION ALL SELECT path, 'forbidden_pattern', 'CRITICAL', 'execution' FROM c WHERE doc_id % 3 = 0
+    UNION ALL SELECT path, 'suspicious_connection', 'HIGH', '' FROM c WHERE doc_id % 7 = 0 UNION ALL SELECT path, 'arbitrary_sql', 'CRITICAL', '' FROM c WHERE doc_id % 7 = 0"""
+)
+def credential_files(spark, sf_dir):
+    number = F.col("doc_id")
+    extra = F.when(number % 2 == 0, F.concat(F.lit("\n$extra"), (number % 5).cast("string"), F.lit(" = 1;"))).otherwise("")
+    content = F.concat(F.lit('<?php\n$db = "x";'), extra, F.when(number % 3 == 0, "\neval($x);").otherwise(""), F.when(number % 7 == 0, "\n$mysqli->query($mysqli);").otherwise(""))
+    rows = files(spark, sf_dir).select(F.concat(F.lit("app"), number.cast("string"), F.lit("/database.php")).alias("path"), content.cast("binary").alias("content"))
+    return scan.credential_file_checks(rows)
