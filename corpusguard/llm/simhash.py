@@ -87,17 +87,19 @@ def _segment(fp: Column, which: int) -> Column:
 
 
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Edges (two rows: one end, the other) of a spanning forest of the pairs within ``radius`` bits.
+    """Edges (two rows: one end, the other) that connect what pairs within ``radius`` bits connect.
 
-    A row of ``fps`` is a node: its lanes, the first of which names it.
+    A row of ``fps`` is a node: its lanes, the first of which names it. Every node of a
+    component is tied to its smallest one, so that the many buckets which the members of
+    a large group share say the same.
     """
     left, edges = fps[np.unique(fps[:, 0], return_index=True)[1]], []
     while len(left):
-        reached, left = [left[0]], left[1:]
+        root, reached, left = int(left[0, 0]), [left[0]], left[1:]
         while reached and len(left):
             node = reached.pop()
             near = np.bitwise_count(np.bitwise_xor(left, node).view(np.uint64)).sum(1) <= radius
-            edges += [(other, int(node[0])) for other in left[near, 0].tolist()]
+            edges += [(other, root) for other in left[near, 0].tolist()]
             reached += list(left[near])
             left = left[~near]
     return np.array(edges, dtype=np.int64).reshape(-1, 2).T
@@ -112,8 +114,8 @@ def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
     where the segments are within 2 bits. Rows per fingerprint are fixed (66), and a
     64-bit space split at 32 bits keeps chance meetings rare at any size.
 
-    In buckets of up to 2,048 fingerprints the complete distances are verified, and a
-    spanning forest of the pairs within ``radius`` is all that leaves the task. A larger
+    In buckets of up to 2,048 fingerprints the complete distances are verified, and one
+    edge for each fingerprint that has a pair within ``radius`` is all that leaves the task. A larger
     bucket is never compared pair by pair: its members enter a second table under every
     value near their other segment, within what the bucket leaves of the 4 bits, and
     members that meet there are within 4 bits by the triangle inequality; one star for
