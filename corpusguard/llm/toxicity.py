@@ -183,9 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc
             features = _Remembered(lambda t: tuple(f for f in features_of(t, costs) if known is None or f in known))
             documents = 0
             for batch in batches:
-                features.trim()
                 for text in batch["_text"]:
                     documents += 1
+                    if documents % 1000 == 0:
+                        features.trim()
                     found = set(chain.from_iterable(map(features.__getitem__, tokens_of(text))))
                     if best and found:
                         least = NEARLY_BEST * max(map(known.__getitem__, found))
@@ -276,7 +277,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_co
         costs, known = shared.value[0].tolist(), shared.value[1]
         bad = _Remembered(lambda t: any(f in known for f in features_of(t, costs)))
         for batch in texts:
-            bad.trim()
-            yield pd.Series([any(map(bad.__getitem__, tokens_of(t))) for t in batch], dtype=bool)
+            flags: list[bool] = []
+            for at in range(0, len(batch), 1000):
+                bad.trim()
+                flags += [any(map(bad.__getitem__, tokens_of(t))) for t in batch.iloc[at : at + 1000]]
+            yield pd.Series(flags, dtype=bool)
 
     return docs.where(~rejected(text_or_empty(text_col)))
