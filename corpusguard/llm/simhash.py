@@ -18,7 +18,7 @@ from corpusguard.llm.runtime import checkpointed, map_texts, text_or_empty
 SEED = 42
 #: Bits of each of the two segments of a fingerprint.
 HALF = 32
-#: Buckets with more fingerprints than this are linked through midpoints instead of by comparison.
+#: Buckets with more fingerprints than this are linked through midpoints (one lane, radius 4) or compared as a stream.
 COMPARED = 2048
 
 
@@ -86,23 +86,30 @@ def _segment(fp: Column, which: int) -> Column:
     return F.shiftrightunsigned(fp, HALF) if which else fp.bitwiseAND(F.lit((1 << HALF) - 1))
 
 
+def node_name(lanes: int) -> Column:
+    """The long that names a node: its fingerprint, or a hash of all lanes where there are several."""
+    return F.col("fp") if lanes == 1 else F.xxhash64(*lane_names(lanes))
+
+
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Edges (two rows: one end, the other) that connect what pairs within ``radius`` bits connect.
+    """Edges that connect what pairs of ``fps`` within ``radius`` bits connect: the lanes of one end, then those of the other.
 
-    A row of ``fps`` is a node: its lanes, the first of which names it. Every node of a
-    component is tied to its smallest one, so that the many buckets which the members of
-    a large group share say the same.
+    A row of ``fps`` is a node: its lanes. Every node of a component is tied to its
+    smallest one, so that the many buckets which the members of a large group share say
+    the same.
     """
-    left, edges = fps[np.unique(fps[:, 0], return_index=True)[1]], []
+    left, edges = np.unique(fps, axis=0), []
     while len(left):
-        root, reached, left = int(left[0, 0]), [left[0]], left[1:]
+        root, reached, left = left[0], [left[0]], left[1:]
         while reached and len(left):
             node = reached.pop()
             near = np.bitwise_count(np.bitwise_xor(left, node).view(np.uint64)).sum(1) <= radius
-            edges += [(other, root) for other in left[near, 0].tolist()]
-            reached += list(left[near])
-            left = left[~near]
-    return np.array(edges, dtype=np.int64).reshape(-1, 2).T
+            if near.any():
+                met = left[near]
+                edges.append(np.hstack([met, np.broadcast_to(root, met.shape)]))
+                reached += list(met)
+                left = left[~near]
+    return np.concatenate(edges) if edges else np.zeros((0, 2 * fps.shape[1]), np.int64)
 
 
 def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
@@ -115,17 +122,19 @@ def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
     64-bit space split at 32 bits keeps chance meetings rare at any size.
 
     In buckets of up to 2,048 fingerprints the complete distances are verified, and one
-    edge for each fingerprint that has a pair within ``radius`` is all that leaves the task. A larger
-    bucket is never compared pair by pair: its members enter a second table under every
-    value near their other segment, within what the bucket leaves of the 4 bits, and
-    members that meet there are within 4 bits by the triangle inequality; one star for
-    each meeting value keeps the classes exact while its rows stay in proportion to the
-    members.
-
-    With one lane and a radius of 4 the links are exact. Further lanes enter the tables
-    likewise, and the complete distance is that over all lanes: a larger radius over
-    several lanes links texts that are less alike (by chance of a segment within 2 bits)
-    and tells them by more bits.
+    edge for each fingerprint that has a pair within ``radius`` is all that leaves the task.
+    With one lane and a radius of 4 the links are exact, and a larger bucket is never
+    compared pair by pair: its members enter a second table under every value near their
+    other segment, within what the bucket leaves of the 4 bits, and members that meet
+    there are within 4 bits by the triangle inequality; one star for each meeting value
+    keeps the classes exact while its rows stay in proportion to the members.
+
+    Further lanes enter the tables likewise, and the complete distance is that over all
+    lanes: a larger radius over several lanes links texts that are less alike (by chance
+    of a segment within 2 bits) and tells them by more bits. That proof holds for neither
+    several lanes nor a larger radius, so that there the complete distances decide in
+    buckets of every size; a large one reaches its task as a sorted stream and takes 8
+    bytes a lane for each member. Ends of edges are named by :func:`node_name`.
     """
     if radius < 4:
         raise ValueError("the tables are laid out for a radius of 4 or more")
@@ -137,17 +146,42 @@ def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
     rows = rows.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1")
     met = checkpointed(rows)
 
-    members = met.where(F.col("n") <= COMPARED).groupBy("bucket").agg(F.collect_list(F.array(*names)).alias("fps"))
+    ends = [f"{end}{i}" for end in "ab" for i in range(lanes)]
+    schema = ", ".join(f"{end} long" for end in ends)
+
+    def batch_of(edges: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.concatenate([np.zeros((0, 2 * lanes), np.int64), *edges])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(2 * lanes)], names=ends)
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges = [forest(np.array(fps, dtype=np.int64).reshape(-1, lanes), radius) for fps in batch.column(0).to_pylist()] or [np.zeros((2, 0), np.int64)]
-            a, b = np.concatenate(edges, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield batch_of([forest(np.array(fps, dtype=np.int64).reshape(-1, lanes), radius) for fps in batch.column(0).to_pylist()])
 
-    pairs = members.select("fps").mapInArrow(forests, "a long, b long")
+    def forests_of_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            fps = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, lanes + 1)])
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for key, part in zip(keys[[0, *cuts]] if len(keys) else (), np.split(fps, cuts)):
+                if parts and key != bucket:
+                    yield batch_of([forest(np.concatenate(parts), radius)])
+                    parts = []
+                bucket = key
+                parts.append(part)
+        if parts:
+            yield batch_of([forest(np.concatenate(parts), radius)])
+
+    def named(edges: DataFrame) -> DataFrame:
+        return edges.select(*[(F.col(f"{end}0") if lanes == 1 else F.xxhash64(*[f"{end}{i}" for i in range(lanes)])).alias(end) for end in "ab"])
+
+    members = met.where(F.col("n") <= COMPARED).groupBy("bucket").agg(F.collect_list(F.array(*names)).alias("fps"))
+    pairs = named(members.select("fps").mapInArrow(forests, schema))
 
     large = met.where(F.col("n") > COMPARED)
+    if lanes > 1 or radius > 4:
+        stream = large.select("bucket", *names).repartition("bucket").sortWithinPartitions("bucket")
+        return pairs.union(named(stream.mapInArrow(forests_of_stream, schema)))
     table = F.shiftrightunsigned("bucket", HALF)
     other = F.get(F.array(*[_segment(F.col(name), 1 - s) for name in names for s in (0, 1)]), table.cast("int"))
     # both ends together may flip 4 bits: each spends r of its 2 in the bucket and the rest here
@@ -162,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: its fingerprint and the class it belongs to.
 
     Classes are the connected components of all links of :func:`links`. Equal texts,
-    and all texts with one fingerprint, are one node, so that groups of copies of any
+    and all texts with one fingerprint (equal in every lane), are one node, so that groups of copies of any
     size cost one row each; the class goes back to the rows by fingerprint.
 
     Defined cases: null and blank texts have fingerprint zero and are linked like any
@@ -173,14 +207,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns ``id_col``, ``fp`` (long) and ``component_id``, the smallest id of the class.
     """
     fps = checkpointed(fingerprints(docs, id_col, text_col, shingle, lanes))
-    more = lane_names(lanes)[1:]
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), *([F.min(F.struct(*more)).alias("more")] if more else []))
-    nodes = nodes.select("fp", "first_id", *[f"more.{name}" for name in more])
+    fps = fps.withColumn("_node", node_name(lanes))
+    nodes = fps.groupBy("_node", *lane_names(lanes)).agg(F.min(id_col).alias("first_id"))
     classes = connected_components(links(nodes, radius, lanes))
-    named = nodes.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    named = nodes.join(classes, F.col("_node") == F.col("node"), "left").select("_node", "first_id", F.coalesce("component", "_node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = checkpointed(named.join(smallest, "component").select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    by_node = checkpointed(named.join(smallest, "component").select("_node", "component_id").distinct())
+    return fps.join(by_node, "_node").select(id_col, "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:

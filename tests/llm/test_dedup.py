@@ -71,6 +71,41 @@ def test_simhash_links_every_pair_within_four_bits(spark, monkeypatch, compared)
     assert len({find(i) for i in range(len(fps))}) == len(set(expected))
 
 
+@pytest.mark.parametrize("compared", [2048, 2])
+def test_simhash_lanes_are_verified_in_buckets_of_every_size(spark, monkeypatch, compared):
+    monkeypatch.setattr(simhash, "COMPARED", compared)
+    rng = random.Random(5)
+    nodes = []
+    for _ in range(6):
+        base = rng.getrandbits(192)
+        for flips in [0, 3, 8, 12, 12, 16, 20, 24, 28, 45, 60]:
+            # the lowest segment stays, so that all copies of a base meet in its buckets
+            nodes.append(base ^ sum(1 << b for b in rng.sample(range(32, 192), flips)))
+    base = rng.getrandbits(192)
+    nodes += [base, base ^ sum(1 << b for b in range(70, 130))]  # equal in the first lane, 60 bits apart
+    lanes = [tuple(simhash._signed(x >> shift & (1 << 64) - 1) for shift in (0, 64, 128)) for x in nodes]
+    frame = spark.createDataFrame(lanes, "fp long, fp1 long, fp2 long")
+    named = frame.select(simhash.node_name(3).alias("node"), "*")
+    index = {r.node: lanes.index((r.fp, r.fp1, r.fp2)) for r in named.collect()}
+    assert len(index) == len(nodes)
+    parent = list(range(len(nodes)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    want = list(range(len(nodes)))
+    for i, j in itertools.combinations(range(len(nodes)), 2):
+        z = nodes[i] ^ nodes[j]
+        if z.bit_count() <= 29 and min((z >> s & 0xFFFFFFFF).bit_count() for s in range(0, 192, 32)) <= 2:
+            want = [want[i] if c == want[j] else c for c in want]
+    for a, b in rows(simhash.links(frame, 29, 3).distinct()):
+        parent[find(index[a])] = find(index[b])
+    found = [find(i) for i in range(len(nodes))]
+    assert [[x == y for y in found] for x in found] == [[x == y for y in want] for x in want]
+
+
 def test_simhash_classes(awkward, nothing, small):
     found = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(awkward).collect()}
     assert {c for (i, fp), c in found.items() if fp == 0} == {3} and found[2, next(fp for i, fp in found if i == 2)] == 1
