@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,10 +38,13 @@ REMEMBERED = 400_000
 
 _CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 _TOKEN = re.compile(r"\S+")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ _.\-]+\S){2,}(?!\S)")
 _PLAIN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_DISGUISE = re.compile(r"[^\W\d_][0-9@$!|+(€£.*_\-]+[^\W\d_]|[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$!|+(€£]")
+_REPEATED = re.compile(r"([^\W\d_])\1")
+_INSIDE = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]")
+_LOOKALIKE = re.compile(r"[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$!|+(€£]")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_LETTER = re.compile(r"[^\W_]|[@$!|+(€£]")
+_ADJACENT = re.compile(r"(?:[^\W_]|[@$!|+(€£]){2}")
 
 
 def _lookup() -> np.ndarray:
@@ -89,11 +93,22 @@ def decode(token: str, costs: list) -> str:
     """The likeliest word behind a disguised token: a Viterbi search of its character lattice.
 
     Each character stands for itself, for a letter it looks like, or for nothing (put in,
-    or a repeated letter); ``costs`` is the language model as nested lists.
+    or a repeated letter); a space, as between letters written apart, for a word boundary
+    or for nothing. ``costs`` is the language model as nested lists. Words found are
+    joined by spaces.
     """
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for o in token.lower():
+        if o == " ":
+            bounds = dict(states)
+            for (a, b), (cost, path) in states.items():
+                if b:
+                    now = cost + costs[a][b][0]
+                    if (b, 0) not in bounds or now < bounds[b, 0][0]:
+                        bounds[b, 0] = (now, (0, path))
+            states = bounds
+            continue
         own = _CODE.get(o)
         options = [(own, 0.0)] if own else []
         options += [(_CODE[x], SWAPPED) for x in LEET.get(o, "")]
@@ -113,17 +128,25 @@ def decode(token: str, costs: list) -> str:
     _, path = min(((cost + costs[a][b][0], path) for (a, b), (cost, path) in states.items()), key=lambda x: x[0])
     letters = []
     while path:
-        letters.append(ALPHABET[path[0] - 1])
+        letters.append(ALPHABET[path[0] - 1] if path[0] else " ")
         path = path[1]
     return "".join(reversed(letters))
 
 
 def words_of(token: str, costs: list) -> set[str]:
-    """The words that a token holds: its runs of letters and, where it looks disguised, its restored form."""
+    """The words that a token holds: its runs of letters and, where it looks disguised, its restored form.
+
+    Any letter repeated, anything but a letter between letters, and a lookalike beside a
+    letter may be a disguise. Signs at the edges may be letters or punctuation: both
+    readings count. A token with spaces is a run of letters written apart.
+    """
     token = token.lower()
+    if " " in token:
+        return set(decode(token, costs).split())
     found = set(_PLAIN.findall(token))
-    if _TRIPLE.search(token) or _DISGUISE.search(token):
-        found.add(decode(token, costs))
+    for form in {token, _EDGES.sub("", token)}:
+        if _REPEATED.search(form) or _INSIDE.search(form) or _LOOKALIKE.search(form):
+            found.add(decode(form, costs))
     return found
 
 
@@ -133,10 +156,41 @@ def features_of(token: str, costs: list) -> tuple[str, ...]:
     return tuple({*(f"={w}" for w in words), *(w[:k] for w in words for k in (4, 5, 6) if len(w) >= k)})
 
 
+@lru_cache(1 << 16)
+def _apart(token: str) -> str | None:
+    """The letters and lookalikes of a token in which no two stand side by side; None for other tokens."""
+    core = _EDGES.sub("", token) or token
+    return None if _ADJACENT.search(core) else "".join(_LETTER.findall(core))
+
+
 def tokens_of(text: str) -> Iterator[str]:
-    """The distinct tokens of a text, with letters written apart joined to one token more."""
-    spaced = (re.sub(r"[ _.\-]+", "", m) for m in _SPACED.findall(text)) if _SPACED.search(text) else ()
-    return chain(set(_TOKEN.findall(text)), spaced)
+    """The distinct tokens of a text, and more for letters written apart.
+
+    Such a run gives its letters joined, the same without the first of them (which may
+    be a word of its own, as in ``a m o r o n``), and the letters with spaces between
+    them, whose word boundaries :func:`decode` finds.
+    """
+    tokens = _TOKEN.findall(text)
+    distinct = set(tokens)
+    apart = {t: letters for t in distinct if (letters := _apart(t)) is not None}
+    if not apart:
+        return iter(distinct)
+    more, run = set(), []
+
+    def end():
+        letters = "".join(run)
+        if len(letters) >= 3:
+            more.update((letters, letters[1:], " ".join(letters)))
+        run.clear()
+
+    for t in tokens:
+        letters = apart.get(t)
+        if letters is not None:
+            run.append(letters)
+        elif run:
+            end()
+    end()
+    return chain(distinct, more)
 
 
 class _Remembered(dict):
@@ -166,9 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc
     Trains on at most ``TRAINING_ROWS`` labelled rows that :func:`held_out` leaves, so
     that the broadcast of their ids is bounded; only their texts reach Python. A first
     pass counts features of toxic documents, a second the clean documents that have the
-    features left. Then each toxic document credits its likeliest features alone, twice;
-    features that explain fewer than 3 documents, or one in 500 of the toxic ones, go, so
-    that words which merely stand beside an insult (or in many copies) carry no weight.
+    features left. Then each toxic document credits its likeliest features alone, twice; a
+    feature stays if the documents that credit it still make the label likelier than not
+    against the clean ones (smoothed as the probabilities are), so that words which
+    merely stand beside an insult carry no weight. How many documents are toxic plays no
+    part, so that a rare insult counts alike in a sample of any size.
     """
     spark = docs.sparkSession
     sample = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col)))
@@ -203,20 +259,26 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc
         parts = part.select("_text").mapInPandas(counter(known, best), "feature string, n long")
         return parts.groupBy("feature").agg(F.sum("n").alias("n"))
 
-    toxic = counts(rows.where("_toxic = 1"), None).where("n >= 4").orderBy(F.desc("n"), "feature").limit(MODEL_FEATURES).toPandas()
+    n_toxic, n_clean = (rows.where(F.col("_toxic") == t).count() for t in (1, 0))
+    prior = (n_toxic + 1) / (n_toxic + n_clean + 2)
+
+    def probability(n: int, clean: int) -> float:
+        return float((n + 4 * prior) / (n + clean + 4))
+
+    # features too rare to be likelier than not, even in no clean document, need no count there
+    toxic = counts(rows.where("_toxic = 1"), None).where((F.col("n") + 4 * prior) / (F.col("n") + 4) >= 0.5)
+    toxic = toxic.where("feature <> ''").orderBy(F.desc("n"), "feature").limit(MODEL_FEATURES).toPandas()
     toxic = dict(zip(toxic["feature"], toxic["n"]))
-    n_toxic = toxic.pop("", 0)
     clean = counts(rows.where("_toxic = 0"), frozenset(toxic)).toPandas() if toxic else pd.DataFrame({"feature": [""], "n": [0]})
     clean = dict(zip(clean["feature"], clean["n"]))
-    prior = (n_toxic + 1) / (n_toxic + clean.get("", 0) + 2)
-    weights = {f: float((n + 4 * prior) / (n + clean.get(f, 0) + 4)) for f, n in toxic.items()}
+    weights = {f: probability(n, clean.get(f, 0)) for f, n in toxic.items()}
     weights = {f: p for f, p in weights.items() if p >= 0.5}
     for _ in range(2):
         if not weights:
             break
         credit = counts(rows.where("_toxic = 1"), weights, best=True).toPandas()
         credit = dict(zip(credit["feature"], credit["n"]))
-        weights = {f: p for f, p in weights.items() if credit.get(f, 0) >= max(3, n_toxic / 500)}
+        weights = {f: p for f, p in weights.items() if probability(credit.get(f, 0), clean.get(f, 0)) >= 0.5}
     return {"": float(prior)} | weights
 
 

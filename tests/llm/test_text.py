@@ -157,6 +157,25 @@ def test_spaced_letters_are_joined():
     assert "idiot" in set(toxicity.tokens_of("you i d i o t there")) and "i.d.i.o.t" in set(toxicity.tokens_of("i.d.i.o.t"))
 
 
+@pytest.mark.parametrize("disguised, plain", [("iddioot", "idiot"), ("stuupiid", "stupid"), ("i/d/i/o/t", "idiot"), ("i~d~i~o~t", "idiot"), ("l00ser!", "loser")])
+def test_doubled_letters_and_other_separators_are_restored(model, disguised, plain):
+    assert any(w.startswith(plain) for w in toxicity.words_of(disguised, model.tolist()))
+
+
+@pytest.mark.parametrize("text, plain", [("such a m o r o n here", "moron"), ("you d u m b!", "dumb"), ("'d u m b'", "dumb"), ("i - d - i - o - t.", "idiot"), ("a." + "." * 60 + "bb", "bb")])
+def test_letters_written_apart_are_joined_at_word_boundaries(model, text, plain):
+    assert any(plain in toxicity.words_of(t, model.tolist()) for t in toxicity.tokens_of(text))
+
+
+def test_rare_insults_count_beside_many_toxic_documents(spark):
+    """Some 6 documents of 4,000 toxic ones are fewer than one in 500."""
+    texts = [f"you are a {'numbskull' if i % 800 == 0 else 'moron'} n{i}" for i in range(5000)] + [f"a fine day with {i} birds" for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.select("doc_id", (docs.doc_id < 5000).cast("int").alias("toxic"))
+    weights = toxicity.train(docs, labels, toxicity.language_model(toxicity.trigram_counts(docs)))
+    assert "=numbskull" in weights and "=moron" in weights and "=birds" not in weights
+
+
 def test_toxicity_edge_cases(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 0), (None, 1), (2, None), (6, 0)], "doc_id long, toxic int")
     found = toxicity.toxicity(awkward, labels).collect()
