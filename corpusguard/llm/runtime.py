@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -35,6 +36,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as compressed Parquet to the shared folder and read again, its lineage cut.
+
+    Readers of some columns or rows read only these. The file system deletes the table
+    when the session's JVM ends.
+    """
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}")
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(str(path))
+    return df.sparkSession.read.schema(df.schema).parquet(str(path))
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.runtime import map_texts, text_or_empty
+from corpusguard.llm.runtime import map_texts, stored, text_or_empty
 
 #: Letters of the language model; code 0 is a word boundary, and so is every other character.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
@@ -29,20 +29,24 @@ LEET = {
 SWAPPED, INSERTED, SEPARATED, REPEATED = 1.0, 6.0, 0.5, 0.7
 #: Training uses at most so many labelled rows, those with the smallest hashes of their ids.
 TRAINING_ROWS = 50_000
-#: The model keeps at most so many features, those in most toxic training documents.
-MODEL_FEATURES = 200_000
+#: Features that one scan of the clean training documents counts; more features take more scans.
+COUNTED_FEATURES = 200_000
 #: A toxic document credits the features whose probability is at least this share of its best one.
 NEARLY_BEST = 0.98
 #: Tokens remembered by a task before it starts afresh.
 REMEMBERED = 400_000
 
 _CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
-_TOKEN = re.compile(r"\S+")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _REPEATED = re.compile(r"([^\W\d_])\1")
 _INSIDE = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]")
 _LOOKALIKE = re.compile(r"[0-9@$!|+(€£][^\W\d_]|[^\W\d_][0-9@$!|+(€£]")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_SIGNS = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
+_LETTERS = re.compile(f"[{ALPHABET}]+")
+#: Signs that stand for no letter.
+_PUNCTUATION = ".,;:?\"')-"
+_RUN = re.compile(r"(.)\1+")
 _LETTER = re.compile(r"[^\W_]|[@$!|+(€£]")
 _ADJACENT = re.compile(r"(?:[^\W_]|[@$!|+(€£]){2}")
 
@@ -133,27 +137,62 @@ def decode(token: str, costs: list) -> str:
     return "".join(reversed(letters))
 
 
-def words_of(token: str, costs: list) -> set[str]:
-    """The words that a token holds: its runs of letters and, where it looks disguised, its restored form.
+def _squeezed(word: str) -> str:
+    """The word with each run of one letter as a single one."""
+    return _RUN.sub(r"\1", word)
+
+
+class Wanted:
+    """Features looked for, and a test that spares decoding tokens which cannot yield one.
+
+    A token of letters alone has one letter of each run left in all its readings, so that
+    squeezing a reading or the token gives the same: a feature can only come out of it
+    where the squeezed feature begins (or is) the squeezed token.
+    """
+
+    def __init__(self, features):
+        self.features = features
+        self.words = {_squeezed(f[1:]) for f in features if f[:1] == "="}
+        self.beginnings = {_squeezed(f) for f in features if f[:1] != "="}
+
+    def possible(self, form: str) -> bool:
+        if not _LETTERS.fullmatch(form):
+            return True
+        short = _squeezed(form)
+        return short in self.words or any(short[:k] in self.beginnings for k in range(1, 7))
+
+
+def words_of(token: str, costs: list, wanted: Wanted | None = None) -> set[str]:
+    """The words that a token in lower case holds: its runs of letters and, where it looks disguised, its restored form.
 
     Any letter repeated, anything but a letter between letters, and a lookalike beside a
     letter may be a disguise. Signs at the edges may be letters or punctuation: both
-    readings count. A token with spaces is a run of letters written apart.
+    readings count. A token with spaces is a run of letters written apart. With
+    ``wanted``, restored forms that hold none of its features may be left out.
     """
-    token = token.lower()
     if " " in token:
         return set(decode(token, costs).split())
-    found = set(_PLAIN.findall(token))
-    for form in {token, _EDGES.sub("", token)}:
-        if _REPEATED.search(form) or _INSIDE.search(form) or _LOOKALIKE.search(form):
+    if token.isalpha():
+        found, forms = {token}, (token,)
+    else:
+        found, forms = set(_PLAIN.findall(token)), {_SIGNS.sub("", token), _EDGES.sub("", token)}
+    for form in forms:
+        if (_REPEATED.search(form) or _INSIDE.search(form) or _LOOKALIKE.search(form)) and (wanted is None or wanted.possible(form)):
             found.add(decode(form, costs))
     return found
 
 
-def features_of(token: str, costs: list) -> tuple[str, ...]:
-    """The words of a token and their beginnings of 4 to 6 letters (words of three letters and more)."""
-    words = [w for w in words_of(token, costs) if len(w) >= 3]
-    return tuple({*(f"={w}" for w in words), *(w[:k] for w in words for k in (4, 5, 6) if len(w) >= k)})
+def features_of(token: str, costs: list, wanted: Wanted | None = None) -> list[str]:
+    """The words of a token and their beginnings of 4 to 6 letters (words of three letters and more), or those wanted."""
+    core = token.strip(_PUNCTUATION)
+    words = (core,) if core.isalpha() and not _REPEATED.search(core) else words_of(token, costs, wanted)
+    found = set()
+    for w in words:
+        if len(w) >= 4:
+            found.update(("=" + w, w[:4], w[:5], w[:6]))
+        elif len(w) == 3:
+            found.add("=" + w)
+    return list(found if wanted is None else found.intersection(wanted.features))
 
 
 @lru_cache(1 << 16)
@@ -164,15 +203,15 @@ def _apart(token: str) -> str | None:
 
 
 def tokens_of(text: str) -> Iterator[str]:
-    """The distinct tokens of a text, and more for letters written apart.
+    """The distinct tokens of a text in lower case, and more for letters written apart.
 
     Such a run gives its letters joined, the same without the first of them (which may
     be a word of its own, as in ``a m o r o n``), and the letters with spaces between
     them, whose word boundaries :func:`decode` finds.
     """
-    tokens = _TOKEN.findall(text)
+    tokens = text.lower().split()
     distinct = set(tokens)
-    apart = {t: letters for t in distinct if (letters := _apart(t)) is not None}
+    apart = {t: letters for t in distinct if (len(t) == 1 or not t[:2].isalpha()) and (letters := _apart(t)) is not None}
     if not apart:
         return iter(distinct)
     more, run = set(), []
@@ -184,9 +223,8 @@ def tokens_of(text: str) -> Iterator[str]:
         run.clear()
 
     for t in tokens:
-        letters = apart.get(t)
-        if letters is not None:
-            run.append(letters)
+        if t in apart:
+            run.append(apart[t])
         elif run:
             end()
     end()
@@ -218,28 +256,30 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc
     """Probability of the toxic label for each feature that speaks for it.
 
     Trains on at most ``TRAINING_ROWS`` labelled rows that :func:`held_out` leaves, so
-    that the broadcast of their ids is bounded; only their texts reach Python. A first
-    pass counts features of toxic documents, a second the clean documents that have the
-    features left. Then each toxic document credits its likeliest features alone, twice; a
-    feature stays if the documents that credit it still make the label likelier than not
-    against the clean ones (smoothed as the probabilities are), so that words which
-    merely stand beside an insult carry no weight. How many documents are toxic plays no
-    part, so that a rare insult counts alike in a sample of any size.
+    that the broadcast of their ids, and all that is gathered of their texts, is bounded;
+    their texts are read once and stay in the shared folder. A first pass counts features
+    of toxic documents, further ones the clean documents that have the features left, in
+    blocks of ``COUNTED_FEATURES``. Then each toxic document credits its likeliest
+    features alone, twice; a feature stays if the documents that credit it still make the
+    label likelier than not against the clean ones (smoothed as the probabilities are),
+    so that words which merely stand beside an insult carry no weight. How many documents
+    are toxic plays no part, so that a rare insult counts alike in a sample of any size.
     """
     spark = docs.sparkSession
     sample = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col)))
     sample = sample.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(TRAINING_ROWS)
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_toxic", "_text")
+    rows = stored(rows)
     model = spark.sparkContext.broadcast(lm)
 
     def counter(known, best: bool):
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            costs, total = model.value.tolist(), Counter()
-            features = _Remembered(lambda t: tuple(f for f in features_of(t, costs) if known is None or f in known))
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            costs, total, wanted = model.value.tolist(), Counter(), None if known is None else Wanted(known)
+            features = _Remembered(lambda t: features_of(t, costs, wanted))
             documents = 0
             for batch in batches:
-                for text in batch["_text"]:
+                for text in batch.column(0).to_pylist():
                     documents += 1
                     if documents % 1000 == 0:
                         features.trim()
@@ -249,35 +289,36 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc
                         found = [f for f in found if known[f] >= least]
                     total.update(found)
                 if len(total) > 2_000_000:
-                    yield pd.DataFrame({"feature": list(total), "n": list(total.values())})
+                    yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.int64())], names=["feature", "n"])
                     total.clear()
-            yield pd.DataFrame({"feature": ["", *total], "n": [documents, *total.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.int64())], names=["feature", "n"])
 
         return count
 
-    def counts(part: DataFrame, known, best: bool = False) -> DataFrame:
-        parts = part.select("_text").mapInPandas(counter(known, best), "feature string, n long")
+    def counts(toxic: int, known, best: bool = False) -> DataFrame:
+        parts = rows.where(F.col("_toxic") == toxic).select("_text").mapInArrow(counter(known, best), "feature string, n long")
         return parts.groupBy("feature").agg(F.sum("n").alias("n"))
 
-    n_toxic, n_clean = (rows.where(F.col("_toxic") == t).count() for t in (1, 0))
-    prior = (n_toxic + 1) / (n_toxic + n_clean + 2)
+    def gathered(counted: DataFrame) -> dict[str, int]:
+        found = counted.toPandas()
+        return dict(zip(found["feature"], found["n"].tolist()))
+
+    n_toxic, n_all = (x or 0 for x in rows.agg(F.sum("_toxic"), F.count(F.lit(1))).first())
+    prior = (n_toxic + 1) / (n_all + 2)
 
     def probability(n: int, clean: int) -> float:
         return float((n + 4 * prior) / (n + clean + 4))
 
     # features too rare to be likelier than not, even in no clean document, need no count there
-    toxic = counts(rows.where("_toxic = 1"), None).where((F.col("n") + 4 * prior) / (F.col("n") + 4) >= 0.5)
-    toxic = toxic.where("feature <> ''").orderBy(F.desc("n"), "feature").limit(MODEL_FEATURES).toPandas()
-    toxic = dict(zip(toxic["feature"], toxic["n"]))
-    clean = counts(rows.where("_toxic = 0"), frozenset(toxic)).toPandas() if toxic else pd.DataFrame({"feature": [""], "n": [0]})
-    clean = dict(zip(clean["feature"], clean["n"]))
-    weights = {f: probability(n, clean.get(f, 0)) for f, n in toxic.items()}
-    weights = {f: p for f, p in weights.items() if p >= 0.5}
+    toxic = gathered(counts(1, None).where((F.col("n") + 4 * prior) / (F.col("n") + 4) >= 0.5))
+    names, clean = sorted(toxic), {}
+    for at in range(0, len(names), COUNTED_FEATURES):
+        clean |= gathered(counts(0, frozenset(names[at : at + COUNTED_FEATURES])))
+    weights = {f: p for f, n in toxic.items() if (p := probability(n, clean.get(f, 0))) >= 0.5}
     for _ in range(2):
         if not weights:
             break
-        credit = counts(rows.where("_toxic = 1"), weights, best=True).toPandas()
-        credit = dict(zip(credit["feature"], credit["n"]))
+        credit = gathered(counts(1, weights, best=True))
         weights = {f: p for f, p in weights.items() if probability(credit.get(f, 0), clean.get(f, 0)) >= 0.5}
     return {"": float(prior)} | weights
 
@@ -293,7 +334,8 @@ def score(docs: DataFrame, lm: np.ndarray, weights: dict[str, float], id_col: st
 
     def start():
         costs, known = shared.value[0].tolist(), shared.value[1]
-        best = _Remembered(lambda t: max((known.get(f, 0.0) for f in features_of(t, costs)), default=0.0))
+        wanted = Wanted(known)
+        best = _Remembered(lambda t: max((known[f] for f in features_of(t, costs, wanted)), default=0.0))
 
         def compute(texts: list[str]) -> list[list[float]]:
             best.trim()
@@ -337,7 +379,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_co
     @F.pandas_udf("boolean")
     def rejected(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         costs, known = shared.value[0].tolist(), shared.value[1]
-        bad = _Remembered(lambda t: any(f in known for f in features_of(t, costs)))
+        wanted = Wanted(known)
+        bad = _Remembered(lambda t: bool(features_of(t, costs, wanted)))
         for batch in texts:
             flags: list[bool] = []
             for at in range(0, len(batch), 1000):
