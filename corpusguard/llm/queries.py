@@ -51,7 +51,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_hash_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    return line_hash_dedup.repeated_units(table(spark, sf_dir, "documents")).drop("tag")
 
 
 def op6_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,21 +98,29 @@ ORACLE_SQL = {
     """,
     "op5_line_hash_dedup": r"""
         WITH s AS (
-            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit
-            FROM documents
+            SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS number
+            FROM (
+                SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D.!?](?:[^\x20\x09-\x0D.!?]|[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D.!?\p{Lu}])*[.!?]*|[\x20\x09-\x0D.!?]+') AS pieces
+                FROM documents
+            )
         ), p AS (
-            SELECT doc_id, unit, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-                lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS normal
+            SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+                trim(lower(regexp_replace(piece, '[\x20\x09-\x0D]+', ' ', 'g'))) AS normal
             FROM s
         ), u AS (
-            SELECT doc_id, unit, start, start + length(line) AS "end", len(string_split(normal, ' ')) AS n_words, normal FROM p
-            WHERE normal <> '' AND len(string_split(normal, ' ')) >= 25
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY number) - 1 AS unit, start, start + length(piece) AS "end",
+                len(string_split(normal, ' ')) AS n_words, normal
+            FROM p WHERE regexp_matches(piece, '[^\x20\x09-\x0D.!?]')
+        ), f AS (
+            SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(unit) OVER w AS keep_unit FROM u WINDOW w AS (PARTITION BY normal ORDER BY doc_id, unit)
+        ), c AS (
+            SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS chain FROM f WHERE doc_id <> keep_id OR unit <> keep_unit
         ), r AS (
-            SELECT *, first_value(doc_id) OVER w AS keep_id, first_value(unit) OVER w AS keep_unit FROM u
-            WINDOW w AS (PARTITION BY normal ORDER BY doc_id, unit)
+            SELECT *, min(unit) OVER (PARTITION BY doc_id, chain) AS run, sum(n_words) OVER (PARTITION BY doc_id, chain) AS run_words FROM c
         )
-        SELECT doc_id, unit::INTEGER AS unit, start::INTEGER AS start, "end"::INTEGER AS "end", n_words::INTEGER AS n_words, keep_id, keep_unit::INTEGER AS keep_unit
-        FROM r WHERE doc_id <> keep_id OR unit <> keep_unit
+        SELECT doc_id, unit::INTEGER AS unit, start::INTEGER AS start, "end"::INTEGER AS "end", n_words::INTEGER AS n_words, run::INTEGER AS run,
+            run_words::BIGINT AS run_words, keep_id, keep_unit::INTEGER AS keep_unit
+        FROM r WHERE run_words >= 25
     """,
     "op6_line_run_dedup": r"""
         WITH s AS (

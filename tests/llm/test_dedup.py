@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -133,16 +134,64 @@ def test_fingerprint_is_the_majority():
 
 
 def test_line_hashes(awkward, nothing, spark):
-    found = rows(line_hash_dedup.repeated_units(awkward, min_words=3))
-    assert {(r[0], r[1], r[5], r[6]) for r in found} == {(2, 0, 1, 0), (2, 1, 1, 1), (None, 0, 1, 0), (None, 1, 1, 1)}
-    assert rows(line_hash_dedup.repeated_units(nothing)) == []
+    for unit in ("line", "sentence"):
+        found = line_hash_dedup.repeated_units(awkward, unit=unit, min_words=3)
+        assert {(r.doc_id, r.unit, r.keep_id, r.keep_unit) for r in found.collect()} == {(2, 0, 1, 0), (2, 1, 1, 1), (None, 0, 1, 0), (None, 1, 1, 1)}
+    assert rows(line_hash_dedup.repeated_units(nothing)) == [] and rows(line_hash_dedup.drop_repeated_units(nothing)) == []
     text = "é keep me now\nA b C d\nmore text to keep"
-    docs = spark.createDataFrame([(1, "a b c d"), (2, text), (3, None)], "doc_id long, text string")
-    cut = rows(line_hash_dedup.repeated_units(docs, min_words=4))
-    assert cut == [(2, 1, 14, 21, 4, 1, 0)] and text[14:21] == "A b C d"
-    assert sorted(rows(line_hash_dedup.drop_repeated_units(docs, min_words=4))) == [(1, "a b c d"), (2, "é keep me now\nmore text to keep"), (3, None)]
+    docs = spark.createDataFrame([(1, "a b c d"), (2, text), (3, None), (None, "A b c d."), (None, "a b C d")], "doc_id long, text string")
+    cut = line_hash_dedup.repeated_units(docs, unit="line", min_words=4).where("doc_id = 2").drop("tag")
+    assert rows(cut) == [(2, 1, 14, 21, 4, 1, 4, 1, 0)] and text[14:21] == "A b C d"
+    left = sorted(rows(line_hash_dedup.drop_repeated_units(docs, unit="line", min_words=4)), key=repr)
+    assert left == [(1, "a b c d"), (2, "é keep me now\nmore text to keep"), (3, None), (None, ""), (None, "A b c d.")]
     paragraphs = spark.createDataFrame([(1, "a b\nc\n\nx"), (2, "y\n \na b\nc")], "doc_id long, text string")
-    assert [r[:4] for r in rows(line_hash_dedup.repeated_units(paragraphs, unit="paragraph", min_words=2))] == [(2, 1, 4, 9)]
+    assert [r[0:1] + r[2:5] for r in rows(line_hash_dedup.repeated_units(paragraphs, unit="paragraph", min_words=2))] == [(2, 1, 4, 9)]
+
+
+def test_repeated_units_keep_clashing_columns(awkward, spark):
+    names = "id tag cut id_ tag_ cut_ _cut _cut_id start end run".split()
+    docs = spark.createDataFrame([(1, "a b c d e", *"uvwxyz12345"), (2, "x. A b c d e", *"uvwxyz12345")], ["doc_id", "text", *names])
+    kept = line_hash_dedup.drop_repeated_units(docs, unit="line", min_words=3)
+    assert kept.columns == docs.columns and rows(kept.orderBy("doc_id")) == rows(docs.orderBy("doc_id"))
+    kept = line_hash_dedup.drop_repeated_units(docs, min_words=3)
+    assert [tuple(r)[1:] for r in rows(kept.orderBy("doc_id"))] == [("a b c d e", *"uvwxyz12345"), ("x. ", *"uvwxyz12345")]
+    assert line_hash_dedup.drop_repeated_units(awkward).columns == awkward.columns
+
+
+def test_passages_that_begin_within_lines_are_found(spark):
+    """Runs of sentences by plain loops, over passages put in at any word."""
+    rng = random.Random(7)
+
+    def prose(n):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+        for i in range(0, n, 7):
+            words[i] = words[i].capitalize()
+            words[i - 1] += "."
+        return words[:-1] + [words[-1].rstrip(".") + "."]
+
+    passages, docs = [prose(60) for _ in range(4)], []
+    for i in range(40):
+        words = prose(80)
+        if i % 2:
+            at = rng.randrange(80)
+            words[at:at] = [" ".join(passages[i % 4])]
+        docs.append((i, "".join(w + rng.choice([" ", " ", "  ", "\n"]) for w in words)))
+    seen, want = {}, set()
+    for i, text in docs:
+        pieces = [(m.start(), " ".join(m[0].lower().split())) for m in re.finditer(r"[^\s.](?:[^\s.]|[ ]+[^\sA-Z.])*\.*", text)]
+        run = []
+        for n, (start, piece) in enumerate([*pieces, (len(text), None)]):
+            if piece is not None and piece in seen:
+                run.append((i, start, *seen[piece]))
+                continue
+            if sum(pieces[k][1].count(" ") + 1 for k in range(n - len(run), n)) >= 25:
+                want |= set(run)
+            run = []
+            if piece is not None:
+                seen[piece] = (i, n)
+    found = line_hash_dedup.repeated_units(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {(r.doc_id, r.start, r.keep_id, r.keep_unit) for r in found.collect()} == want
+    assert {i for i, *_ in want} == {i for i in range(4, 40) if i % 2}
 
 
 def brute_runs(docs, n):
