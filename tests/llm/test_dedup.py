@@ -85,8 +85,8 @@ def test_simhash_lanes_are_verified_in_buckets_of_every_size(spark, monkeypatch,
     base = rng.getrandbits(192)
     nodes += [base, base ^ sum(1 << b for b in range(70, 130))]  # equal in the first lane, 60 bits apart
     lanes = [tuple(simhash._signed(x >> shift & (1 << 64) - 1) for shift in (0, 64, 128)) for x in nodes]
-    frame = spark.createDataFrame(lanes, "fp long, fp1 long, fp2 long")
-    named = frame.select(simhash.node_name(3).alias("node"), "*")
+    frame = spark.createDataFrame([(*x, [sum(i << 5 * i for i in range(8))] * 6) for x in lanes], "fp long, fp1 long, fp2 long, uncertain array<long>")
+    named = frame.select(simhash.node_name(3).alias("node"), "fp", "fp1", "fp2")
     index = {r.node: lanes.index((r.fp, r.fp1, r.fp2)) for r in named.collect()}
     assert len(index) == len(nodes)
     parent = list(range(len(nodes)))
@@ -99,7 +99,8 @@ def test_simhash_lanes_are_verified_in_buckets_of_every_size(spark, monkeypatch,
     want = list(range(len(nodes)))
     for i, j in itertools.combinations(range(len(nodes)), 2):
         z = nodes[i] ^ nodes[j]
-        if z.bit_count() <= 29 and min((z >> s & 0xFFFFFFFF).bit_count() for s in range(0, 192, 32)) <= 2:
+        segments = [z >> s & 0xFFFFFFFF for s in range(0, 192, 32)]
+        if z.bit_count() <= 29 and any(x < 256 and x.bit_count() <= 4 for x in segments):
             want = [want[i] if c == want[j] else c for c in want]
     for a, b in rows(simhash.links(frame, 29, 3).distinct()):
         parent[find(index[a])] = find(index[b])
@@ -121,6 +122,37 @@ def test_simhash_classes(awkward, nothing, small):
     assert simhash.drop_near_duplicates(awkward).columns == awkward.columns
 
 
+def test_uncertain_bits_have_the_narrowest_majorities():
+    import xxhash
+
+    words = [f"w{i}" for i in range(40)]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(36)]
+    margins = [abs(2 * sum(h >> b & 1 for h in hashes) - 36) for b in range(64)]
+    _, (low, high) = simhash.fingerprint(" ".join(words).encode(), 5)
+    for packed, part in ((low, margins[:32]), (high, margins[32:])):
+        bits = [packed >> 5 * i & 31 for i in range(8)]
+        assert len(set(bits)) == 8 and sorted(part[b] for b in bits) == sorted(part)[:8]
+
+
+def test_near_copies_of_similarity_above_the_limit_are_linked(spark):
+    """Edited copies against their exact five-word similarity."""
+    rng = random.Random(11)
+    docs, similar = [], {}
+    for i in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 600))]
+        copy = list(words)
+        for _ in range(max(1, len(words) * rng.randint(4, 40) // 1000)):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(5000)}"
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        a, b = ({tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (words, copy))
+        similar[2 * i] = len(a & b) / len(a | b)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=5, radius=44, lanes=4).collect()}
+    assert all(found[i + 1] in (i, i + 1) for i in similar)
+    near = [i for i, s in similar.items() if s >= 0.8]
+    assert len(near) > 30 and sum(found[i + 1] == i for i in near) / len(near) >= 0.9
+    assert not any(found[i + 1] == i for i, s in similar.items() if s < 0.5)
+
+
 def test_fingerprint_is_the_majority():
     import xxhash
 
@@ -128,9 +160,9 @@ def test_fingerprint_is_the_majority():
     words = text.lower().split()
     hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]), 42) for i in range(len(words) - 3)]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    assert simhash.fingerprint(text.encode(), 4) == [want]
-    assert simhash.fingerprint(b"One two", 4) == [xxhash.xxh64_intdigest("one two", 42)]
-    assert simhash.fingerprint(b" \n", 4, 2) == [0, 0]
+    assert simhash.fingerprint(text.encode(), 4)[0] == [want]
+    assert simhash.fingerprint(b"One two", 4)[0] == [xxhash.xxh64_intdigest("one two", 42)]
+    assert simhash.fingerprint(b" \n", 4, 2)[0] == [0, 0]
 
 
 def test_line_hashes(awkward, nothing, spark):

@@ -28,7 +28,14 @@ def test_stages_keep_the_columns_and_only_remove(spark):
 
 
 def one_of_each_class(docs):
-    fps = [simhash.fingerprint(t.encode(), 5, 3) for _, t in docs]
+    fps = [simhash.fingerprint(t.encode(), 5, 4) for _, t in docs]
+
+    def keys(lanes, uncertain):
+        for s, packed in enumerate(uncertain):
+            bits = [1 << (packed >> 5 * i & 31) for i in range(8)]
+            yield {(lanes[s // 2] >> 32 * (s % 2) & 0xFFFFFFFF) ^ sum(m) for n in range(3) for m in itertools.combinations(bits, n)}
+
+    tables = [list(keys(*f)) for f in fps]
     parent = list(range(len(docs)))
 
     def find(x):
@@ -37,9 +44,7 @@ def one_of_each_class(docs):
         return x
 
     for i, j in itertools.combinations(range(len(docs)), 2):
-        z = [a ^ b for a, b in zip(fps[i], fps[j])]
-        segments = [(x & 0xFFFFFFFF).bit_count() for x in z] + [(x >> 32).bit_count() for x in z]
-        if min(segments) <= 2 and sum(x.bit_count() for x in z) <= 29:
+        if sum((a ^ b).bit_count() for a, b in zip(fps[i][0], fps[j][0])) <= 44 and any(a & b for a, b in zip(tables[i], tables[j])):
             parent[max(find(i), find(j))] = min(find(i), find(j))
     return [d for i, d in enumerate(docs) if find(i) == i]
 
