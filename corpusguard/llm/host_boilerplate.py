@@ -1,4 +1,4 @@
-"""Main text of web pages: markup first, then a suffix array over the token streams of each host."""
+"""Main text of web pages: markup, and what the pages of a host repeat by a suffix array over their streams."""
 
 from __future__ import annotations
 
@@ -6,16 +6,18 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusguard.llm.runtime import text_or_empty
+from corpusguard.llm.runtime import broadcast_if_small, stored, text_or_empty
 from corpusguard.llm.suffix_array import repeated_prefixes
 
 #: A run of so many tokens on two pages of a host, or more, is boilerplate.
 MIN_TOKENS = 8
+#: A block of articles is a template's if it stands in so many different stories of its host, and in half of them.
+MIN_STORIES = 5
 
 #: Zones of a block: boilerplate by its markup, outside any container, in ``main``, in an article.
 CHROME, OPEN, MAIN, ARTICLE = range(4)
@@ -29,10 +31,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME_TAGS = frozenset("head nav header footer aside form dialog menu".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 CHROME_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar "
-    "header footer masthead comment comments disqus replies cookie cookies consent notice notices popup modal newsletter subscribe signup login search share "
-    "sharing social related recommended pagination pager widget toolbar copyright".split()
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments "
+    "disqus replies cookie cookies consent popup modal newsletter subscribe signup login related recommended pagination pager".split()
 )
+#: Names that mean boilerplate outside articles, and inside them only where the host repeats the text.
+DOUBTFUL_NAMES = frozenset("header masthead banner notice notices promo promotion search share sharing social widget toolbar copyright".split())
 MAIN_NAMES = frozenset("article-body articlebody article-content post-content post-body entry-content main-content story-body".split())
 #: Elements whose content is no text of the page.
 SILENT = "script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|button|audio|video|title"
@@ -45,9 +48,7 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-def _zone(tag: str, rest: str, inside: int) -> int:
-    if inside == CHROME:
-        return CHROME
+def _names(rest: str) -> tuple[set[str], str]:
     names, role = set(), ""
     for key, *value in _NAMES.findall(rest) if "=" in rest else ():
         value = "".join(value).lower().split()
@@ -55,25 +56,37 @@ def _zone(tag: str, rest: str, inside: int) -> int:
             role = value[0] if value else ""
         else:
             names.update(value)
-    in_article_header = tag == "header" and inside >= MAIN
-    if tag in CHROME_TAGS and not in_article_header or role in CHROME_ROLES:
-        return CHROME
-    if tag not in ("html", "body") and (names & CHROME_NAMES or any(part in CHROME_NAMES for n in names for part in re.split(r"[-_]+", n)[:1])) and not names & MAIN_NAMES:
-        return CHROME
+    return names, role
+
+
+def _zone(tag: str, rest: str, inside: tuple[int, bool]) -> tuple[int, bool]:
+    """The zone of an element inside a zone, and whether its text is in doubt."""
+    zone, doubt = inside
+    if zone == CHROME:
+        return inside
+    names, role = _names(rest)
+    if tag in CHROME_TAGS and not (tag == "header" and zone >= MAIN) or role in CHROME_ROLES:
+        return CHROME, False
+    if tag not in ("html", "body") and not names & MAIN_NAMES:
+        known = names | {re.split(r"[-_]+", n)[0] for n in names}
+        if known & CHROME_NAMES:
+            return CHROME, False
+        if known & DOUBTFUL_NAMES:
+            return (zone, True) if zone >= MAIN else (CHROME, False)
     if tag == "article" or role == "article" or names & MAIN_NAMES:
-        return ARTICLE
-    return max(inside, MAIN) if tag == "main" or role == "main" else inside
+        return ARTICLE, doubt
+    return (max(zone, MAIN), doubt) if tag == "main" or role == "main" else inside
 
 
-def page_blocks(html: str) -> list[tuple[int, str]]:
-    """The blocks of a page in order: zone and text, references decoded, white space made single spaces."""
-    stack: list[tuple[str, int]] = [("", OPEN)]
-    blocks: list[tuple[int, str]] = []
+def page_blocks(html: str) -> list[tuple[int, bool, str]]:
+    """The blocks of a page in order: zone, whether in doubt, and text, references decoded, white space made single spaces."""
+    stack: list[tuple[str, tuple[int, bool]]] = [("", (OPEN, False))]
+    blocks: list[tuple[int, bool, str]] = []
     parts: list[str] = []
 
     def flush():
         if parts and (text := " ".join("".join(parts).split())):
-            blocks.append((stack[-1][1], text))
+            blocks.append((*stack[-1][1], text))
         parts.clear()
 
     for m in _TOKEN.finditer(html):
@@ -104,64 +117,122 @@ def page_blocks(html: str) -> list[tuple[int, str]]:
     return blocks
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("zone", "integer").add("text", "string")))
-def _blocks(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in pages:
-        yield batch.map(lambda html: [{"zone": z, "text": t} for z, t in page_blocks(html)])
+def _hash(host: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{host}\n{text.lower()}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-@F.pandas_udf(T.StringType())
-def _unique(blocks: pd.Series, best: pd.Series, covered: pd.Series) -> pd.Series:
-    """The text of a page's best zone; outside containers, only tokens that no repeated run covers."""
+def best_zone(blocks: list[tuple[int, bool, str]]) -> int:
+    return max((zone for zone, _, _ in blocks), default=OPEN) or OPEN
 
-    def assemble(found, zone, gone) -> str:
-        if zone >= MAIN:
-            return "\n\n".join(b["text"] for b in found if b["zone"] == zone)
-        gone, at, texts = set(gone if gone is not None else ()), 0, []
-        for b in found:
-            tokens = b["text"].split()
-            unique = [t for i, t in enumerate(tokens, at) if i not in gone]
+
+def page_streams(host: str, html: str) -> tuple[bool, list[int], list[int]]:
+    """Whether the stream decides on text, the ids of the tokens outside the article and in doubt, and of the article's blocks."""
+    blocks = page_blocks(html)
+    best = best_zone(blocks)
+    outside = [_hash(host, t) for zone, doubt, text in blocks if zone < MAIN or doubt for t in text.split()]
+    open_ = best < MAIN or any(doubt for _, doubt, _ in blocks)
+    return open_, outside, [_hash(host, text) for zone, doubt, text in blocks if zone == best >= MAIN and not doubt]
+
+
+def page_text(host: str, html: str, covered, templates) -> str:
+    """The page's text: the blocks of its best zone without what its host repeats.
+
+    Blocks in doubt, and all where the markup names no article, lose the ``covered``
+    tokens of the stream; blocks of the article go whole if they are ``templates``.
+    """
+    blocks = page_blocks(html)
+    best, covered, templates, at, texts = best_zone(blocks), set(covered or ()), set(templates or ()), 0, []
+    for zone, doubt, text in blocks:
+        if zone < MAIN or doubt:
+            tokens = text.split()
+            unique = [t for i, t in enumerate(tokens, at) if i not in covered]
             at += len(tokens)
             # a run that ends a few words into a block only touches it
-            kept = " ".join(unique if not unique or len(tokens) - len(unique) >= MIN_TOKENS else tokens)
-            if b["zone"] == OPEN and kept:
-                texts.append(kept)
-        return "\n\n".join(texts)
+            text = " ".join(unique if not unique or len(tokens) - len(unique) >= MIN_TOKENS else tokens)
+        elif templates and _hash(host, text) in templates:
+            continue
+        if zone == best and text:
+            texts.append(text)
+    return "\n\n".join(texts)
+
+
+def _host(url: Column) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
+
+
+def _streams(pages: DataFrame) -> DataFrame:
+    """``page, host, story, open, outside, blocks`` of ``page, host, html``: story is the id of the article's text."""
+    kinds = [pa.bool_(), *[pa.list_(pa.int64())] * 2]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [page_streams(h, t) for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            story = pa.array([xxhash.xxh64_intdigest(repr(x[2])) - (1 << 63) for x in found], pa.int64())
+            parts = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), story, *parts], names=["page", "host", "story", "open", "outside", "blocks"])
+
+    return pages.mapInArrow(compute, "page long, host string, story long, open boolean, outside array<long>, blocks array<long>")
 
-    return pd.Series([assemble(*x) for x in zip(blocks, best, covered)], dtype=object)
+
+def host_templates(streams: DataFrame) -> DataFrame:
+    """``host`` and ``templates``: ids of blocks that stand in at least ``MIN_STORIES`` different stories and half of all of their host.
+
+    A story on several pages counts once, so that copies of a page are no template.
+    """
+    stories = streams.where(F.size("blocks") > 0).groupBy("host", "story").agg(F.first("blocks").alias("blocks"))
+    of_host = stories.groupBy("host").agg(F.count(F.lit(1)).alias("stories"))
+    blocks = stories.select("host", F.explode(F.array_distinct("blocks")).alias("block")).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    found = blocks.where(F.col("n") >= MIN_STORIES).join(of_host, "host").where(F.col("n") * 2 >= F.col("stories"))
+    return found.groupBy("host").agg(F.collect_list("block").alias("templates"))  # at most twice the blocks of a page
+
+
+def covered_tokens(streams: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """``page`` and ``covered``: places in its stream that runs of ``min_tokens`` tokens shared by two pages of a host cover.
+
+    All pages are searched; those come back whose markup leaves something open.
+    """
+    tokens = streams.select("page", F.posexplode("outside").alias("at", "name"))
+    runs = repeated_prefixes(tokens, ["page"], F.col("page"), min_tokens, repeated=F.col("first") != F.col("final"))
+    runs = runs.join(streams.where("open").select("page").distinct(), "page", "left_semi")
+    covered = runs.select("page", F.explode(F.sequence("at", F.col("at") + (min_tokens - 1))).alias("at"))
+    return covered.groupBy("page").agg(F.collect_set("at").alias("covered"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``id_col``, ``url_col``, ``text`` (the main text, empty if none) and ``n_chars`` of every page.
 
     A page's blocks have zones by their markup. The token streams of what lies outside
-    its article (or ``main``) are the sequences of a suffix array for each host; runs of
-    ``min_tokens`` tokens and more that two distinct pages of the host share are covered.
-    Where a page names its article, the article is the text. Where its markup is silent,
+    its article (or ``main``), and of parts of it whose markup may mean boilerplate, are
+    the sequences of a suffix array for each host; runs of ``min_tokens`` tokens and more
+    that two distinct pages of the host share are covered. Where a page names its
+    article, the article is the text, without covered runs of the parts in doubt and
+    without blocks that half of the host's stories have. Where the markup is silent,
     blocks that are not boilerplate by markup lose their covered tokens, and the unique
-    runs that remain are the text. Articles are no part of the streams: a story on two
-    pages is a copy, not boilerplate. Hosts are never gathered: intervals are counted by
-    rank within the host, so that a host with a third of all pages is spread like the rest.
+    runs that remain are the text. Other text of articles is no part of the token
+    streams: a story on two pages is a copy, not boilerplate. Hosts are never gathered:
+    token ids hold their host, so that a host with a third of all pages is spread like
+    the rest. Pages are parsed twice, for the streams and for the text; they stay in
+    their tasks unless what is covered or the templates are more than a broadcast may hold.
 
     Defined cases: null html is empty; a null url is a host of its own; a null id keeps
     its row; rows that repeat an id get a row each, and rows with one id and one html
     count as one page; an empty table gives an empty result; other columns are ignored
     whatever their names.
     """
-    parsed = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), text_or_empty(html_col).alias("_html"))
-    parsed = parsed.select("_id", "_url", F.xxhash64("_id", "_html").alias("_key"), _blocks("_html").alias("_blocks"))
-    parsed = parsed.withColumn("_best", F.greatest(F.lit(OPEN), F.coalesce(F.array_max("_blocks.zone"), F.lit(OPEN))))
-    host = F.coalesce(F.lower(F.regexp_extract("_url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    outside = F.transform("_blocks", lambda b: F.when(b["zone"] < MAIN, F.split(b["text"], " ")).otherwise(F.array().cast("array<string>")))
-    # a token's id holds its host, so that only tokens of one host are equal; three numbers travel for each
-    stream = F.transform(F.flatten(outside), lambda t: F.xxhash64(host, F.lower(t)))
-    tokens = parsed.select(F.col("_key").alias("page"), F.posexplode(stream).alias("at", "name"))
-    runs = repeated_prefixes(tokens, ["page"], F.col("page"), min_tokens, repeated=F.col("first") != F.col("final"))
-    covered = runs.select("page", F.explode(F.sequence("at", F.col("at") + (min_tokens - 1))).alias("at"))
-    covered = covered.groupBy("page").agg(F.collect_set("at").alias("_covered"))
-    # only pages whose markup is silent meet the runs; the texts of the others stay in their tasks
-    named = parsed.where(F.col("_best") >= MAIN).withColumn("_covered", F.lit(None).cast("array<int>"))
-    silent = parsed.where(F.col("_best") < MAIN).join(covered, F.col("_key") == F.col("page"), "left").select(*named.columns)
-    text = _unique("_blocks", "_best", "_covered")
-    both = named.union(silent)
-    return both.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
+    parsed = parsed.select("id", "url", F.xxhash64("id", "html").alias("page"), _host(F.col("url")).alias("host"), "html")
+    streams = stored(_streams(parsed.select("page", "host", "html")))
+    covered = broadcast_if_small(covered_tokens(streams, min_tokens), F.size("covered") * 8 + 64)
+    templates = broadcast_if_small(host_templates(streams), F.size("templates") * 8 + 128)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = pa.array([page_text(*x) for x in zip(*(part.column(i).to_pylist() for i in range(2, 6)))], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["id", "url", "text"])
+
+    joined = parsed.join(covered, "page", "left").join(templates, "host", "left").select("id", "url", "host", "html", "covered", "templates")
+    kinds = dict(parsed.dtypes)
+    found = joined.mapInArrow(compute, f"id {kinds['id']}, url {kinds['url']}, text string")
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -53,10 +53,11 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int = 64, limit: int = 32 << 20) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column = 64, limit: int = 32 << 20) -> DataFrame:
     """``df`` stored, and marked for a broadcast where its rows are within ``limit`` bytes; joins give the same either way."""
     df = stored(df)
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = df.agg(F.sum(F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def fresh_names(df: DataFrame, *names: str) -> list[str]:

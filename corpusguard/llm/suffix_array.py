@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusguard.llm.runtime import checkpointed
+from corpusguard.llm.runtime import stored
 
 
 def ranked(groups: DataFrame, *keys: str) -> DataFrame:
     """``groups`` with ``rank``: in key order, the sum of ``n`` over all rows before.
 
     A range partitioning sorts the keys; running sums inside each range, and the sums of
-    the ranges before it, make the ranks, so that no task orders them all.
+    the ranges before it, make the ranks, so that no task orders them all. There are as
+    many ranges as the session has shuffle partitions, fewer where adaptive execution
+    finds them small.
     """
-    ranges = max(1, groups.sparkSession.sparkContext.defaultParallelism)
-    placed = checkpointed(groups.repartitionByRange(ranges, *keys).withColumn("range", F.spark_partition_id()))
+    placed = stored(groups.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
     sums = placed.groupBy("range").agg(F.sum("n").alias("sum"))  # a row for each range
     base = sums.withColumn("base", F.coalesce(F.sum("sum").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.sum("n").over(Window.partitionBy("range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
@@ -47,7 +48,7 @@ def repeated_prefixes(tokens: DataFrame, text: list[str], order: Column, depth:
 
     def narrowed(rows: DataFrame, keys: list[str]) -> DataFrame:
         groups = ranked(rows.groupBy(*keys).agg(*counted).where(repeated), *keys)
-        return checkpointed(rows.join(groups, keys).select(*kept, F.col("rank").alias("name"), "n", "first"))
+        return stored(rows.join(groups, keys).select(*kept, F.col("rank").alias("name"), "n", "first"))
 
     active, reached = narrowed(tokens.select(*kept, "name"), [*space, "name"]), 1
     while reached < depth:

@@ -126,8 +126,8 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 
 def test_article_blocks():
     blocks = host_boilerplate.page_blocks(PAGE)
-    assert [t for z, t in blocks if z == host_boilerplate.ARTICLE] == ["Title & more", "One two three", "Four five", "six"]
-    assert host_boilerplate.page_blocks("") == [] and host_boilerplate.page_blocks("a < b")[0][1] == "a < b"
+    assert [t for z, _, t in blocks if z == host_boilerplate.ARTICLE] == ["Title & more", "One two three", "Four five", "six"]
+    assert host_boilerplate.page_blocks("") == [] and host_boilerplate.page_blocks("a < b")[0][2] == "a < b"
 
 
 def test_main_text(spark):
@@ -142,6 +142,39 @@ def test_main_text(spark):
     assert host_boilerplate.main_text(frame).count() == len(pages) and rows(host_boilerplate.main_text(frame.where("false"))) == []
 
 
+def test_templates_and_doubtful_parts_of_articles(spark):
+    """A notice in every story of a host goes, a story on many pages stays, parts in doubt go where they are repeated."""
+    notice, banner = "<p>Please read our house rules.</p>", '<div class="banner">a long banner of ten words on pages of this host</div>'
+    pages = [(i, f"http://a.test/{i}", f"<article><p>Story {i} of a.</p>{notice}{banner}</article>") for i in range(8)]
+    pages += [(10 + i, f"http://b.test/{i}", "<article><p>One story.</p><p>Told on all pages.</p></article>") for i in range(8)]
+    pages += [(20 + i, f"http://c.test/{i}", f"<article><p>Story {i} of c.</p>{notice if i < 3 else ''}</article>") for i in range(8)]
+    pages += [(30, "http://d.test/", f"<article><p>Story of d.</p>{notice}{banner}</article>")]
+    found = {r.page_id: r.text for r in host_boilerplate.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Story {i} of a." for i in range(8)) and all(found[10 + i] == "One story.\n\nTold on all pages." for i in range(8))
+    assert all(found[20 + i] == f"Story {i} of c." + "\n\nPlease read our house rules." * (i < 3) for i in range(8))
+    assert found[30] == "Story of d.\n\nPlease read our house rules.\n\na long banner of ten words on pages of this host"
+
+
+def test_covered_tokens_against_brute_force(spark):
+    rng = random.Random(13)
+    pages = {i: [rng.choice("abcd") for _ in range(rng.randint(0, 40))] for i in range(30)}
+    frame = spark.createDataFrame([(i, True, [ord(x) for x in t]) for i, t in pages.items()], "page long, open boolean, outside array<long>")
+    for n in (3, 5, 8):
+        runs = {}
+        for i, t in pages.items():
+            for j in range(len(t) - n + 1):
+                runs.setdefault(tuple(t[j : j + n]), set()).add((i, j))
+        want = {(i, j + k) for places in runs.values() if len({i for i, _ in places}) > 1 for i, j in places for k in range(n)}
+        found = host_boilerplate.covered_tokens(frame, n).collect()
+        assert {(r.page, at) for r in found for at in r.covered} == want
+
+
+def test_pages_of_any_shape(awkward, nothing):
+    for docs in (awkward, nothing):
+        found = host_boilerplate.main_text(docs, "doc_id", "lang", "text")
+        assert found.columns == ["doc_id", "lang", "text", "n_chars"] and found.count() == docs.count()
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     docs = spark.createDataFrame([(i, "you are an idiot and a moron, a loser and pathetic " * 20) for i in range(5)], "doc_id long, text string")
