@@ -16,7 +16,7 @@ from corpusguard.llm.suffix_array import repeated_prefixes
 
 #: A run of so many tokens on two pages of a host, or more, is boilerplate.
 MIN_TOKENS = 8
-#: A block of articles is a template's if it stands in so many different stories of its host, and in half of them.
+#: A block of articles is a template's if it stands in so many different stories of its host, and in three quarters of them.
 MIN_STORIES = 5
 
 #: Zones of a block: boilerplate by its markup, outside any container, in ``main``, in an article.
@@ -175,15 +175,15 @@ def _streams(pages: DataFrame) -> DataFrame:
 
 
 def host_templates(streams: DataFrame) -> DataFrame:
-    """``host`` and ``templates``: ids of blocks that stand in at least ``MIN_STORIES`` different stories and half of all of their host.
+    """``host`` and ``templates``: ids of blocks that stand in at least ``MIN_STORIES`` different stories and three quarters of all of their host.
 
     A story on several pages counts once, so that copies of a page are no template.
     """
     stories = streams.where(F.size("blocks") > 0).groupBy("host", "story").agg(F.first("blocks").alias("blocks"))
     of_host = stories.groupBy("host").agg(F.count(F.lit(1)).alias("stories"))
     blocks = stories.select("host", F.explode(F.array_distinct("blocks")).alias("block")).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
-    found = blocks.where(F.col("n") >= MIN_STORIES).join(of_host, "host").where(F.col("n") * 2 >= F.col("stories"))
-    return found.groupBy("host").agg(F.collect_list("block").alias("templates"))  # at most twice the blocks of a page
+    found = blocks.where(F.col("n") >= MIN_STORIES).join(of_host, "host").where(F.col("n") * 4 >= F.col("stories") * 3)
+    return found.groupBy("host").agg(F.collect_list("block").alias("templates"))  # no more than a story or two has blocks
 
 
 def covered_tokens(streams: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -206,7 +206,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     the sequences of a suffix array for each host; runs of ``min_tokens`` tokens and more
     that two distinct pages of the host share are covered. Where a page names its
     article, the article is the text, without covered runs of the parts in doubt and
-    without blocks that half of the host's stories have. Where the markup is silent,
+    without blocks that three quarters of the host's stories have. Where the markup is silent,
     blocks that are not boilerplate by markup lose their covered tokens, and the unique
     runs that remain are the text. Other text of articles is no part of the token
     streams: a story on two pages is a copy, not boilerplate. Hosts are never gathered:
