@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
+from re import _parser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,55 +32,129 @@ def scannable(path: Column, size: Column, limit: int = catalog.SCAN_LIMIT) -> Co
 
 
 def rule_hits(files: DataFrame, rules=RULES) -> DataFrame:
-    """``path, rule_id, text``: which rules a file meets, decided in native expressions.
+    """``path, rule_id, severity, category``: which rules a file meets, comments included."""
+    return _scanned(files, rules, whole=False).select("path", "rule_id", "severity", "category")
 
-    Each pattern is a literal, so that it is compiled once per task; files without a hit
-    leave the plan here, before Python sees any content.
-    """
-    text = text_of(F.col("content"))
-    met = F.filter(F.array(*[F.when(F.col("_text").rlike("(?i)" + p), i) for i, _, _, p, _ in rules]), lambda x: x.isNotNull())
-    return files.select("path", text.alias("_text")).select("path", F.col("_text").alias("text"), met.alias("rule_ids")).where(F.size("rule_ids") > 0)
 
+def rule_scan(files: DataFrame, rules=RULES, snippet: int = 120) -> DataFrame:
+    """Every match of every rule outside comments: ``path, rule_id, severity, category, line, snippet, cwe_id``."""
+    return _scanned(files, rules, whole=True, snippet=snippet)
 
-def in_comment(text: str, at: int) -> bool:
-    """Whether a match stands in a block comment or after ``//`` on its line."""
-    opened = text.rfind("/*", 0, at)
-    if opened >= 0 and text.find("*/", opened, at) < 0:
-        return True
-    return "//" in text[text.rfind("\n", 0, at) + 1 : at]
 
+def _scanned(files: DataFrame, rules, whole: bool, snippet: int = 120) -> DataFrame:
+    """One pass over the contents in Arrow batches where they are; nothing is shuffled.
 
-def rule_scan(files: DataFrame, rules=RULES, snippet: int = 120) -> DataFrame:
-    """Every match of every rule outside comments, with its line and a snippet.
-
-    The native pass of :func:`rule_hits` prunes; positions, which SQL does not tell, are
-    then found in Arrow batches for the pairs that are left. Nothing is shuffled.
+    A pattern is searched only in files that hold one of the literals which each of its
+    matches must hold; finding these costs a fraction of a regular expression. Native
+    expressions would evaluate each pattern and rebuild the text twice, once to filter.
     """
-    compiled = {i: (s, c, w, p) for i, s, c, p, w in rules}
+    named = {i: (s, c, w) for i, s, c, _, w in rules}
+    patterns = [(i, p) for i, _, _, p, _ in rules]
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = {i: re.compile(p, re.I) for i, (_, _, _, p) in compiled.items()}
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = RuleMatcher(patterns)
         for batch in batches:
-            rows = []
-            for path, text, ids in zip(batch["path"], batch["text"], batch["rule_ids"]):
-                ends = [m.start() for m in re.finditer("\n", text)]
-                for rule in ids:
-                    for m in patterns[rule].finditer(text):
-                        if in_comment(text, m.start()):
-                            continue
-                        if rule in ("SEC012", "SEC070") and re.search(r"allowed_classes\W+\s*(?:=>)?\s*false", text[m.start() : m.start() + 200], re.I):
-                            continue
-                        line = bisect_right(ends, m.start() - 1)
-                        begin, end = (ends[line - 1] + 1 if line else 0), (ends[line] if line < len(ends) else len(text))
-                        whole = text[begin:end]
-                        if rule == "SEC004" and re.search(r"\bconst\b", whole):
-                            continue
-                        severity, category, weakness, _ = compiled[rule]
-                        rows.append((path, rule, severity, category, line + 1, whole.strip()[:snippet], weakness))
-            yield pd.DataFrame(rows, columns=["path", "rule_id", "severity", "category", "line", "snippet", "cwe_id"])
-
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                for path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if whole:
+                        rows += [(path, rule, *named[rule][:2], line, shown[:snippet], named[rule][2]) for rule, line, shown in matcher.matches(text)]
+                    else:
+                        rows += [(path, rule, *named[rule][:2], 0, "", named[rule][2]) for rule in matcher.rules_met(text)]
+                yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, row)) for row in rows], schema=kinds)
+
+    kinds = pa.schema([(n, pa.int32() if n == "line" else pa.string()) for n in ("path", "rule_id", "severity", "category", "line", "snippet", "cwe_id")])
     schema = "path string, rule_id string, severity string, category string, line int, snippet string, cwe_id string"
-    return rule_hits(files, rules).mapInPandas(find, schema)
+    return files.select("path", F.coalesce(text_of(F.col("content")), F.lit("")).alias("text")).mapInArrow(find, schema)
+
+
+def required_literals(pattern: str) -> frozenset[str]:
+    """Literals in lower case of which any match of a pattern (without regard to case) holds one; empty if there are none."""
+
+    def of(tokens) -> frozenset[str]:
+        """The best set of a sequence: that whose shortest literal is longest."""
+        found, run = [], ""
+        for kind, value in [*tokens, (None, None)]:
+            if kind is _parser.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            if run:
+                found.append(frozenset([run]))
+                run = ""
+            if kind is _parser.SUBPATTERN:
+                found.append(of(value[3]))
+            elif kind is _parser.BRANCH:
+                branches = [of(b) for b in value[1]]
+                found.append(frozenset().union(*branches) if all(branches) else frozenset())
+            elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+        return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=frozenset())
+
+    return of(_parser.parse(pattern))
+
+
+#: What, in the 200 characters from a match on or in its line, takes the match back.
+EXCEPTIONS = {"SEC012": ("ahead", r"allowed_classes\W+\s*(?:=>)?\s*false"), "SEC070": ("ahead", r"allowed_classes\W+\s*(?:=>)?\s*false"), "SEC004": ("line", r"\bconst\b")}
+
+
+class RuleMatcher:
+    """Rules compiled with the literals that they need."""
+
+    def __init__(self, patterns: list[tuple[str, str]]):
+        self.rules = [(i, re.compile(p, re.I), required_literals(p)) for i, p in patterns]
+        self.exceptions = {i: (scope, re.compile(p, re.I)) for i, (scope, p) in EXCEPTIONS.items()}
+
+    def candidates(self, text: str) -> Iterator[tuple[str, re.Pattern]]:
+        folded = text.casefold().replace("ı", "i")
+        held = {}
+        for rule, pattern, literals in self.rules:
+            if not literals or any(held[x] if x in held else held.setdefault(x, x in folded) for x in literals):
+                yield rule, pattern
+
+    def rules_met(self, text: str) -> list[str]:
+        return [rule for rule, pattern in self.candidates(text) if pattern.search(text)]
+
+    def matches(self, text: str) -> list[tuple[str, int, str]]:
+        """Rule, line from 1 and the line's text of every match that is neither in a comment nor excepted."""
+        found, places = [], None
+        for rule, pattern in self.candidates(text):
+            for m in pattern.finditer(text):
+                places = places or Places(text)
+                line = places.line(m.start())
+                if places.commented(m.start()) or self._excepted(rule, text, m.start(), places.text_of(line)):
+                    continue
+                found.append((rule, line + 1, places.text_of(line).strip()))
+        return found
+
+    def _excepted(self, rule: str, text: str, at: int, line: str) -> bool:
+        scope, pattern = self.exceptions.get(rule, (None, None))
+        return pattern is not None and pattern.search(text[at : at + 200] if scope == "ahead" else line) is not None
+
+
+class Places:
+    """Lines and comments of a text, found once; places are then told by bisection."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        spans = [(m.start() + 2, m.end()) for m in re.finditer(r"//[^\n]*", text)]
+        for m in re.finditer(r"/\*", text):
+            close = text.find("*/", m.start())
+            spans.append((m.end(), close + 1 if close >= 0 else len(text)))
+        spans.sort()
+        self.opened, self.closed = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def line(self, at: int) -> int:
+        return bisect_right(self.starts, at) - 1
+
+    def text_of(self, line: int) -> str:
+        end = self.starts[line + 1] - 1 if line + 1 < len(self.starts) else len(self.text)
+        return self.text[self.starts[line] : end]
+
+    def commented(self, at: int) -> bool:
+        """Whether a place is inside a block comment or after ``//`` on its line."""
+        before = bisect_right(self.opened, at)
+        return before > 0 and self.closed[before - 1] >= at
 
 
 def scan_rollup(findings: DataFrame) -> DataFrame:
@@ -94,37 +171,49 @@ def sensitive_matches(lines: DataFrame, data_type: str, gate: bool = False) -> D
     return rows.select("path", "line", F.explode(found).alias("value"))
 
 
+#: A line without any of these holds no sensitive data: each pattern needs one of them.
+SENSITIVE_SIGNS = r"""[0-9@=:'"]|[A-Fa-f]{32}|(?i:akia|eyj|begin\s)"""
+
+
 def sensitive_scan(lines: DataFrame, gate: bool = False) -> DataFrame:
     """All sensitive data in pattern order: an earlier match keeps a later one from starting or ending inside it.
 
-    Card numbers must pass the check digit. The snippet shows the line with the match
-    replaced. Order within a line matters, so lines are scanned in Arrow batches where
-    they are; nothing is shuffled.
+    Card numbers must pass the check digit; ``column`` counts from 0. The snippet shows
+    the line with the match replaced. Lines with none of the signs that each pattern
+    needs stay in native code; the others are scanned in Arrow batches where they are, and
+    nothing is shuffled.
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [(*row[:4], re.compile(row[4], re.I)) for row in rule_catalog.SENSITIVE]
+        scanner = SensitiveScanner()
         for batch in batches:
-            rows = [(path, line, *hit) for path, line, text in zip(batch["path"], batch["line"], batch["text"]) for hit in scan_line(text, patterns)]
+            rows = [(path, line, *hit) for path, line, text in zip(batch["path"], batch["line"], batch["text"]) for hit in scanner.scan(text)]
             yield pd.DataFrame(rows, columns=["path", "line", "column", "data_type", "category", "severity", "hipaa", "length", "snippet"])
 
-    rows = lines.where(F.col("text").rlike(rule_catalog.QUICK_GATE)) if gate else lines
+    rows = lines.where(F.col("text").rlike(rule_catalog.QUICK_GATE if gate else SENSITIVE_SIGNS))
     schema = "path string, line int, column int, data_type string, category string, severity string, hipaa boolean, length int, snippet string"
     return rows.select("path", "line", "text").mapInPandas(find, schema)
 
 
-def scan_line(text: str, patterns) -> list[tuple]:
-    seen, found = [], []
-    for kind, category, severity, hipaa, pattern in patterns:
-        for m in pattern.finditer(text):
-            start, end = m.span(1)
-            if any(a <= start < b or a < end <= b for a, b in seen):
-                continue
-            if kind.startswith("credit_card") and not _luhn("".join(c for c in m[1] if c.isdigit())):
-                continue
-            seen.append((start, end))
-            found.append((start + 1, kind, category, severity, hipaa, end - start, (text[:start] + rule_catalog.REDACTED + text[end:]).strip()[:200]))
-    return found
+class SensitiveScanner:
+    """The patterns of sensitive data, compiled, and the order in which they claim text."""
+
+    def __init__(self):
+        self.kinds = [(row[:4], re.compile(row[4], re.I), row[0].startswith("credit_card")) for row in rule_catalog.SENSITIVE]
+
+    def scan(self, text: str) -> list[tuple]:
+        """Column, type, category, severity, health privacy, length and redacted line of each match, in pattern order.
+
+        Every match claims its characters; one whose first or last character is claimed
+        already gives way.
+        """
+        spans = [(*m.span(1), kind) for kind, pattern, card in self.kinds for m in pattern.finditer(text) if not card or _luhn(re.sub(r"\D", "", m[1]))]
+        claimed, kept = bytearray(len(text)), []
+        for start, end, kind in spans:
+            if not (claimed[start] or claimed[end - 1]):
+                claimed[start:end] = b"\1" * (end - start)
+                kept.append((start, *kind, end - start, (text[:start] + rule_catalog.REDACTED + text[end:]).strip()[:200]))
+        return kept
 
 
 def _luhn(digits: str) -> bool:

@@ -10,28 +10,37 @@ from corpusguard.operators import diff, findings, rollup, scan
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, files, planted, query, snapshots, table
 from corpusguard.sources import interop
 
-#: Rules that every regular expression engine reads alike.
-PORTABLE = [r for r in scan.RULES if "(?<" not in r[3] and "(?!" not in r[3]]
+#: Rules whose patterns look around, in a form for engines that cannot: the pattern, and what its group must not hold.
+LOOKING = {
+    "SEC003": (r"(?:^|[^\w>:]|(?:^|[^-])>|(?:^|[^:]):)(?:exec|system|passthru|shell_exec|popen|proc_open)\s*\(\s*\$", ""),
+    "SEC020": (r"\$_(?:GET|POST|REQUEST|COOKIE)\s*\[.*\]([^\]\n]*)", "htmlspecialchars|htmlentities|filter_|intval|escape|sanitize"),
+    "SEC021": (r".*session_start\s*\(\s*\)(.*)", "session_regenerate_id"),
+    "SEC063": (r"\bKint::|\\Kint\\|kint-php|(?:^|[^a-zA-Z_])d\(\s*\$|Kint\\Renderer", ""),
+    "SEC075": (r"(?:echo|print)\s+.*(?:messenger|thread|message_body|conversation)(.*)", "htmlspecialchars"),
+}
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-HITS_SQL = (
-    PLANTED_SQL
-    + ", patterns AS (SELECT * FROM (VALUES "
-    + ", ".join(f"('{i}', '{s}', '{c}', {_quoted(p)})" for i, s, c, p, _ in PORTABLE)
-    + ") AS v(rule_id, severity, category, pattern)), hits AS (SELECT path, doc_id, rule_id, severity, category FROM planted, patterns WHERE regexp_matches(content, pattern, 'i'))"
-)
+def hits_sql(rules) -> str:
+    values = ", ".join(f"('{i}', '{s}', '{c}', {_quoted(LOOKING.get(i, (p, ''))[0])}, {_quoted(LOOKING.get(i, (p, ''))[1])})" for i, s, c, p, _ in rules)
+    return (
+        PLANTED_SQL
+        + f""", patterns AS (SELECT * FROM (VALUES {values}) AS v(rule_id, severity, category, pattern, unless)), hits AS (
+            SELECT path, doc_id, rule_id, severity, category FROM planted, patterns WHERE CASE WHEN unless = '' THEN regexp_matches(content, pattern, 'i')
+                ELSE len(list_filter(regexp_extract_all(content, pattern, 1, 'i'), lambda x: NOT regexp_matches(x, unless, 'i'))) > 0 END
+        )"""
+    )
+
+
+HITS_SQL = hits_sql(scan.RULES)
+WEBSHELL_RULES = [r for r in scan.RULES if r[0].startswith("WEB")]
 
 
 def _hits(spark, sf_dir):
-    """``path, rule_id, severity, category`` of the portable rules."""
-    named = {i: f"{s}|{c}" for i, s, c, _, _ in PORTABLE}
-    rows = scan.rule_hits(planted(spark, sf_dir), PORTABLE).select("path", F.explode("rule_ids").alias("rule_id"))
-    parts = F.split(C.literal_map(named)[F.col("rule_id")], r"\|")
-    return rows.select("path", "rule_id", parts[0].alias("severity"), parts[1].alias("category"))
+    return scan.rule_hits(planted(spark, sf_dir))
 
 
 @query(f"WITH {HITS_SQL} SELECT path, rule_id FROM hits")
@@ -44,9 +53,9 @@ def rule_scan(spark, sf_dir):
     return scan.rule_scan(planted(spark, sf_dir))
 
 
-@query(f"WITH {HITS_SQL} SELECT path, rule_id FROM hits WHERE rule_id LIKE 'WEB%'")
+@query(f"WITH {hits_sql(WEBSHELL_RULES)} SELECT path, rule_id FROM hits")
 def webshell_scan(spark, sf_dir):
-    return _hits(spark, sf_dir).where(F.col("rule_id").startswith("WEB")).select("path", "rule_id")
+    return scan.rule_hits(planted(spark, sf_dir), WEBSHELL_RULES).select("path", "rule_id")
 
 
 @query(
@@ -160,8 +169,9 @@ def normalize_findings(spark, sf_dir):
     SELECT fingerprint, min(seq) AS seq FROM twice GROUP BY fingerprint"""
 )
 def fingerprint_dedupe(spark, sf_dir):
-    rows = _findings(spark, sf_dir)
-    both = rows.withColumn("seq", F.lit(1)).unionByName(rows.where("severity = 'HIGH'").withColumn("seq", F.lit(2)))
+    # a finding that two tools report, in one pass
+    times = F.when(F.col("severity") == "HIGH", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    both = _findings(spark, sf_dir).withColumn("seq", F.explode(times))
     return findings.deduplicated(both).select("fingerprint", "seq")
 
 
@@ -202,9 +212,9 @@ def attack_vectors(spark, sf_dir):
     FROM both_ JOIN s USING (path)"""
 )
 def corroboration(spark, sf_dir):
-    rows = _findings(spark, sf_dir)
-    runtime = rows.where("severity = 'CRITICAL'").withColumn("source", F.lit("runtime")).withColumn("id", F.concat(F.lit("R"), "id"))
-    found = findings.corroborated(rows.unionByName(runtime))
+    sources = F.when(F.col("severity") == "CRITICAL", F.array(F.lit("scan"), F.lit("runtime"))).otherwise(F.array(F.lit("scan")))
+    rows = _findings(spark, sf_dir).withColumn("source", F.explode(sources))
+    found = findings.corroborated(rows.withColumn("id", F.when(F.col("source") == "runtime", F.concat(F.lit("R"), "id")).otherwise(F.col("id"))))
     return found.select("id", F.array_join("corroborated_by", ",").alias("others"), "confidence")
 
 
