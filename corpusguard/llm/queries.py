@@ -131,7 +131,11 @@ ORACLE_SQL = {
         w AS (SELECT *, lead(normal) OVER (PARTITION BY doc_id ORDER BY place) AS following FROM k),
         f AS (
             SELECT *, row_number() OVER (PARTITION BY normal, following ORDER BY doc_id, place) > 1 AS later FROM w WHERE following IS NOT NULL
-        ), gone AS (SELECT doc_id, place FROM f WHERE later UNION SELECT doc_id, place + 1 FROM f WHERE later),
+        ), long AS (
+            SELECT *, row_number() OVER (PARTITION BY normal ORDER BY doc_id, place) > 1 AS later FROM k WHERE len(string_split(normal, ' ')) >= 25
+        ), gone AS (
+            SELECT doc_id, place FROM f WHERE later UNION SELECT doc_id, place + 1 FROM f WHERE later UNION SELECT doc_id, place FROM long WHERE later
+        ),
         kept AS (
             SELECT l.doc_id, l.number, l.line, l.normal, g.place IS NOT NULL AS gone
             FROM l LEFT JOIN k ON l.doc_id = k.doc_id AND l.number = k.number LEFT JOIN gone g ON k.doc_id = g.doc_id AND k.place = g.place

@@ -58,3 +58,57 @@ def repeated_prefixes(tokens: DataFrame, text: list[str], order: Column, depth:
         active = narrowed(pairs.select(*kept, "name", "next"), [*space, "name", "next"])
         reached += step
     return active.withColumnRenamed("name", "rank")
+
+
+def longest_earlier(tokens: DataFrame, text: list[str], order: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """For each suffix the longest prefix that an earlier one begins with as well: ``text, at, length`` and ``extra`` columns.
+
+    Prefix doubling names the prefixes of 1, 2, 4, ... tokens until none repeats. The
+    longest common prefixes are then found from the longest doubling down: suffixes that
+    share a prefix (an interval of the suffix array, named by its first suffix) are
+    divided by the next 2^k tokens. In each part of two and more the later suffixes go on
+    with the longer prefix, and so does a copy of the first one, as their witness; it
+    stays in the interval itself, where it may meet an earlier one at a shorter length and
+    stands for those that went on. Rounds are twice the logarithm of the longest repeat;
+    each is a join by place, an aggregate with map-side combining and a join back. The
+    rows of each round are those whose first token repeats, and a witness for each part.
+    """
+    place = [*text, "at"]
+    counted = [F.count(F.lit(1)).alias("n")]
+
+    def narrowed(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+        groups = ranked(rows.groupBy(*keys).agg(*counted).where("n > 1"), *keys)
+        return rows.join(groups, keys).select(*kept, F.col("rank").alias("name"))
+
+    # rows that repeat a place are one
+    base = stored(narrowed(tokens, ["name"], [*place, *extra]).dropDuplicates(place))
+    levels, span = [base.select(*place, "name")], 1
+    while True:
+        ahead = Window.partitionBy(*text).orderBy("at").rangeBetween(span, span)
+        pairs = levels[-1].withColumn("next", F.first("name").over(ahead)).where("next IS NOT NULL")
+        longer = stored(narrowed(pairs, ["name", "next"], place))
+        if longer.isEmpty():
+            break
+        levels.append(longer)
+        span *= 2
+
+    state = base.select(*place, F.lit(0).alias("length"), F.lit(None).cast(base.select(order.alias("o")).schema["o"].dataType).alias("name"), F.lit(False).alias("witness"))
+    while levels:
+        names = levels.pop().select(*[F.col(c).alias(f"{c}_") for c in text], F.col("at").alias("at_"), F.col("name").alias("next"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in text]
+        rows = state.join(names, [*same, F.col("at") + F.col("length") == F.col("at_")], "left").select(*state.columns, "next")
+        parts = rows.where("next IS NOT NULL").groupBy("length", "name", "next").agg(*counted, F.min(order).alias("first")).where("n > 1")
+        parts = parts.select(F.col("length").alias("length_"), F.col("name").alias("name_"), F.col("next").alias("next_"), "first")
+        met = (F.col("length") == F.col("length_")) & F.col("name").eqNullSafe(F.col("name_")) & (F.col("next") == F.col("next_"))
+        rows = rows.join(parts, met, "left")
+        stays = F.struct("length", "name", "witness")
+        leads = order.eqNullSafe(F.col("first"))
+        goes = F.struct((F.col("length") + span).alias("length"), F.col("first").alias("name"), (F.col("witness") | leads).alias("witness"))
+        after = F.when(F.col("first").isNull(), F.array(stays)).when(leads, F.array(stays, goes)).otherwise(F.array(goes))
+        state = stored(rows.select(*place, F.explode(after).alias("s")).select(*place, "s.*"))
+        span //= 2
+    found = state.where("NOT witness AND length > 0").select(*place, "length")
+    if not extra:
+        return found
+    values = base.select(*[F.col(c).alias(f"{c}_") for c in place], *extra)
+    return found.join(values, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in place]).select(*place, "length", *extra)

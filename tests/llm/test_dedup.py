@@ -235,6 +235,11 @@ def brute_runs(docs, n):
             if key in seen:
                 gone[d] |= set(range(i, i + n))
             seen.add(key)
+        for i, line in enumerate(lines):
+            if line in seen:
+                gone[d].add(i)
+            if line.count(" ") >= 24:
+                seen.add(line)
     out = {}
     for (doc, text), cut in zip(docs, gone):
         kept, at = [], -1
@@ -256,6 +261,44 @@ def test_line_runs_against_brute_force(spark, n):
     assert found == brute_runs(docs, n)
 
 
+def test_runs_are_the_longest_that_occur_earlier(spark):
+    rng = random.Random(17)
+    docs = [(i, [rng.choice("abc") for _ in range(rng.randint(1, 12))]) for i in range(25)]
+    docs += [(30, list("dedfghijklmnop")), (31, list("xdedfghijklmnopy")), (32, list("fghijklmnopz"))]
+    want = set()
+    for n, (i, lines) in enumerate(docs):
+        reached = 0
+        for at in range(len(lines)):
+            best = 0
+            for m, (_, other) in enumerate(docs[: n + 1]):
+                for k in range(len(other) if m < n else at):
+                    size = 0
+                    while at + size < len(lines) and k + size < len(other) and lines[at + size] == other[k + size]:
+                        size += 1
+                    best = max(best, size)
+            if best >= 2 and at + best > reached:
+                want.add((i, at, best))
+                reached = at + best
+    frame = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs], "doc_id long, text string")
+    assert set(rows(line_runs.run_report(frame))) == want and (31, 1, 14) in want
+    frame = spark.createDataFrame([(0, "a\nb"), (1, "b\nc"), (2, "a\nb\nc")], "doc_id long, text string")
+    assert sorted(rows(line_runs.run_report(frame))) == [(2, 0, 2), (2, 1, 2)]
+
+
+def test_one_long_line_is_a_run(spark):
+    line = " ".join(f"w{i}" for i in range(25))
+    frame = spark.createDataFrame([(0, f"a\n{line}"), (1, f"b\n{line}\nc"), (2, f"d\n{line[:-4]}"), (3, f"e\n{line[:-4]}")], "doc_id long, text string")
+    assert sorted(rows(line_runs.drop_later_runs(frame)))[:2] == [(0, f"a\n{line}"), (1, "b\nc")]
+    assert line_runs.run_report(frame).count() == 1
+
+
+def test_line_runs_keep_clashing_columns(spark):
+    names = "doc tag gone left _doc _tag _gone _left doc_ at name n_words length".split()
+    docs = spark.createDataFrame([(i, f"a\nb\n{i}", *map(str, range(len(names)))) for i in range(3)], ["doc_id", "text", *names])
+    kept = line_runs.drop_later_runs(docs)
+    assert kept.columns == docs.columns and [r[1:] for r in rows(kept.orderBy("doc_id"))] == [("a\nb\n0", *map(str, range(len(names)))), *((str(i), *map(str, range(len(names)))) for i in (1, 2))]
+
+
 def test_line_runs_edge_cases(awkward, nothing):
     kept = line_runs.drop_later_runs(awkward)
     assert kept.columns == awkward.columns
