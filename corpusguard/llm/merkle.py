@@ -75,9 +75,10 @@ def fixity_audit(primary: DataFrame, replica: DataFrame, archive: str, position:
     differs = ~F.col("a").eqNullSafe(F.col("b"))
     bad = levels.pop().where(differs).select("archive", "node", F.array(F.col("node").cast("string")).alias("branch"))
     while levels:
-        below = levels.pop().where(differs).withColumn("up", F.floor(F.col("node") / FANOUT))
+        below = levels.pop().withColumn("up", F.floor(F.col("node") / FANOUT))
         upper = bad.select(F.col("archive").alias("up_archive"), F.col("node").alias("up_node"), "branch")
-        met = below.join(upper, (F.col("archive") == F.col("up_archive")) & (F.col("up") == F.col("up_node")))
+        # only the children of differing nodes are compared
+        met = below.join(upper, (F.col("archive") == F.col("up_archive")) & (F.col("up") == F.col("up_node"))).where(differs)
         bad = met.select("archive", "node", "a", "b", F.array_append("branch", F.col("node").cast("string")).alias("branch"))
     status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("altered")
     at = F.when(F.col("node") > 0, F.col("node") + low)
