@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusguard.llm.graph import connected_components
-from corpusguard.llm.runtime import broadcast_if_small, checkpointed, map_texts, stored, text_or_empty
+from corpusguard.llm.runtime import broadcast_if_small, map_texts, stored, text_or_empty
 
 #: Seed of the shingle hashes.
 SEED = 42
@@ -112,14 +112,14 @@ def ball_masks(uncertain: np.ndarray | None) -> np.ndarray:
     return np.hstack([np.zeros((len(bits), 1), np.int64), bits, bits[:, i] | bits[:, j]])
 
 
-def forest(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Edges that connect what pairs of ``fps`` within ``radius`` bits connect: the lanes of one end, then those of the other.
+def forest(rows: np.ndarray, radius: int) -> np.ndarray:
+    """Edges that connect what pairs of nodes within ``radius`` bits connect: the lanes of one end, then those of the other.
 
-    A row of ``fps`` is a node: its lanes. Every node of a component is tied to its
-    smallest one, so that the many buckets which the members of a large group share say
-    the same.
+    A row is a node: its order, then its lanes. Every node of a component is tied to the
+    one that is first by order and lanes, so that the many buckets which the members of a
+    large group share say the same.
     """
-    left, edges = np.unique(fps, axis=0), []
+    left, edges = np.unique(rows, axis=0)[:, 1:], []
     while len(left):
         root, reached, left = left[0], [left[0]], left[1:]
         while reached and len(left):
@@ -130,7 +130,7 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
                 edges.append(np.hstack([met, np.broadcast_to(root, met.shape)]))
                 reached += list(met)
                 left = left[~near]
-    return np.concatenate(edges) if edges else np.zeros((0, 2 * fps.shape[1]), np.int64)
+    return np.concatenate(edges) if edges else np.zeros((0, 2 * (rows.shape[1] - 1)), np.int64)
 
 
 def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
@@ -166,21 +166,24 @@ def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fps = [part.column(i).to_numpy() for i in range(lanes)]
-                uncertain = np.array(part.column(lanes).to_pylist(), np.int64) if lanes > 1 else None
+                node, *fps = (part.column(i).to_numpy() for i in range(lanes + 1))
+                uncertain = np.array(part.column(lanes + 1).to_pylist(), np.int64) if lanes > 1 else None
                 for s in range(2 * lanes):
                     segment = fps[s // 2] >> HALF & (1 << HALF) - 1 if s % 2 else fps[s // 2] & (1 << HALF) - 1
-                    masks = ball_masks(None if uncertain is None else uncertain[:, s])
-                    keys = (segment[:, None] ^ masks) | s << HALF
-                    size = keys.shape[1]
-                    flips = np.tile((np.arange(size) > 0).astype(np.int32), len(segment))
-                    columns = [pa.array(keys.ravel()), pa.array(flips), *(pa.array(np.repeat(fp, size)) for fp in fps)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "r", *names])
-
-    spread = distinct.select(*names, *(["uncertain"] if lanes > 1 else []))
-    rows = spread.mapInArrow(tables, f"bucket long, r int, {', '.join(f'{n} long' for n in names)}")
+                    keys = (segment[:, None] ^ ball_masks(None if uncertain is None else uncertain[:, s])) | s << HALF
+                    columns = [pa.array(keys.ravel()), pa.array(np.repeat(node, keys.shape[1]))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node"])
+
+    nodes = distinct.select(node_name(lanes).alias("node"), *names, *(["uncertain"] if lanes > 1 else []))
+    rows = nodes.mapInArrow(tables, "bucket long, node long")
     in_bucket = Window.partitionBy("bucket")
-    met = checkpointed(rows.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1"))
+    met = stored(rows.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1"))
+    if lanes == 1:
+        met = met.select("bucket", "n", F.col("node").alias("fp"), F.lit(0).alias("order"))
+    else:
+        # where many meet, those that meet most become the ends of edges, so that buckets of one group name the same
+        often = met.groupBy("node").agg((-F.sum("n")).alias("order"))
+        met = stored(met.join(often, "node").join(nodes.drop("uncertain"), "node").select("bucket", "n", *names, "order"))
 
     ends = [f"{end}{i}" for end in "ab" for i in range(lanes)]
     schema = ", ".join(f"{end} long" for end in ends)
@@ -191,13 +194,13 @@ def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
 
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of([forest(np.array(fps, dtype=np.int64).reshape(-1, lanes), radius) for fps in batch.column(0).to_pylist()])
+            yield batch_of([forest(np.array(fps, dtype=np.int64).reshape(-1, lanes + 1), radius) for fps in batch.column(0).to_pylist()])
 
     def forests_of_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            fps = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, lanes + 1)])
+            fps = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, lanes + 2)])
             cuts = np.flatnonzero(np.diff(keys)) + 1
             for key, part in zip(keys[[0, *cuts]] if len(keys) else (), np.split(fps, cuts)):
                 if parts and key != bucket:
@@ -211,17 +214,18 @@ def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
     def named(edges: DataFrame) -> DataFrame:
         return edges.select(*[(F.col(f"{end}0") if lanes == 1 else F.xxhash64(*[f"{end}{i}" for i in range(lanes)])).alias(end) for end in "ab"])
 
-    members = met.where(F.col("n") <= COMPARED).groupBy("bucket").agg(F.collect_list(F.array(*names)).alias("fps"))
+    members = met.where(F.col("n") <= COMPARED).groupBy("bucket").agg(F.collect_list(F.array("order", *names)).alias("fps"))
     pairs = named(members.select("fps").mapInArrow(forests, schema))
 
     large = met.where(F.col("n") > COMPARED)
     if lanes > 1 or radius > 4:
-        stream = large.select("bucket", *names).repartition("bucket").sortWithinPartitions("bucket")
+        stream = large.select("bucket", "order", *names).repartition("bucket").sortWithinPartitions("bucket")
         return pairs.union(named(stream.mapInArrow(forests_of_stream, schema)))
     table = F.shiftrightunsigned("bucket", HALF)
     other = F.get(F.array(*[_segment(F.col(name), 1 - s) for name in names for s in (0, 1)]), table.cast("int"))
-    # both ends together may flip 4 bits: each spends r of its 2 in the bucket and the rest here
-    near = F.when(F.col("r") == 0, _flipped(other, HALF, 2)).otherwise(_flipped(other, HALF, 1))
+    # both ends together may flip 4 bits: each spends 0 or 1 of its 2 in the bucket and the rest here
+    own = F.get(F.array(*[_segment(F.col(name), s) for name in names for s in (0, 1)]), table.cast("int"))
+    near = F.when(own == F.col("bucket").bitwiseAND(F.lit((1 << HALF) - 1)), _flipped(other, HALF, 2)).otherwise(_flipped(other, HALF, 1))
     near = large.select("bucket", "fp", F.explode(near).alias("z"))
     centres = near.groupBy("bucket", "z").agg(F.min("fp").alias("c"), F.max("fp").alias("top")).where("c < top")
     stars = near.join(centres, ["bucket", "z"]).where("fp > c").select(F.col("fp").alias("a"), F.col("c").alias("b"))
