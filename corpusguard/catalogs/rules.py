@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Security rules as (id, severity, category, pattern, weakness); all ignore case but those of CASED.
+# Security rules as (id, severity, category, pattern, weakness); all ignore case.
 SECURITY_RULES = [
     ("SEC001", "CRITICAL", "injection", r"(?:mysql_query|mysqli_query|pg_query)\s*\([^)]*\$_(?:GET|POST|REQUEST|COOKIE)", "CWE-89"),
     ("SEC002", "CRITICAL", "rce", r"\b(?:eval|assert)\s*\(\s*\$", "CWE-94"),
@@ -18,6 +18,8 @@ SECURITY_RULES = [
     ("SEC022", "MEDIUM", "config", r"(?:display_errors|error_reporting)\s*[=(]\s*(?:1|true|E_ALL|on)", "CWE-209"),
     ("SEC023", "MEDIUM", "deprecated", r"\b(?:mysql_connect|mysql_query|mysql_fetch|mysql_select_db|ereg|split)\s*\(", "CWE-477"),
     ("SEC030", "LOW", "debug", r"\b(?:var_dump|print_r|debug_print_backtrace|debug_zval_dump)\s*\(", "CWE-506"),
+    ("SEC031", "LOW", "header", r"""header\s*\(\s*['"]X-Powered-By""", "CWE-200"),
+    ("SEC040", "INFO", "backdoor", r"\b(?:base64_decode|gzinflate|gzuncompress|str_rot13)\s*\(\s*(?:base64_decode|gzinflate)", "CWE-506"),
     ("SEC041", "INFO", "backdoor", r"""(?:preg_replace|preg_replace_callback)\s*\([^)]*['"].*?/e['"]""", "CWE-94"),
     ("SEC061", "CRITICAL", "obfuscation", r"\beval\s*\(\s*(?:gzinflate|gzuncompress)\s*\(\s*base64_decode", "CWE-506"),
     ("SEC063", "HIGH", "debug_tool", r"\bKint::|\\Kint\\|kint-php|(?<![a-zA-Z_])d\(\s*\$|Kint\\Renderer", "CWE-489"),
@@ -190,3 +192,35 @@ CREDENTIAL_FORBIDDEN = [
     ("include_path", r"\bset_include_path\s*\("),
 ]
 CREDENTIAL_VARIABLES = ["hostname", "db", "username", "password", "salt"]
+
+# Calls that are dangerous by themselves, by what they are.
+DANGEROUS_FUNCTIONS = {
+    "eval_usage": ["eval", "assert", "preg_replace"],
+    "exec_usage": ["exec", "system", "passthru", "shell_exec", "popen", "proc_open"],
+    "unsafe_deserialization": ["unserialize"],
+    "debug_function": ["var_dump", "print_r", "debug_print_backtrace"],
+    "obfuscation": ["base64_decode", "gzinflate", "str_rot13", "gzuncompress"],
+    "deprecation": ["mysql_query", "mysql_real_escape_string", "ereg", "split", "session_register"],
+}
+#: Patterns of dangerous constructs: the calls above, request values in output, uploads, dynamic includes, credentials in code.
+DANGEROUS_PATTERNS = [
+    *((kind, r"(?<![\w$>:\\])(?:" + "|".join(names) + r")\s*\(") for kind, names in DANGEROUS_FUNCTIONS.items()),
+    ("xss_risk", r"\becho\b[^;\n]*\$_(?:GET|POST|REQUEST|COOKIE)"),
+    ("file_upload_risk", r"\$_FILES\s*\["),
+    ("file_inclusion_risk", r"\b(?:include|require)(?:_once)?\b\s*\(?\s*\$"),
+    ("hardcoded_credential", r"""\$\w*(?:password|passwd|secret|api_key|token)\w*\s*=\s*(?:"[^"\n]{4,}"|'[^'\n]{4,}')"""),
+]
+
+# Signatures that are critical by name, and words of names that make one high.
+CRITICAL_SIGNATURES = ["php_backdoor", "php_webshell", "webshell", "backdoor", "php_obfuscation_eval", "phpInPNG", "SuspiciousCodeSignature"]
+HIGH_SIGNATURE_WORDS = ["shell", "backdoor", "exploit", "malware"]
+
+# Labels of content that runs, of databases, and severities of (label by extension, label by content).
+ACTIVE_LABELS = ["php", "python", "perl", "ruby", "shell", "batch", "powershell", "javascript", "vba"]
+DATABASE_LABELS = ["sqlite", "mysql"]
+MISMATCH_PAIRS = {
+    **{(x, "php"): "critical" for x in ["jpeg", "png", "gif", "bmp", "ico", "webp", "css", "javascript", "txt", "json", "yaml", "ini", "xml", "csv", "sql"]},
+    ("html", "php"): "suspicious",
+    **{(x, "sqlite"): "critical" for x in ["php", "txt", "ini", "javascript", "css", "html", "jpeg", "png", "gif"]},
+    **{("txt", x): "suspicious" for x in ["python", "perl", "shell"]},
+}

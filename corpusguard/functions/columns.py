@@ -98,6 +98,16 @@ def weakness_id(raw: Column) -> Column:
     return F.when(digits == "", "").otherwise(F.concat(F.lit("CWE-"), digits))
 
 
+def weakness_shown(cwe_id: Column, name: Column) -> Column:
+    """``CWE-89: name``, or the id alone where the name is not known."""
+    return F.when(F.coalesce(name, F.lit("")) == "", cwe_id).otherwise(F.concat_ws(": ", cwe_id, name))
+
+
+def archive_version(name: Column, prefix: str) -> Column:
+    """The version in an archive's name after ``prefix``; empty if there is none."""
+    return F.regexp_extract(name, prefix + r"(\d+(?:\.\d+)*)", 1)
+
+
 def prefix_lookup(rule_id: Column, values: dict) -> Column:
     """The value of the id, or of its first 6, 5, 4 or 3 characters."""
     table = literal_map(values)

@@ -120,9 +120,12 @@ def linked_by_rule(static: DataFrame, runtime: DataFrame) -> DataFrame:
 
 
 def content_types(files: DataFrame, expected: dict[str, list[str]]) -> DataFrame:
-    """``path, label, ext_label, is_match, mismatch_severity``: a label by leading bytes against what the extension expects."""
-    head = F.upper(F.hex(F.substring("content", 1, 512)))
-    text = F.decode(F.substring("content", 1, 512), "ISO-8859-1")
+    """``path, label, ext_label, is_match, mismatch_severity``: a label by content against what the extension expects.
+
+    Magic numbers are leading bytes; marks of scripts and pages count anywhere.
+    """
+    head = F.upper(F.hex(F.substring("content", 1, 8)))
+    text = F.decode("content", "ISO-8859-1")
     label = (
         F.when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("504B0304"), "zip").when(head.startswith("25504446"), "pdf")
         .when(text.rlike(r"<\?php|<\?="), "php").when(text.rlike(r"(?i)<!doctype html|<html"), "html").when(F.length("content") == 0, "empty").otherwise("txt")

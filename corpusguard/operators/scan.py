@@ -36,12 +36,12 @@ def rule_hits(files: DataFrame, rules=RULES) -> DataFrame:
     return _scanned(files, rules, whole=False).select("path", "rule_id", "severity", "category")
 
 
-def rule_scan(files: DataFrame, rules=RULES, snippet: int = 120) -> DataFrame:
-    """Every match of every rule outside comments: ``path, rule_id, severity, category, line, snippet, cwe_id``."""
-    return _scanned(files, rules, whole=True, snippet=snippet)
+def rule_scan(files: DataFrame, rules=RULES, snippet: int = 120, comments: bool = False) -> DataFrame:
+    """Every match of every rule, outside ``comments`` or anywhere: ``path, rule_id, severity, category, line, snippet, cwe_id``."""
+    return _scanned(files, rules, whole=True, snippet=snippet, comments=comments)
 
 
-def _scanned(files: DataFrame, rules, whole: bool, snippet: int = 120) -> DataFrame:
+def _scanned(files: DataFrame, rules, whole: bool, snippet: int = 120, comments: bool = False) -> DataFrame:
     """One pass over the contents in Arrow batches where they are; nothing is shuffled.
 
     A pattern is searched only in files that hold one of the literals which each of its
@@ -58,7 +58,7 @@ def _scanned(files: DataFrame, rules, whole: bool, snippet: int = 120) -> DataFr
                 part, rows = batch.slice(at, 256), []
                 for path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if whole:
-                        rows += [(path, rule, *named[rule][:2], line, shown[:snippet], named[rule][2]) for rule, line, shown in matcher.matches(text)]
+                        rows += [(path, rule, *named[rule][:2], line, shown[:snippet], named[rule][2]) for rule, line, shown in matcher.matches(text, comments)]
                     else:
                         rows += [(path, rule, *named[rule][:2], 0, "", named[rule][2]) for rule in matcher.rules_met(text)]
                 yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, row)) for row in rows], schema=kinds)
@@ -114,14 +114,14 @@ class RuleMatcher:
     def rules_met(self, text: str) -> list[str]:
         return [rule for rule, pattern in self.candidates(text) if pattern.search(text)]
 
-    def matches(self, text: str) -> list[tuple[str, int, str]]:
-        """Rule, line from 1 and the line's text of every match that is neither in a comment nor excepted."""
+    def matches(self, text: str, comments: bool = False) -> list[tuple[str, int, str]]:
+        """Rule, line from 1 and the line's text of every match that is neither in a comment (unless these count) nor excepted."""
         found, places = [], None
         for rule, pattern in self.candidates(text):
             for m in pattern.finditer(text):
                 places = places or Places(text)
                 line = places.line(m.start())
-                if places.commented(m.start()) or self._excepted(rule, text, m.start(), places.text_of(line)):
+                if not comments and places.commented(m.start()) or self._excepted(rule, text, m.start(), places.text_of(line)):
                     continue
                 found.append((rule, line + 1, places.text_of(line).strip()))
         return found

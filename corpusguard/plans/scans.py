@@ -247,7 +247,7 @@ def enclosing_symbol(spark, sf_dir):
 
 
 @query(
-    f"""WITH {PLANTED_SQL}, l AS (SELECT path, CASE WHEN contains(hex(encode(content))[1:1024], '3C3F706870') THEN 'php' WHEN content = '' THEN 'empty' ELSE 'txt' END AS label, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext_label FROM planted),
+    f"""WITH {PLANTED_SQL}, l AS (SELECT path, CASE WHEN contains(content, '<?php') OR contains(content, '<?=') THEN 'php' WHEN content = '' THEN 'empty' ELSE 'txt' END AS label, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext_label FROM planted),
     m AS (SELECT *, (CASE ext_label WHEN 'php' THEN label = 'php' WHEN 'html' THEN label = 'html' WHEN 'txt' THEN label IN ('txt', 'empty') ELSE true END) AS is_match FROM l)
     SELECT path, label, ext_label, is_match, CASE WHEN is_match THEN 'none' WHEN label = 'php' AND ext_label <> 'php' THEN 'critical' ELSE 'info' END AS mismatch_severity FROM m"""
 )
