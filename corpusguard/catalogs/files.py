@@ -71,3 +71,9 @@ ANOMALY_ROUTES = {
 
 # Units of sizes, with their bases.
 SIZE_UNITS = {"binary": (1024, ["B", "KiB", "MiB", "GiB", "TiB"]), "decimal": (1000, ["B", "kB", "MB", "GB", "TB"]), "legacy": (1024, ["B", "KB", "MB", "GB", "TB"])}
+
+# What begins a comment, by extension; "/*" and "<!--" begin one that may span lines.
+COMMENT_MARKERS = {
+    ".php": ("//", "/*", "#"), ".js": ("//", "/*"), ".css": ("/*",), ".py": ("#",), ".sh": ("#",), ".bat": ("REM", "::"), ".sql": ("--", "/*"),
+    ".html": ("<!--",), ".xml": ("<!--",), ".yml": ("#",), ".yaml": ("#",), ".ini": (";", "#"), ".conf": ("#",),
+}

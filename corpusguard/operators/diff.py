@@ -91,3 +91,15 @@ def rollup(diff: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "modified", "identical")]
     unexpected = F.count_if(F.col("status").isin("removed", "modified") | ((F.col("status") == "added") & ~expected_addition(F.col("path"))))
     return diff.agg(*counts, (unexpected == 0).alias("is_clean"))
+
+
+def audit_summary(diff: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: files by status, the delta, findings by severity, and a sentence that says so."""
+    status = F.col("status")
+    files = diff.agg(*[F.count_if(status == s).alias(s) for s in ("added", "removed", "modified", "identical")], F.count_if((status == "modified") | ((status == "added") & ~expected_addition(F.col("path")))).alias("delta"))
+    found = findings.agg(F.count(F.lit(1)).alias("findings"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH")])
+    row = files.crossJoin(found)  # one row each
+    sentence = F.format_string(
+        "%d added, %d removed, %d modified, %d identical; %d findings in %d files, %d critical, %d high", "added", "removed", "modified", "identical", "findings", "delta", "critical", "high"
+    )
+    return row.withColumn("summary", sentence)

@@ -99,34 +99,38 @@ def anomaly_routing(rows: DataFrame) -> DataFrame:
     return each.groupBy(field.alias("field")).agg(F.countDistinct("path").alias("n_files"), F.min("path").alias("first_path"))
 
 
+def totals(manifest: DataFrame) -> DataFrame:
+    """One row: files, bytes, the largest size and distinct contents."""
+    return manifest.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("size_bytes"), F.lit(0)).alias("largest"), F.countDistinct("sha256").alias("distinct_contents"))
+
+
 def text_metrics(files: DataFrame) -> DataFrame:
-    """Per file: lines, blank lines, comment lines (with the state of block comments), code lines, words and lengths."""
+    """Per file: lines, blank, comment and code lines, words and lengths; what begins a comment goes by the extension."""
 
-    def measure(text: str) -> tuple:
-        lines, blank, comment, words, longest, total, block = text.split("\n"), 0, 0, 0, 0, 0, False
+    def measure(text: str, extension: str) -> tuple:
+        markers = catalog.COMMENT_MARKERS.get(extension, ())
+        single = tuple(m for m in markers if m not in ("/*", "<!--"))
+        lines, words, longest, total, within = text.split("\n"), 0, 0, 0, None
+        kinds = {"blank": 0, "comment": 0, "code": 0}
         for line in lines:
-            s = line.strip()
+            s = line.strip(" \t\r\x0b\x0c")
             words += len(s.split())
             longest, total = max(longest, len(s)), total + len(s)
-            if not s:
-                blank += 1
-            elif block:
-                comment += 1
-                block = "*/" not in s
-            elif s.startswith(("//", "#", "*", "<!--", "--")):
-                comment += 1
-            elif s.startswith("/*"):
-                comment += 1
-                block = "*/" not in s
-        return len(lines), blank, comment, len(lines) - blank - comment, words, longest, total
+            if s and within is None:
+                within = next((end for begin, end in (("/*", "*/"), ("<!--", "-->")) if begin in markers and begin in s), None)
+            kind = "blank" if not s else "comment" if within or single and s.startswith(single) else "code"
+            kinds[kind] += 1
+            if s and within and within in s:
+                within = None
+        return len(lines), *kinds.values(), words, longest, total
 
     names = ("lines", "blank", "comments", "code", "words", "longest", "stripped_chars")
 
     @F.pandas_udf("struct<" + ",".join(f"{n}:long" for n in names) + ">")
-    def compute(batch: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(b.decode("utf-8", "replace")) for b in batch], columns=names)
+    def compute(content: pd.Series, extension: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(b.decode("utf-8", "replace"), e) for b, e in zip(content, extension)], columns=names)
 
-    return files.select("path", compute("content").alias("m")).select("path", "m.*")
+    return files.select("path", compute("content", C.extension(F.col("path"))).alias("m")).select("path", "m.*")
 
 
 def directory_profile(rows: DataFrame) -> DataFrame:

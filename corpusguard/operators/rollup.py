@@ -37,7 +37,7 @@ def suspicious_files(findings: DataFrame, mismatches: DataFrame | None = None, m
     signals = findings.groupBy("path", "source", "rule_id").agg(F.max(rank).alias("rank"))
     rows = signals.groupBy("path").agg(
         F.max("rank").alias("max_rank"), F.count(F.lit(1)).alias("n_signals"), F.sort_array(F.collect_set("source")).alias("sources"),
-        F.slice(F.sort_array(F.collect_set(F.concat_ws(":", "source", "rule_id"))), 1, max_signals).alias("signals"),
+        F.transform(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("rank")).alias("down"), F.concat_ws(":", "source", "rule_id").alias("name")))), 1, max_signals), lambda x: x["name"]).alias("signals"),
     )
     if mismatches is None:
         rows = rows.withColumn("mismatch", F.lit(False))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
 from corpusguard.functions.session import shared_folder
 from corpusguard.operators import diff, findings, rollup, scan
@@ -22,16 +23,24 @@ def _named(spark, sf_dir):
     return planted(spark, sf_dir).withColumn("path", F.concat(F.lit("app"), F.col("doc_id").cast("string"), name))
 
 
-@query(
-    f"""WITH {NAMED_SQL}, h AS (SELECT path, 'UPG020' AS rule_id FROM named WHERE regexp_matches(content, 'auto_prepend_file|auto_append_file|php_value|SetHandler|AddHandler', 'i') AND doc_id % 3 < 2
-        UNION ALL SELECT path, 'UPG030' FROM named WHERE regexp_matches(content, 'return|die|exit|skip|continue\\s*(?:;|//|#)', 'i') AND doc_id % 3 = 0)
-    SELECT path, rule_id FROM h"""
+UPGRADE_SQL = (
+    NAMED_SQL
+    + ", rules AS (SELECT * FROM (VALUES "
+    + ", ".join("('{}', '{}', '{}', {}, '{}')".format(i, s, c, "[" + ", ".join(f"'{n}'" for n in names) + "]", p.replace("'", "''")) for i, s, c, names, p in catalog.UPGRADE_RULES)
+    + ") AS v(rule_id, severity, category, names, pattern)), upgrade_hits AS (SELECT path, rule_id, severity, category FROM named, rules WHERE list_contains(names, list_last(string_split(path, '/'))) AND regexp_matches(content, pattern, 'i'))"
 )
+
+
+@query(f"WITH {UPGRADE_SQL} SELECT path, rule_id, severity, category FROM upgrade_hits")
 def upgrade_scan(spark, sf_dir):
-    return scan.upgrade_hits(_named(spark, sf_dir)).where(F.col("rule_id").isin("UPG020", "UPG030")).select("path", "rule_id")
+    return scan.upgrade_hits(_named(spark, sf_dir))
 
 
-@query(None)
+@query(
+    f"""WITH {UPGRADE_SQL} SELECT count(*) AS total, count(DISTINCT path) AS files, """
+    + ", ".join(f"coalesce(bool_or(category = '{k}'), false) AS {k}" for k in ("upgrade_hijack", "file_deletion_bypass", "persistence_injection", "skip_logic"))
+    + " FROM upgrade_hits"
+)
 def upgrade_report(spark, sf_dir):
     return scan.upgrade_report(scan.upgrade_hits(_named(spark, sf_dir)))
 
@@ -49,9 +58,9 @@ def tracked_files(spark, sf_dir):
     return scan.first_candidates(_named(spark, sf_dir), ["Upgrade.php", ".htaccess", ".user.ini"])
 
 
-@query(f"WITH {ENTROPY_SQL} SELECT path, entropy FROM e JOIN files USING (path) WHERE doc_id % 5 = 0 AND length(content) >= 100 AND entropy > 4.2")
+@query(f"WITH {ENTROPY_SQL} SELECT path, entropy FROM e JOIN files USING (path) WHERE length(content) >= 100 AND entropy > 4.2")
 def obfuscation_entropy(spark, sf_dir):
-    rows = files(spark, sf_dir).where("doc_id % 5 = 0").withColumn("content", F.concat(F.lit("<?php").cast("binary"), "content", F.lit("?>").cast("binary")))
+    rows = files(spark, sf_dir).withColumn("content", F.concat(F.lit("<?php").cast("binary"), "content", F.lit("?>").cast("binary")))
     return scan.obfuscated(rows, threshold=4.2)
 
 

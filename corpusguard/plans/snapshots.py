@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusguard.catalogs import files as catalog
 from corpusguard.functions import columns as C
-from corpusguard.operators import diff, manifest
+from corpusguard.operators import diff, manifest, rollup
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, SNAPSHOTS_SQL, files, planted, query, snapshots
+from corpusguard.sources import sinks
 
 
 def _diff(spark, sf_dir):
@@ -158,28 +159,19 @@ def _flagged(spark, sf_dir):
     return rows.select("path", manifest.anomalies(F.col("path"), F.col("content")).alias("anomalies"))
 
 
-@query(None)
+@query(f"WITH {FLAGGED_SQL} SELECT path, array_to_string(anomalies, ',') AS anomalies FROM flagged")
 def anomaly_flags(spark, sf_dir):
-    return _flagged(spark, sf_dir)
+    return _flagged(spark, sf_dir).withColumn("anomalies", F.array_join("anomalies", ","))
 
 
-@query(None)
+@query(f"WITH {FLAGGED_SQL}, a AS (SELECT path, unnest(anomalies) AS anomaly FROM flagged) SELECT {_case('anomaly', catalog.ANOMALY_ROUTES, 'unrouted')} AS field, count(DISTINCT path) AS n_files, min(path) AS first_path FROM a GROUP BY 1")
 def anomaly_routing(spark, sf_dir):
     return manifest.anomaly_routing(_flagged(spark, sf_dir))
 
 
-@query(
-    f"""WITH {PLANTED_SQL}, placed AS (
-        SELECT CASE doc_id % 4 WHEN 0 THEN 'uploads/' WHEN 1 THEN '.user.ini/' ELSE '' END || path || CASE doc_id % 9 WHEN 0 THEN '.php.jpg' WHEN 1 THEN '.phar' WHEN 2 THEN '-wal' ELSE '' END AS path FROM planted
-    ), a AS (
-        SELECT 'sqlite_sidecar_active_writes' AS anomaly FROM placed WHERE path LIKE '%-wal' UNION ALL SELECT 'anomalous_extension' FROM placed WHERE path LIKE '%.phar'
-        UNION ALL SELECT 'phar_archive' FROM placed WHERE path LIKE '%.phar' UNION ALL SELECT 'double_extension_php' FROM placed WHERE path LIKE '%.php.jpg'
-        UNION ALL SELECT 'php_in_upload_directory' FROM placed WHERE path LIKE 'uploads/%' AND (path LIKE '%.php' OR path LIKE '%.phar')
-    ) SELECT anomaly, count(*) AS n FROM a GROUP BY anomaly"""
-)
+@query(f"WITH {FLAGGED_SQL}, a AS (SELECT unnest(anomalies) AS anomaly FROM flagged) SELECT anomaly, count(*) AS n FROM a GROUP BY anomaly")
 def anomaly_counts(spark, sf_dir):
-    named = ["sqlite_sidecar_active_writes", "anomalous_extension", "phar_archive", "double_extension_php", "php_in_upload_directory"]
-    return manifest.anomaly_counts(_flagged(spark, sf_dir)).where(F.col("anomaly").isin(named))
+    return manifest.anomaly_counts(_flagged(spark, sf_dir))
 
 
 @query(f"WITH {FILES_SQL} SELECT path, doc_id % 3 = 0 OR (content <> '' AND length(regexp_replace(content[1:8192], '[^\\x00-\\x06\\x0E-\\x1A\\x1C-\\x1F\\x7F]', '', 'g')) > 0.3 * length(content[1:8192])) AS is_binary FROM files")
@@ -189,12 +181,19 @@ def binary_detect(spark, sf_dir):
     return files(spark, sf_dir).select("path", C.is_binary(short).alias("is_binary"))
 
 
-@query(
-    f"""WITH {FILES_SQL}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM files)
-    SELECT path, count(*) AS lines, count(*) FILTER (WHERE trim(line, E' \\t\\r\\x0b\\x0c') = '') AS blank FROM l GROUP BY path"""
+METRICS_SQL = (
+    FILES_SQL
+    + f""", marked AS (SELECT path, {EXT_SQL} AS ext, content || CASE doc_id % 3 WHEN 0 THEN chr(10) || '// one' WHEN 1 THEN chr(10) || '# two' ELSE chr(10) || '/* three */' END AS content FROM files),
+    l AS (SELECT path, ext, trim(unnest(string_split(content, chr(10))), E' \\t\\r\\x0b\\x0c') AS line, CASE WHEN contains(content, '/* ') OR contains(content, '<!--') THEN 1 ELSE 0 END AS _ FROM marked),
+    k AS (SELECT path, line, CASE WHEN line = '' THEN 'blank' WHEN ext = '.php' AND (line LIKE '//%' OR line LIKE '#%' OR contains(line, '/*')) THEN 'comment'
+        WHEN ext = '.js' AND (line LIKE '//%' OR contains(line, '/*')) THEN 'comment' ELSE 'code' END AS kind FROM l)"""
 )
+
+
+@query(f"WITH {METRICS_SQL} SELECT path, count(*) AS lines, count(*) FILTER (WHERE kind = 'blank') AS blank, count(*) FILTER (WHERE kind = 'comment') AS comments, count(*) FILTER (WHERE kind = 'code') AS code, sum(len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')))::BIGINT AS words, max(length(line)) AS longest, sum(length(line))::BIGINT AS stripped_chars FROM k GROUP BY path")
 def text_metrics(spark, sf_dir):
-    return manifest.text_metrics(files(spark, sf_dir)).select("path", "lines", "blank")
+    added = F.when(F.col("doc_id") % 3 == 0, "\n// one").when(F.col("doc_id") % 3 == 1, "\n# two").otherwise("\n/* three */")
+    return manifest.text_metrics(files(spark, sf_dir).withColumn("content", F.concat("content", added.cast("binary"))))
 
 
 @query(None)
@@ -229,15 +228,57 @@ def cvss_severity(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), C.severity_of_score(F.col("p_size")).alias("severity"))
 
 
+WORDS_SQL = "sum(len(list_filter(regexp_split_to_array(content, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')))"
+
+
 @query(
-    f"""WITH {FILES_SQL}, a AS (SELECT count(*) AS files, sum(length(content)) AS chars, sum(octet_length(encode(content))) AS bytes FROM files WHERE doc_id % 10 <> 0),
-    b AS (SELECT count(*) AS files, sum(length(content)) AS chars, sum(octet_length(encode(content))) AS bytes FROM files WHERE doc_id % 10 <> 1),
-    m AS (SELECT 'files' AS metric, a.files AS a, b.files AS b FROM a, b UNION ALL SELECT 'chars', a.chars, b.chars FROM a, b UNION ALL SELECT 'bytes', a.bytes, b.bytes FROM a, b)
+    f"""WITH {FILES_SQL}, a AS (SELECT count(*) AS files, sum(length(content)) AS chars, sum(octet_length(encode(content))) AS bytes, {WORDS_SQL} AS words FROM files WHERE doc_id % 10 <> 0),
+    b AS (SELECT count(*) AS files, sum(length(content)) AS chars, sum(octet_length(encode(content))) AS bytes, {WORDS_SQL} AS words FROM files WHERE doc_id % 10 <> 1),
+    m AS (SELECT 'files' AS metric, a.files AS a, b.files AS b FROM a, b UNION ALL SELECT 'chars', a.chars, b.chars FROM a, b UNION ALL SELECT 'bytes', a.bytes, b.bytes FROM a, b
+        UNION ALL SELECT 'words', a.words, b.words FROM a, b)
     SELECT metric, a::BIGINT AS a, b::BIGINT AS b, (b - a)::BIGINT AS delta, round(100.0 * (b - a) / a, 2) AS percent FROM m"""
 )
 def corpus_delta(spark, sf_dir):
-    from corpusguard.operators import rollup
-
     rows = files(spark, sf_dir).withColumn("text", F.col("content").cast("string"))
     parts = [rollup.corpus_metrics(rows.where(f"doc_id % 10 <> {k}"), str(k)) for k in (0, 1)]
-    return rollup.corpus_delta(*parts).where("metric <> 'words'")
+    return rollup.corpus_delta(*parts)
+
+
+@query(
+    f"""WITH {FILES_SQL}, m AS (SELECT sha256(path)[1:4] AS part, path || ':' || sha256(content) AS line FROM files), p AS (SELECT part, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(*) AS n FROM m GROUP BY part)
+    SELECT sum(n)::BIGINT AS files, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest FROM p"""
+)
+def corpus_digest(spark, sf_dir):
+    rows = files(spark, sf_dir).select("path", F.sha2("content", 256).alias("sha256"), F.length("content").alias("size_bytes"))
+    return sinks.package_digest(rows).select("files", F.col("package_sha256").alias("digest"))
+
+
+@query(
+    f"""WITH {SNAPSHOTS_SQL}, c AS (SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'modified') AS modified,
+        count(*) FILTER (WHERE status = 'identical') AS identical, count(*) FILTER (WHERE status IN ('added', 'modified')) AS delta FROM diff), f AS (SELECT count(*) AS findings,
+        count(*) FILTER (WHERE path LIKE '%.php' AND status = 'added') AS critical, count(*) FILTER (WHERE (path LIKE '%.js' AND status = 'added') OR (path LIKE '%.php' AND status = 'modified')) AS high FROM diff WHERE status <> 'identical')
+    SELECT c.*, f.*, added || ' added, ' || removed || ' removed, ' || modified || ' modified, ' || identical || ' identical; ' || findings || ' findings in ' || delta || ' files, ' || critical || ' critical, ' || high || ' high' AS summary FROM c, f"""
+)
+def audit_summary(spark, sf_dir):
+    compared = _diff(spark, sf_dir)
+    return diff.audit_summary(compared, diff.diff_findings(compared))
+
+
+@query(f"WITH {FILES_SQL} SELECT count(*) AS files, sum(octet_length(encode(content)))::BIGINT AS bytes, max(octet_length(encode(content))) AS largest, count(DISTINCT sha256(content)) AS distinct_contents FROM files")
+def manifest_totals(spark, sf_dir):
+    return manifest.totals(files(spark, sf_dir).select("path", F.length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256")))
+
+
+SKIPPED = {0: ".git/config/", 1: "a/node_modules/b/", 2: "edocs/", 3: "modules/x/", 4: "src/"}
+PLACED_SQL = FILES_SQL + f", placed AS (SELECT doc_id, {list(SKIPPED.values())}[(doc_id % 5 + 1)::INTEGER] || 'f' || doc_id || '.php' AS path FROM files)"
+
+
+def _placed(spark, sf_dir):
+    top = F.get(F.array(*map(F.lit, SKIPPED.values())), (F.col("doc_id") % 5).cast("int"))
+    return files(spark, sf_dir).withColumn("path", F.concat(top, F.lit("f"), F.col("doc_id").cast("string"), F.lit(".php")))
+
+
+@query(f"WITH {PLACED_SQL} SELECT path, doc_id % 5 IN (0, 1) AS skipped, doc_id % 5 IN (0, 2, 3) AS expected FROM placed")
+def path_filters(spark, sf_dir):
+    """Which paths manifests and diffs leave out, and which additions are expected."""
+    return _placed(spark, sf_dir).select("path", C.skipped(F.col("path")).alias("skipped"), diff.expected_addition(F.col("path")).alias("expected"))
