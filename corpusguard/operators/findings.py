@@ -111,12 +111,21 @@ def with_symbols(findings: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def linked_by_rule(static: DataFrame, runtime: DataFrame) -> DataFrame:
-    """``id, related_ids``: findings of two kinds with one rule, both ways, by an equi-join of the rules' id sets."""
-    a = static.groupBy("rule_id").agg(F.sort_array(F.collect_set("id")).alias("static_ids"))
-    b = runtime.groupBy("rule_id").agg(F.sort_array(F.collect_set("id")).alias("runtime_ids"))
-    both = a.join(b, "rule_id")
-    one = both.select(F.explode("static_ids").alias("id"), F.col("runtime_ids").alias("related_ids"))
-    return one.union(both.select(F.explode("runtime_ids").alias("id"), F.col("static_ids").alias("related_ids")))
+    """``id, rule_id, n_related``: findings of either kind whose rule the other kind has too, with the number of their partners.
+
+    All partners of a finding are those of its rule, so the rule stands for them: their
+    product is never built. :func:`related_ids` gives them for chosen findings.
+    """
+    sides = [df.select("id", "rule_id", F.lit(side).alias("side")) for side, df in enumerate((static, runtime))]
+    counts = sides[0].union(sides[1]).groupBy("rule_id").agg(*[F.countDistinct(F.when(F.col("side") == s, F.col("id"))).alias(f"n{s}") for s in (0, 1)])
+    counts = counts.where("n0 > 0 AND n1 > 0")
+    found = [df.join(counts, "rule_id").select("id", "rule_id", F.col(f"n{1 - side}").alias("n_related")) for side, df in enumerate(sides)]
+    return found[0].union(found[1])
+
+
+def related_ids(chosen: DataFrame, others: DataFrame) -> DataFrame:
+    """``id, related_id``: a row for each finding of the other kind with the rule of a chosen one."""
+    return chosen.select("id", "rule_id").join(others.select(F.col("id").alias("related_id"), "rule_id"), "rule_id").select("id", "related_id")
 
 
 def content_types(files: DataFrame, expected: dict[str, list[str]]) -> DataFrame:

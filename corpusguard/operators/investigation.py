@@ -197,6 +197,11 @@ def export_checks(texts: DataFrame, kind: str = "mime") -> DataFrame:
     return texts.where(~F.col(kind).contains("php")).withColumn("markers", F.array_join(found, ",")).where("markers <> ''")
 
 
+def counts_by_source(corroborated: DataFrame) -> DataFrame:
+    """``source, n, corroborated``: findings of each source, and those that another source confirms."""
+    return corroborated.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("corroborated_by") > 0).alias("corroborated"))
+
+
 def recommendations(rows: DataFrame) -> DataFrame:
     """``category, recommendation, severity, n``: distinct non-empty recommendations by category, with their worst severity."""
     kept = rows.where(F.coalesce("recommendation", F.lit("")) != "")

@@ -31,6 +31,11 @@ def scannable(path: Column, size: Column, limit: int = catalog.SCAN_LIMIT) -> Co
     return (C.extension(path).isin(catalog.SCANNABLE) | C.filename(path).isin(catalog.SCANNABLE)) & (size <= limit) & ~C.in_dirs(path, catalog.SKIP_DIRS)
 
 
+def rule_table(spark, rules=RULES) -> DataFrame:
+    """The rules as a table: ``rule_id, severity, category, pattern, cwe_id``."""
+    return spark.createDataFrame([(i, s, c, p, w) for i, s, c, p, w in rules], "rule_id string, severity string, category string, pattern string, cwe_id string")
+
+
 def rule_hits(files: DataFrame, rules=RULES) -> DataFrame:
     """``path, rule_id, severity, category``: which rules a file meets, comments included."""
     return _scanned(files, rules, whole=False).select("path", "rule_id", "severity", "category")
@@ -171,6 +176,11 @@ def sensitive_matches(lines: DataFrame, data_type: str, gate: bool = False) -> D
     return rows.select("path", "line", F.explode(found).alias("value"))
 
 
+def gated(lines: DataFrame) -> DataFrame:
+    """The lines that the quick gate lets pass to the scan for sensitive data."""
+    return lines.where(F.col("text").rlike(rule_catalog.QUICK_GATE))
+
+
 #: A line without any of these holds no sensitive data: each pattern needs one of them.
 SENSITIVE_SIGNS = r"""[0-9@=:'"]|[A-Fa-f]{32}|(?i:akia|eyj|begin\s)"""
 
@@ -190,7 +200,7 @@ def sensitive_scan(lines: DataFrame, gate: bool = False) -> DataFrame:
             rows = [(path, line, *hit) for path, line, text in zip(batch["path"], batch["line"], batch["text"]) for hit in scanner.scan(text)]
             yield pd.DataFrame(rows, columns=["path", "line", "column", "data_type", "category", "severity", "hipaa", "length", "snippet"])
 
-    rows = lines.where(F.col("text").rlike(rule_catalog.QUICK_GATE if gate else SENSITIVE_SIGNS))
+    rows = (gated(lines) if gate else lines).where(F.col("text").rlike(SENSITIVE_SIGNS))
     schema = "path string, line int, column int, data_type string, category string, severity string, hipaa boolean, length int, snippet string"
     return rows.select("path", "line", "text").mapInPandas(find, schema)
 

@@ -32,7 +32,9 @@ def origin(url: Column) -> Column:
 def page_links(pages: DataFrame) -> DataFrame:
     """``page_id, link, resolved``: every address in a page's attributes but data and script ones, resolved against the page."""
     names = "|".join(URL_ATTRIBUTES)
-    found = F.regexp_extract_all("html", F.lit(rf"""\b(?:{names})="([^"]*)\""""), F.lit(1))
+    # quoted either way or not at all; the quotes go afterwards
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = F.transform(F.regexp_extract_all("html", F.lit(rf"(?i)\s(?:{names})\s*=\s*{value}"), F.lit(1)), lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
     rows = pages.select("page_id", "url", F.explode(found).alias("link")).where(~F.col("link").rlike("(?i)^(data|javascript):"))
     link, base = F.col("link"), F.regexp_extract("url", r"^([^?#]*/)", 1)
     resolved = (

@@ -12,8 +12,8 @@ from corpusguard.functions.session import shared_folder
 from corpusguard.operators import findings, investigation, manifest, rollup, scan
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, files, planted, query
 from corpusguard.plans.reports import NAMED_SQL, _named
-from corpusguard.plans.scans import UNIFIED_SQL, _findings, _quoted
-from corpusguard.sources import sinks
+from corpusguard.plans.scans import LINES_SQL, UNIFIED_SQL, _findings, _quoted
+from corpusguard.sources import interop, sinks
 
 PLANTED_LINES_SQL = PLANTED_SQL + ", l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(len(string_split(content, chr(10)))))::INTEGER + 1 AS line FROM planted)"
 
@@ -311,3 +311,91 @@ def severity_scores(spark, sf_dir):
 )
 def mismatch_findings(spark, sf_dir):
     return findings.from_mismatches(findings.content_types(planted(spark, sf_dir), EXPECTED)).select("path", "severity", "category", "line")
+
+
+SARIF_SQL = FILES_SQL + """, results AS (SELECT path, doc_id, 'r' || doc_id % 7 AS rule_id, ['error', 'warning', 'note', 'none'][(doc_id % 4 + 1)::INTEGER] AS level, 'Possible sql issue ' || doc_id % 3 AS message,
+    CASE WHEN doc_id % 6 = 5 THEN '' ELSE path END AS uri, CASE WHEN doc_id % 6 = 5 THEN 0 ELSE (doc_id % 90 + 10)::INTEGER END AS start_line,
+    CASE WHEN doc_id % 3 = 0 THEN 'CWE-' || (doc_id % 80 + 1) WHEN doc_id % 3 = 1 THEN 'CWE-79' ELSE '' END AS cwe_id FROM files)"""
+
+
+def _documents(spark, sf_dir):
+    """A document of the interchange format for each file: one result, a rule, notes of the run."""
+    n, lit = F.col("doc_id"), F.lit
+    text = lambda c: F.struct(c.alias("text"))
+    taxa = F.when(n % 3 == 0, F.array(F.struct((n % 80 + 1).cast("string").alias("id"), F.struct(lit("cwe").alias("name")).alias("toolComponent"))))
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct((n % 90 + 10).cast("int").alias("startLine")).alias("region")).alias("physicalLocation"))
+    level = F.get(F.array(*map(lit, ["error", "warning", "note", "none"])), (n % 4).cast("int"))
+    result = F.struct(
+        F.concat(lit("r"), (n % 7).cast("string")).alias("ruleId"), level.alias("level"), text(F.concat(lit("Possible sql issue "), (n % 3).cast("string"))).alias("message"), taxa.alias("taxa"),
+        F.when(n % 3 == 1, F.struct(lit("79").alias("cwe"))).alias("properties"), F.when(n % 6 != 5, F.array(place)).alias("locations"),
+    )
+    rule = F.struct(F.concat(lit("r"), (n % 7).cast("string")).alias("id"), F.concat(lit("Rule "), (n % 7).cast("string")).alias("name"))
+    notes = F.array(F.struct(text(F.when(n % 9 == 0, "broken file").otherwise("")).alias("message")))
+    run = F.struct(
+        F.struct(F.struct(lit("scan").alias("name"), F.array(rule).alias("rules")).alias("driver")).alias("tool"), F.array(result, result).alias("results"),
+        F.array(F.struct(F.struct(F.concat(lit("extra/"), "path").alias("uri")).alias("location"))).alias("artifacts"), F.array(F.struct(notes.alias("toolExecutionNotifications"))).alias("invocations"),
+    )
+    return interop.parse_sarif(files(spark, sf_dir).select(F.col("path").alias("file"), F.to_json(F.struct(F.array(run).alias("runs"))).alias("json")))
+
+
+@query(f"WITH {SARIF_SQL} SELECT path AS file, rule_id, level, message, uri, start_line, cwe_id FROM results, range(2)")
+def sarif_minimal(spark, sf_dir):
+    """All results of all documents, with the minimal location and the weakness from either place."""
+    return interop.sarif_results(_documents(spark, sf_dir), 0, "minimal").drop("run", "pos")
+
+
+@query(f"WITH {SARIF_SQL} SELECT path AS file, rule_id, uri FROM results")
+def sarif_first_results(spark, sf_dir):
+    return interop.sarif_results(_documents(spark, sf_dir), 1).select("file", "rule_id", "uri")
+
+
+@query(f"WITH {SARIF_SQL} SELECT path AS file, rule_id, 'Rule ' || rule_id[2:] AS name FROM results")
+def sarif_rules(spark, sf_dir):
+    return interop.sarif_rules(_documents(spark, sf_dir))
+
+
+@query(f"WITH {SARIF_SQL} SELECT path AS file, 'broken file' AS error FROM results WHERE doc_id % 9 = 0")
+def sarif_errors(spark, sf_dir):
+    return interop.sarif_errors(_documents(spark, sf_dir))
+
+
+@query(f"WITH {SARIF_SQL} SELECT path AS file, 'extra/' || path AS uri FROM results UNION ALL SELECT path, path FROM results WHERE doc_id % 6 <> 5")
+def sarif_all_files(spark, sf_dir):
+    return interop.sarif_files(_documents(spark, sf_dir))
+
+
+@query(f"WITH {SARIF_SQL} SELECT path AS file, regexp_replace(uri, '^/+', '') AS uri FROM results WHERE uri <> ''")
+def sarif_processed(spark, sf_dir):
+    """Named steps in order; one of them is not known."""
+    return interop.post_processed(interop.sarif_results(_documents(spark, sf_dir)), ["located", "unheard of", "relative", "distinct"]).select("file", "uri")
+
+
+@query(
+    f"""WITH {SARIF_SQL} SELECT 'SEMGREP-' || substr(sha256('semgrep:' || rule_id || ':' || uri || ':' || start_line), 1, 12) AS id, CASE level WHEN 'error' THEN 'HIGH' WHEN 'warning' THEN 'MEDIUM' WHEN 'note' THEN 'LOW' ELSE 'INFO' END AS severity,
+    'other' AS category, cwe_id, uri AS path, start_line AS line FROM results"""
+)
+def sarif_findings(spark, sf_dir):
+    return findings.from_sarif(interop.sarif_results(_documents(spark, sf_dir), 1), "semgrep").select("id", "severity", "category", "cwe_id", "path", "line")
+
+
+@query(
+    f"""WITH {UNIFIED_SQL}, s AS (SELECT source, unnest(CASE WHEN source = 'scan' THEN [1, 2] ELSE [1] END) AS copy FROM (SELECT *, 'scan' AS source FROM findings))
+    SELECT 'scan' AS source, count(*) AS n, count(*) FILTER (WHERE severity = 'CRITICAL') AS corroborated FROM findings UNION ALL SELECT 'runtime', count(*), count(*) FROM findings WHERE severity = 'CRITICAL'"""
+)
+def counts_by_source(spark, sf_dir):
+    sources = F.when(F.col("severity") == "CRITICAL", F.array(F.lit("scan"), F.lit("runtime"))).otherwise(F.array(F.lit("scan")))
+    rows = _findings(spark, sf_dir).withColumn("source", F.explode(sources)).withColumn("line", F.abs(F.hash("rule_id")) + 1)
+    return investigation.counts_by_source(findings.corroborated(rows))
+
+
+@query(f"WITH {LINES_SQL} SELECT path, line FROM lines WHERE regexp_matches(text, '@|\(\d{{3}}\)|\+1\d{{10}}|\d{{4}}[\s\-]?\d{{4}}[\s\-]?\d{{4}}|\d{{3}}[\-]\d{{2}}[\-]\d{{4}}|AKIA|BEGIN.{{0,10}}PRIVATE|password|passwd|pwd|\$hostname|\$db|\$username|aws_secret|eyJ[A-Za-z0-9_\-]{{10}}|dob|birth|mrn|medical.record|patient_name|first_name|last_name|patientName|firstName|lastName|[A-Za-z0-9+/]{{50}}|[0-9a-fA-F]{{32}}', 'i')")
+def gated_lines(spark, sf_dir):
+    """The lines that the quick gate lets pass."""
+    return scan.gated(scan.lines_of(files(spark, sf_dir))).select("path", "line")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{s}', '{c}')" for i, s, c, _, _ in scan.RULES) + ") v(rule_id, severity, category)")
+def rule_catalog(spark, sf_dir):
+    """The rules as a table, those that the corpus could meet first; every rule is listed whatever the corpus holds."""
+    met = scan.rule_hits(planted(spark, sf_dir)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return scan.rule_table(spark).join(met, "rule_id", "left").orderBy(F.desc("n"), "rule_id").select("rule_id", "severity", "category")

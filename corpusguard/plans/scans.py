@@ -219,19 +219,14 @@ def corroboration(spark, sf_dir):
 
 
 @query(
-    f"""WITH {UNIFIED_SQL}, r AS (SELECT DISTINCT rule_id, category AS name FROM findings WHERE severity = 'CRITICAL'),
-    n AS (SELECT rule_id, count(DISTINCT id) AS n FROM findings GROUP BY rule_id)
-    SELECT id, n FROM findings JOIN n USING (rule_id) WHERE rule_id IN (SELECT rule_id FROM r)
-    UNION ALL SELECT 'R' || id, n FROM findings JOIN n USING (rule_id) WHERE severity = 'CRITICAL'"""
+    f"""WITH {UNIFIED_SQL}, c AS (SELECT * FROM findings WHERE severity IN ('CRITICAL', 'HIGH')), r AS (SELECT * FROM findings WHERE severity = 'CRITICAL' AND length(path) % 2 = 0),
+    n AS (SELECT rule_id, count(DISTINCT id) AS n FROM c GROUP BY rule_id), m AS (SELECT rule_id, count(DISTINCT id) AS n FROM r GROUP BY rule_id)
+    SELECT id, rule_id, m.n AS n_related FROM c JOIN m USING (rule_id) UNION ALL SELECT 'R' || id, rule_id, n.n FROM r JOIN n USING (rule_id)"""
 )
 def runtime_static_link(spark, sf_dir):
-    """Links by rule, with the number of related findings in place of their ids, which is the product of both sides."""
-    rows = _findings(spark, sf_dir).select("id", "rule_id", "severity")
-    n = rows.groupBy("rule_id").agg(F.countDistinct("id").alias("n"))
-    runtime = rows.where("severity = 'CRITICAL'")
-    met = rows.join(runtime.select("rule_id").distinct(), "rule_id", "left_semi")
-    both = met.select("id", "rule_id").union(runtime.select(F.concat(F.lit("R"), "id").alias("id"), "rule_id"))
-    return both.join(n, "rule_id").select("id", "n")
+    rows = _findings(spark, sf_dir).select("id", "rule_id", "severity", "path")
+    runtime = rows.where("severity = 'CRITICAL' AND length(path) % 2 = 0").withColumn("id", F.concat(F.lit("R"), "id"))
+    return findings.linked_by_rule(rows.where("severity IN ('CRITICAL', 'HIGH')"), runtime)
 
 
 @query(

@@ -14,7 +14,7 @@ from corpusguard.streaming import operators as streams
 
 LINKS_SQL = """
     links AS (
-        SELECT page_id, url, unnest(regexp_extract_all(html, '\\b(?:href|src|action)="([^"]*)"', 1)) AS link FROM pages
+        SELECT page_id, url, unnest(regexp_extract_all(html, '\\s(?:href|src|action)\\s*=\\s*["'']([^"'']*)["'']', 1, 'i')) AS link FROM pages
     ), resolved AS (
         SELECT page_id, link, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN link LIKE '//%' THEN regexp_extract(url, '^([^:]*:)', 1) || link
             WHEN link LIKE '/%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || link ELSE regexp_extract(url, '^([^?#]*/)', 1) || link END AS resolved
@@ -109,10 +109,15 @@ def _drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and returns its output table."""
     spark = stream.sparkSession
     folder = _folder(spark)
-    write = lambda rows, batch: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        """A batch that is retried replaces what its first attempt wrote."""
+        rows.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={batch}")
+
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    found = spark.read.parquet(f"{folder}/out")
+    return found.drop("batch") if mode != "complete" else found
 
 
 @query(f"SELECT date_trunc('hour', ts)::TIMESTAMP AS \"start\", {SUMMARY_SQL} FROM events GROUP BY 1")

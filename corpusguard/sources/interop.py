@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,20 +40,45 @@ def parse_sarif(documents: DataFrame, column: str = "json") -> DataFrame:
     return documents.withColumn("runs", F.from_json(column, SARIF)["runs"]).drop(column)
 
 
-def sarif_results(documents: DataFrame, max_results: int | None = None) -> DataFrame:
-    """A row per result, with its first location and weakness; ``max_results`` keeps the first of each file."""
+def _full_location(place: Column) -> list[Column]:
+    region = place["region"]
+    names = (("startLine", "start_line"), ("endLine", "end_line"), ("startColumn", "start_column"), ("endColumn", "end_column"))
+    return [*_minimal_location(place)[:1], *[F.coalesce(region[k], F.lit(0)).alias(n) for k, n in names]]
+
+
+def _minimal_location(place: Column) -> list[Column]:
+    return [F.coalesce(place["artifactLocation"]["uri"], F.lit("")).alias("uri"), F.coalesce(place["region"]["startLine"], F.lit(0)).alias("start_line")]
+
+
+#: What is told of a result's first location, by name; add to it to register another.
+LOCATION_STRATEGIES = {"full": _full_location, "minimal": _minimal_location}
+#: Steps over result tables by name; add to it to register one. Names and order of those built in.
+POST_PROCESSORS = {
+    "located": lambda rows: rows.where("uri <> ''"),
+    "relative": lambda rows: rows.withColumn("uri", F.regexp_replace("uri", r"^(?:file:)?/+", "")),
+    "distinct": lambda rows: rows.dropDuplicates([c for c in ("rule_id", "uri", "start_line", "message") if c in rows.columns]),
+}
+
+
+def post_processed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` after the named steps in the given order; names that nobody registered are skipped."""
+    for name in names:
+        if name in POST_PROCESSORS:
+            rows = rows.transform(POST_PROCESSORS[name])
+    return rows
+
+
+def sarif_results(documents: DataFrame, max_results: int = 0, strategy: str = "full") -> DataFrame:
+    """A row per result, with its first location by the ``strategy`` and its weakness; ``max_results`` keeps the first of each file (0: all)."""
     rows = documents.select("file", F.posexplode("runs").alias("run", "r")).select("file", "run", F.posexplode("r.results").alias("pos", "x"))
-    if max_results is not None:
+    if max_results:
         order = Window.partitionBy("file").orderBy("run", "pos")
         rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_results).drop("_n")
     place = F.get("x.locations", F.lit(0))["physicalLocation"]
     taxon = F.get(F.filter("x.taxa", lambda t: (F.lower(t["toolComponent"]["name"]) == "cwe") & (F.coalesce(t["id"], F.lit("")) != "")), F.lit(0))["id"]
-    region = place["region"]
     return rows.select(
-        "file", "run", "pos", F.coalesce("x.ruleId", F.lit("")).alias("rule_id"), F.coalesce("x.level", F.lit("warning")).alias("level"),
-        F.coalesce("x.message.text", F.lit("")).alias("message"), F.coalesce(place["artifactLocation"]["uri"], F.lit("")).alias("uri"),
-        *[F.coalesce(region[k], F.lit(0)).alias(n) for k, n in (("startLine", "start_line"), ("endLine", "end_line"), ("startColumn", "start_column"), ("endColumn", "end_column"))],
-        C.weakness_id(F.coalesce(taxon, F.col("x.properties.cwe"))).alias("cwe_id"),
+        "file", "run", "pos", F.coalesce("x.ruleId", F.lit("")).alias("rule_id"), F.coalesce("x.level", F.lit("warning")).alias("level"), F.coalesce("x.message.text", F.lit("")).alias("message"),
+        *LOCATION_STRATEGIES[strategy](place), C.weakness_id(F.coalesce(taxon, F.col("x.properties.cwe"))).alias("cwe_id"),
     )
 
 
@@ -146,23 +172,48 @@ def archive_guard(members: DataFrame, max_member: int = 500 << 20, max_ratio: fl
     return members.join(totals, "archive").select("archive", "member", verdict.alias("verdict"))
 
 
-def archive_members(archives: DataFrame) -> DataFrame:
-    """``archive, archive_size, member, size, content`` of ``archives(path, content)``: ZIP and TAR files, opened in the tasks."""
-
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def archive_members(archives: DataFrame, max_member: int = 500 << 20, max_ratio: float = 100.0) -> DataFrame:
+    """``archive, archive_size, member, size, content`` of ``archives(path, content)``: ZIP and TAR files, opened in the tasks.
+
+    Sizes come from the directory, before anything is decompressed: members over
+    ``max_member`` bytes have a null content, and so do all members of an archive whose
+    directory promises more than ``max_ratio`` times its size. A member that is larger
+    than it says, encrypted or damaged has a null content too; an archive that cannot be
+    read has one row with a null member. Members leave a task one by one.
+    """
+
+    def directory(data: io.BytesIO):
+        """Members as (name, size, opener)."""
+        if zipfile.is_zipfile(data):
+            archive = zipfile.ZipFile(data)
+            return [(i.filename, i.file_size, lambda i=i: archive.open(i)) for i in archive.infolist() if not i.is_dir()]
+        data.seek(0)
+        archive = tarfile.open(fileobj=data)
+        return [(m.name, m.size, lambda m=m: archive.extractfile(m)) for m in archive if m.isfile()]
+
+    def content_of(opener, size: int) -> bytes | None:
+        try:
+            with opener() as f:
+                content = f.read(size + 1)
+            return content if len(content) <= size else None
+        except (RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error, tarfile.TarError, EOFError, OSError):
+            return None
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows, data = [], io.BytesIO(content)
-                if zipfile.is_zipfile(data):
-                    with zipfile.ZipFile(data) as z:
-                        rows = [(path, len(content), i.filename, i.file_size, z.read(i)) for i in z.infolist() if not i.is_dir()]
-                else:
-                    data.seek(0)
-                    with tarfile.open(fileobj=data) as t:
-                        rows = [(path, len(content), m.name, m.size, t.extractfile(m).read()) for m in t if m.isfile()]
-                yield pd.DataFrame(rows, columns=["archive", "archive_size", "member", "size", "content"])
-
-    return archives.select("path", "content").mapInPandas(opened, "archive string, archive_size long, member string, size long, content binary")
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    members = directory(io.BytesIO(content))
+                except (zipfile.BadZipFile, tarfile.TarError, EOFError, zlib.error):
+                    members = [(None, None, None)]
+                bomb = sum(size or 0 for _, size, _ in members) > max_ratio * max(1, len(content))
+                for name, size, opener in members:
+                    data = None if bomb or size is None or size > max_member else content_of(opener, size)
+                    row = {"archive": path, "archive_size": len(content), "member": name, "size": size, "content": data}
+                    yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    kinds = pa.schema([("archive", pa.string()), ("archive_size", pa.int64()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
+    return archives.select("path", "content").mapInArrow(opened, "archive string, archive_size long, member string, size long, content binary")
 
 
 def root_directory(paths: DataFrame, markers: list[str]) -> DataFrame:

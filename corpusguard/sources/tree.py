@@ -12,8 +12,10 @@ from corpusguard.catalogs import files as catalog
 class TreeSource(DataSource):
     """``spark.read.format("filetree").option("root", dir)``: ``path, content, length`` of every file below a shared folder.
 
-    Options: ``maxBytes`` (larger files are not read), ``batch`` (files to a partition).
-    Skipped directories are not walked; sizes are judged before any byte is read.
+    Options: ``maxBytes`` (larger files are not read), ``depth`` (how many levels the
+    driver lists; the tasks walk what lies below). The driver holds directories of these
+    levels and no file names. Skipped directories are not walked; sizes are judged before
+    any byte is read, and files that go meanwhile are left out.
     """
 
     @classmethod
@@ -29,20 +31,29 @@ class TreeSource(DataSource):
 
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root, self.limit, self.batch = options["root"], int(options.get("maxbytes", catalog.HASH_LIMIT)), int(options.get("batch", 256))
+        self.root, self.limit, self.depth = options["root"], int(options.get("maxbytes", catalog.HASH_LIMIT)), int(options.get("depth", 2))
 
     def partitions(self):
-        found = []
-        for top, dirs, names in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if d not in catalog.DIFF_SKIP_DIRS)
-            found += [os.path.join(top, n) for n in sorted(names) if os.path.getsize(os.path.join(top, n)) <= self.limit]
-        return [InputPartition(found[i : i + self.batch]) for i in range(0, len(found), self.batch)] or [InputPartition([])]
+        """The directories of the upper levels by themselves, those at ``depth`` with all below them."""
+        found, level = [], [self.root]
+        for _ in range(self.depth):
+            found += [InputPartition((d, False)) for d in level]
+            level = [e.path for d in level for e in sorted(os.scandir(d), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and e.name not in catalog.DIFF_SKIP_DIRS]
+        return found + [InputPartition((d, True)) for d in level]
 
     def read(self, partition):
-        for path in partition.value:
-            with open(path, "rb") as f:
-                content = f.read()
-            yield os.path.relpath(path, self.root).replace(os.sep, "/"), content, len(content)
+        top, below = partition.value
+        for folder, dirs, names in os.walk(top):
+            dirs[:] = sorted(d for d in dirs if d not in catalog.DIFF_SKIP_DIRS) if below else []
+            for path in (os.path.join(folder, n) for n in sorted(names)):
+                try:
+                    if os.path.getsize(path) > self.limit:
+                        continue
+                    with open(path, "rb") as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                yield os.path.relpath(path, self.root).replace(os.sep, "/"), content, len(content)
 
 
 def register(spark) -> None:

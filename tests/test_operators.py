@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
-from corpusguard.operators import diff, findings, manifest, rollup, scan, web
-from corpusguard.sources import interop, tree
+from corpusguard.operators import diff, findings, investigation, manifest, rollup, scan, web
+from corpusguard.sources import interop, sinks, tree
 from corpusguard.streaming import operators as streams
 
 
@@ -169,8 +169,13 @@ def test_symbols_and_dedupe(spark):
     by = {(r.source, r.line): (r.corroborated_by, r.confidence) for r in findings.corroborated(unified.unionByName(other)).collect()}
     assert by["scan", 3] == (["other"], "CONFIRMED") and by["scan", 0] == ([], "MEDIUM")
     assert [r.seq_id for r in findings.numbered(unified, "rule_id", "seq").orderBy("seq_id").collect()] == ["INV-001", "INV-002", "INV-003"]
-    links = {r.id: r.related_ids for r in findings.linked_by_rule(unified.where("rule_id = 'R2'"), other.where("rule_id = 'R2'").withColumn("id", F.lit("D"))).collect()}
-    assert links["D"] == [unified.where("rule_id = 'R2'").first().id]
+    static, runtime = unified.where("rule_id = 'R2'"), other.where("rule_id = 'R2'").withColumn("id", F.lit("D"))
+    own = static.first().id
+    assert {(r.id, r.n_related) for r in findings.linked_by_rule(static, runtime).collect()} == {("D", 1), (own, 1)}
+    assert [tuple(r) for r in findings.related_ids(runtime, static).collect()] == [("D", own)]
+    assert findings.linked_by_rule(static, runtime.where("false")).count() == 0
+    first = rollup.suspicious_files(spark.createDataFrame([("p", "s", r, v) for r, v in (("A", "LOW"), ("B", "CRITICAL"), ("C", "HIGH"))], "path string, source string, rule_id string, severity string"), max_signals=2)
+    assert first.first().signals == ["s:B", "s:C"]
 
 
 def test_risk_ladder(spark):
@@ -183,8 +188,9 @@ def test_tree_source_keeps_dotfiles(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(b"x" * (2000 if name == "large.bin" else 3))
     tree.register(spark)
-    found = spark.read.format("filetree").option("root", str(tmp_path)).option("maxBytes", 1000).load()
-    assert {(r.path, r.length) for r in found.collect()} == {(".htaccess", 3), ("_x.php", 3), ("a/b.txt", 3)}
+    for depth in (0, 1, 2):
+        found = spark.read.format("filetree").option("root", str(tmp_path)).option("maxBytes", 1000).option("depth", depth).load()
+        assert sorted((r.path, r.length) for r in found.collect()) == [(".htaccess", 3), ("_x.php", 3), ("a/b.txt", 3)]
 
 
 def test_archives(spark):
@@ -201,6 +207,42 @@ def test_archives(spark):
     assert {(r.member, r.verdict) for r in interop.archive_guard(members).collect()} == {("a.txt", "quarantined"), ("../evil", "unsafe_name"), ("b.txt", "ok")}
 
 
+def test_archives_that_cannot_be_trusted(spark):
+    bomb, odd = io.BytesIO(), io.BytesIO()
+    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as f:
+        f.writestr("zeros", b"\0" * 1_000_000)
+    with zipfile.ZipFile(odd, "w") as f:
+        f.writestr("big", "x" * 50)
+        f.writestr("ok", "fine")
+        f.writestr("damaged", "content")
+    damaged = odd.getvalue().replace(b"content", b"c0ntent")
+    found = interop.archive_members(frame(spark, {"bomb.zip": bomb.getvalue(), "odd.zip": damaged, "no.zip": b"PK nothing", "empty": b""}), max_member=20)
+    told = {(r.archive, r.member): r.content and bytes(r.content) for r in found.collect()}
+    assert told == {("bomb.zip", "zeros"): None, ("odd.zip", "big"): None, ("odd.zip", "ok"): b"fine", ("odd.zip", "damaged"): None, ("no.zip", None): None, ("empty", None): None}
+
+
+def test_investigation_edges(spark):
+    none = spark.createDataFrame([], "path string, content binary")
+    odd = spark.createDataFrame([("a.php", None), ("b.php", b"\xff eval($x)"), ("c.jpg", b"\xff\xd8 <?php"), (None, b"eval($x)")], "path string, content binary")
+    assert {(r.path, r.type) for r in investigation.dangerous_calls(odd).collect()} == {("b.php", "eval_usage"), (None, "eval_usage")}
+    assert [r.path for r in investigation.polyglot_images(odd).collect()] == ["c.jpg"]
+    assert investigation.dangerous_calls(none).count() == 0 and investigation.database_report(investigation.database_artifacts(none, ["x.db"])).first().total == 0
+    assert sinks.package_digest(none.select("path", F.lit("").alias("sha256"), F.lit(1).alias("size_bytes"))).first().files == 0
+    empty = spark.createDataFrame([], "severity string, conclusiveness string")
+    assert investigation.risk(empty).first().risk == "CLEAN"
+    level = lambda *x: investigation.risk(spark.createDataFrame(list(x), empty.schema)).first().risk
+    assert [level(("LOW", "conclusive")), level(*[("LOW", "suspicious")] * 3), level(("LOW", "suspicious")), level(("LOW", "informational"))] == ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+    severity = lambda *x: one(spark, investigation.mismatch_severity(*map(F.lit, x)))
+    assert [severity("txt", "php", 1.0), severity("html", "php", 1.0), severity("go", "shell", 0.1), severity("go", "pdf", 0.1), severity("go", "pdf", 0.9), severity("", "pdf", 0.9)] == ["critical", "suspicious", "suspicious", "info", "suspicious", "none"]
+
+
+def test_sinks_write_the_most_severe_first(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{i}", s, i, "R") for i, s in enumerate(["LOW", "CRITICAL", "INFO", "HIGH", "CRITICAL"])], "path string, severity string, line int, rule_id string")
+    sinks.save_findings(rows, str(tmp_path / "f"))
+    lines = [line for part in sorted((tmp_path / "f").glob("part-*")) for line in part.read_text().splitlines()]
+    assert [re.search('"severity":"(.*?)"', x)[1] for x in lines] == ["CRITICAL", "CRITICAL", "HIGH", "LOW", "INFO"]
+
+
 SARIF = """{"runs":[{"tool":{"driver":{"name":"t","rules":[{"id":"R1","name":"n"}]}},"artifacts":[{"location":{"uri":"only.php"}}],
 "invocations":[{"toolExecutionNotifications":[{"message":{"text":"boom"}},{"message":{"text":""}}]}],
 "results":[{"ruleId":"R1","level":"error","message":{"text":"m"},"taxa":[{"id":"89","toolComponent":{"name":"cwe"}}],
