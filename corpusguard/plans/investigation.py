@@ -388,7 +388,7 @@ def counts_by_source(spark, sf_dir):
     return investigation.counts_by_source(findings.corroborated(rows))
 
 
-@query(f"WITH {LINES_SQL} SELECT path, line FROM lines WHERE regexp_matches(text, '@|\(\d{{3}}\)|\+1\d{{10}}|\d{{4}}[\s\-]?\d{{4}}[\s\-]?\d{{4}}|\d{{3}}[\-]\d{{2}}[\-]\d{{4}}|AKIA|BEGIN.{{0,10}}PRIVATE|password|passwd|pwd|\$hostname|\$db|\$username|aws_secret|eyJ[A-Za-z0-9_\-]{{10}}|dob|birth|mrn|medical.record|patient_name|first_name|last_name|patientName|firstName|lastName|[A-Za-z0-9+/]{{50}}|[0-9a-fA-F]{{32}}', 'i')")
+@query(rf"WITH {LINES_SQL} SELECT path, line FROM lines WHERE regexp_matches(text, '@|\(\d{{3}}\)|\+1\d{{10}}|\d{{4}}[\s\-]?\d{{4}}[\s\-]?\d{{4}}|\d{{3}}[\-]\d{{2}}[\-]\d{{4}}|AKIA|BEGIN.{{0,10}}PRIVATE|password|passwd|pwd|\$hostname|\$db|\$username|aws_secret|eyJ[A-Za-z0-9_\-]{{10}}|dob|birth|mrn|medical.record|patient_name|first_name|last_name|patientName|firstName|lastName|[A-Za-z0-9+/]{{50}}|[0-9a-fA-F]{{32}}', 'i')")
 def gated_lines(spark, sf_dir):
     """The lines that the quick gate lets pass."""
     return scan.gated(scan.lines_of(files(spark, sf_dir))).select("path", "line")

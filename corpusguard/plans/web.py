@@ -126,15 +126,22 @@ def stream_request_windows(spark, sf_dir):
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "total", "posts", "external", "errors")
 
 
-@query(None)
+@query(
+    """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE AS fresh FROM events),
+    s AS (SELECT user_id, ts, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM e),
+    w AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM s GROUP BY user_id, n)
+    SELECT user_id, start, "end", events FROM w WHERE "end" <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+)
 def stream_sessions(spark, sf_dir):
-    return _drained(streams.user_sessions(_requests(_stream(spark, sf_dir))), "append")
+    """Sessions that had ended when the stream did: two hours before its last event at the latest."""
+    rows = _drained(streams.user_sessions(_requests(_stream(spark, sf_dir))), "append")
+    return rows.select("user_id", *[F.col(f"session_window.{b}").cast("timestamp_ntz").alias(b) for b in ("start", "end")], "events")
 
 
-@query(None)
+@query("SELECT DISTINCT user_id || '|https://' || CASE WHEN user_id % 10 = 0 THEN 'cdn.other.test' ELSE 'app.site.test' END || '/' || event_type AS fingerprint FROM events")
 def stream_dedupe(spark, sf_dir):
     rows = _requests(_stream(spark, sf_dir)).withColumn("fingerprint", F.concat_ws("|", "user_id", "url"))
-    return _drained(streams.first_seen(rows), "append")
+    return _drained(streams.first_seen(rows), "append").select("fingerprint")
 
 
 @query("SELECT 'u' || user_id AS path, max_by(event_type, (ts, event_type)) AS hash FROM events GROUP BY user_id")
