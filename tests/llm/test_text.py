@@ -22,6 +22,8 @@ def test_bpe_as_tiktoken_and_round_trip(awkward, nothing, small):
         both = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN).withColumn("back", byte_bpe.decode(F.col("ids"), RANKS)).collect()
         texts = [r.text or "" for r in docs.collect()]
         assert sorted((r.doc_id or -1, list(r.ids), bytes(r.back).decode()) for r in both) == sorted(((d.doc_id or -1, encoding.encode_ordinary(t), t) for d, t in zip(docs.collect(), texts)))
+    long = awkward.where("doc_id = 8")
+    assert [bytes(r.back).decode() == r.text for r in byte_bpe.encode(long, RANKS, public_tokenizers.PATTERN).select("doc_id", byte_bpe.decode(F.col("ids"), RANKS).alias("back")).join(long, "doc_id").collect()] == [True]
     assert rows(byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN)) == []
 
 
@@ -107,6 +109,14 @@ def test_more_items_than_a_scan_holds(spark, monkeypatch, small):
     assert sorted(rows(decontaminate.contaminated(small, benchmark))) == one
 
 
+def test_fixity_of_any_records(awkward, nothing):
+    fields = ("lang", "doc_id", ("text", "lang"))
+    assert rows(merkle.fixity_audit(awkward, awkward, *fields)) == [] and rows(merkle.fixity_audit(nothing, nothing, *fields)) == []
+    changed = awkward.withColumn("text", F.when(F.col("doc_id") == 7, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    assert [(r.archive, r.pos, r.status) for r in merkle.fixity_audit(awkward, changed, *fields).collect()] == [("f", 7, "altered")]
+    assert {r.status for r in merkle.fixity_audit(awkward, nothing, *fields).collect()} == {"missing"}
+
+
 def test_fixity(spark, nothing):
     a = spark.createDataFrame([("w", 1, "x"), ("w", 2, "y"), ("w", 2, "y"), ("w", None, "n"), (None, 900, ""), ("v", 5000, None), ("v", 70000, "z")], "archive string, pos long, body string")
     same = merkle.fixity_audit(a, a, "archive", "pos", ("body",))
@@ -195,6 +205,60 @@ def test_doubled_letters_and_other_separators_are_restored(model, disguised, pla
     assert any(w.startswith(plain) for w in toxicity.words_of(disguised, model.tolist()))
 
 
+def readings(token, costs):
+    """All readings of a token with their costs, one by one."""
+    import itertools
+
+    token, code = token.lower(), toxicity._CODE
+    choices = []
+    for i, o in enumerate(token):
+        if o == " ":
+            choices.append([("", 0.0), (" ", 0.0)])
+            continue
+        before = next((x for x in reversed(token[:i]) if x != " "), "")
+        each = [(o, 0.0)] if o in code else []
+        each += [(x, toxicity.SWAPPED) for x in toxicity.LEET.get(o, "")]
+        if o not in code:
+            each.append(("", toxicity.INSERTED if o in toxicity.LEET else toxicity.SEPARATED))
+        elif o == before:
+            each.append(("", toxicity.REPEATED))
+        choices.append(each)
+    for picked in itertools.product(*choices):
+        letters = "".join(x for x, _ in picked)
+        if "  " in letters or letters.startswith(" "):
+            continue
+        cost, a, b = sum(c for _, c in picked), 0, 0
+        for x in letters:
+            to = code.get(x, 0)
+            cost += costs[a][b][to]
+            a, b = (b, 0) if x == " " else (b, to)
+        yield cost + costs[a][b][0], letters
+
+
+def test_decoding_finds_the_cheapest_of_all_readings(model):
+    rng, costs = random.Random(2), model.tolist()
+    for _ in range(400):
+        token = "".join(rng.choice("idot1!0o.-mrn") for _ in range(rng.randint(1, 9)))
+        cost, best = min(readings(token, costs))
+        found = toxicity.decode(token, costs)
+        assert min(c for c, r in readings(token, costs) if r == found) == pytest.approx(cost, abs=1e-4), (token, best, found)
+    for text in ("i d i o t", "a m o r o n", "y o u i d i o t"):
+        cost, best = min(readings(text, costs))
+        assert toxicity.decode(text, costs).strip() == best.strip()
+
+
+def test_words_wanted_are_never_lost(model):
+    """Sparing the decoding of tokens that cannot yield a feature changes no result."""
+    rng, costs = random.Random(3), model.tolist()
+    features = {f: 0.9 for f in ("=idiot", "idiot", "moro", "=dumb", "=loser", "patheti", "=anna")}
+    wanted = toxicity.Wanted(features)
+    for _ in range(3000):
+        word = rng.choice(["idiot", "moron", "dumb", "loser", "pathetic", "anna", "other", "letters"])
+        token = "".join(c * rng.choice([1, 1, 1, 2, 3]) for c in word) + rng.choice(["", ",", "!", "s", "-x"])
+        every = {f for f in toxicity.features_of(token, costs) if f in features}
+        assert set(toxicity.features_of(token, costs, wanted)) == every, token
+
+
 @pytest.mark.parametrize("text, plain", [("such a m o r o n here", "moron"), ("you d u m b!", "dumb"), ("'d u m b'", "dumb"), ("i - d - i - o - t.", "idiot"), ("a." + "." * 60 + "bb", "bb")])
 def test_letters_written_apart_are_joined_at_word_boundaries(model, text, plain):
     assert any(plain in toxicity.words_of(t, model.tolist()) for t in toxicity.tokens_of(text))
