@@ -144,8 +144,8 @@ FLAGGED_SQL = (
         SELECT path, list_sort(list_filter([
             CASE WHEN ext = '.phar' THEN 'anomalous_extension' END, CASE WHEN path LIKE '%-wal' THEN 'sqlite_sidecar_active_writes' END,
             CASE WHEN ext IN ('.php', '.phar') AND path LIKE 'uploads/%' THEN 'php_in_upload_directory' END,
-            CASE WHEN ext = '.jpg' AND contains(content[1:8192], '<?php') THEN 'polyglot_php_in_image' END, CASE WHEN ext = '.phar' THEN 'phar_archive' END,
-            CASE WHEN ext = '.log' AND contains(content[1:16384], '<?php') THEN 'php_code_in_log_file' END, CASE WHEN path LIKE '%.php.jpg' THEN 'double_extension_php' END
+            CASE WHEN ext = '.jpg' AND contains(content, '<?php') AND octet_length(encode(split_part(content, '<?php', 1))) + 5 <= 8192 THEN 'polyglot_php_in_image' END, CASE WHEN ext = '.phar' THEN 'phar_archive' END,
+            CASE WHEN ext = '.log' AND contains(content, '<?php') AND octet_length(encode(split_part(content, '<?php', 1))) + 5 <= 16384 THEN 'php_code_in_log_file' END, CASE WHEN path LIKE '%.php.jpg' THEN 'double_extension_php' END
         ], lambda v: v IS NOT NULL)) AS anomalies FROM x
     )"""
 )
