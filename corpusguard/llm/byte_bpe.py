@@ -17,7 +17,7 @@ from corpusguard.llm.runtime import map_texts, text_or_empty
 #: A rank file may have at most so many bytes, for it goes to every task.
 RANKS_BYTES = 64 << 20
 #: Words remembered by a task before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

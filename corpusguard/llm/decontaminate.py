@@ -16,7 +16,7 @@ from corpusguard.llm.runtime import map_texts, text_or_empty
 #: Benchmark text that one scan of the documents carries at most; more items take more scans.
 ITEMS_BYTES = 32 << 20
 #: Words remembered by a task before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"\w+")
 _ODD = 0x9E3779B97F4A7C15

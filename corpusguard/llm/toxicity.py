@@ -33,8 +33,11 @@ TRAINING_ROWS = 50_000
 COUNTED_FEATURES = 200_000
 #: A toxic document credits the features whose probability is at least this share of its best one.
 NEARLY_BEST = 0.98
-#: Tokens remembered by a task before it starts afresh.
-REMEMBERED = 400_000
+#: Tokens remembered by a task before it starts afresh: by their score, and by their features.
+REMEMBERED = 300_000
+REMEMBERED_FEATURES = 60_000
+#: Features that a task counts before it hands them on.
+COUNTED = 250_000
 
 _CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 _PLAIN = re.compile(r"[^\W\d_]+")
@@ -234,16 +237,16 @@ def tokens_of(text: str) -> Iterator[str]:
 class _Remembered(dict):
     """Features or best probabilities of tokens, computed once by each task."""
 
-    def __init__(self, compute):
+    def __init__(self, compute, most: int = REMEMBERED):
         super().__init__()
-        self.compute = compute
+        self.compute, self.most = compute, most
 
     def __missing__(self, token):
         value = self[token] = self.compute(token)
         return value
 
     def trim(self):
-        if len(self) > REMEMBERED:
+        if len(self) > self.most:
             self.clear()
 
 
@@ -276,21 +279,21 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc
     def counter(known, best: bool):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             costs, total, wanted = model.value.tolist(), Counter(), None if known is None else Wanted(known)
-            features = _Remembered(lambda t: features_of(t, costs, wanted))
+            features = _Remembered(lambda t: features_of(t, costs, wanted), REMEMBERED_FEATURES)
             documents = 0
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     documents += 1
-                    if documents % 1000 == 0:
+                    if documents % 100 == 0:
                         features.trim()
                     found = set(chain.from_iterable(map(features.__getitem__, tokens_of(text))))
                     if best and found:
                         least = NEARLY_BEST * max(map(known.__getitem__, found))
                         found = [f for f in found if known[f] >= least]
                     total.update(found)
-                if len(total) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.int64())], names=["feature", "n"])
-                    total.clear()
+                    if len(total) > COUNTED:
+                        yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.int64())], names=["feature", "n"])
+                        total.clear()
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.int64())], names=["feature", "n"])
 
         return count

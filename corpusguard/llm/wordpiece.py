@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from corpusguard.llm.runtime import map_texts, text_or_empty
 
 #: Words remembered by a task before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class LongestMatchAutomaton:
