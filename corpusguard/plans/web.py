@@ -146,18 +146,7 @@ def stream_dedupe(spark, sf_dir):
 
 @query("SELECT 'u' || user_id AS path, max_by(event_type, (ts, event_type)) AS hash FROM events GROUP BY user_id")
 def stream_file_state(spark, sf_dir):
-    """The state of every path after the stream: each batch joins the state table of the one before."""
-    folder = _folder(spark)
+    """The state of every path after the stream: the last of its events."""
     rows = _stream(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"))
-    empty = spark.createDataFrame([], "path string, hash string, ts timestamp")
-
-    def step(batch: DataFrame, number: int) -> None:
-        state = spark.read.parquet(f"{folder}/state-{number - 1}") if number else empty
-        changed, after = streams.changed_files(state, batch)
-        changed.write.mode("overwrite").parquet(f"{folder}/changed-{number}")
-        after.write.mode("overwrite").parquet(f"{folder}/state-{number}")
-        last.append(number)
-
-    last: list[int] = []
-    rows.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/state-{last[-1]}").select("path", "hash")
+    events = _drained(streams.file_events(rows), "append")
+    return events.groupBy("path").agg(F.max_by("hash", F.struct("ts", "hash")).alias("hash"))

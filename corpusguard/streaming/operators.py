@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusguard.operators import scan
 
@@ -31,16 +35,33 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 ho
     return events.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events"))
 
 
-def changed_files(state: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For ``foreachBatch``: what is new or changed in a batch of ``(path, hash, ts)``, and the state after it.
+def file_events(rows: DataFrame, keep: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """``path, event, hash, ts``: what a stream of ``(path, hash, ts)`` shows for the first time or changed.
 
-    The batch is reduced to the last row of each path before it meets the state, so that
-    a hot path is one row from each task.
+    The state of a path is its last hash and time, kept by the state store, so that a
+    batch touches the paths that it has and no others. A batch gives at most one event
+    for a path: its latest row against the state; older rows than the state's are
+    ignored. Rows of a hot path are reduced as they arrive. With ``keep`` (a duration as
+    ``7 days``) a path is forgotten once the watermark, ``delay`` behind the latest row,
+    is so far past its last row; rows behind the watermark are then dropped.
     """
-    last: Column = F.max_by(F.struct("hash", "ts"), F.struct("ts", "hash"))
-    latest = batch.groupBy("path").agg(last.alias("x")).select("path", "x.hash", "x.ts")
-    joined = state.withColumnRenamed("hash", "old_hash").drop("ts").join(latest, "path", "full_outer")
-    changed = joined.where("hash IS NOT NULL AND NOT (hash <=> old_hash)")
-    changed = changed.select("path", F.when(F.col("old_hash").isNull(), "first_seen").otherwise("changed").alias("event"), "hash", "ts")
-    after = joined.select("path", F.coalesce("hash", "old_hash").alias("hash"), "ts")
-    return changed, after
+    ttl = int(pd.Timedelta(keep).total_seconds() * 1000) if keep else None
+
+    def update(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        latest = max((t, h) for chunk in chunks for t, h in [max(zip(chunk["ts"], chunk["hash"]))])
+        old_hash, old_ts = state.get if state.exists else (None, None)
+        if old_ts is not None and latest <= (pd.Timestamp(old_ts), old_hash):
+            return
+        state.update((latest[1], latest[0].to_pydatetime()))
+        if ttl:
+            state.setTimeoutTimestamp(max(int(latest[0].timestamp() * 1000) + ttl, state.getCurrentWatermarkMs() + 1))
+        if latest[1] != old_hash:
+            yield pd.DataFrame({"path": [key[0]], "event": ["first_seen" if old_ts is None else "changed"], "hash": [latest[1]], "ts": [latest[0]]})
+
+    timeout = GroupStateTimeout.EventTimeTimeout if ttl else GroupStateTimeout.NoTimeout
+    rows = rows.withWatermark("ts", delay) if ttl else rows
+    known = rows.where("path IS NOT NULL AND hash IS NOT NULL AND ts IS NOT NULL").select("path", "hash", "ts")
+    return known.groupBy("path").applyInPandasWithState(update, "path string, event string, hash string, ts timestamp", "hash string, ts timestamp", "append", timeout)

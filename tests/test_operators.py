@@ -278,3 +278,22 @@ def test_arrivals_are_scanned(spark, tmp_path):
     run = streams.scan_arrivals(stream).writeStream.format("memory").queryName("arrivals").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "p")).start()
     run.awaitTermination()
     assert {(r.path, r.rule_id) for r in spark.table("arrivals").collect()} == {("a.php", "SEC002")}
+
+
+def test_file_events_over_batches(spark, tmp_path):
+    """State goes from batch to batch: the first sight, changes, nothing for the same hash or older rows."""
+    batches = [
+        [("a", "1", "2024-01-01 00:00:00"), ("b", "1", "2024-01-01 00:00:00"), ("a", "2", "2024-01-01 01:00:00"), (None, "1", "2024-01-01 00:00:00")],
+        [("a", "2", "2024-01-02 00:00:00"), ("b", "2", "2023-01-01 00:00:00"), ("c", None, "2024-01-01 00:00:00")],
+        [("a", "3", "2024-01-03 00:00:00"), ("b", "1", "2024-01-03 00:00:00"), ("c", "9", "2024-01-03 00:00:00")],
+    ]
+    for i, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "path string, hash string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("path string, hash string, ts timestamp").parquet(str(tmp_path / "in"))
+        run = streams.file_events(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress"))
+        run.trigger(availableNow=True).start().awaitTermination(120)
+        found = spark.read.parquet(str(tmp_path / "out")).collect()
+        seen = sorted((r.path, r.event, r.hash) for r in found)
+        assert seen == sorted([[("a", "first_seen", "2"), ("b", "first_seen", "1")], [], [("a", "changed", "3"), ("c", "first_seen", "9")]][i] + (seen_before if i else []))
+        seen_before = seen
