@@ -67,6 +67,15 @@ def is_binary(content: Column, threshold: float = 0.30, head: int = 8192) -> Col
     return F.coalesce(has_nul | ((n > 0) & ((n - plain) / n > threshold)), F.lit(False))
 
 
+def has_nul(content: Column, head: int = 8192) -> Column:
+    """A NUL byte in the head."""
+    return F.coalesce(F.hex(F.substring(content, 1, head)).rlike("^(?:..)*?00"), F.lit(False))
+
+
+#: How binary content is told, by name; add to it to register a strategy, or replace one.
+BINARY_STRATEGIES = {"ratio": is_binary, "null_byte": has_nul}
+
+
 def severity_rank(severity: Column) -> Column:
     return looked_up(severity, {s: i for i, s in enumerate(catalog.SEVERITIES)}, 0)
 

@@ -62,6 +62,12 @@ def diff_findings(diff: DataFrame) -> DataFrame:
     return changed.select("path", "status", severity.alias("severity"), "ref_hash", "tgt_hash", "size")
 
 
+def validation_findings(diff: DataFrame) -> DataFrame:
+    """Findings against a stored baseline: every added file is high, whatever it is; others as in :func:`diff_findings`."""
+    severity = F.when(F.col("status") == "added", "HIGH").otherwise(F.col("severity"))
+    return diff_findings(diff).withColumn("severity", severity)
+
+
 def suspicious_changes(diff: DataFrame, large: int = 50_000) -> DataFrame:
     """A row for each suspicious tag of an added or modified file."""
     path, name, ext = F.lower("path"), F.lower(C.filename(F.col("path"))), C.extension(F.col("path"))

@@ -137,3 +137,27 @@ def directory_profile(rows: DataFrame) -> DataFrame:
     """Files, bytes and mean size by extension."""
     n, size = F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes")
     return rows.groupBy("extension").agg(n, size).withColumn("mean_bytes", F.round(F.col("bytes") / F.col("files"), 3))
+
+
+def content_profile(files: DataFrame) -> DataFrame:
+    """``key, value, files, bytes, lines``: a corpus by extension, by category and in all, in one pass over the contents."""
+    ext = C.extension(F.col("path"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    lines = F.when(F.length("content") > 0, F.regexp_count(text, F.lit("\n")) + F.when(text.endswith("\n"), 0).otherwise(1)).otherwise(0)
+    rows = files.select(F.length("content").alias("size"), lines.alias("n"), ext.alias("ext"), C.category(ext).alias("category"))
+    keys = F.inline(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("extension", F.col("ext")), ("category", F.col("category")), ("total", F.lit("")))]))
+    return rows.select("size", "n", keys).groupBy("key", "value").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.sum("n").alias("lines"))
+
+
+def token_kinds(tokens: DataFrame) -> DataFrame:
+    """``path, kind, n``: tokens ``(path, kind)`` of a parser by kind."""
+    return tokens.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def symbol_complexity(symbols: DataFrame) -> DataFrame:
+    """Per path: functions, classes, total and largest complexity, and the mean body of ``symbols(path, class, function, body_lines, complexity)``."""
+    is_function = F.col("function").isNotNull()
+    return symbols.groupBy("path").agg(
+        F.count_if(is_function).alias("functions"), F.countDistinct("class").alias("classes"), F.sum(F.when(is_function, F.col("complexity"))).alias("complexity"),
+        F.max(F.when(is_function, F.col("complexity"))).alias("largest"), F.round(F.avg(F.when(is_function, F.col("body_lines"))), 3).alias("mean_body"),
+    )

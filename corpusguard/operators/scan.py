@@ -321,6 +321,12 @@ def config_checks(files: DataFrame) -> DataFrame:
     return files.select("path", check.alias("check"), severity.alias("severity")).where("check IS NOT NULL")
 
 
+def directive_lines(files: DataFrame) -> DataFrame:
+    """``path, line, directive``: the lines of ``.htaccess`` files with a directive that is reported."""
+    lines = lines_of(files.where(C.filename(F.col("path")) == ".htaccess"))
+    return lines.where(F.col("text").rlike("(?i)" + rule_catalog.HTACCESS_DIRECTIVES)).select("path", "line", F.trim("text").alias("directive"))
+
+
 def obfuscated(files: DataFrame, least: int = 100, threshold: float = 5.5) -> DataFrame:
     """``path, entropy`` of files whose code blocks (together ``least`` characters and more) have a high entropy."""
     from corpusguard.operators.manifest import byte_entropy

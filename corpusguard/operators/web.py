@@ -94,3 +94,13 @@ def internal_address(ip: Column) -> Column:
     parts = F.transform(F.split(ip, r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("int"))
     a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     return (F.size(parts) == 4) & (a.isin(0, 10, 127) | (a >= 224) | ((a == 192) & (b == 168)) | ((a == 172) & b.between(16, 31)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)))
+
+
+def internal_address_v6(ip: Column) -> Column:
+    """Whether a literal IPv6 address is loopback, unspecified, private, link-local, multicast, reserved or holds an internal IPv4 address."""
+    text = F.lower(F.trim(ip))
+    mapped = F.regexp_extract(text, r"^(?:0*:)*:?(?:ffff:)?(\d+\.\d+\.\d+\.\d+)$", 1)
+    first = F.conv(F.when(text.startswith("::"), "0").otherwise(F.substring_index(text, ":", 1)), 16, 10).cast("int")
+    local = text.rlike("^[0:]+$") | text.rlike("^(?:0*:)+0*1$")
+    reserved = first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF) | (first >= 0xFF00) | ((first < 0x2000) & ~text.rlike("^(?:0*:)*:?ffff:"))
+    return text.contains(":") & F.when(mapped != "", internal_address(mapped)).otherwise(local | reserved)

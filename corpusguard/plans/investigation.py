@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
 from corpusguard.functions.session import shared_folder
-from corpusguard.operators import findings, investigation, manifest, rollup, scan
-from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, files, planted, query
+from corpusguard.operators import diff, findings, investigation, manifest, rollup, scan, web
+from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, SNAPSHOTS_SQL, files, planted, query, snapshots, table
 from corpusguard.plans.reports import NAMED_SQL, _named
 from corpusguard.plans.scans import LINES_SQL, UNIFIED_SQL, _findings, _quoted
+from corpusguard.plans.snapshots import FIRST_CATEGORY
 from corpusguard.sources import interop, sinks
 
 PLANTED_LINES_SQL = PLANTED_SQL + ", l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(len(string_split(content, chr(10)))))::INTEGER + 1 AS line FROM planted)"
@@ -399,3 +400,88 @@ def rule_catalog(spark, sf_dir):
     """The rules as a table, those that the corpus could meet first; every rule is listed whatever the corpus holds."""
     met = scan.rule_hits(planted(spark, sf_dir)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
     return scan.rule_table(spark).join(met, "rule_id", "left").orderBy(F.desc("n"), "rule_id").select("rule_id", "severity", "category")
+
+
+@query(f"WITH {FILES_SQL} SELECT path, doc_id % 3 = 0 AS null_byte FROM files")
+def binary_strategies(spark, sf_dir):
+    """Contents with a NUL byte, by the strategy of that name."""
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("content", 1, 40), F.unhex(F.lit("00")), "content")).otherwise(F.col("content"))
+    return files(spark, sf_dir).select("path", C.BINARY_STRATEGIES["null_byte"](content).alias("null_byte"))
+
+
+@query(
+    f"""WITH {NAMED_SQL}, d AS (SELECT path, content || chr(10) || ' php_flag engine on' || chr(10) || 'Options none' AS content FROM named WHERE doc_id % 3 = 1),
+    l AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(len(string_split(content, chr(10)))))::INTEGER + 1 AS line FROM d)
+    SELECT path, line, trim(text) AS directive FROM l WHERE regexp_matches(text, 'php_value\\s+auto_(?:prepend|append)_file|php_flag\\s+engine\\s+on|AddType\\s+application/x-httpd-php|SetHandler\\s+application/x-httpd-php', 'i')"""
+)
+def directive_lines(spark, sf_dir):
+    added = F.lit("\n php_flag engine on\nOptions none").cast("binary")
+    return scan.directive_lines(_named(spark, sf_dir).withColumn("content", F.concat("content", added)))
+
+
+ADDRESSES = {"::1": True, "::": True, "fe80::1": True, "fd00:1::2": True, "ff02::1": True, "2001:4860:4860::8888": False, "::ffff:10.0.0.1": True, "::ffff:8.8.8.8": False, "2a00:1450::1": False, "8.8.8.8": False}
+
+
+@query(f"SELECT event_id, {list(ADDRESSES.values())}[(event_id % {len(ADDRESSES)} + 1)::INTEGER] AS internal FROM events")
+def internal_addresses_v6(spark, sf_dir):
+    ip = F.get(F.array(*map(F.lit, ADDRESSES)), (F.col("event_id") % len(ADDRESSES)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", web.internal_address_v6(ip).alias("internal"))
+
+
+@query(
+    f"""WITH {FILES_SQL}, f AS (SELECT regexp_extract(path, '(\\.[a-z]+)$', 1) AS ext, octet_length(encode(content)) AS size, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN content LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS n FROM files),
+    c AS (SELECT *, CASE ext {' '.join(f"WHEN '{e}' THEN '{n}'" for e, n in FIRST_CATEGORY.items())} ELSE 'other' END AS category FROM f)
+    SELECT 'extension' AS key, ext AS value, count(*) AS files, sum(size)::BIGINT AS bytes, sum(n)::BIGINT AS lines FROM c GROUP BY ext UNION ALL SELECT 'category', category, count(*), sum(size)::BIGINT, sum(n)::BIGINT FROM c GROUP BY category
+    UNION ALL SELECT 'total', '', count(*), sum(size)::BIGINT, sum(n)::BIGINT FROM c"""
+)
+def content_profile(spark, sf_dir):
+    return manifest.content_profile(files(spark, sf_dir))
+
+
+SYMBOLS_SQL = LINES_SQL + ", symbols AS (SELECT path, 'C' || line % 3 AS class, CASE WHEN line % 5 = 0 THEN NULL ELSE 'f' || line END AS function, length(text) AS body_lines, line % 11 AS complexity FROM lines)"
+
+
+@query(
+    f"""WITH {SYMBOLS_SQL} SELECT path, count(function) AS functions, count(DISTINCT class) AS classes, sum(complexity) FILTER (WHERE function IS NOT NULL)::BIGINT AS complexity,
+    max(complexity) FILTER (WHERE function IS NOT NULL) AS largest, round(avg(body_lines) FILTER (WHERE function IS NOT NULL), 3) AS mean_body FROM symbols GROUP BY path"""
+)
+def symbol_complexity(spark, sf_dir):
+    line = F.col("line")
+    name = F.when(line % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("f"), line.cast("string")))
+    rows = scan.lines_of(files(spark, sf_dir)).select("path", F.concat(F.lit("C"), (line % 3).cast("string")).alias("class"), name.alias("function"), F.length("text").alias("body_lines"), (line % 11).alias("complexity"))
+    return manifest.symbol_complexity(rows)
+
+
+@query(f"WITH {LINES_SQL} SELECT path, 'k' || length(text) % 4 AS kind, count(*) AS n FROM lines GROUP BY ALL")
+def token_kinds(spark, sf_dir):
+    rows = scan.lines_of(files(spark, sf_dir))
+    return manifest.token_kinds(rows.select("path", F.concat(F.lit("k"), (F.length("text") % 4).cast("string")).alias("kind")))
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT path, status, CASE WHEN status = 'added' THEN 'HIGH' WHEN status = 'modified' AND path LIKE '%.php' THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM diff WHERE status <> 'identical'")
+def validation_findings(spark, sf_dir):
+    reference, target = map(diff.hashed, snapshots(spark, sf_dir))
+    return diff.validation_findings(diff.baseline_diff(reference, target)).select("path", "status", "severity")
+
+
+LADDER = ["edocs2/a.phar", "x/run.sh", "y/.htaccess", "hooks.php", "database.php", "z/readme.md", "edocs/h.php", "e/.h.php", "0123456789abcdef0123456789abcdef.txt", "edocs/plain.txt"]
+ADDED = ["CRITICAL", "HIGH", "CRITICAL", "CRITICAL", "CRITICAL", "MEDIUM", "CRITICAL", "CRITICAL", "MEDIUM", "MEDIUM"]
+CHANGED = ["MEDIUM", "MEDIUM", "CRITICAL", "CRITICAL", "MEDIUM", "MEDIUM", "HIGH", "HIGH", "MEDIUM", "MEDIUM"]
+TAGS = ["", "", "", "", "", "", "php_in_data_dir", "hidden_php", "hash_named", ""]
+LADDER_SQL = FILES_SQL + f", ladder AS (SELECT doc_id, {LADDER}[(doc_id % 10 + 1)::INTEGER] AS name, {ADDED}[(doc_id % 10 + 1)::INTEGER] AS added, {CHANGED}[(doc_id % 10 + 1)::INTEGER] AS modified, {TAGS}[(doc_id % 10 + 1)::INTEGER] AS tag FROM files)"
+
+
+def _ladder(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", F.get(F.array(*map(F.lit, LADDER)), (F.col("doc_id") % 10).cast("int")).alias("path"))
+
+
+@query(f"WITH {LADDER_SQL} SELECT doc_id, name AS path, added, modified FROM ladder")
+def change_severities(spark, sf_dir):
+    """All rungs of the ladders for added and modified files."""
+    path = F.col("path")
+    return _ladder(spark, sf_dir).select("doc_id", "path", diff.addition_severity(path).alias("added"), diff.modification_severity(path).alias("modified"))
+
+
+@query(f"WITH {LADDER_SQL} SELECT name AS path, 'added' AS status, tag FROM ladder WHERE tag <> ''")
+def change_tags(spark, sf_dir):
+    return diff.suspicious_changes(_ladder(spark, sf_dir).select("path", F.lit("added").alias("status"), F.lit(10).alias("size")))
