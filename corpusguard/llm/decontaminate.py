@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.runtime import map_texts, text_or_empty
+from corpusguard.llm.runtime import broadcast_if_small, map_texts, text_or_empty
 
 #: Benchmark text that one scan of the documents carries at most; more items take more scans.
 ITEMS_BYTES = 32 << 20
@@ -183,6 +183,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """``docs`` with all its columns, without the documents that hold a benchmark item.
 
     A document without an id stays unless another document without an id is dropped.
+    Other columns stay, whatever their names. The ids that go are joined in a broadcast where
+    they are small; only beyond that are texts shuffled.
     """
     bad = contaminated(docs, benchmark, id_col, text_col, **settings).select(F.col(id_col).alias("_bad")).distinct()
+    bad = broadcast_if_small(bad)
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusguard.llm.runtime import SPACE, text_or_empty
+from corpusguard.llm.runtime import SPACE, broadcast_if_small, text_or_empty
 
 
 def content_hash(text: Column) -> Column:
@@ -23,8 +23,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The only shuffle of texts comes after a map-side aggregation: each task sends a text
     once, however often it has it, and a group that holds a third of all rows arrives as
-    one row from each task. The verdicts go back to the rows by hashes alone; that join
-    has no aggregate above it, so that adaptive execution splits a hot hash.
+    one row from each task. The verdicts go back to the rows by the 128-bit hash and
+    SHA-256 together, and not by bytes: bytes are compared where the groups are made, and
+    two texts of one group-hash would have to share both digests to swap verdicts. That
+    join has no aggregate above it, so that adaptive execution splits a hot hash.
 
     Defined cases: a row whose id is null stays only where no row of its group has an
     id; rows that repeat an id are one document and get the same verdict, and
@@ -50,6 +52,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the rows that :func:`exact_duplicates` drops."""
-    stays = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(stays, docs[id_col].eqNullSafe(stays["_stays"]), "left_semi")
+    """``docs`` with all its columns, without the rows that :func:`exact_duplicates` drops.
+
+    Defined cases as there: of rows that repeat an id all stay or go; a row without an id
+    stays where no row of its group has one, and then all such rows do; null and empty
+    texts are one group; other columns stay, whatever their names. What goes is joined in
+    a broadcast where it is small, so that texts need no second shuffle.
+    """
+    verdicts = exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_goes"), "kept")
+    goes = broadcast_if_small(verdicts.groupBy("_goes").agg(F.max("kept").alias("kept")).where("NOT kept").select("_goes"))
+    return docs.join(goes, docs[id_col].eqNullSafe(goes["_goes"]), "left_anti")

@@ -373,7 +373,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: float = 0.5) -> DataFrame:
     """``docs`` with all its columns, without the documents that score ``limit`` or more.
 
-    The score travels with the row, so that no text is shuffled.
+    The score travels with the row, so that no text is shuffled. Null and empty texts and
+    rows without an id stay or go by their text alone; rows that repeat an id get a verdict
+    each; without labels nothing goes; an empty table gives an empty result; other columns
+    stay, whatever their names.
     """
     lm = language_model(trigram_counts(docs, text_col))
     weights = train(docs, labels, lm, id_col, text_col)
