@@ -66,11 +66,11 @@ def numbered(findings: DataFrame, *order: str, prefix: str = "INV-") -> DataFram
     """Findings with sequential ids in the given order, without a one-partition sort.
 
     A range partitioning orders them; numbers inside a range are a window over the
-    range, and the offsets are the counts of the ranges before. The placement is
-    checkpointed, so that a lost executor cannot change it.
+    range, and the offsets are the counts of the ranges before. There are as many ranges
+    as the session has shuffle partitions, or fewer where they are small. The placement
+    is checkpointed, so that a lost executor cannot change it.
     """
-    ranges = max(1, findings.sparkSession.sparkContext.defaultParallelism)
-    placed = checkpointed(findings.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    placed = checkpointed(findings.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
