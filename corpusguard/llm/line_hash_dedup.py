@@ -54,6 +54,10 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit:
     return rows.select(id_col, "tag", F.inline("units"))
 
 
+#: Units of fewer words hold a run together but add nothing to its size.
+COUNTED_WORDS = 3
+
+
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 25) -> DataFrame:
     """One row per unit to remove: later occurrences of units in runs of ``min_words`` words and more.
 
@@ -63,8 +67,9 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no task's burden. Later occurrences that follow one another in a document are a run.
     Units are as short as sentences, since passages begin and end within lines; the size
     of a run and not that of a unit decides what goes, since short sentences and lines
-    recur in unrelated documents by chance (runs of 10 words in 18 % of those of sf0.1,
-    any unit in 45 %). Only digests and offsets are shuffled.
+    recur in unrelated documents by chance (any unit in 45 % of those of sf0.1, runs of 10
+    words in 18 %). Units of one or two words, as in shouted text, recur so often that
+    chance makes runs of them: they count for nothing. Only digests and offsets are shuffled.
 
     Defined cases: null and empty texts have no units; a null id ranks last; rows that
     repeat an id with another text are documents of their own; of rows that repeat both,
@@ -72,7 +77,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result; other columns are ignored whatever their names.
 
     Returns ``id_col``, ``tag``, ``unit`` (its number), ``start``, ``end``, ``n_words``,
-    ``run`` (the number of the run's first unit), ``run_words``, ``keep_id`` and
+    ``run`` (the number of the run's first unit), ``run_words`` (those counted), ``keep_id`` and
     ``keep_unit`` (the occurrence that stays).
     """
     found = units(docs, id_col, text_col, unit)
@@ -82,7 +87,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document = Window.partitionBy(id_col, "tag")
     later = later.withColumn("chain", F.col("unit") - F.dense_rank().over(document.orderBy("unit")))
     run = Window.partitionBy(id_col, "tag", "chain")
-    later = later.withColumns({"run": F.min("unit").over(run), "run_words": F.sum("n_words").over(run)}).where(F.col("run_words") >= min_words)
+    later = later.withColumns({"run": F.min("unit").over(run), "run_words": F.sum(F.when(F.col("n_words") >= COUNTED_WORDS, F.col("n_words")).otherwise(0)).over(run)}).where(F.col("run_words") >= min_words)
     return later.select(id_col, "tag", "unit", "start", "end", "n_words", "run", "run_words", F.col("first.id").alias("keep_id"), F.col("first.unit").alias("keep_unit"))
 
 

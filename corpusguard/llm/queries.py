@@ -116,7 +116,7 @@ ORACLE_SQL = {
         ), c AS (
             SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS chain FROM f WHERE doc_id <> keep_id OR unit <> keep_unit
         ), r AS (
-            SELECT *, min(unit) OVER (PARTITION BY doc_id, chain) AS run, sum(n_words) OVER (PARTITION BY doc_id, chain) AS run_words FROM c
+            SELECT *, min(unit) OVER (PARTITION BY doc_id, chain) AS run, sum(CASE WHEN n_words >= 3 THEN n_words ELSE 0 END) OVER (PARTITION BY doc_id, chain) AS run_words FROM c
         )
         SELECT doc_id, unit::INTEGER AS unit, start::INTEGER AS start, "end"::INTEGER AS "end", n_words::INTEGER AS n_words, run::INTEGER AS run,
             run_words::BIGINT AS run_words, keep_id, keep_unit::INTEGER AS keep_unit
