@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.llm import byte_bpe, decontaminate, exact_dedup, host_boilerplate, line_hash_dedup, line_runs, merkle, simhash, toxicity, wordpiece
+from corpusguard.llm import byte_bpe, decontaminate, exact_dedup, filter_audit, host_boilerplate, line_hash_dedup, line_runs, merkle, packing, simhash, spelling, toxicity, wordpiece
 from corpusguard.llm.runtime import table
 
 
@@ -63,11 +63,24 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_boilerplate.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), drop_every=199))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(filter_audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_merkle_fixity, op2_token_counts, op3_exact_dedup, op4_decontamination, op5_line_hash_dedup, op6_line_run_dedup, op7_html_extraction,
-        op8_simhash_near_dedup, op9_byte_bpe, op10_toxicity,
+        op8_simhash_near_dedup, op9_byte_bpe, op10_toxicity, op11_spelling_variants, op12_best_fit_packing, op13_filter_audit,
     )
 }
 
@@ -146,4 +159,40 @@ ORACLE_SQL = {
         )
         SELECT doc_id, length(text) AS n_left, sha256(text) AS text_sha256 FROM texts WHERE words OR NOT cut
     """,
+    "op13_filter_audit": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t
+        ), f AS (
+            SELECT doc_id, part,
+                CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+                || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+                || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+                || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+            FROM w
+        ), l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS quality, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+        c AS (
+            SELECT part, fails, count(*) AS n, coalesce(sum(quality), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+        ), o AS (
+            SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)
+        ), s AS (
+            SELECT filter_order, step, filter_order[step] AS filter, left(filter_order, step - 1) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5
+        ), r AS (
+            SELECT part, filter_order, step, filter, fails = filter AS alone, contains(fails, filter) AS fails_here,
+                earlier <> '' AND regexp_matches(fails, '[' || CASE WHEN earlier = '' THEN 'x' ELSE earlier END || ']') AS gone, n, good, toxic
+            FROM c, s
+        ), a AS (
+            SELECT part, filter_order, step, filter, sum(CASE WHEN NOT fails_here AND NOT gone THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN fails_here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails_here AND gone THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails_here AND NOT gone THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN fails_here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+            FROM r GROUP BY part, filter_order, step, filter
+        )
+        SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+            unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+            (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+        FROM a
+    """,
 }
