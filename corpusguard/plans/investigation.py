@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
-from corpusguard.functions.session import shared_folder
+from corpusguard.functions.session import new_folder
 from corpusguard.operators import diff, findings, investigation, manifest, rollup, scan, web
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, SNAPSHOTS_SQL, files, planted, query, snapshots, table
 from corpusguard.plans.reports import NAMED_SQL, _named
@@ -258,14 +256,10 @@ def most_common(spark, sf_dir):
     return investigation.most_common(rollup.counts_by(_findings(spark, sf_dir), "category", "severity")).withColumn("place", F.col("place").cast("long"))
 
 
-def _folder(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {UNIFIED_SQL} SELECT id, rule_id, severity, path FROM findings")
 def findings_sink(spark, sf_dir):
     """The findings as written and read back."""
-    rows, folder = _findings(spark, sf_dir), _folder(spark, "findings")
+    rows, folder = _findings(spark, sf_dir), new_folder(spark, "findings")
     sinks.save_findings(rows, folder)
     return spark.read.schema(rows.schema).json(folder).select("id", "rule_id", "severity", "path")
 
@@ -277,7 +271,7 @@ def findings_sink(spark, sf_dir):
 )
 def evidence_package(spark, sf_dir):
     """The metadata of an evidence package as written and read back."""
-    return sinks.save_evidence(manifest.manifest(files(spark, sf_dir), with_entropy=False), _folder(spark, "evidence"), case_id="case-1")
+    return sinks.save_evidence(manifest.manifest(files(spark, sf_dir), with_entropy=False), new_folder(spark, "evidence"), case_id="case-1")
 
 
 @query(f"WITH {UNIFIED_SQL}, c AS (SELECT id, coalesce(CASE rule_id {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in catalog.WEAKNESSES.items())} END, '') AS cwe FROM findings) SELECT id, CASE WHEN cwe = '' THEN '' ELSE cwe || coalesce(': ' || CASE cwe {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in catalog.WEAKNESS_NAMES.items())} END, '') END AS weakness FROM c")

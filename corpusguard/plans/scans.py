@@ -24,12 +24,12 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def hits_sql(rules) -> str:
+def hits_sql(rules, base: str = PLANTED_SQL, files: str = "planted") -> str:
     values = ", ".join(f"('{i}', '{s}', '{c}', {_quoted(LOOKING.get(i, (p, ''))[0])}, {_quoted(LOOKING.get(i, (p, ''))[1])})" for i, s, c, p, _ in rules)
     return (
-        PLANTED_SQL
+        base
         + f""", patterns AS (SELECT * FROM (VALUES {values}) AS v(rule_id, severity, category, pattern, unless)), hits AS (
-            SELECT path, doc_id, rule_id, severity, category FROM planted, patterns WHERE CASE WHEN unless = '' THEN regexp_matches(content, pattern, 'i')
+            SELECT path, doc_id, rule_id, severity, category FROM {files}, patterns WHERE CASE WHEN unless = '' THEN regexp_matches(content, pattern, 'i')
                 ELSE len(list_filter(regexp_extract_all(content, pattern, 1, 'i'), lambda x: NOT regexp_matches(x, unless, 'i'))) > 0 END
         )"""
     )

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusguard.functions.session import shared_folder
+from corpusguard.functions.session import new_folder
 from corpusguard.operators import web
 from corpusguard.plans.registry import query, table
 from corpusguard.streaming import operators as streams
@@ -95,11 +93,6 @@ def header_checks(spark, sf_dir):
     return web.header_checks(rows).groupBy("url", "check").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and progress, in the place that the session shares."""
-    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -108,7 +101,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and returns its output table."""
     spark = stream.sparkSession
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
 
     def write(rows: DataFrame, batch: int) -> None:
         """A batch that is retried replaces what its first attempt wrote."""

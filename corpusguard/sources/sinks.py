@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusguard.functions import columns as C
+from corpusguard.sources.tree import local_path
 
 
 def save_manifest(manifest: DataFrame, folder: str) -> None:
@@ -42,3 +48,30 @@ def save_evidence(manifest: DataFrame, folder: str, **about: str) -> DataFrame:
     metadata = package_digest(stored).select("*", *[F.lit(v).alias(k) for k, v in about.items()])
     metadata.write.mode("errorifexists").json(f"{folder}/metadata")
     return manifest.sparkSession.read.schema(metadata.schema).json(f"{folder}/metadata")
+
+
+def save_tree(files: DataFrame, root: str) -> int:
+    """``files(path, content)`` as files below ``root``, a folder that the executors share; their number.
+
+    Each is written beside ``root`` and moved to its place, so that a task that runs again, or a
+    reader meanwhile, finds whole files. Paths that lead out of the folder are an error;
+    null contents are empty files; of rows with one path the last written stays.
+    """
+    root = local_path(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(f"{root}.aside", exist_ok=True)
+        aside = os.path.join(f"{root}.aside", uuid.uuid4().hex)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = path.split("/")
+                if path.startswith("/") or ".." in parts or "" in parts:
+                    raise ValueError(f"not a path below a folder: {path}")
+                place = os.path.join(root, *parts)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(aside, "wb") as f:
+                    f.write(content or b"")
+                os.replace(aside, place)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("path", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -17,6 +17,12 @@ def scan_arrivals(files: DataFrame) -> DataFrame:
     return scan.rule_scan(files)
 
 
+def check_arrivals(files: DataFrame) -> DataFrame:
+    """``path, rule_id``: the rules that files meet as they arrive, comments included, and the checks that settings files fail."""
+    checks = scan.config_checks(files).select("path", F.col("check").alias("rule_id"))
+    return scan.rule_hits(files).select("path", "rule_id").unionByName(checks)
+
+
 def first_seen(findings: DataFrame, time: str = "ts", key: str = "fingerprint", delay: str = "1 hour") -> DataFrame:
     """The first finding of each fingerprint within the delay; older state is dropped."""
     return findings.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
