@@ -12,13 +12,16 @@ from corpusguard.functions.session import checkpointed
 COLUMNS = ["id", "rule_id", "title", "severity", "confidence", "source", "category", "cwe_id", "path", "line", "snippet", "fingerprint"]
 
 
-def unified(rows: DataFrame, source: str, confidence: str = "MEDIUM", title: Column | None = None) -> DataFrame:
-    """Findings of one source in the common columns; rows need rule_id, severity, category, path, line, snippet and cwe_id."""
+def unified(rows: DataFrame, source: str, confidence: str = "MEDIUM", title: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of one source in the common columns; rows need rule_id, severity, category, path, line, snippet and cwe_id.
+
+    ``keep`` names columns of the rows that stay beside them. A row gives a finding, whatever is null in it.
+    """
     line = F.col("line").cast("int")
     return rows.select(
         C.finding_id(F.lit(source), F.col("rule_id"), F.col("path"), line).alias("id"), "rule_id", (F.col("rule_id") if title is None else title).alias("title"),
         C.severity_named(F.col("severity")).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), "category",
-        C.weakness_id(F.col("cwe_id")).alias("cwe_id"), "path", line.alias("line"), "snippet", C.fingerprint(F.col("rule_id"), F.col("path"), line, F.col("snippet")).alias("fingerprint"),
+        C.weakness_id(F.col("cwe_id")).alias("cwe_id"), "path", line.alias("line"), "snippet", C.fingerprint(F.col("rule_id"), F.col("path"), line, F.col("snippet")).alias("fingerprint"), *keep,
     )
 
 
@@ -92,8 +95,10 @@ def corroborated(findings: DataFrame) -> DataFrame:
     """``corroborated_by`` (the other sources at a path and line) and confidence CONFIRMED where there are any.
 
     Sources of a place are few, so the set is small however many findings the place has;
-    it is aggregated map-side and joined back.
+    it is aggregated map-side and joined back. The findings are checkpointed first, for
+    what makes them (a scan of contents) must not run twice.
     """
+    findings = checkpointed(findings)
     places = findings.where("line > 0").groupBy("path", "line").agg(F.sort_array(F.collect_set("source")).alias("_sources")).where(F.size("_sources") > 1)
     rows = findings.join(places, ["path", "line"], "left")
     others = F.coalesce(F.array_except("_sources", F.array("source")), F.array().cast("array<string>"))
@@ -101,13 +106,55 @@ def corroborated(findings: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", F.when(F.size("corroborated_by") > 0, "CONFIRMED").otherwise(F.col("confidence"))).drop("_sources")
 
 
+#: Levels of the dyadic ranges of lines: a file has fewer than 2 to this power of lines.
+LINE_LEVELS = 31
+
+
+def _covering(first: Column, last: Column) -> Column:
+    """The fewest dyadic ranges ``(level, node)`` that together are the lines from ``first`` to ``last``: two of a level at most."""
+
+    def of_level(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        low, high = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long")  # the whole nodes of the level, high excluded
+        left, right = F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1)
+        return F.transform(F.array_compact(F.array_distinct(F.array(left, right))), lambda node: F.struct(level.alias("level"), node.alias("node")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LINE_LEVELS - 1)), of_level))
+
+
 def with_symbols(findings: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The innermost class and function around each finding: an interval join inside each path."""
-    spans = symbols.select(F.col("path").alias("_path"), "class", "function", F.col("line").alias("_from"), "end_line")
-    met = findings.join(spans, (F.col("path") == F.col("_path")) & F.col("line").between(F.col("_from"), F.col("end_line")), "left")
-    best = F.max_by(F.struct("class", "function"), F.struct(F.col("class").isNotNull().cast("int"), F.col("function").isNotNull().cast("int"), F.col("_from")))
-    keys = [c for c in findings.columns]
-    return met.groupBy(*keys).agg(best.alias("s")).select(*keys, "s.class", "s.function")
+    """Findings with ``class`` and ``function`` around their line, and the function's ``complexity`` where the symbols tell it.
+
+    ``symbols(path, class, function, line, end_line[, complexity])`` has classes (no function), methods
+    (both) and functions (no class). The innermost class of a line is told, and its innermost method
+    around the line; in a class outside its methods the function is empty; outside classes the
+    innermost function is told. Of symbols that begin on one line the shorter is inside.
+
+    An interval join of any nesting and skew: the lines of a symbol are a few dyadic ranges, a line lies in one
+    range of each level that occurs, and these meet by equality. So a line meets the symbols
+    around it and no others, however many its file has, and a file with very many findings is many keys.
+    Lines are looked up once however many findings they have, and all findings stay: those
+    without a line or a symbol have nulls, and so have those with a null path.
+    """
+    findings = checkpointed(findings)
+    complexity = F.col("complexity") if "complexity" in symbols.columns else F.lit(None).cast("int")
+    spans = symbols.where("line <= end_line").select("path", "class", "function", complexity.alias("complexity"), F.col("line").cast("long").alias("first"), F.col("end_line").cast("long").alias("last"))
+    spans = checkpointed(spans.select("*", F.inline(_covering(F.col("first"), F.col("last")))))
+    levels = F.broadcast(spans.select("level").distinct())  # 31 rows at most
+    places = findings.where("line > 0").select("path", F.col("line").cast("long").alias("line")).distinct()
+    met = places.join(levels).withColumn("node", F.call_function("shiftright", F.col("line"), F.col("level"))).join(spans, ["path", "level", "node"])
+    inside = F.struct("first", -F.col("last"), "class", "function")
+    is_class, is_function = F.col("class").isNotNull(), F.col("function").isNotNull()
+    told = F.struct("class", "function", "complexity")
+    best = met.groupBy("path", "line").agg(
+        F.max_by("class", F.when(is_class & ~is_function, inside)).alias("c"), F.max_by(told, F.when(is_class & is_function, inside)).alias("m"), F.max_by(told, F.when(~is_class & is_function, inside)).alias("f")
+    )
+    of_class = F.col("m.class").isNotNull() & (F.col("c").isNull() | (F.col("m.class") == F.col("c")))
+    holder = F.when(of_class, F.col("m.class")).otherwise(F.col("c"))
+    shown = F.when(of_class, F.col("m.function")).when(F.col("c").isNotNull(), F.lit("")).otherwise(F.col("f.function"))
+    measured = F.when(of_class, F.col("m.complexity")).when(F.col("c").isNotNull(), F.lit(0)).otherwise(F.col("f.complexity"))
+    best = best.select("path", "line", holder.alias("class"), shown.alias("function"), measured.alias("complexity"))
+    return findings.join(best, ["path", "line"], "left").select(*findings.columns, "class", "function", "complexity")
 
 
 def linked_by_rule(static: DataFrame, runtime: DataFrame) -> DataFrame:

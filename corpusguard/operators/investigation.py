@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusguard.catalogs import files as catalog
 from corpusguard.catalogs import rules as rule_catalog
 from corpusguard.functions import columns as C
+from corpusguard.functions.matching import glob_matcher
 from corpusguard.operators import findings, scan
 
 
@@ -30,8 +31,8 @@ def content_indicators(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 def hash_indicators(files: DataFrame, globs: dict[str, str]) -> DataFrame:
     """``path, ioc_id, sha256``: the digests of the files that each indicator lists."""
-    met = F.filter(F.array(*[F.when(F.col("path").rlike(scan.glob_pattern(g)), i) for i, g in globs.items()]), lambda x: x.isNotNull())
-    return files.select("path", F.explode(met).alias("ioc_id"), F.sha2("content", 256).alias("sha256"))
+    met = glob_matcher(files.sparkSession, globs.items())(F.col("path"))
+    return files.select("path", "content", F.explode(met).alias("ioc_id")).select("path", "ioc_id", F.sha2("content", 256).alias("sha256"))
 
 
 def polyglot_images(files: DataFrame) -> DataFrame:
@@ -112,9 +113,7 @@ def from_dependencies(rows: DataFrame) -> DataFrame:
         "rule_id", F.coalesce(C.looked_up(F.upper("given_severity"), known), by_level).alias("severity"), F.when(is_cve, "dependency_vulnerability").otherwise("secret_exposure").alias("category"),
         F.col("uri").alias("path"), F.col("start_line").alias("line"), F.col("message").alias("snippet"), "cwe_id", "given_score",
     )
-    found = findings.unified(shaped.drop("given_score"), "trivy", confidence="CONFIRMED")
-    scored = shaped.select(F.col("rule_id").alias("_rule"), F.col("path").alias("_path"), F.col("line").alias("_line"), "given_score").groupBy("_rule", "_path", "_line").agg(F.max("given_score").alias("given_score"))
-    found = found.join(scored, (F.col("rule_id") == F.col("_rule")) & (F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line"))).drop("_rule", "_path", "_line")
+    found = findings.unified(shaped, "trivy", confidence="CONFIRMED", keep=("given_score",))
     given = F.coalesce(F.col("given_score"), F.lit(0.0))
     score = F.when(given > 0, given).when(is_cve, representative_score(F.col("severity")))
     return found.select("*", F.when(is_cve, F.col("rule_id")).otherwise("").alias("cve_id"), score.alias("score"), F.when(is_cve, "T1195.001").otherwise("T1552.001").alias("technique")).drop("given_score")

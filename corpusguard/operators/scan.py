@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import accumulate
 from re import _parser
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusguard.catalogs import files as catalog
 from corpusguard.catalogs import rules as rule_catalog
 from corpusguard.functions import columns as C
+from corpusguard.functions.matching import glob_matcher
 
 #: Rules as ``(id, severity, category, pattern, weakness)``.
 RULES = [*rule_catalog.SECURITY_RULES, *((i, s, "webshell", p, "CWE-94") for i, s, _, p in rule_catalog.WEBSHELLS)]
@@ -46,24 +47,29 @@ def rule_scan(files: DataFrame, rules=RULES, snippet: int = 120, comments: bool
     return _scanned(files, rules, whole=True, snippet=snippet, comments=comments)
 
 
-def _scanned(files: DataFrame, rules, whole: bool, snippet: int = 120, comments: bool = False) -> DataFrame:
+def _scanned(files: DataFrame, rules, whole: bool, snippet: int = 120, comments: bool = False, names: dict[str, list[str]] | None = None, marks: str = "//") -> DataFrame:
     """One pass over the contents in Arrow batches where they are; nothing is shuffled.
 
     A pattern is searched only in files that hold one of the literals which each of its
     matches must hold; finding these costs a fraction of a regular expression. Native
     expressions would evaluate each pattern and rebuild the text twice, once to filter.
+    With ``names``, a rule is for files of its names alone, in any case; ``marks`` begin the comments of a line.
     """
     named = {i: (s, c, w) for i, s, c, _, w in rules}
     patterns = [(i, p) for i, _, _, p, _ in rules]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = RuleMatcher(patterns)
+        matcher = RuleMatcher(patterns, marks)
+        only = {}
+        for rule, listed in (names or {}).items():
+            for name in listed:
+                only.setdefault(name.lower(), set()).add(rule)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
                 for path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if whole:
-                        rows += [(path, rule, *named[rule][:2], line, shown[:snippet], named[rule][2]) for rule, line, shown in matcher.matches(text, comments)]
+                        rows += [(path, rule, *named[rule][:2], line, shown[:snippet], named[rule][2]) for rule, line, shown in matcher.matches(text, comments, only.get(path.rsplit("/", 1)[-1].lower(), ()) if names else None)]
                     else:
                         rows += [(path, rule, *named[rule][:2], 0, "", named[rule][2]) for rule in matcher.rules_met(text)]
                 yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, row)) for row in rows], schema=kinds)
@@ -105,26 +111,27 @@ EXCEPTIONS = {"SEC012": ("ahead", r"allowed_classes\W+\s*(?:=>)?\s*false"), "SEC
 class RuleMatcher:
     """Rules compiled with the literals that they need."""
 
-    def __init__(self, patterns: list[tuple[str, str]]):
+    def __init__(self, patterns: list[tuple[str, str]], marks: str = "//"):
+        self.marks = marks
         self.rules = [(i, re.compile(p, re.I), required_literals(p)) for i, p in patterns]
         self.exceptions = {i: (scope, re.compile(p, re.I)) for i, (scope, p) in EXCEPTIONS.items()}
 
-    def candidates(self, text: str) -> Iterator[tuple[str, re.Pattern]]:
+    def candidates(self, text: str, only: Collection[str] | None = None) -> Iterator[tuple[str, re.Pattern]]:
         folded = text.casefold().replace("ı", "i")
         held = {}
         for rule, pattern, literals in self.rules:
-            if not literals or any(held[x] if x in held else held.setdefault(x, x in folded) for x in literals):
+            if (only is None or rule in only) and (not literals or any(held[x] if x in held else held.setdefault(x, x in folded) for x in literals)):
                 yield rule, pattern
 
     def rules_met(self, text: str) -> list[str]:
         return [rule for rule, pattern in self.candidates(text) if pattern.search(text)]
 
-    def matches(self, text: str, comments: bool = False) -> list[tuple[str, int, str]]:
-        """Rule, line from 1 and the line's text of every match that is neither in a comment (unless these count) nor excepted."""
+    def matches(self, text: str, comments: bool = False, only: Collection[str] | None = None) -> list[tuple[str, int, str]]:
+        """Rule (of ``only`` these), line from 1 and the line's text of every match that is neither in a comment (unless these count) nor excepted."""
         found, places = [], None
-        for rule, pattern in self.candidates(text):
+        for rule, pattern in self.candidates(text, only):
             for m in pattern.finditer(text):
-                places = places or Places(text)
+                places = places or Places(text, self.marks)
                 line = places.line(m.start())
                 if not comments and places.commented(m.start()) or self._excepted(rule, text, m.start(), places.text_of(line)):
                     continue
@@ -139,10 +146,10 @@ class RuleMatcher:
 class Places:
     """Lines and comments of a text, found once; places are then told by bisection."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, marks: str = "//"):
         self.text = text
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        spans = [(m.start() + 2, m.end()) for m in re.finditer(r"//[^\n]*", text)]
+        spans = [(m.end(1), m.end()) for m in re.finditer(rf"({marks})[^\n]*", text)]
         for m in re.finditer(r"/\*", text):
             close = text.find("*/", m.start())
             spans.append((m.end(), close + 1 if close >= 0 else len(text)))
@@ -157,7 +164,7 @@ class Places:
         return self.text[self.starts[line] : end]
 
     def commented(self, at: int) -> bool:
-        """Whether a place is inside a block comment or after ``//`` on its line."""
+        """Whether a place is inside a block comment or after a comment's mark on its line."""
         before = bisect_right(self.opened, at)
         return before > 0 and self.closed[before - 1] >= at
 
@@ -258,9 +265,8 @@ def glob_pattern(glob: str) -> str:
 
 
 def path_indicators(files: DataFrame, globs: dict[str, str]) -> DataFrame:
-    """``path, ioc_id``: the files that each indicator's globs name; a literal pattern each."""
-    met = F.filter(F.array(*[F.when(F.col("path").rlike(glob_pattern(g)), i) for i, g in globs.items()]), lambda x: x.isNotNull())
-    return files.select("path", F.explode(met).alias("ioc_id"))
+    """``path, ioc_id``: the files that each indicator's globs name, all in one walk of a path."""
+    return files.select("path", F.explode(glob_matcher(files.sparkSession, globs.items())(F.col("path"))).alias("ioc_id"))
 
 
 def directory_indicators(files: DataFrame, globs: dict[str, str]) -> DataFrame:
@@ -301,10 +307,15 @@ def sql_strings(files: DataFrame) -> DataFrame:
 
 
 def upgrade_hits(files: DataFrame, rules=rule_catalog.UPGRADE_RULES) -> DataFrame:
-    """``path, rule_id, severity, category``: rules that apply to files of certain names only."""
-    name, text = C.filename(F.col("path")), text_of(F.col("content"))
-    met = F.array(*[F.when(name.isin(names) & text.rlike("(?i)" + p), F.struct(F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.lit(c).alias("category"))) for i, s, c, names, p in rules])
-    return files.select("path", F.inline(F.filter(met, lambda x: x.isNotNull())))
+    """``path, rule_id, severity, category, line, evidence``: every match of rules that are for files of certain names.
+
+    Names count in any case; matches in block comments and after ``//`` or ``#`` on
+    their line do not. The evidence is the line, 150 characters at most.
+    """
+    names = {i: listed for i, _, _, listed, _ in rules}
+    named = files.where(F.lower(C.filename(F.col("path"))).isin(sorted({n.lower() for listed in names.values() for n in listed})))
+    found = _scanned(named, [(i, s, c, p, "") for i, s, c, _, p in rules], whole=True, snippet=150, names=names, marks="//|#")
+    return found.select("path", "rule_id", "severity", "category", "line", F.col("snippet").alias("evidence"))
 
 
 def upgrade_report(hits: DataFrame) -> DataFrame:

@@ -95,22 +95,23 @@ def signature_tiers(spark, sf_dir):
 
 DEPENDENCY_SQL = (
     FILES_SQL
-    + """, d AS (SELECT path, doc_id, CASE doc_id % 3 WHEN 0 THEN 'CVE-2024-' || doc_id % 100 WHEN 1 THEN 'GHSA-' || doc_id % 50 ELSE 'generic-secret' END AS rule_id,
+    + """, d AS (SELECT CASE WHEN doc_id % 11 <> 0 THEN path END AS path, doc_id, unnest(CASE WHEN doc_id % 4 = 0 THEN [9.1, 2.5] WHEN doc_id % 7 = 0 THEN [9.1] ELSE [0.0] END)::DOUBLE AS given, CASE doc_id % 3 WHEN 0 THEN 'CVE-2024-' || doc_id % 100 WHEN 1 THEN 'GHSA-' || doc_id % 50 ELSE 'generic-secret' END AS rule_id,
         CASE WHEN doc_id % 5 = 0 THEN 'CRITICAL' WHEN doc_id % 5 = 1 THEN 'INFO' ELSE ['HIGH', 'MEDIUM', 'LOW', 'INFO'][(doc_id % 4 + 1)::INTEGER] END AS severity FROM files),
     dependencies AS (SELECT path, rule_id, severity, CASE WHEN rule_id LIKE 'generic%' THEN 'secret_exposure' ELSE 'dependency_vulnerability' END AS category,
         CASE WHEN rule_id LIKE 'generic%' THEN '' ELSE rule_id END AS cve_id, CASE WHEN rule_id LIKE 'generic%' THEN 'T1552.001' ELSE 'T1195.001' END AS technique,
-        CASE WHEN doc_id % 7 = 0 THEN 9.1 WHEN rule_id LIKE 'generic%' THEN NULL ELSE CASE severity WHEN 'CRITICAL' THEN 9.5 WHEN 'HIGH' THEN 8.0 WHEN 'MEDIUM' THEN 5.5 WHEN 'LOW' THEN 3.0 ELSE 0.0 END END::DOUBLE AS score FROM d)"""
+        CASE WHEN given > 0 THEN given WHEN rule_id LIKE 'generic%' THEN NULL ELSE CASE severity WHEN 'CRITICAL' THEN 9.5 WHEN 'HIGH' THEN 8.0 WHEN 'MEDIUM' THEN 5.5 WHEN 'LOW' THEN 3.0 ELSE 0.0 END END::DOUBLE AS score FROM d)"""
 )
 
 
 def _dependencies(spark, sf_dir):
+    """Results of a dependency scanner: some without a path, some twice with another score."""
     n = F.col("doc_id")
     rule = F.when(n % 3 == 0, F.concat(F.lit("CVE-2024-"), (n % 100).cast("string"))).when(n % 3 == 1, F.concat(F.lit("GHSA-"), (n % 50).cast("string"))).otherwise("generic-secret")
     level = F.get(F.array(*map(F.lit, ["error", "warning", "note", "none"])), (n % 4).cast("int"))
     given = F.when(n % 5 == 0, "critical").when(n % 5 == 1, "UNKNOWN").when(n % 5 == 2, "unheard of")
     rows = files(spark, sf_dir).select(
-        rule.alias("rule_id"), level.alias("level"), F.lit("").alias("message"), F.col("path").alias("uri"), F.lit(0).alias("start_line"), F.lit("").alias("cwe_id"),
-        given.alias("given_severity"), F.when(n % 7 == 0, 9.1).alias("given_score"),
+        rule.alias("rule_id"), level.alias("level"), F.lit("").alias("message"), F.when(n % 11 != 0, F.col("path")).alias("uri"), F.lit(0).alias("start_line"), F.lit("").alias("cwe_id"),
+        given.alias("given_severity"), F.explode(F.when(n % 4 == 0, F.array(F.lit(9.1), F.lit(2.5))).otherwise(F.array(F.when(n % 7 == 0, 9.1)))).alias("given_score"),
     )
     return investigation.from_dependencies(rows)
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
-from corpusguard.functions.session import shared_folder
+from corpusguard.functions.session import new_folder
 from corpusguard.operators import diff, findings, rollup, scan
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, SNAPSHOTS_SQL, files, planted, query, snapshots, table
 from corpusguard.plans.scans import LINES_SQL, UNIFIED_SQL, _findings
@@ -23,17 +21,34 @@ def _named(spark, sf_dir):
     return planted(spark, sf_dir).withColumn("path", F.concat(F.lit("app"), F.col("doc_id").cast("string"), name))
 
 
+#: Lines for upgrade files: the remainder of doc_id by the divisor 0 adds the line, some of it in comments.
+UPGRADE_LINES = [(4, 'if (!$done) return; // exit'), (9, '# unlink($old)'), (10, '/* die */ unlink($old); unlink($new);'), (12, 'x(); // return'), (15, '  eval($patch); /* exit')]
+
 UPGRADE_SQL = (
-    NAMED_SQL
+    NAMED_SQL.replace(" ELSE '/.user.ini'", " ELSE ['/.user.ini', '/UPGRADE.php'][(doc_id % 2 + 1)::INTEGER]")
+    + ", upgrading AS (SELECT path, content || " + " || ".join(f"CASE WHEN doc_id % {n} = 0 THEN chr(10) || '{line}' ELSE '' END" for n, line in UPGRADE_LINES) + " AS content FROM named)"
     + ", rules AS (SELECT * FROM (VALUES "
     + ", ".join("('{}', '{}', '{}', {}, '{}')".format(i, s, c, "[" + ", ".join(f"'{n}'" for n in names) + "]", p.replace("'", "''")) for i, s, c, names, p in catalog.UPGRADE_RULES)
-    + ") AS v(rule_id, severity, category, names, pattern)), upgrade_hits AS (SELECT path, rule_id, severity, category FROM named, rules WHERE list_contains(names, list_last(string_split(path, '/'))) AND regexp_matches(content, pattern, 'i'))"
+    + """) AS v(rule_id, severity, category, names, pattern)),
+    numbered AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(len(string_split(content, chr(10)))))::INTEGER + 1 AS line FROM upgrading),
+    plain AS (SELECT path, line, trim(text) AS evidence, regexp_replace(regexp_replace(text, '/[*].*?([*]/|$)', '', 'g'), '(//|#).*$', '\\1') AS code FROM numbered),
+    upgrade_hits AS (
+        SELECT path, rule_id, severity, category, line, substr(evidence, 1, 150) AS evidence FROM plain, rules, range(20) AS r(nth)
+        WHERE list_contains(list_transform(names, lambda n: lower(n)), lower(list_last(string_split(path, '/')))) AND nth < len(regexp_extract_all(code, pattern, 0, 'i'))
+    )"""
 )
 
 
-@query(f"WITH {UPGRADE_SQL} SELECT path, rule_id, severity, category FROM upgrade_hits")
+def _upgrading(spark, sf_dir):
+    """The named files, some names in capitals, with lines of upgrade code in and out of comments."""
+    path = F.when((F.col("doc_id") % 3 == 2) & (F.col("doc_id") % 2 == 1), F.regexp_replace("path", "/[.]user[.]ini$", "/UPGRADE.php")).otherwise(F.col("path"))
+    added = [F.when(F.col("doc_id") % n == 0, F.lit("\n" + line)).otherwise(F.lit("")) for n, line in UPGRADE_LINES]
+    return _named(spark, sf_dir).withColumns({"path": path, "content": F.concat(F.col("content").cast("string"), *added).cast("binary")})
+
+
+@query(f"WITH {UPGRADE_SQL} SELECT path, rule_id, severity, category, line, evidence FROM upgrade_hits")
 def upgrade_scan(spark, sf_dir):
-    return scan.upgrade_hits(_named(spark, sf_dir))
+    return scan.upgrade_hits(_upgrading(spark, sf_dir))
 
 
 @query(
@@ -42,7 +57,7 @@ def upgrade_scan(spark, sf_dir):
     + " FROM upgrade_hits"
 )
 def upgrade_report(spark, sf_dir):
-    return scan.upgrade_report(scan.upgrade_hits(_named(spark, sf_dir)))
+    return scan.upgrade_report(scan.upgrade_hits(_upgrading(spark, sf_dir)))
 
 
 @query(
@@ -73,7 +88,7 @@ def credential_token_scan(spark, sf_dir):
 @query(f"WITH {SNAPSHOTS_SQL} SELECT path, status FROM diff WHERE status <> 'identical'")
 def stored_baseline_check(spark, sf_dir):
     """The diff against a baseline that was written as one version among two, and read back by its partition."""
-    folder = f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "baseline")
     reference, target = map(diff.hashed, snapshots(spark, sf_dir))
     diff.save_baseline(reference, "1", folder)
     diff.save_baseline(target, "2", folder)

@@ -229,16 +229,34 @@ def runtime_static_link(spark, sf_dir):
     return findings.linked_by_rule(rows.where("severity IN ('CRITICAL', 'HIGH')"), runtime)
 
 
+#: Symbols of every file: classes of 60 lines, methods of 12, classes inside methods with a method each, and functions around classes and between them.
+SYMBOLS = [("K", None, 64, 1, 59), ("K", "m", 16, 1, 11), ("I", None, 16, 4, 7), ("I", "n", 16, 5, 6), (None, "all", 1 << 20, 1, (1 << 20) - 1), (None, "free", 64, 62, 63)]
+
+
 @query(
-    f"""WITH {LINES_SQL}, f AS (SELECT path, line FROM lines WHERE text LIKE '%@%'), s AS (
-        SELECT path, 'fn' || k AS function, k * 4 + 1 AS lo, k * 4 + 4 AS hi FROM files, range(250) r(k)
-    ) SELECT f.path, f.line, function FROM f LEFT JOIN s ON f.path = s.path AND f.line BETWEEN lo AND hi"""
+    f"""WITH {LINES_SQL}, s AS ("""
+    + " UNION ALL ".join(
+        f"SELECT path, {f"'{c}'" if c else 'NULL'} AS class, {f"'{f}' || (line // {n})" if f else 'NULL'} AS function, line, line + {size} AS end_line FROM lines WHERE line % {n} = {at}" for c, f, n, at, size in SYMBOLS
+    )
+    + """), f AS (SELECT path, line, unnest(range(CASE WHEN line % 7 = 0 THEN 2 ELSE 1 END)) AS copy FROM lines WHERE regexp_matches(text, '[@0-9]')),
+    c AS (SELECT f.path, f.line, max_by(s.class, (s.line, -s.end_line)) AS class FROM f JOIN s ON f.path = s.path AND f.line BETWEEN s.line AND s.end_line WHERE s.class IS NOT NULL AND s.function IS NULL GROUP BY f.path, f.line),
+    m AS (SELECT f.path, f.line, max_by((s.class, s.function), (s.line, -s.end_line)) AS m FROM f JOIN s ON f.path = s.path AND f.line BETWEEN s.line AND s.end_line WHERE s.class IS NOT NULL AND s.function IS NOT NULL GROUP BY f.path, f.line),
+    o AS (SELECT f.path, f.line, max_by(s.function, (s.line, -s.end_line)) AS function FROM f JOIN s ON f.path = s.path AND f.line BETWEEN s.line AND s.end_line WHERE s.class IS NULL GROUP BY f.path, f.line)
+    SELECT f.path, f.line, copy, c.class AS class, CASE WHEN c.class IS NULL THEN o.function WHEN m.m[1] = c.class THEN m.m[2] ELSE '' END AS function
+    FROM f LEFT JOIN c ON f.path = c.path AND f.line = c.line LEFT JOIN m ON f.path = m.path AND f.line = m.line LEFT JOIN o ON f.path = o.path AND f.line = o.line"""
 )
 def enclosing_symbol(spark, sf_dir):
+    """Classes in methods of classes around lines with digits or ``@``, every seventh of which is found twice."""
     rows = scan.lines_of(files(spark, sf_dir))
-    marks = rows.where(F.col("text").contains("@")).select("path", "line")
-    heads = rows.where("line % 4 = 1").select("path", F.lit(None).cast("string").alias("class"), F.concat(F.lit("fn"), ((F.col("line") - 1) / 4).cast("int").cast("string")).alias("function"), "line", (F.col("line") + 3).alias("end_line"))
-    return findings.with_symbols(marks, heads).select("path", "line", "function")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("line") % 7 == 0, 1).otherwise(0).cast("long")))
+    marks = rows.where(F.col("text").rlike("[@0-9]")).select("path", "line", copies.alias("copy"))
+    name = lambda x: F.lit(x).cast("string")
+    symbols = [
+        F.when(F.col("line") % n == at, F.struct(name(c).alias("class"), (F.concat(F.lit(f), F.floor(F.col("line") / n).cast("string")) if f else name(None)).alias("function"), (F.col("line") + size).alias("end_line")))
+        for c, f, n, at, size in SYMBOLS
+    ]
+    spans = rows.select("path", "line", F.inline(F.array_compact(F.array(*symbols))))
+    return findings.with_symbols(marks, spans).drop("complexity")
 
 
 @query(
@@ -338,15 +356,18 @@ def root_inference(spark, sf_dir):
 
 
 @query(
-    """SELECT 'suite' || conv_id % 5 AS suite, 'conversation ' || conv_id AS test, CASE WHEN turn % 4 = 3 THEN 'failed' ELSE 'passed' END AS status, length(text) AS duration_ms FROM conversations"""
+    """SELECT 'suite' || conv_id % 5 AS suite, 'conversation ' || conv_id AS test, CASE WHEN turn % 4 = 3 THEN 'failed' ELSE 'passed' END AS status, length(text) AS duration_ms FROM conversations WHERE conv_id % 6 <> 5
+    UNION ALL SELECT NULL, NULL, 'parse_error', NULL FROM (SELECT DISTINCT conv_id, turn // 64 FROM conversations WHERE conv_id % 6 = 5)"""
 )
 def runtime_results(spark, sf_dir):
+    """Reports of conversations as test suites; every sixth report is cut short."""
     rows = table(spark, sf_dir, "conversations")
     result = F.struct(F.when(F.col("turn") % 4 == 3, "failed").otherwise("passed").alias("status"), F.length("text").cast("long").alias("duration"))
     tests = rows.groupBy("conv_id", F.floor(F.col("turn") / 64).alias("part")).agg(F.collect_list(result).alias("results"))
     spec = F.struct(F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("title"), F.array(F.struct("results")).alias("tests"))
     suite = F.struct(F.concat(F.lit("suite"), (F.col("conv_id") % 5).cast("string")).alias("title"), F.array(spec).alias("specs"))
-    reports = tests.select(F.concat(F.lit("report:\n"), F.to_json(F.struct(F.array(suite).alias("suites")))).alias("json"))
+    report = F.concat(F.lit("report:\n"), F.to_json(F.struct(F.array(suite).alias("suites"))))
+    reports = tests.select(F.when(F.col("conv_id") % 6 == 5, F.substring(report, 1, 40)).otherwise(report).alias("json"))
     return interop.runtime_results(reports)
 
 

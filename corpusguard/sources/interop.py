@@ -124,13 +124,21 @@ def sarif_document(findings: DataFrame, by: str) -> DataFrame:
 
 
 def runtime_results(reports: DataFrame, column: str = "json") -> DataFrame:
-    """``suite, test, status, duration_ms``: runtime test results from report texts; text before the first brace is ignored."""
+    """``suite, test, status, duration_ms``: runtime test results from report texts; text before the first brace is ignored.
+
+    A report that is null or cannot be parsed, or names no suites, gives one row with
+    status ``parse_error``. Suites, specs and tests without any below them give none.
+    """
     schema = "suites array<struct<title: string, specs: array<struct<title: string, tests: array<struct<results: array<struct<status: string, duration: bigint>>>>>>>>"
-    parsed = reports.select(F.from_json(F.regexp_replace(column, r"(?s)^[^{]*", ""), schema).alias("j"))
-    suites = parsed.select(F.explode_outer("j.suites").alias("s"))
-    specs = suites.select(F.col("s.title").alias("suite"), F.explode("s.specs").alias("p"))
-    tests = specs.select("suite", F.col("p.title").alias("test"), F.explode("p.tests").alias("t"))
-    return tests.select("suite", "test", F.explode("t.results").alias("r")).select("suite", "test", F.col("r.status").alias("status"), F.col("r.duration").alias("duration_ms"))
+    parsed = reports.select(F.from_json(F.regexp_replace(column, r"(?s)^[^{]*", ""), schema)["suites"].alias("suites"))
+    result = "struct<suite: string, test: string, status: string, duration_ms: bigint>"
+    of_test = lambda s, p, t: F.transform(t["results"], lambda r: F.struct(s["title"].alias("suite"), p["title"].alias("test"), r["status"].alias("status"), r["duration"].alias("duration_ms")))
+    none = F.array().cast(f"array<{result}>")
+    of_spec = lambda s, p: F.flatten(F.transform(p["tests"], lambda t: F.coalesce(of_test(s, p, t), none)))
+    of_suite = lambda s: F.flatten(F.transform(s["specs"], lambda p: F.coalesce(of_spec(s, p), none)))
+    results = F.flatten(F.transform("suites", lambda s: F.coalesce(of_suite(s), none)))
+    error = F.array(F.struct(F.lit(None).cast("string").alias("suite"), F.lit(None).cast("string").alias("test"), F.lit("parse_error").alias("status"), F.lit(None).cast("bigint").alias("duration_ms")))
+    return parsed.select(F.inline(F.when(F.col("suites").isNull(), error).otherwise(results)))
 
 
 def signature_matches(lines: DataFrame) -> DataFrame:
