@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusguard.catalogs import files as catalog
 from corpusguard.catalogs import rules as rule_catalog
 from corpusguard.functions import columns as C
+from corpusguard.functions.ranges import first_of_group
+from corpusguard.functions.session import checkpointed
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -34,11 +36,12 @@ def risk_level(findings: DataFrame) -> DataFrame:
 def suspicious_files(findings: DataFrame, mismatches: DataFrame | None = None, max_signals: int = 10) -> DataFrame:
     """Files with signals of two sources, a critical one or a content-type mismatch, with their strongest signals."""
     rank = C.severity_rank(F.col("severity"))
-    signals = findings.groupBy("path", "source", "rule_id").agg(F.max(rank).alias("rank"))
-    rows = signals.groupBy("path").agg(
-        F.max("rank").alias("max_rank"), F.count(F.lit(1)).alias("n_signals"), F.sort_array(F.collect_set("source")).alias("sources"),
-        F.transform(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("rank")).alias("down"), F.concat_ws(":", "source", "rule_id").alias("name")))), 1, max_signals), lambda x: x["name"]).alias("signals"),
-    )
+    signals = checkpointed(findings.groupBy("path", "source", "rule_id").agg(F.max(rank).alias("rank")).withColumn("name", F.concat_ws(":", "source", "rule_id")))
+    # the sources of a path are few; of its signals no task holds more than are shown
+    rows = signals.groupBy("path").agg(F.max("rank").alias("max_rank"), F.count(F.lit(1)).alias("n_signals"), F.sort_array(F.collect_set("source")).alias("sources"))
+    strongest = first_of_group(signals, "path", max_signals, F.desc("rank"), "name")
+    strongest = strongest.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("down"), "name"))), lambda x: x["name"]).alias("signals"))
+    rows = rows.join(strongest, "path")
     if mismatches is None:
         rows = rows.withColumn("mismatch", F.lit(False))
     else:
@@ -49,6 +52,11 @@ def suspicious_files(findings: DataFrame, mismatches: DataFrame | None = None, m
     return rows.where((F.size("sources") >= 2) | (F.col("max_rank") == 4) | F.col("mismatch"))
 
 
+def capped_by_category(findings: DataFrame, most: int = 500) -> DataFrame:
+    """The ``most`` findings of each category that are most severe, ties by path, line and rule: what a report shows."""
+    return first_of_group(findings, "category", most, F.desc(C.severity_rank(F.col("severity"))), "path", "line", "rule_id")
+
+
 def tactic_matrix(findings: DataFrame) -> DataFrame:
     """Findings by tactic and technique, zeros included; findings need a ``technique``."""
     pairs = [(t, x) for t, xs in rule_catalog.TACTICS.items() for x in xs]

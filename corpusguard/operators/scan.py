@@ -10,8 +10,10 @@ from re import _parser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from corpusguard.catalogs import files as catalog
 from corpusguard.catalogs import rules as rule_catalog
@@ -212,6 +214,38 @@ def sensitive_scan(lines: DataFrame, gate: bool = False) -> DataFrame:
     return rows.select("path", "line", "text").mapInPandas(find, schema)
 
 
+#: The columns of a match of sensitive data.
+SENSITIVE_COLUMNS = {
+    "column": T.IntegerType(), "data_type": T.StringType(), "category": T.StringType(), "severity": T.StringType(), "hipaa": T.BooleanType(), "length": T.IntegerType(), "snippet": T.StringType()
+}
+
+
+def register_sensitive(spark: SparkSession, name: str = "sensitive_data") -> None:
+    """Makes the scan a table function of SQL: ``SELECT ... FROM lines, LATERAL sensitive_data(text)``.
+
+    Its columns are those of :func:`sensitive_scan` after path and line. An optional second
+    argument, a constant, names one data type; matches of others still claim their text.
+    """
+
+    class SensitiveData:
+        @staticmethod
+        def analyze(text: AnalyzeArgument, only: AnalyzeArgument | None = None) -> AnalyzeResult:
+            if not isinstance(text.dataType, T.StringType):
+                raise ValueError("the text must be a string")
+            if only is not None and (not only.isConstantExpression or only.value not in {kind for kind, *_ in rule_catalog.SENSITIVE}):
+                raise ValueError("the data type must be a constant that the catalog has")
+            return AnalyzeResult(T.StructType([T.StructField(n, kind) for n, kind in SENSITIVE_COLUMNS.items()]))
+
+        def __init__(self):
+            self.scanner, self.signs = SensitiveScanner(), re.compile(SENSITIVE_SIGNS)
+
+        def eval(self, text: str | None, only: str | None = None) -> Iterator[tuple]:
+            if text is not None and self.signs.search(text):
+                yield from (hit for hit in self.scanner.scan(text) if only in (None, hit[1]))
+
+    spark.udtf.register(name, F.udtf(SensitiveData))
+
+
 class SensitiveScanner:
     """The patterns of sensitive data, compiled, and the order in which they claim text."""
 

@@ -135,6 +135,14 @@ def pii_scan(spark, sf_dir):
     return scan.sensitive_scan(scan.lines_of(files(spark, sf_dir)))
 
 
+@query(None)
+def pii_udtf(spark, sf_dir):
+    """The scan as SQL states it."""
+    scan.register_sensitive(spark)
+    scan.lines_of(files(spark, sf_dir)).createOrReplaceTempView("scanned_lines")
+    return spark.sql("SELECT path, line, found.* FROM scanned_lines, LATERAL sensitive_data(text) AS found")
+
+
 @query(None)
 def pii_report(spark, sf_dir):
     return rollup.sensitive_report(scan.sensitive_scan(scan.lines_of(files(spark, sf_dir))))
@@ -273,6 +281,12 @@ def severity_counts(spark, sf_dir):
     return rollup.severity_counts(_findings(spark, sf_dir))
 
 
+@query(f"WITH {UNIFIED_SQL} SELECT category, id FROM findings QUALIFY row_number() OVER (PARTITION BY category ORDER BY list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) DESC, path, line, rule_id) <= 500")
+def capped_by_category(spark, sf_dir):
+    """The findings of each category that a report shows: 500."""
+    return rollup.capped_by_category(_findings(spark, sf_dir)).select("category", "id")
+
+
 @query(f"WITH {UNIFIED_SQL} SELECT 'severity' AS key, severity AS value, count(*) AS n FROM findings GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM findings GROUP BY category")
 def counts_grouping_sets(spark, sf_dir):
     return rollup.counts_by(_findings(spark, sf_dir), "severity", "category")
@@ -287,11 +301,13 @@ def risk_level(spark, sf_dir):
 
 
 @query(
-    f"""WITH {UNIFIED_SQL} SELECT path, max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) - 1)::INTEGER AS max_rank, count(DISTINCT rule_id) AS n_signals
+    f"""WITH {UNIFIED_SQL} SELECT path, max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity) - 1)::INTEGER AS max_rank, count(DISTINCT rule_id) AS n_signals,
+        array_to_string(list_transform(list_sort(list(DISTINCT (5 - list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) || 'scan:' || rule_id))[1:10], lambda x: x[2:]), ',') AS signals
     FROM findings GROUP BY path HAVING max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) = 5"""
 )
 def suspicious_files(spark, sf_dir):
-    return rollup.suspicious_files(_findings(spark, sf_dir)).select("path", "max_rank", "n_signals")
+    rows = rollup.suspicious_files(_findings(spark, sf_dir))
+    return rows.select("path", "max_rank", "n_signals", F.array_join("signals", ",").alias("signals"))
 
 
 TACTIC_ROWS = ", ".join(f"({_quoted(t)}, '{x}')" for t, xs in catalog.TACTICS.items() for x in xs)
@@ -371,14 +387,30 @@ def runtime_results(spark, sf_dir):
     return interop.runtime_results(reports)
 
 
+def _signature_output(spark, sf_dir):
+    """``file, line, text``: the lines of the documents in the form that a signature scanner prints."""
+    lines = scan.lines_of(files(spark, sf_dir)).where(F.trim("text") != "")
+    found = F.concat(F.lit("0x"), F.col("line").cast("string"), F.lit(":$a: "), "text")
+    return lines.select(F.col("path").alias("file"), "line", F.when(F.col("line") % 3 == 1, F.concat(F.lit("Rule "), F.trim("text"))).otherwise(found).alias("text"))
+
+
 @query(
     f"""WITH {LINES_SQL}, h AS (SELECT path, line, text, sum(CASE WHEN trim(text) <> '' AND line % 3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line) AS g FROM lines WHERE trim(text) <> '')
     SELECT path AS file, count(*) FILTER (WHERE line % 3 <> 1) AS n FROM h WHERE g > 0 GROUP BY path, g"""
 )
 def signature_text(spark, sf_dir):
-    lines = scan.lines_of(files(spark, sf_dir)).where(F.trim("text") != "")
-    marked = F.when(F.col("line") % 3 == 1, F.concat(F.lit("Rule "), "text")).otherwise(F.concat(F.lit("0x"), "text"))
-    return interop.signature_matches(lines.select(F.col("path").alias("file"), "line", marked.alias("text"))).select("file", F.size("strings").cast("long").alias("n"))
+    return interop.signature_matches(_signature_output(spark, sf_dir)).select("file", F.size("strings").cast("long").alias("n"))
+
+
+@query(
+    f"""WITH {LINES_SQL}, h AS (SELECT path, line, trim(text) AS text, max(CASE WHEN line % 3 = 1 THEN line END) OVER (PARTITION BY path ORDER BY line) AS header_line FROM lines WHERE trim(text) <> '')
+    SELECT h.path AS file, h.header_line, 'Rule' AS rule, t.text AS target, CASE WHEN h.line <> h.header_line THEN h.line END AS line, CASE WHEN h.line <> h.header_line THEN '0x' || h.line END AS "offset",
+        CASE WHEN h.line <> h.header_line THEN '$a' END AS identifier, CASE WHEN h.line <> h.header_line THEN substr(h.text, 1, 200) END AS data
+    FROM h JOIN h t ON h.path = t.path AND h.header_line = t.line"""
+)
+def signature_strings(spark, sf_dir):
+    """Every line of a document as signature output: each third a header, the others what it found."""
+    return interop.signature_strings(_signature_output(spark, sf_dir))
 
 
 def flagship(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusguard.catalogs import files as catalog
 from corpusguard.functions import columns as C
-from corpusguard.operators import diff, manifest, rollup
+from corpusguard.operators import chunks, diff, manifest, rollup
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, SNAPSHOTS_SQL, files, planted, query, snapshots
 from corpusguard.sources import sinks
 
@@ -190,10 +190,30 @@ METRICS_SQL = (
 )
 
 
-@query(f"WITH {METRICS_SQL} SELECT path, count(*) AS lines, count(*) FILTER (WHERE kind = 'blank') AS blank, count(*) FILTER (WHERE kind = 'comment') AS comments, count(*) FILTER (WHERE kind = 'code') AS code, sum(len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')))::BIGINT AS words, max(length(line)) AS longest, sum(length(line))::BIGINT AS stripped_chars FROM k GROUP BY path")
+METRICS_OF_FILES_SQL = f"WITH {METRICS_SQL} SELECT path, count(*) AS lines, count(*) FILTER (WHERE kind = 'blank') AS blank, count(*) FILTER (WHERE kind = 'comment') AS comments, count(*) FILTER (WHERE kind = 'code') AS code, sum(len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')))::BIGINT AS words, max(length(line)) AS longest, sum(length(line))::BIGINT AS stripped_chars FROM k GROUP BY path"
+
+
+@query(METRICS_OF_FILES_SQL)
 def text_metrics(spark, sf_dir):
+    return manifest.text_metrics(_marked(spark, sf_dir))
+
+
+def _marked(spark, sf_dir):
+    """The files with a line of comment at their ends."""
     added = F.when(F.col("doc_id") % 3 == 0, "\n// one").when(F.col("doc_id") % 3 == 1, "\n# two").otherwise("\n/* three */")
-    return manifest.text_metrics(files(spark, sf_dir).withColumn("content", F.concat("content", added.cast("binary"))))
+    return files(spark, sf_dir).withColumn("content", F.concat("content", added.cast("binary")))
+
+
+@query(METRICS_OF_FILES_SQL)
+def text_metrics_of_chunks(spark, sf_dir):
+    """The same of files in pieces of 700 bytes."""
+    return chunks.text_metrics(chunks.chunked(_marked(spark, sf_dir), 700))
+
+
+@query(f"WITH {ENTROPY_SQL} SELECT path, entropy FROM e")
+def entropy_of_chunks(spark, sf_dir):
+    """Entropies of files in pieces of 700 bytes; empty files have no row."""
+    return chunks.entropy_of(chunks.byte_counts(chunks.chunked(files(spark, sf_dir), 700)))
 
 
 @query(None)

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusguard.catalogs import files as catalog
 from corpusguard.functions.session import new_folder
-from corpusguard.operators import scan
-from corpusguard.plans.registry import PLANTED_SQL, planted, query
+from corpusguard.operators import diff, scan
+from corpusguard.plans.registry import PLANTED_SQL, SNAPSHOTS_SQL, planted, query, snapshots
 from corpusguard.plans.scans import hits_sql
 from corpusguard.sources import sinks, tree
 from corpusguard.streaming import operators as streams
@@ -64,3 +64,30 @@ def stream_tree_scan(spark, sf_dir):
         run = streams.check_arrivals(files).writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start()
         run.awaitTermination()
     return spark.read.parquet(f"{folder}/out/*")
+
+
+#: The day of the first snapshot, in days from 1970.
+DAY = 20_000
+
+
+@query(
+    f"""WITH {SNAPSHOTS_SQL} SELECT path, 'added' AS event, hash, 0::BIGINT AS hours FROM ref
+    UNION ALL SELECT path, CASE status WHEN 'modified' THEN 'changed' ELSE status END, CASE WHEN status = 'removed' THEN ref_hash ELSE tgt_hash END, CASE WHEN status = 'removed' THEN 12 ELSE 24 END FROM diff WHERE status <> 'identical'"""
+)
+def stream_file_snapshots(spark, sf_dir):
+    """Two snapshots a day apart as they come: all files are added, then the differences show."""
+    folder = new_folder(spark, "snapshots")
+    streams.use_rocksdb(spark)
+
+    def write(rows, batch: int) -> None:
+        """A batch that is retried replaces what its first attempt wrote."""
+        rows.write.mode("overwrite").parquet(f"{folder}/out/{batch}")
+
+    for day, rows in enumerate(snapshots(spark, sf_dir)):
+        at = F.timestamp_seconds(F.lit((DAY + day) * 86400))
+        diff.hashed(rows).select("path", "hash", at.alias("ts")).write.mode("append").parquet(f"{folder}/in")
+        seen = spark.readStream.schema("path string, hash string, ts timestamp").parquet(f"{folder}/in")
+        run = streams.file_snapshots(seen, "12 hours").writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start()
+        run.awaitTermination()
+    found = spark.read.parquet(f"{folder}/out/*")
+    return found.select("path", "event", "hash", (F.unix_seconds("ts") / 3600 - DAY * 24).cast("long").alias("hours"))

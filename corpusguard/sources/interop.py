@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusguard.catalogs import files as catalog
 from corpusguard.functions import columns as C
+from corpusguard.functions.ranges import first_of_group, last_known
 
 #: The part of a SARIF document that the operators read.
 SARIF = """
@@ -72,8 +72,7 @@ def sarif_results(documents: DataFrame, max_results: int = 0, strategy: str = "f
     """A row per result, with its first location by the ``strategy`` and its weakness; ``max_results`` keeps the first of each file (0: all)."""
     rows = documents.select("file", F.posexplode("runs").alias("run", "r")).select("file", "run", F.posexplode("r.results").alias("pos", "x"))
     if max_results:
-        order = Window.partitionBy("file").orderBy("run", "pos")
-        rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_results).drop("_n")
+        rows = first_of_group(rows, "file", max_results, "run", "pos")
     place = F.get("x.locations", F.lit(0))["physicalLocation"]
     taxon = F.get(F.filter("x.taxa", lambda t: (F.lower(t["toolComponent"]["name"]) == "cwe") & (F.coalesce(t["id"], F.lit("")) != "")), F.lit(0))["id"]
     return rows.select(
@@ -141,15 +140,31 @@ def runtime_results(reports: DataFrame, column: str = "json") -> DataFrame:
     return parsed.select(F.inline(F.when(F.col("suites").isNull(), error).otherwise(results)))
 
 
-def signature_matches(lines: DataFrame) -> DataFrame:
-    """``file, rule, target, strings``: signature output where a header line owns the ``0x`` lines after it."""
-    header = F.when(~F.col("text").startswith("0x") & (F.trim("text") != ""), F.struct("line", "text"))
-    carried = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("h", F.last(header, ignorenulls=True).over(carried)).where("h IS NOT NULL")
-    found = F.collect_list(F.when(F.col("text").startswith("0x"), F.struct("line", F.substring("text", 1, 200).alias("data"))))
-    out = rows.groupBy("file", "h").agg(F.sort_array(found).alias("found"))
-    words = F.split("h.text", " ", 2)
-    return out.select("file", words[0].alias("rule"), F.get(words, F.lit(1)).alias("target"), F.transform("found", lambda x: x["data"]).alias("strings"))
+def signature_strings(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``file, header_line, rule, target, line, offset, identifier, data`` of ``lines(file, line, text)`` of signature output.
+
+    A header line (``rule target``) owns the ``0x`` lines after it, each
+    ``offset:identifier:data`` with 200 characters of data at most; a match without such lines is one row
+    with nulls. A header without a target owns nothing, nor do lines before the first header, and ``0x`` lines of
+    fewer parts are left out. Output of any size is read in ranges of lines.
+    """
+    text = F.trim("text")
+    rows = lines.select("file", "line", text.alias("text")).where("text <> ''")
+    words = F.split("text", r"\s+", 2)
+    header = F.struct(F.col("line").alias("line"), F.when(F.size(words) == 2, words[0]).alias("rule"), F.get(words, F.lit(1)).alias("target"))
+    rows = last_known(rows, "file", "line", F.when(~F.col("text").startswith("0x"), header), "header", ranges).where("header.rule IS NOT NULL")
+    parts = F.split("text", ":", 3)
+    own = F.col("header.line") == F.col("line")
+    shown = [F.trim(parts[0]).alias("offset"), F.trim(F.get(parts, F.lit(1))).alias("identifier"), F.substring(F.trim(F.get(parts, F.lit(2))), 1, 200).alias("data")]
+    found = rows.where(own | (F.size(parts) == 3)).select("file", F.col("header.line").alias("header_line"), "header.rule", "header.target", F.when(~own, F.struct("line", *shown)).alias("s"))
+    return found.select("file", "header_line", "rule", "target", "s.*")
+
+
+def signature_matches(lines: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``file, rule, target, strings``: the matches of :func:`signature_strings`, each with the data of its lines in their order."""
+    rows = signature_strings(lines, ranges)
+    found = rows.groupBy("file", "header_line").agg(F.first("rule").alias("rule"), F.first("target").alias("target"), F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "data")))).alias("found"))
+    return found.select("file", "rule", "target", F.transform("found", lambda x: x["data"]).alias("strings"))
 
 
 def first_mitigation(raw: Column) -> Column:

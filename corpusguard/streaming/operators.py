@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusguard.operators import scan
@@ -41,6 +42,64 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 ho
     return events.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events"))
 
 
+class _Snapshots(StatefulProcessor):
+    """The last hash and time of a path, and a timer for when it should have been seen again."""
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "hash string, seen long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen, digest = max((int(t.timestamp() * 1000), h) for chunk in rows for t, h in zip(chunk["ts"], chunk["hash"]))
+        old_hash, old_seen = self.last.get() if self.last.exists() else (None, None)
+        if old_seen is not None:
+            if (seen, digest) <= (old_seen, old_hash):
+                return
+            self.handle.deleteTimer(old_seen + self.gap)
+            if seen - old_seen > self.gap:  # it was gone, whether or not the watermark had told
+                yield _event(key[0], "removed", old_hash, old_seen + self.gap)
+                old_hash = old_seen = None
+        self.last.update((digest, seen))
+        self.handle.registerTimer(seen + self.gap)
+        if digest != old_hash:
+            yield _event(key[0], "added" if old_seen is None else "changed", digest, seen)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            digest, seen = self.last.get()
+            if seen + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
+                self.last.clear()
+                yield _event(key[0], "removed", digest, seen + self.gap)
+
+    def close(self) -> None:
+        pass
+
+
+def _event(path: str, event: str, digest: str, at_ms: int) -> pd.DataFrame:
+    return pd.DataFrame({"path": [path], "event": [event], "hash": [digest], "ts": [pd.Timestamp(at_ms, unit="ms")]})
+
+
+def file_snapshots(rows: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
+    """``path, event, hash, ts`` of a stream of snapshots ``(path, hash, ts)``: what was added, changed or removed.
+
+    A path that no row shows for ``gap`` after its last one (more than the time between
+    two snapshots) is removed once the watermark, ``delay`` behind the latest row, has passed that time; it
+    is then forgotten, so that the state is that of the paths that exist. Of the rows
+    that a batch has of a path, the latest counts against the state. Rows with nulls are left out. The state needs the
+    RocksDB store: see :func:`use_rocksdb`.
+    """
+    known = rows.where("path IS NOT NULL AND hash IS NOT NULL AND ts IS NOT NULL").select("path", "hash", "ts").withWatermark("ts", delay)
+    processor = _Snapshots(int(pd.Timedelta(gap).total_seconds() * 1000))
+    return known.groupBy("path").transformWithStateInPandas(processor, "path string, event string, hash string, ts timestamp", "append", "eventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streams that the session starts from now on keep their state in RocksDB, which processors with timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def file_events(rows: DataFrame, keep: str | None = None, delay: str = "1 hour") -> DataFrame:
     """``path, event, hash, ts``: what a stream of ``(path, hash, ts)`` shows for the first time or changed.
 
