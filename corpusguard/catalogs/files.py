@@ -69,6 +69,69 @@ ANOMALY_ROUTES = {
     "certificate_in_webroot": "certificates", "php_code_in_log_file": "poisoned_logs", "double_extension_php": "double_extensions", "high_entropy_php": "high_entropy_files",
 }
 
+# Labels of contents that an extension may have.
+EXPECTED_LABELS = {
+    ".php": ["php"],
+    ".inc": ["php"],
+    ".phtml": ["php"],
+    ".php5": ["php"],
+    ".php7": ["php"],
+    ".module": ["php"],
+    ".html": ["html"],
+    ".htm": ["html"],
+    ".css": ["css"],
+    ".js": ["javascript"],
+    ".json": ["json"],
+    ".xml": ["xml"],
+    ".svg": ["svg", "xml"],
+    ".jpg": ["jpeg"],
+    ".jpeg": ["jpeg"],
+    ".png": ["png"],
+    ".gif": ["gif"],
+    ".bmp": ["bmp"],
+    ".ico": ["ico"],
+    ".webp": ["webp"],
+    ".pdf": ["pdf"],
+    ".md": ["markdown"],
+    ".txt": ["txt", "empty", "unknown"],
+    ".csv": ["csv"],
+    ".ini": ["ini"],
+    ".conf": ["ini", "txt", "unknown"],
+    ".sql": ["sql"],
+    ".yml": ["yaml"],
+    ".yaml": ["yaml"],
+    ".zip": ["zip"],
+    ".gz": ["gzip"],
+    ".tar": ["tar"],
+    ".7z": ["sevenzip"],
+    ".rar": ["rar"],
+    ".exe": ["pebin"],
+    ".dll": ["pebin"],
+    ".so": ["elf"],
+    ".phar": ["php", "zip"],
+    ".db": ["sqlite"],
+    ".sqlite": ["sqlite"],
+    ".sqlite3": ["sqlite"],
+    ".woff": ["woff"],
+    ".woff2": ["woff2"],
+    ".ttf": ["ttf"],
+    ".eot": ["eot"],
+    ".otf": ["otf"],
+    ".sh": ["shell"],
+    ".bat": ["batch"],
+}
+#: Labels of text that has no mark of its own: plain text passes for them.
+PLAIN_LABELS = ["css", "javascript", "json", "xml", "svg", "markdown", "csv", "ini", "sql", "yaml", "shell", "batch", "txt"]
+#: Leading bytes that tell a label, in hexadecimal digits, with the number of bytes before them.
+MAGIC_LABELS = [
+    ("89504E47", 0, "png"), ("FFD8FF", 0, "jpeg"), ("47494638", 0, "gif"), ("424D", 0, "bmp"), ("00000100", 0, "ico"), ("57454250", 8, "webp"), ("25504446", 0, "pdf"),
+    ("504B0304", 0, "zip"), ("1F8B", 0, "gzip"), ("7573746172", 257, "tar"), ("377ABCAF271C", 0, "sevenzip"), ("526172211A07", 0, "rar"), ("4D5A", 0, "pebin"),
+    ("7F454C46", 0, "elf"), ("53514C69746520666F726D6174203300", 0, "sqlite"), ("774F4646", 0, "woff"), ("774F4632", 0, "woff2"), ("0001000000", 0, "ttf"), ("4F54544F", 0, "otf"),
+]
+
+# Names with a dot that scans for sensitive data read whatever their suffix.
+SCANNABLE_DOT_FILES = [".htaccess", ".env", ".user.ini"]
+
 # Units of sizes, with their bases.
 SIZE_UNITS = {"binary": (1024, ["B", "KiB", "MiB", "GiB", "TiB"]), "decimal": (1000, ["B", "kB", "MB", "GB", "TB"]), "legacy": (1024, ["B", "KB", "MB", "GB", "TB"])}
 

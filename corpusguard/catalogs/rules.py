@@ -134,6 +134,83 @@ WEAKNESSES = {
     "WEB008": "CWE-506", "WEB009": "CWE-506", "MAGIKA": "CWE-434",
 }
 
+# Names of techniques.
+TECHNIQUE_NAMES = {
+    "T1190": "Exploit Public-Facing Application",
+    "T1059.004": "Command and Scripting Interpreter: Unix Shell",
+    "T1552.001": "Unsecured Credentials: Credentials In Files",
+    "T1055.001": "Process Injection: Dynamic-link Library Injection",
+    "T1189": "Drive-by Compromise",
+    "T1083": "File and Directory Discovery",
+    "T1105": "Ingress Tool Transfer",
+    "T1005": "Data from Local System",
+    "T1036": "Masquerading",
+    "T1600": "Weaken Encryption",
+    "T1090": "Proxy",
+    "T1505.003": "Server Software Component: Web Shell",
+    "T1027": "Obfuscated Files or Information",
+    "T1027.010": "Obfuscated Files or Information: Command Obfuscation",
+    "T1071.001": "Application Layer Protocol: Web Protocols",
+    "T1543": "Create or Modify System Process",
+    "T1546": "Event Triggered Execution",
+    "T1195": "Supply Chain Compromise",
+    "T1036.008": "Masquerading: Masquerade File Type",
+}
+
+# Techniques of kinds of rules of a static analyser, looked up before words are.
+STATIC_RULE_TECHNIQUES = {
+    "sql-injection": "T1190",
+    "command-injection": "T1059.004",
+    "xss": "T1189",
+    "path-traversal": "T1083",
+    "ssrf": "T1090",
+    "deserialization": "T1059.004",
+    "xxe": "T1190",
+    "open-redirect": "T1189",
+    "ldap-injection": "T1190",
+    "hardcoded-secret": "T1552.001",
+}
+
+# Categories of a static analyser's results; the first word that rule and message hold counts.
+STATIC_CATEGORIES = [
+    ("sql", "injection"),
+    ("sqli", "injection"),
+    ("command-injection", "rce"),
+    ("os-command", "rce"),
+    ("xss", "xss"),
+    ("cross-site", "xss"),
+    ("ssrf", "ssrf"),
+    ("path-traversal", "path_traversal"),
+    ("directory-traversal", "path_traversal"),
+    ("xxe", "xxe"),
+    ("deserialization", "deserialization"),
+    ("ldap", "injection"),
+    ("hardcoded", "credentials"),
+    ("credential", "credentials"),
+    ("secret", "credentials"),
+    ("password", "credentials"),
+    ("open-redirect", "redirect"),
+    ("file-inclusion", "file_inclusion"),
+    ("eval", "rce"),
+    ("exec", "rce"),
+    ("upload", "upload"),
+    ("csrf", "csrf"),
+]
+
+# Techniques of a static analyser's results; the first entry of which any word is held counts.
+STATIC_TECHNIQUES = [
+    (["sql", "injection"], "T1190"),
+    (["command", "exec", "system"], "T1059.004"),
+    (["eval", "code-injection"], "T1059.004"),
+    (["xss", "cross-site"], "T1189"),
+    (["ssrf"], "T1090"),
+    (["path-traversal", "directory"], "T1083"),
+    (["deserialization"], "T1059.004"),
+    (["hardcoded", "credential", "secret"], "T1552.001"),
+    (["upload"], "T1105"),
+    (["xxe"], "T1190"),
+]
+
 # Tactics with their techniques.
 TACTICS = {
     "Initial Access (TA0001)": ["T1190", "T1189", "T1195"],

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusguard.catalogs import files as file_catalog
 from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
 from corpusguard.functions.session import checkpointed
@@ -175,24 +178,70 @@ def related_ids(chosen: DataFrame, others: DataFrame) -> DataFrame:
     return chosen.select("id", "rule_id").join(others.select(F.col("id").alias("related_id"), "rule_id"), "rule_id").select("id", "related_id")
 
 
-def content_types(files: DataFrame, expected: dict[str, list[str]]) -> DataFrame:
+def content_types(files: DataFrame, expected: dict[str, list[str]] = file_catalog.EXPECTED_LABELS) -> DataFrame:
     """``path, label, ext_label, is_match, mismatch_severity``: a label by content against what the extension expects.
 
-    Magic numbers are leading bytes; marks of scripts and pages count anywhere.
+    Magic numbers are leading bytes; marks of scripts and pages count anywhere. Plain
+    text matches an extension that expects a kind of text without a mark of its own.
     """
-    head = F.upper(F.hex(F.substring("content", 1, 8)))
+    head = F.upper(F.hex(F.substring("content", 1, 270)))
     text = F.decode("content", "ISO-8859-1")
-    label = (
-        F.when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("504B0304"), "zip").when(head.startswith("25504446"), "pdf")
-        .when(text.rlike(r"<\?php|<\?="), "php").when(text.rlike(r"(?i)<!doctype html|<html"), "html").when(F.length("content") == 0, "empty").otherwise("txt")
-    )
+    label = F
+    for digits, skipped, name in file_catalog.MAGIC_LABELS:
+        label = label.when(F.substring(head, 2 * skipped + 1, len(digits)) == digits, name)
+    label = label.when(text.rlike(r"<\?php|<\?="), "php").when(text.rlike(r"(?i)<!doctype html|<html"), "html").when(F.length("content") == 0, "empty").otherwise("txt")
     ext = C.extension(F.col("path"))
-    labels = C.literal_map({k: ",".join(v) for k, v in expected.items()})[ext]
-    rows = files.select("path", label.alias("label"), F.substring(ext, 2, 20).alias("ext_label"), (labels.isNull() | F.array_contains(F.split(labels, ","), label)).alias("is_match"))
+    labels = F.split(C.literal_map({k: ",".join(v) for k, v in expected.items()})[ext], ",")
+    plain = (label == "txt") & F.arrays_overlap(labels, F.array(*map(F.lit, file_catalog.PLAIN_LABELS)))
+    rows = files.select("path", label.alias("label"), F.substring(ext, 2, 20).alias("ext_label"), (labels.isNull() | F.array_contains(labels, label) | plain).alias("is_match"))
     severity = F.when(F.col("is_match"), "none").when((F.col("label") == "php") & (F.col("ext_label") != "php"), "critical").when(F.col("label").isin("zip", "html"), "suspicious").otherwise("info")
     return rows.withColumn("mismatch_severity", severity)
 
 
+def with_standards(findings: DataFrame) -> DataFrame:
+    """``technique``, ``technique_name`` and ``score`` by the exact rule id; null where the rule has none."""
+    rule = F.col("rule_id")
+    rows = findings.withColumns({"technique": C.literal_map(catalog.TECHNIQUES)[rule], "score": C.literal_map(catalog.SCORES)[rule]})
+    return rows.withColumn("technique_name", C.literal_map(catalog.TECHNIQUE_NAMES)[F.col("technique")])
+
+
+def with_weaknesses(findings: DataFrame, weaknesses: DataFrame) -> DataFrame:
+    """Findings with ``cwe_name``, and ``recommendation`` filled from ``weaknesses(cwe_id, name, mitigation)`` where it is empty.
+
+    A finding without a known weakness keeps what it has; all findings stay. Of rows with one id the first name and mitigation by order count.
+    """
+    known = weaknesses.groupBy(C.weakness_id(F.col("cwe_id")).alias("_cwe")).agg(F.min("name").alias("_name"), F.min("mitigation").alias("_mitigation")).where("_cwe <> ''")
+    rows = findings.join(known, C.weakness_id(F.col("cwe_id")) == F.col("_cwe"), "left")
+    given = F.nullif(F.col("recommendation"), F.lit("")) if "recommendation" in findings.columns else F.lit(None).cast("string")
+    return rows.withColumns({"cwe_name": F.coalesce("_name", F.lit("")), "recommendation": F.coalesce(given, F.col("_mitigation"), F.lit(""))}).drop("_cwe", "_name", "_mitigation")
+
+
+def _first_held(text: Column, ordered: list[tuple[list[str], str]], default: str | None) -> Column:
+    """The value of the first entry of which the text holds any word."""
+    found = F
+    for words, value in ordered:
+        found = found.when(reduce(lambda a, w: a | text.contains(w), words, F.lit(False)), value)
+    return found.otherwise(default)
+
+
+def from_static_sarif(rows: DataFrame, source: str) -> DataFrame:
+    """Flattened results of a static analyser as findings of high confidence with score, technique and category.
+
+    The level gives the severity and that the score, none for information. The technique is that of the
+    rule's kind, else of the first words that rule and message hold; the category goes by words alone.
+    """
+    severity = C.looked_up(F.col("level"), {"error": "HIGH", "warning": "MEDIUM", "note": "LOW", "none": "INFO"}, "MEDIUM")
+    text = F.lower(F.concat_ws(" ", "rule_id", "message"))
+    category = _first_held(text, [([word], name) for word, name in catalog.STATIC_CATEGORIES], "security")
+    technique = F.coalesce(C.literal_map(catalog.STATIC_RULE_TECHNIQUES)[F.col("rule_id")], _first_held(text, catalog.STATIC_TECHNIQUES, None))
+    score = F.nullif(C.literal_map({k: float(v) for k, v in file_catalog.SEVERITY_SCORES.items()})[severity], F.lit(0.0))
+    shaped = rows.select(
+        "rule_id", severity.alias("severity"), category.alias("category"), F.col("uri").alias("path"), F.col("start_line").alias("line"), F.col("message").alias("snippet"), "cwe_id",
+        technique.alias("technique"), C.literal_map(catalog.TECHNIQUE_NAMES)[technique].alias("technique_name"), score.alias("score"),
+    )
+    return unified(shaped, source, confidence="HIGH", title=F.concat(F.lit("[Static] "), F.substring("snippet", 1, 120)), keep=("technique", "technique_name", "score"))
+
+
 def vectors_met(findings: DataFrame, vectors: dict[str, list[str]]) -> DataFrame:
     """``fingerprint, vectors``: the attack vectors that a finding's words name; few vectors, so each is a literal test."""
     text = F.lower(F.concat_ws(" ", "title", "rule_id", "category", "snippet"))

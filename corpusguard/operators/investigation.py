@@ -87,6 +87,17 @@ def from_signatures(matches: DataFrame) -> DataFrame:
     return findings.unified(rows, "yara", confidence="HIGH").withColumn("technique", F.lit("T1505.003"))
 
 
+def from_sensitive(found: DataFrame) -> DataFrame:
+    """Sensitive data as findings of an investigation; critical matches are conclusive, high and medium ones suspicious."""
+    place = F.concat_ws(":", "path", F.col("line").cast("string"))
+    rows = found.select(
+        F.col("data_type").alias("rule_id"), "severity", F.concat(F.lit("sensitive_"), F.lower("category")).alias("category"), "path", "line", "snippet", F.lit("").alias("cwe_id"),
+        F.concat(F.lit("Sensitive data: "), "data_type").alias("title"), F.concat(F.lit("Review "), "data_type", F.lit(" exposure in "), place, F.lit(". Redact or protect.")).alias("recommendation"), "hipaa",
+    )
+    conclusive = C.looked_up(F.col("severity"), {"CRITICAL": "conclusive", "HIGH": "suspicious", "MEDIUM": "suspicious"}, "informational")
+    return findings.unified(rows, "sensitive_data", title=F.col("title"), keep=("recommendation", "hipaa")).withColumn("conclusiveness", conclusive)
+
+
 def signatures_investigated(matches: DataFrame) -> DataFrame:
     """Signature matches as findings of an investigation: suspicious, whatever the rule."""
     rows = matches.select(F.coalesce("rule", F.lit("?")).alias("rule_id"), F.lit("HIGH").alias("severity"), F.lit("malware").alias("category"), F.coalesce("target", F.lit("")).alias("path"), F.lit(0).alias("line"), F.lit("").alias("snippet"), F.lit("").alias("cwe_id"))

@@ -99,6 +99,12 @@ def anomaly_routing(rows: DataFrame) -> DataFrame:
     return each.groupBy(field.alias("field")).agg(F.countDistinct("path").alias("n_files"), F.min("path").alias("first_path"))
 
 
+def anomaly_paths(rows: DataFrame) -> DataFrame:
+    """``field, anomaly, path``: the path lists of the anomaly report, a row for each entry; anomalies without a field are ``unrouted``."""
+    each = rows.select("path", F.explode("anomalies").alias("anomaly"))
+    return each.select(C.looked_up(F.col("anomaly"), catalog.ANOMALY_ROUTES, "unrouted").alias("field"), "anomaly", "path").distinct()
+
+
 def totals(manifest: DataFrame) -> DataFrame:
     """One row: files, bytes, the largest size and distinct contents."""
     return manifest.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.max("size_bytes"), F.lit(0)).alias("largest"), F.countDistinct("sha256").alias("distinct_contents"))

@@ -327,6 +327,39 @@ def unguarded_directories(files: DataFrame, guard: str = ".htaccess") -> DataFra
     return dirs.select("dir").distinct().join(dirs.where(F.col("name") == guard).select("dir").distinct(), "dir", "left_anti")
 
 
+def sensitive_scannable(path: Column) -> Column:
+    """Files that scans for sensitive data read: by a name with a dot, by all suffixes together, or by the last."""
+    name = F.lower(C.filename(path))
+    suffixes = F.regexp_extract(name, r"^\.*[^.]+((?:\.[^.]*)*)$", 1)
+    last = F.regexp_extract(suffixes, r"(\.[^.]*)$", 1)
+    return name.isin(catalog.SCANNABLE_DOT_FILES) | suffixes.isin(catalog.SCANNABLE) | last.isin(catalog.SCANNABLE)
+
+
+def critical_directories(files: DataFrame, policies: DataFrame, guard: str = ".htaccess") -> DataFrame:
+    """``directory, type, severity, path, detail``: what breaks the policies ``(directory, forbidden array<string>, guarded boolean, must_contain string)``.
+
+    A policy is for a directory that has files below it. Files below it whose names end in
+    a forbidden suffix are critical, with their size; a directory that should be guarded and has no
+    ``guard`` file is high, and one whose guard lacks ``must_contain`` is critical. Policies
+    meet the directories above files by equality; contents are read of guards alone.
+    """
+    rules = policies.select("directory", F.coalesce("forbidden", F.array().cast("array<string>")).alias("forbidden"), F.coalesce("guarded", F.lit(False)).alias("guarded"), F.coalesce("must_contain", F.lit("")).alias("must_contain"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    text = F.when(C.filename(F.col("path")) == guard, text_of(F.col("content")))
+    rows = files.where(F.col("path").contains("/")).select("path", F.length("content").cast("long").alias("size"), text.alias("guard"), F.explode(above).alias("directory")).join(rules, "directory")
+    ends = F.exists("forbidden", lambda e: F.endswith(C.filename(F.col("path")), e))
+    bad = rows.where(ends).select("directory", F.lit("forbidden_file").alias("type"), F.lit("CRITICAL").alias("severity"), "path", F.concat(F.lit("Size: "), F.col("size").cast("string"), F.lit(" bytes")).alias("detail"))
+    own = F.col("guard").isNotNull() & (F.col("path") == F.concat("directory", F.lit("/" + guard)))
+    # one guard of a directory at most; repeated rows of it count as tampered if any is
+    state = rows.where("guarded").groupBy("directory", "must_contain").agg(F.count_if(own).alias("guards"), F.bool_or(own & ~F.col("guard").contains(F.col("must_contain"))).alias("altered"))
+    kind = F.when(F.col("guards") == 0, "missing_htaccess").when(F.col("altered"), "htaccess_tampered")
+    severity = F.when(F.col("guards") == 0, "HIGH").otherwise("CRITICAL")
+    detail = F.when(F.col("guards") > 0, F.concat(F.lit("missing "), "must_contain")).otherwise("")
+    found = state.select("directory", kind.alias("type"), severity.alias("severity"), F.concat("directory", F.lit("/" + guard)).alias("path"), detail.alias("detail")).where("type IS NOT NULL")
+    return bad.unionByName(found)
+
+
 def functions_outside(files: DataFrame, allowed: list[str]) -> DataFrame:
     """``path, name``: functions that a file defines and the allow-list does not name."""
     names = F.array_distinct(F.regexp_extract_all(text_of(F.col("content")), F.lit(r"(?i)\bfunction\s+(\w+)"), F.lit(1)))

@@ -52,6 +52,17 @@ def coverage(expected: DataFrame, discovered: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("category", F.lit("(total)")).alias("category"), "expected", "discovered", percent.alias("percent"))
 
 
+#: What is sent to a page to see whether it comes back as it is.
+PAYLOAD = '<script>alert("probe")</script>'
+
+
+def reflected(pages: DataFrame, payload: str = PAYLOAD) -> DataFrame:
+    """``page_id, reflection`` of pages that show what was sent: ``raw`` where they run it, ``encoded`` where they only show it."""
+    encoded = payload.replace("<", "&lt;").replace(">", "&gt;")
+    shown = F.when(F.col("html").contains(payload), "raw").when(F.col("html").contains(encoded), "encoded")
+    return pages.select("page_id", shown.alias("reflection")).where("reflection IS NOT NULL")
+
+
 def page_checks(pages: DataFrame) -> DataFrame:
     """``page_id, check``: the checks that a page fails."""
     met = F.filter(F.array(*[F.when(F.col("html").rlike(p), n) for n, p in PAGE_CHECKS.items()]), lambda x: x.isNotNull())

@@ -10,7 +10,7 @@ from corpusguard.functions.session import new_folder
 from corpusguard.operators import diff, findings, investigation, manifest, rollup, scan, web
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, SNAPSHOTS_SQL, files, planted, query, snapshots, table
 from corpusguard.plans.reports import NAMED_SQL, _named
-from corpusguard.plans.scans import LINES_SQL, UNIFIED_SQL, _findings, _quoted
+from corpusguard.plans.scans import HITS_SQL, LINES_SQL, UNIFIED_SQL, _findings, _quoted
 from corpusguard.plans.snapshots import FIRST_CATEGORY
 from corpusguard.sources import interop, sinks
 
@@ -390,11 +390,14 @@ def gated_lines(spark, sf_dir):
     return scan.gated(scan.lines_of(files(spark, sf_dir))).select("path", "line")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{s}', '{c}')" for i, s, c, _, _ in scan.RULES) + ") v(rule_id, severity, category)")
+@query(
+    f"WITH {HITS_SQL}, r AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{s}', '{c}')" for i, s, c, _, _ in scan.RULES) + ") v(rule_id, severity, category)) "
+    "SELECT r.rule_id, r.severity, r.category, count(path) AS files FROM r LEFT JOIN hits ON r.rule_id = hits.rule_id GROUP BY r.rule_id, r.severity, r.category"
+)
 def rule_catalog(spark, sf_dir):
-    """The rules as a table, those that the corpus could meet first; every rule is listed whatever the corpus holds."""
-    met = scan.rule_hits(planted(spark, sf_dir)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
-    return scan.rule_table(spark).join(met, "rule_id", "left").orderBy(F.desc("n"), "rule_id").select("rule_id", "severity", "category")
+    """The rules as a table, each with the number of files that meet it, none included."""
+    met = scan.rule_hits(planted(spark, sf_dir)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("files"))
+    return scan.rule_table(spark).join(met, "rule_id", "left").select("rule_id", "severity", "category", F.coalesce("files", F.lit(0)).alias("files"))
 
 
 @query(f"WITH {FILES_SQL} SELECT path, doc_id % 3 = 0 AS null_byte FROM files")

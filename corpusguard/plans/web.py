@@ -43,6 +43,14 @@ def page_checks(spark, sf_dir):
     return web.page_checks(table(spark, sf_dir, "pages").withColumn("html", F.concat("html", added)))
 
 
+@query("""SELECT page_id, 'raw' AS reflection FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'encoded' FROM pages WHERE page_id % 5 = 1""")
+def reflected_payloads(spark, sf_dir):
+    """Every fifth page gives a payload back as it was sent, another fifth encoded."""
+    encoded = web.PAYLOAD.replace("<", "&lt;").replace(">", "&gt;")
+    shown = F.when(F.col("page_id") % 5 == 0, web.PAYLOAD).when(F.col("page_id") % 5 == 1, encoded).otherwise("")
+    return web.reflected(table(spark, sf_dir, "pages").withColumn("html", F.concat("html", shown)))
+
+
 def _requests(events: DataFrame) -> DataFrame:
     """Events as requests: errors are failures, purchases are posts, every tenth user calls an external host."""
     domain = F.when(F.col("user_id") % 10 == 0, "cdn.other.test").otherwise("app.site.test")
@@ -119,6 +127,28 @@ def stream_request_windows(spark, sf_dir):
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "total", "posts", "external", "errors")
 
 
+@query(
+    f"""WITH w AS (SELECT *, user_id % 7 = 0 AS late, unnest([date_trunc('hour', ts) + INTERVAL 30 MINUTE * (extract(minute FROM ts) // 30), date_trunc('hour', ts) + INTERVAL 30 MINUTE * (extract(minute FROM ts) // 30 - 1)]) AS start FROM events),
+    m AS (SELECT max(ts) FILTER (WHERE user_id % 7 <> 0) - INTERVAL 2 HOUR AS first, max(ts) - INTERVAL 2 HOUR AS final FROM events)
+    SELECT start::TIMESTAMP AS start, {SUMMARY_SQL} FROM w, m WHERE (NOT late OR start + INTERVAL 1 HOUR > first) AND start + INTERVAL 1 HOUR <= final GROUP BY start"""
+)
+def stream_sliding_windows(spark, sf_dir):
+    """Windows of an hour every half hour, given out when they end; every seventh user's events come in a second batch, too late for most windows."""
+    folder, events = new_folder(spark, "stream"), table(spark, sf_dir, "events")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        """A batch that is retried replaces what its first attempt wrote."""
+        rows.write.mode("overwrite").parquet(f"{folder}/out/{batch}")
+
+    for late in (False, True):
+        events.where((F.col("user_id") % 7 == 0) == late).write.mode("append").parquet(f"{folder}/in")
+        windows = streams.request_windows(_requests(spark.readStream.schema(events.schema).parquet(f"{folder}/in")), "site.test", slide="30 minutes")
+        run = windows.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start()
+        run.awaitTermination()
+    found = spark.read.parquet(f"{folder}/out/*")
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "total", "posts", "external", "errors")
+
+
 @query(
     """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE AS fresh FROM events),
     s AS (SELECT user_id, ts, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM e),

@@ -114,6 +114,37 @@ def sarif_result(line: Column = None) -> Column:
     )
 
 
+def sarif_full_result(findings: DataFrame) -> Column:
+    """A finding as a whole SARIF result object: what the findings have no column for, or null, zero and empty values, is left out.
+
+    Read are ``rule_id, severity, title, fingerprint, source, confidence, category`` and, where
+    they are, ``description, path, line, line_end, column_start, column_end, snippet, cwe_id,
+    cwe_name, technique, technique_name, score, cve_id, corroborated_by, related_ids, content_label, content_mismatch``.
+    """
+    has = lambda name: F.col(name) if name in findings.columns else F.lit(None)
+    text = lambda name: F.nullif(has(name).cast("string"), F.lit(""))
+    number = lambda name: F.when(has(name).cast("int") > 0, has(name).cast("int"))
+    listed = lambda name: F.when(F.size(F.col(name)) > 0, F.col(name)) if name in findings.columns else F.lit(None).cast("array<string>")
+    snippet = F.when(text("snippet").isNotNull(), F.struct(text("snippet").alias("text")))
+    region = F.struct(number("line").alias("startLine"), number("line_end").alias("endLine"), number("column_start").alias("startColumn"), number("column_end").alias("endColumn"), snippet.alias("snippet"))
+    place = F.struct(F.struct(text("path").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.when(number("line").isNotNull(), region).alias("region"))
+    weakness = F.struct(F.struct(F.lit("CWE").alias("name")).alias("toolComponent"), F.regexp_replace(text("cwe_id"), "^CWE-", "").alias("id"), text("cwe_name").alias("name"))
+    technique = F.struct(text("technique").alias("technique_id"), text("technique_name").alias("technique_name"))
+    properties = F.struct(
+        text("source").alias("source"), text("confidence").alias("confidence"), text("category").alias("category"), text("cwe_id").alias("cwe"),
+        F.when(text("technique").isNotNull(), technique).alias("mitre_attack"), F.when(has("score").isNotNull(), F.struct(has("score").cast("double").alias("base_score"))).alias("cvss"),
+        text("cve_id").alias("cve"), listed("corroborated_by").alias("corroborated_by"), listed("related_ids").alias("related_ids"),
+        text("content_label").alias("content_label"), F.when(text("content_label").isNotNull(), has("content_mismatch").cast("boolean")).alias("content_mismatch"),
+    )
+    return F.to_json(
+        F.struct(
+            F.col("rule_id").alias("ruleId"), C.looked_up(F.col("severity"), catalog.SARIF_LEVELS, "warning").alias("level"), F.struct(F.coalesce(text("description"), text("title"), F.lit("")).alias("text")).alias("message"),
+            F.struct(text("fingerprint").alias("finding/v1")).alias("fingerprints"), F.when(text("path").isNotNull(), F.array(F.struct(place.alias("physicalLocation")))).alias("locations"),
+            F.when(text("cwe_id").isNotNull(), F.array(weakness)).alias("taxa"), properties.alias("properties"),
+        )
+    )
+
+
 def sarif_document(findings: DataFrame, by: str) -> DataFrame:
     """``file, json``: a SARIF document for each value of ``by``, with its results in path and line order."""
     ordered = F.sort_array(F.collect_list(F.struct("path", "line", "rule_id", sarif_result().alias("json"))))
