@@ -19,8 +19,8 @@ MIN_TOKENS = 8
 #: A block of articles is a template's if it stands in so many different stories of its host, and in three quarters of them.
 MIN_STORIES = 5
 
-#: Zones of a block: boilerplate by its markup, outside any container, in ``main``, in an article.
-CHROME, OPEN, MAIN, ARTICLE = range(4)
+#: Zones of a block: in a wrapper that may hold an article, boilerplate by its markup, outside any container, in ``main``, in an article.
+WRAPPER, CHROME, OPEN, MAIN, ARTICLE = range(-1, 4)
 
 #: Elements and names that the zones go by.
 BLOCKS = frozenset(
@@ -34,11 +34,19 @@ CHROME_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments "
     "disqus replies cookie cookies consent popup modal newsletter subscribe signup login related recommended pagination pager".split()
 )
+#: What is boilerplate by itself but may be put around an article.
+WRAPPER_TAGS = frozenset("header form dialog".split())
+WRAPPER_ROLES = frozenset("banner form search dialog".split())
+WRAPPER_NAMES = frozenset("sidebar newsletter subscribe signup login popup modal cookie cookies consent".split())
+#: Parts of names of what lays out a page; a name that has one means no boilerplate.
+LAYOUT_PARTS = frozenset("layout wrapper wrap container page content main grid row".split())
+#: Names of comments, which may be articles by their tag.
+COMMENT_NAMES = frozenset("comment comments disqus replies".split())
 #: Names that mean boilerplate outside articles, and inside them only where the host repeats the text.
 DOUBTFUL_NAMES = frozenset("header masthead banner notice notices promo promotion search share sharing social widget toolbar copyright".split())
 MAIN_NAMES = frozenset("article-body articlebody article-content post-content post-body entry-content main-content story-body".split())
 #: Elements whose content is no text of the page.
-SILENT = "script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|button|audio|video|title"
+SILENT = "script|style|noscript|template|iframe|textarea|select|object|canvas|button|audio|video|title"
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*+>.*?(?:</(?P=silent)\s*+>|\Z)"
@@ -59,22 +67,34 @@ def _names(rest: str) -> tuple[set[str], str]:
     return names, role
 
 
+def _known(names: set[str]) -> set[str]:
+    """The names and their first parts, but for names of what lays out a page."""
+    known = set()
+    for name in names:
+        parts = re.split(r"[-_]+", name)
+        if len(parts) == 1 or not LAYOUT_PARTS.intersection(parts):
+            known |= {name, parts[0]}
+    return known
+
+
 def _zone(tag: str, rest: str, inside: tuple[int, bool]) -> tuple[int, bool]:
     """The zone of an element inside a zone, and whether its text is in doubt."""
     zone, doubt = inside
     if zone == CHROME:
         return inside
     names, role = _names(rest)
+    known = _known(names)
+    article = tag == "article" or role == "article" or bool(names & MAIN_NAMES)
+    if article and not known & COMMENT_NAMES and not (tag == "article" and names & CHROME_NAMES):
+        # one in a wrapper gives way to one outside
+        return (MAIN if zone == WRAPPER else ARTICLE), doubt
     if tag in CHROME_TAGS and not (tag == "header" and zone >= MAIN) or role in CHROME_ROLES:
-        return CHROME, False
-    if tag not in ("html", "body") and not names & MAIN_NAMES:
-        known = names | {re.split(r"[-_]+", n)[0] for n in names}
-        if known & CHROME_NAMES:
-            return CHROME, False
+        return (WRAPPER if (tag in WRAPPER_TAGS or role in WRAPPER_ROLES) and zone < MAIN else CHROME), False
+    if tag not in ("html", "body"):
+        if chrome := known & CHROME_NAMES:
+            return (WRAPPER if chrome <= WRAPPER_NAMES and zone < MAIN else CHROME), False
         if known & DOUBTFUL_NAMES:
-            return (zone, True) if zone >= MAIN else (CHROME, False)
-    if tag == "article" or role == "article" or names & MAIN_NAMES:
-        return ARTICLE, doubt
+            return (zone, True) if zone >= MAIN else (WRAPPER, False)
     return (max(zone, MAIN), doubt) if tag == "main" or role == "main" else inside
 
 
@@ -122,23 +142,25 @@ def _hash(host: str, text: str) -> int:
 
 
 def best_zone(blocks: list[tuple[int, bool, str]]) -> int:
-    return max((zone for zone, _, _ in blocks), default=OPEN) or OPEN
+    return max((zone for zone, _, _ in blocks if zone >= OPEN), default=OPEN)
 
 
-def page_streams(host: str, html: str) -> tuple[bool, list[int], list[int]]:
-    """Whether the stream decides on text, the ids of the tokens outside the article and in doubt, and of the article's blocks."""
+def page_streams(host: str, html: str) -> tuple[bool, list[int], list[int], list[int]]:
+    """Whether the stream decides on text, the ids of the tokens outside the article and in doubt, of the article's blocks, and of those that tell the story."""
     blocks = page_blocks(html)
     best = best_zone(blocks)
     outside = [_hash(host, t) for zone, doubt, text in blocks if zone < MAIN or doubt for t in text.split()]
     open_ = best < MAIN or any(doubt for _, doubt, _ in blocks)
-    return open_, outside, [_hash(host, text) for zone, doubt, text in blocks if zone == best >= MAIN and not doubt]
+    told = [_hash(host, text) for zone, doubt, text in blocks if zone == best and not doubt]
+    return open_, outside, told if best >= MAIN else [], told
 
 
 def page_text(host: str, html: str, covered, templates) -> str:
     """The page's text: the blocks of its best zone without what its host repeats.
 
     Blocks in doubt, and all where the markup names no article, lose the ``covered``
-    tokens of the stream; blocks of the article go whole if they are ``templates``.
+    tokens of the stream; blocks of the article go whole if they are ``templates``. If
+    nothing is left of them, all of them stay: a page that has a text has one here.
     """
     blocks = page_blocks(html)
     best, covered, templates, at, texts = best_zone(blocks), set(covered or ()), set(templates or ()), 0, []
@@ -153,7 +175,7 @@ def page_text(host: str, html: str, covered, templates) -> str:
             continue
         if zone == best and text:
             texts.append(text)
-    return "\n\n".join(texts)
+    return "\n\n".join(texts or [text for zone, _, text in blocks if zone == best])
 
 
 def _host(url: Column) -> Column:
@@ -161,13 +183,13 @@ def _host(url: Column) -> Column:
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """``page, host, story, open, outside, blocks`` of ``page, host, html``: story is the id of the article's text."""
+    """``page, host, story, open, outside, blocks`` of ``page, host, html``: story is the id of the article's text, or of all that is no boilerplate by markup."""
     kinds = [pa.bool_(), *[pa.list_(pa.int64())] * 2]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [page_streams(h, t) for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            story = pa.array([xxhash.xxh64_intdigest(repr(x[2])) - (1 << 63) for x in found], pa.int64())
+            story = pa.array([xxhash.xxh64_intdigest(repr(x[3])) - (1 << 63) for x in found], pa.int64())
             parts = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), story, *parts], names=["page", "host", "story", "open", "outside", "blocks"])
 
@@ -189,10 +211,12 @@ def host_templates(streams: DataFrame) -> DataFrame:
 def covered_tokens(streams: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``page`` and ``covered``: places in its stream that runs of ``min_tokens`` tokens shared by two pages of a host cover.
 
+    Pages that tell one ``story`` (if there is such a column) are copies of one another and count as one page.
     All pages are searched; those come back whose markup leaves something open.
     """
-    tokens = streams.select("page", F.posexplode("outside").alias("at", "name"))
-    runs = repeated_prefixes(tokens, ["page"], F.col("page"), min_tokens, repeated=F.col("first") != F.col("final"))
+    story = "story" if "story" in streams.columns else "page"
+    tokens = streams.select("page", *{story} - {"page"}, F.posexplode("outside").alias("at", "name"))
+    runs = repeated_prefixes(tokens, ["page", *{story} - {"page"}], F.col(story), min_tokens, repeated=F.col("first") != F.col("final"))
     runs = runs.join(streams.where("open").select("page").distinct(), "page", "left_semi")
     covered = runs.select("page", F.explode(F.sequence("at", F.col("at") + (min_tokens - 1))).alias("at"))
     return covered.groupBy("page").agg(F.collect_set("at").alias("covered"))

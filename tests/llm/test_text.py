@@ -1,5 +1,6 @@
 import random
 import re
+from html.parser import HTMLParser
 
 import public_tokenizers
 import pytest
@@ -286,3 +287,90 @@ def test_toxicity_on_held_out_labels(spark):
     rows_ = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").toPandas()
     assert ((rows_.predicted == 0) & (rows_.toxic == 0)).sum() / (rows_.toxic == 0).sum() > 0.98
     assert ((rows_.predicted == 1) & (rows_.toxic == 1)).sum() / (rows_.toxic == 1).sum() > 0.8
+
+
+TOLD = "<p>One two three four five six seven eight nine ten.</p>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<form><article>%s</article></form>", True), ("<div class='sidebar-layout'><article>%s</article></div>", True), ("<article class='newsletter-issue'>%s</article>", True),
+        ("<div class=login-wrapper><div>%s</div></div>", True), ("<div id=banner><main>%s</main></div>", True), ("<nav><article>%s</article></nav>", False), ("<footer><article>%s</article></footer>", False),
+        ("<div class='comments'><article>%s</article></div>", False), ("<article class=comment-7>%s</article>", False), ("<form>%s</form>", False), ("<div class=sidebar>%s</div>", False),
+    ],
+)
+def test_articles_in_wrappers(html, want):
+    assert (host_boilerplate.page_text("h", html % TOLD, None, None) != "") == want
+    both = f"{html % TOLD}<article><p>The story.</p></article>"
+    if html.startswith("<form><article"):
+        assert host_boilerplate.page_text("h", both, None, None) == "The story."
+
+
+def test_marks_in_articles():
+    html = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><text>label</text></svg>.<script>no</script></article>"
+    assert host_boilerplate.page_text("h", html, None, None) == "Let x=1 and label."
+
+
+def test_stories_on_two_silent_pages_stay(spark):
+    shared = "<div>all rights to this page belong to the people who wrote it</div>"
+    story = "<p>A story of more than eight words which two pages of this host tell alike.</p>"
+    pages = [(1, story), (2, story), (3, shared + "<p>Another one.</p>"), (4, shared + "<p>A third.</p>"), (5, shared), (6, shared), (7, "")]
+    found = {r.page_id: r.text for r in host_boilerplate.main_text(spark.createDataFrame([(i, f"http://a.test/{i}", f"<body>{h}</body>") for i, h in pages], "page_id long, url string, html string")).collect()}
+    told = re.sub("<.*?>", "", story)
+    assert found[1] == found[2] == told and (found[3], found[4], found[7]) == ("Another one.", "A third.", "") and found[5] == found[6] == re.sub("<.*?>", "", shared)
+
+
+class Reader(HTMLParser):
+    """The text of articles by a parser of its own: all but forms, navigation, comments and the like, block by block."""
+
+    GONE = {"script", "style", "nav", "aside", "footer", "form", "noscript", "button", "iframe", "select", "textarea", "title", "template"}
+    NAMES = {"ad", "ads", "advert", "comments", "comment", "related", "share", "newsletter", "sidebar", "promo", "banner", "notice", "cookie", "breadcrumb", "breadcrumbs", "pagination", "subscribe", "social"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.text, self.inside, self.gone = [], [], "", 0, 0
+
+    def end_block(self):
+        if " ".join(self.text.split()):
+            self.blocks.append(" ".join(self.text.split()))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        names = {part for n in (dict(attrs).get("class") or "").split() + (dict(attrs).get("id") or "").split() for part in (n, re.split("[-_]", n)[0])}
+        if tag in host_boilerplate.VOID:
+            self.text += " " * (tag == "br")
+            if tag == "hr":
+                self.end_block()
+            return
+        if tag in host_boilerplate.BLOCKS:
+            self.end_block()
+        gone = tag in self.GONE or bool(names & self.NAMES)
+        self.open.append((tag, tag == "article", gone))
+        self.inside, self.gone = self.inside + (tag == "article"), self.gone + gone
+
+    def handle_endtag(self, tag):
+        if tag in host_boilerplate.BLOCKS:
+            self.end_block()
+        while any(t == tag for t, *_ in self.open):
+            t, article, gone = self.open.pop()
+            self.inside, self.gone = self.inside - article, self.gone - gone
+            if t == tag:
+                break
+
+    def handle_data(self, data):
+        if self.inside and not self.gone:
+            self.text += data
+
+
+def test_whole_pages_by_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = {r.page_id: r.text for r in host_boilerplate.main_text(pages).collect()}
+    want = {}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        reader.close()
+        reader.end_block()
+        want[r.page_id] = "\n\n".join(reader.blocks)
+    assert found == want
