@@ -129,6 +129,22 @@ def test_fixity(spark, nothing):
     assert len(rows(merkle.fixity_audit(a, a.where("false"), "archive", "pos", ("body",)))) == 6
 
 
+def test_only_what_differs_meets(spark, monkeypatch):
+    """One of 100,000 records differs: the roots meet, then 64 nodes of a side and level at most."""
+    a = spark.range(100_000).selectExpr("'w' AS archive", "id AS pos", "'r' || id AS body").unionByName(spark.createDataFrame([("v", 5, "x")], "archive string, pos long, body string"))
+    b = a.withColumn("body", F.when((F.col("archive") == "w") & (F.col("pos") == 77_777), "broken").otherwise(F.col("body")))
+    met, compare = [], merkle.differing
+
+    def counted(left, right):
+        met.append((left.count(), right.count()))
+        return compare(left, right)
+
+    monkeypatch.setattr(merkle, "differing", counted)
+    found = rows(merkle.fixity_audit(a, b, "archive", "pos", ("body",)).select("archive", "pos", "status", "branch"))
+    assert [r[:3] for r in found] == [("w", 77_777, "altered")] and found[0][3].count("/") == len(met) - 1
+    assert met[0] == (2, 2) and all(0 < n <= 64 for pair in met for n in pair) and len(met) == 4
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href="/x">menu</a></ul></nav><div class="ad">buy</div><header>site</header>
 <article><h1>Title &amp; more</h1><p>One <b>two</b><br>three<p>Four&nbsp;five<!-- no --><form>send</form><div class="comments"><p>first!</div><p>six</article>
