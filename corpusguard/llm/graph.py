@@ -23,7 +23,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the driver.
     """
     ordered = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    state, edges = None, checkpointed(ordered)
+    ordered = checkpointed(ordered)
+    # a node keeps its smallest neighbour and hands it to the others, so that a group in which nodes know many of few others shrinks at once
+    lowest = ordered.groupBy("u").agg(F.min("v").alias("m"))
+    others = ordered.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    state, edges = None, checkpointed(lowest.select("u", F.col("m").alias("v")).union(others).distinct())
     for _ in range(max_rounds):
         both = edges.select(_ends(("u", "v"), ("v", "u")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -316,3 +316,27 @@ def test_line_runs_edge_cases(awkward, nothing):
 def test_ranks_are_places_in_sorted_order(spark):
     groups = spark.createDataFrame([("b", 1, 2), ("a", 9, 3), ("b", 0, 4), ("c", 5, 1)], "k string, j int, n int")
     assert {(r.k, r.j): r["rank"] for r in suffix_array.ranked(groups, "k", "j").collect()} == {("a", 9): 0, ("b", 0): 3, ("b", 1): 7, ("c", 5): 9}
+
+
+def test_components_against_union_find(spark):
+    import random
+
+    from corpusguard.llm.graph import connected_components
+
+    rng = random.Random(9)
+    for n, m in ((1, 1), (40, 30), (200, 150), (60, 400)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(1000 + i, 1000 + i + 1) for i in range(40)] + [(5000, 5000)] + [(2000 + i, 3000 + i % 3) for i in range(300)] * 2
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        want = {x: find(x) for a, b in edges for x in (a, b) if a != b}
+        found = connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
