@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusguard.plans import investigation, reports, scans, snapshots, standards, trees, web, words  # noqa: F401
+from corpusguard.plans import investigation, reports, scanned, scans, snapshots, standards, trees, web, words  # noqa: F401
 from corpusguard.plans.registry import ORACLE_SQL, QUERIES
 from corpusguard.plans.scans import flagship
 

@@ -4,7 +4,7 @@ import pytest
 from corpusguard.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "events", "conversations", "part")
+TABLES = ("documents", "pages", "events", "conversations", "part", "benchmark")
 
 
 def canonical(columns, rows):
