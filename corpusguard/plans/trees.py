@@ -72,10 +72,10 @@ DAY = 20_000
 
 @query(
     f"""WITH {SNAPSHOTS_SQL} SELECT path, 'added' AS event, hash, 0::BIGINT AS hours FROM ref
-    UNION ALL SELECT path, CASE status WHEN 'modified' THEN 'changed' ELSE status END, CASE WHEN status = 'removed' THEN ref_hash ELSE tgt_hash END, CASE WHEN status = 'removed' THEN 12 ELSE 24 END FROM diff WHERE status <> 'identical'"""
+    UNION ALL SELECT path, CASE status WHEN 'modified' THEN 'changed' ELSE status END, CASE WHEN status = 'removed' THEN ref_hash ELSE tgt_hash END, CASE WHEN status = 'removed' THEN 30 ELSE 24 END FROM diff WHERE status <> 'identical'"""
 )
 def stream_file_snapshots(spark, sf_dir):
-    """Two snapshots a day apart as they come: all files are added, then the differences show."""
+    """Snapshots a day apart as they come: all files are added, the next day the differences show, and the day after that tells what is gone."""
     folder = new_folder(spark, "snapshots")
     streams.use_rocksdb(spark)
 
@@ -83,11 +83,12 @@ def stream_file_snapshots(spark, sf_dir):
         """A batch that is retried replaces what its first attempt wrote."""
         rows.write.mode("overwrite").parquet(f"{folder}/out/{batch}")
 
-    for day, rows in enumerate(snapshots(spark, sf_dir)):
+    before, after = snapshots(spark, sf_dir)
+    for day, rows in enumerate((before, after, after)):
         at = F.timestamp_seconds(F.lit((DAY + day) * 86400))
         diff.hashed(rows).select("path", "hash", at.alias("ts")).write.mode("append").parquet(f"{folder}/in")
         seen = spark.readStream.schema("path string, hash string, ts timestamp").parquet(f"{folder}/in")
-        run = streams.file_snapshots(seen, "12 hours").writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start()
+        run = streams.file_snapshots(seen, "30 hours").writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(write).start()
         run.awaitTermination()
     found = spark.read.parquet(f"{folder}/out/*")
     return found.select("path", "event", "hash", (F.unix_seconds("ts") / 3600 - DAY * 24).cast("long").alias("hours"))
