@@ -5,6 +5,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusguard.llm import byte_bpe, queries, simhash
@@ -75,3 +76,41 @@ def test_queries_against_sql(spark, name):
     found = queries.QUERIES[name](spark, SF)
     assert sorted(found.columns) == columns
     assert sorted(repr(list(r)) for r in found.select(*[found[c] for c in columns]).collect()) == expected
+
+
+def kept(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_stages_on_awkward_rows(spark, awkward, nothing):
+    """Each stage on null and empty texts, null and repeated ids, copies, very long texts and columns with clashing names; and on no rows."""
+    docs = awkward.withColumn("n_chars", F.length("text").cast("long"))
+    everything = kept(docs)
+    stages = dict(corpus_pipeline.STAGES)
+    # nothing here is toxic, no item of the benchmark is held
+    for name in ("toxicity", "benchmark decontamination"):
+        found = stages[name](spark, docs, SF)
+        assert found.columns == docs.columns and kept(found) == everything, name
+    # a run of two lines is told once; what is left of a document that only repeated it is nothing, so it goes
+    found = stages["line dedup"](spark, docs, SF)
+    same = "same words here\nand a second line"
+    assert found.columns == docs.columns and [t for _, t in kept(found)].count(same) <= 2
+    untouched = [r for r in everything if r[0] in (3, 4, 5, 6, 7, 8)]
+    assert [r for r in kept(found) if r[0] in (3, 4, 5, 6, 7, 8)] == untouched
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in found.collect())
+    # one id of each class stays with all its rows; texts without words are one class
+    found = stages["simhash near-dedup"](spark, docs, SF)
+    assert found.columns == docs.columns and kept(found) == sorted([(1, same), (1, same), *[r for r in everything if r[0] in (3, 6, 7, 8)]], key=str)
+    # every row is encoded
+    found = stages["byte-level BPE"](spark, docs.where("doc_id IS NULL OR doc_id <> 8"), SF).collect()
+    want = sorted(str((i, hashlib.sha256((t or "").encode()).hexdigest())) for i, t in everything if i != 8)
+    assert sorted(str((r.doc_id, r.decoded_sha256)) for r in found) == want and all(r.n_tokens == len(r.ids) for r in found)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).collect() == []
+
+
+def test_stages_without_labels_or_benchmark(spark, small, tmp_path):
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for _, stage in [corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[3]]:
+        assert kept(stage(spark, small, str(tmp_path))) == kept(small)
