@@ -10,16 +10,18 @@ from corpusguard.functions import columns as C
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    """``path, hash, size``: what a diff shuffles in place of contents."""
-    return files.where(~C.skipped(F.col("path"))).select("path", F.sha2("content", 256).alias("hash"), F.length("content").cast("long").alias("size"))
+    """``path, hash, size`` (and ``modified_at`` if there is one): what a diff shuffles in place of contents."""
+    times = ["modified_at"] if "modified_at" in files.columns else []
+    return files.where(~C.skipped(F.col("path"))).select("path", F.sha2("content", 256).alias("hash"), F.length("content").cast("long").alias("size"), *times)
 
 
 def baseline_diff(reference: DataFrame, target: DataFrame) -> DataFrame:
-    """``path, status, ref_hash, tgt_hash, size`` of two hashed snapshots, by a full outer join on the path."""
+    """``path, status, ref_hash, tgt_hash, size`` of two hashed snapshots, by a full outer join on the path; and ``modified_at`` of the target if it tells."""
+    times = ["modified_at"] if "modified_at" in target.columns else []
     a = reference.select("path", F.col("hash").alias("ref_hash"))
-    b = target.select("path", F.col("hash").alias("tgt_hash"), "size")
+    b = target.select("path", F.col("hash").alias("tgt_hash"), "size", *times)
     status = F.when(F.col("ref_hash").isNull(), "added").when(F.col("tgt_hash").isNull(), "removed").when(F.col("ref_hash") == F.col("tgt_hash"), "identical").otherwise("modified")
-    return a.join(b, "path", "full_outer").select("path", status.alias("status"), "ref_hash", "tgt_hash", "size")
+    return a.join(b, "path", "full_outer").select("path", status.alias("status"), "ref_hash", "tgt_hash", "size", *times)
 
 
 def delta(diff: DataFrame) -> DataFrame:
@@ -54,12 +56,32 @@ def modification_severity(path: Column) -> Column:
     return F.when(critical, "CRITICAL").when(name.isin("database.php", "webdav.php", "webdav_module.xml"), "MEDIUM").when(lower.endswith(".php"), "HIGH").otherwise("MEDIUM")
 
 
+def modification_advice(path: Column) -> Column:
+    """What to do about a modified file, by its name."""
+    lower = F.lower(path)
+    name = C.filename(lower)
+    return (
+        F.when(name == "hooks.php", "A file of hooks was changed: a first place for code that is to stay.").when(name == "upgrade.php", "The upgrade was changed: what it installs may be compromised.")
+        .when(name.isin("authentication.php", "auth_functions.php"), "Authentication was changed: credentials may be at risk.").when(name.contains(".htaccess"), "Look for files that are prepended to others.")
+        .when(name.contains(".user.ini"), "Look for settings that run code.").when(name == "database.php", "Expected to differ: it holds local credentials.")
+        .when(name.isin("webdav.php", "webdav_module.xml"), "Expected to differ: it is of one installation.").when(lower.endswith(".php"), "Code was changed: verify it by hand.")
+        .otherwise("Find out whether the change is intended.")
+    )
+
+
 def diff_findings(diff: DataFrame) -> DataFrame:
-    """A finding for each unexpected change."""
+    """A finding for each unexpected change, with its message and what to do about it; a time of change stays if the diff has one."""
     path, status = F.col("path"), F.col("status")
     changed = diff.where(status.isin("removed", "modified") | ((status == "added") & ~expected_addition(path)))
-    severity = F.when(status == "added", addition_severity(path)).when(status == "modified", modification_severity(path)).otherwise("MEDIUM")
-    return changed.select("path", "status", severity.alias("severity"), "ref_hash", "tgt_hash", "size")
+    severity = F.when(status == "added", addition_severity(path)).when(status == "modified", modification_severity(path)).otherwise("HIGH")
+    short = lambda c: F.concat(F.substring(c, 1, 12), F.lit("..."))
+    message = (
+        F.when(status == "added", "The file is not in the reference.").when(status == "removed", "The file of the reference is missing.")
+        .otherwise(F.concat(F.lit("Hash mismatch: reference "), short("ref_hash"), F.lit(", target "), short("tgt_hash")))
+    )
+    advice = F.when(status == "added", "Verify its origin.").when(status == "removed", "Verify that it was meant to go.").otherwise(modification_advice(path))
+    times = ["modified_at"] if "modified_at" in diff.columns else []
+    return changed.select("path", "status", severity.alias("severity"), "ref_hash", "tgt_hash", "size", message.alias("message"), advice.alias("recommendation"), *times)
 
 
 def validation_findings(diff: DataFrame) -> DataFrame:

@@ -456,7 +456,7 @@ def token_kinds(spark, sf_dir):
     return manifest.token_kinds(rows.select("path", F.concat(F.lit("k"), (F.length("text") % 4).cast("string")).alias("kind")))
 
 
-@query(f"WITH {SNAPSHOTS_SQL} SELECT path, status, CASE WHEN status = 'added' THEN 'HIGH' WHEN status = 'modified' AND path LIKE '%.php' THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM diff WHERE status <> 'identical'")
+@query(f"WITH {SNAPSHOTS_SQL} SELECT path, status, CASE WHEN status IN ('added', 'removed') OR path LIKE '%.php' THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM diff WHERE status <> 'identical'")
 def validation_findings(spark, sf_dir):
     reference, target = map(diff.hashed, snapshots(spark, sf_dir))
     return diff.validation_findings(diff.baseline_diff(reference, target)).select("path", "status", "severity")

@@ -50,7 +50,11 @@ def audit_rollup(spark, sf_dir):
 @query(
     f"""WITH {SNAPSHOTS_SQL} SELECT path, status, ref_hash, tgt_hash, size,
     CASE WHEN status = 'added' THEN CASE WHEN path LIKE '%.php' THEN 'CRITICAL' WHEN path LIKE '%.js' THEN 'HIGH' ELSE 'MEDIUM' END
-         WHEN status = 'modified' AND path LIKE '%.php' THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+         WHEN status = 'removed' OR path LIKE '%.php' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+    CASE status WHEN 'added' THEN 'The file is not in the reference.' WHEN 'removed' THEN 'The file of the reference is missing.'
+        ELSE 'Hash mismatch: reference ' || ref_hash[1:12] || '..., target ' || tgt_hash[1:12] || '...' END AS message,
+    CASE WHEN status = 'added' THEN 'Verify its origin.' WHEN status = 'removed' THEN 'Verify that it was meant to go.' WHEN path LIKE '%.php' THEN 'Code was changed: verify it by hand.'
+        ELSE 'Find out whether the change is intended.' END AS recommendation
     FROM diff WHERE status <> 'identical'"""
 )
 def diff_findings(spark, sf_dir):
@@ -276,7 +280,7 @@ def corpus_digest(spark, sf_dir):
 @query(
     f"""WITH {SNAPSHOTS_SQL}, c AS (SELECT count(*) FILTER (WHERE status = 'added') AS added, count(*) FILTER (WHERE status = 'removed') AS removed, count(*) FILTER (WHERE status = 'modified') AS modified,
         count(*) FILTER (WHERE status = 'identical') AS identical, count(*) FILTER (WHERE status IN ('added', 'modified')) AS delta FROM diff), f AS (SELECT count(*) AS findings,
-        count(*) FILTER (WHERE path LIKE '%.php' AND status = 'added') AS critical, count(*) FILTER (WHERE (path LIKE '%.js' AND status = 'added') OR (path LIKE '%.php' AND status = 'modified')) AS high FROM diff WHERE status <> 'identical')
+        count(*) FILTER (WHERE path LIKE '%.php' AND status = 'added') AS critical, count(*) FILTER (WHERE (path LIKE '%.js' AND status = 'added') OR (path LIKE '%.php' AND status = 'modified') OR status = 'removed') AS high FROM diff WHERE status <> 'identical')
     SELECT c.*, f.*, added || ' added, ' || removed || ' removed, ' || modified || ' modified, ' || identical || ' identical; ' || findings || ' findings in ' || delta || ' files, ' || critical || ' critical, ' || high || ' high' AS summary FROM c, f"""
 )
 def audit_summary(spark, sf_dir):

@@ -65,7 +65,11 @@ def test_diff(spark, tmp_path):
     b = diff.hashed(frame(spark, {"same": b"1", "hooks.php": b"4", "edocs/new.php": b"5", "new.sh": b"6", "Thumbs.db": b"7"}))
     d = diff.baseline_diff(a, b)
     assert {(r.path, r.status) for r in d.collect()} == {("same", "identical"), ("gone.php", "removed"), ("hooks.php", "modified"), ("edocs/new.php", "added"), ("new.sh", "added")}
-    assert {(r.path, r.severity) for r in diff.diff_findings(d).collect()} == {("gone.php", "MEDIUM"), ("hooks.php", "CRITICAL"), ("new.sh", "HIGH")}
+    assert {(r.path, r.severity) for r in diff.diff_findings(d).collect()} == {("gone.php", "HIGH"), ("hooks.php", "CRITICAL"), ("new.sh", "HIGH")}
+    timed = lambda df: df.withColumn("modified_at", F.lit("2024-01-01").cast("timestamp"))
+    told = {r.path: r for r in diff.diff_findings(diff.baseline_diff(a, timed(b))).collect()}
+    assert told["gone.php"].modified_at is None and told["hooks.php"].modified_at is not None and told["hooks.php"].message == f"Hash mismatch: reference {told['hooks.php'].ref_hash[:12]}..., target {told['hooks.php'].tgt_hash[:12]}..."
+    assert all(r.message and r.recommendation for r in told.values())
     assert {r.path for r in diff.delta(d).collect()} == {"hooks.php", "new.sh"} and not diff.rollup(d).first().is_clean
     assert diff.rollup(diff.baseline_diff(a, a)).first().is_clean
     assert {(r.path, r.tag) for r in diff.suspicious_changes(d).collect()} == {("edocs/new.php", "php_in_data_dir")}
