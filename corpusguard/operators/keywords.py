@@ -31,6 +31,12 @@ def vectors_related(findings: DataFrame, vectors: DataFrame) -> DataFrame:
     return by_word.union(shared).distinct()
 
 
+def vectors_hit(related: DataFrame, vectors: DataFrame) -> DataFrame:
+    """A report table: each vector with the number of findings ``(id, vector)`` that hit it, none included."""
+    hits = related.groupBy("vector").agg(F.countDistinct("id").alias("findings"))
+    return vectors.select("vector").distinct().join(hits, "vector", "left").select("vector", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
 def vulnerable_components(vulnerabilities: DataFrame) -> DataFrame:
     """``keyword``: words of the descriptions with a slash or a hyphen in them, in lower case and without marks around them."""
     words = F.filter(F.split(F.lower("description"), r"\s+"), lambda w: w.contains("/") | w.contains("-"))

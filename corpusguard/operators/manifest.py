@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,38 +36,48 @@ def path_parts(files: DataFrame) -> DataFrame:
     return files.withColumn("filename", C.filename(path)).withColumn("extension", C.extension(path)).withColumn("depth", F.size(F.split(path, "/")) - 1)
 
 
-def anomalies(path: Column, content: Column, entropy: Column | None = None) -> Column:
-    """The sorted names of all anomalies of a file."""
+#: What the checks of anomalies go by unless they are given lists of their own.
+ANOMALY_LISTS = {
+    "names": catalog.SUSPICIOUS_NAMES, "forbidden": catalog.FORBIDDEN_EXTENSIONS, "upload_dirs": catalog.UPLOAD_DIRS, "databases": catalog.SQLITE_EXTENSIONS,
+    "scripts": catalog.PHP_EXTENSIONS, "images": catalog.IMAGE_EXTENSIONS, "keys": catalog.KEY_EXTENSIONS,
+}
+
+
+def anomalies(path: Column, content: Column, entropy: Column | None = None, lists: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """The sorted names of all anomalies of a file; ``lists`` takes the place of those of ``ANOMALY_LISTS`` that it names."""
+    if unknown := set(lists or ()) - set(ANOMALY_LISTS):
+        raise ValueError(f"no such lists: {sorted(unknown)}")
+    of = {k: [*v] for k, v in (ANOMALY_LISTS | dict(lists or {})).items()}
     name, ext, lower = F.lower(C.filename(path)), C.extension(path), F.lower(path)
-    upload = C.in_dirs(lower, catalog.UPLOAD_DIRS)
+    upload = C.in_dirs(lower, of["upload_dirs"])
 
     def head(size: int) -> Column:
         return F.decode(F.substring(content, 1, size), "ISO-8859-1")
 
     parts = F.split(C.filename(path), r"\.")
     checks = {
-        "suspicious_filename": name.isin(catalog.SUSPICIOUS_NAMES),
-        "anomalous_extension": ext.isin(catalog.FORBIDDEN_EXTENSIONS),
+        "suspicious_filename": name.isin(of["names"]),
+        "anomalous_extension": ext.isin(of["forbidden"]),
         "hidden_php_file": name.startswith(".") & ext.isin(".php", ".inc"),
         "user_ini_persistence": name == ".user.ini",
         "htaccess_in_upload_dir": (name == ".htaccess") & upload,
-        "sqlite_file_in_webroot": ext.isin(catalog.SQLITE_EXTENSIONS),
+        "sqlite_file_in_webroot": ext.isin(of["databases"]),
         "sqlite_sidecar_active_writes": name.rlike("-(journal|wal|shm)$"),
-        "php_in_upload_directory": ext.isin([*catalog.PHP_EXTENSIONS, ".inc"]) & upload,
-        "polyglot_php_in_image": ext.isin(catalog.IMAGE_EXTENSIONS) & head(8192).rlike(r"<\?php|<\? "),
+        "php_in_upload_directory": ext.isin([*of["scripts"], ".inc"]) & upload,
+        "polyglot_php_in_image": ext.isin(of["images"]) & head(8192).rlike(r"<\?php|<\? "),
         "phar_archive": ext == ".phar",
         "phar_magic_in_non_phar": (ext != ".phar") & head(4096).contains("__HALT_COMPILER()"),
-        "certificate_in_webroot": ext.isin(catalog.KEY_EXTENSIONS),
+        "certificate_in_webroot": ext.isin(of["keys"]),
         "php_code_in_log_file": (ext == ".log") & head(16384).rlike(r"<\?php|<\?="),
-        "double_extension_php": (F.size(parts) >= 3) & F.concat(F.lit("."), F.lower(F.get(parts, F.size(parts) - 2))).isin(catalog.PHP_EXTENSIONS),
+        "double_extension_php": (F.size(parts) >= 3) & F.concat(F.lit("."), F.lower(F.get(parts, F.size(parts) - 2))).isin(of["scripts"]),
     }
     if entropy is not None:
         checks["high_entropy_php"] = (C.entropy_assessment(entropy) == "suspicious") & ext.isin(".php", ".inc")
     return F.sort_array(F.filter(F.array(*[F.when(c, n) for n, c in checks.items()]), lambda x: x.isNotNull()))
 
 
-def manifest(files: DataFrame, with_entropy: bool = True) -> DataFrame:
-    """The manifest of ``files(path, content)``: one narrow row per file; contents are not shuffled."""
+def manifest(files: DataFrame, with_entropy: bool = True, lists: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The manifest of ``files(path, content)``: one narrow row per file; contents are not shuffled. ``lists`` is for the anomalies."""
     ext = F.col("extension")
     rows = path_parts(files.where(~C.skipped(F.col("path"))))
     rows = rows.withColumn("size_bytes", F.length("content").cast("long")).withColumn("is_binary", C.is_binary(F.col("content")))
@@ -78,7 +89,7 @@ def manifest(files: DataFrame, with_entropy: bool = True) -> DataFrame:
         "path", "filename", "extension", "size_bytes", "is_binary",
         F.sha2("content", 256).alias("sha256"), F.sha2("content", 512).alias("sha512"),
         C.mime_type(ext).alias("mime_type"), C.category(ext).alias("category"), C.language(ext).alias("language"),
-        entropy.alias("entropy"), C.entropy_assessment(entropy).alias("entropy_assessment"), anomalies(F.col("path"), F.col("content"), entropy).alias("anomalies"),
+        entropy.alias("entropy"), C.entropy_assessment(entropy).alias("entropy_assessment"), anomalies(F.col("path"), F.col("content"), entropy, lists).alias("anomalies"),
     )
 
 

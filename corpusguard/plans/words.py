@@ -20,8 +20,7 @@ RELATED_SQL = (
 )
 
 
-@query(f"WITH {RELATED_SQL} SELECT id, vector FROM related")
-def vectors_related(spark, sf_dir):
+def _findings_and_vectors(spark, sf_dir):
     """Every line as a finding, every benchmark item as a vector with its words and an indicator."""
     lines = scan.lines_of(files(spark, sf_dir))
     findings = lines.select(
@@ -33,7 +32,18 @@ def vectors_related(spark, sf_dir):
         F.concat(F.lit("AV-"), item.cast("string")).alias("vector"), F.array("text").alias("artifacts"), F.lit(None).cast("array<string>").alias("patterns"),
         F.array(F.concat(F.lit("IOC-"), (item % 97).cast("string"))).alias("iocs"),
     )
-    return keywords.vectors_related(findings, vectors)
+    return findings, vectors
+
+
+@query(f"WITH {RELATED_SQL} SELECT id, vector FROM related")
+def vectors_related(spark, sf_dir):
+    return keywords.vectors_related(*_findings_and_vectors(spark, sf_dir))
+
+
+@query(f"WITH {RELATED_SQL} SELECT 'AV-' || item_id AS vector, count(id) AS findings FROM benchmark LEFT JOIN related ON vector = 'AV-' || item_id GROUP BY item_id")
+def vectors_hit(spark, sf_dir):
+    findings, vectors = _findings_and_vectors(spark, sf_dir)
+    return keywords.vectors_hit(keywords.vectors_related(findings, vectors), vectors)
 
 
 SYNERGY_SQL = (

@@ -104,6 +104,16 @@ def test_sensitive_data_as_findings(spark):
     assert {(r.title, r.category, r.recommendation) for r in found.collect()} == {("Sensitive data: ssn", "sensitive_pii", "Review ssn exposure in p:2. Redact or protect.")}
 
 
+def test_lists_of_anomalies_are_arguments(spark):
+    files = spark.createDataFrame([("up/own.xyz", bytearray(b"x")), ("drop/a.php", bytearray(b"x")), ("c2.php", bytearray(b"x"))], "path string, content binary")
+    found = lambda **lists: {r.path: r.a for r in files.select("path", manifest.anomalies(F.col("path"), F.col("content"), lists=lists).alias("a")).collect()}
+    mine = found(names=["own.xyz"], upload_dirs=["drop"], forbidden=[".xyz"])
+    assert mine["up/own.xyz"] == ["anomalous_extension", "suspicious_filename"] and mine["drop/a.php"] == ["php_in_upload_directory"]
+    assert found()["up/own.xyz"] == [] and manifest.manifest(files, lists={"names": ["own.xyz"]}).where("size(anomalies) > 0").count() == 1
+    with pytest.raises(ValueError, match="no such lists"):
+        found(odd=[])
+
+
 def test_paths_of_anomalies(spark):
     raw = spark.createDataFrame([("a", ["phar_archive", "odd"]), ("b", ["phar_archive"]), ("b", ["phar_archive"]), ("c", []), ("d", None)], "path string, anomalies array<string>")
     assert rows(manifest.anomaly_paths(raw)) == [("phar_files", "phar_archive", "a"), ("phar_files", "phar_archive", "b"), ("unrouted", "odd", "a")]
