@@ -67,7 +67,7 @@ def test_run_against_brute_force(spark):
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.ORACLE_SQL[name])
     columns = sorted(d[0] for d in want.description)
