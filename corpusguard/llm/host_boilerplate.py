@@ -145,14 +145,13 @@ def best_zone(blocks: list[tuple[int, bool, str]]) -> int:
     return max((zone for zone, _, _ in blocks if zone >= OPEN), default=OPEN)
 
 
-def page_streams(host: str, html: str) -> tuple[bool, list[int], list[int], list[int]]:
-    """Whether the stream decides on text, the ids of the tokens outside the article and in doubt, of the article's blocks, and of those that tell the story."""
+def page_streams(host: str, html: str) -> tuple[bool, list[int], list[int]]:
+    """Whether the stream decides on text, the ids of the tokens outside the article and in doubt, and of the article's blocks."""
     blocks = page_blocks(html)
     best = best_zone(blocks)
     outside = [_hash(host, t) for zone, doubt, text in blocks if zone < MAIN or doubt for t in text.split()]
     open_ = best < MAIN or any(doubt for _, doubt, _ in blocks)
-    told = [_hash(host, text) for zone, doubt, text in blocks if zone == best and not doubt]
-    return open_, outside, told if best >= MAIN else [], told
+    return open_, outside, [_hash(host, text) for zone, doubt, text in blocks if zone == best >= MAIN and not doubt]
 
 
 def page_text(host: str, html: str, covered, templates) -> str:
@@ -183,13 +182,13 @@ def _host(url: Column) -> Column:
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """``page, host, story, open, outside, blocks`` of ``page, host, html``: story is the id of the article's text, or of all that is no boilerplate by markup."""
+    """``page, host, story, open, outside, blocks`` of ``page, host, html``: story is the id of the article's text."""
     kinds = [pa.bool_(), *[pa.list_(pa.int64())] * 2]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [page_streams(h, t) for h, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            story = pa.array([xxhash.xxh64_intdigest(repr(x[3])) - (1 << 63) for x in found], pa.int64())
+            story = pa.array([xxhash.xxh64_intdigest(repr(x[2])) - (1 << 63) for x in found], pa.int64())
             parts = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), story, *parts], names=["page", "host", "story", "open", "outside", "blocks"])
 
@@ -211,12 +210,10 @@ def host_templates(streams: DataFrame) -> DataFrame:
 def covered_tokens(streams: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``page`` and ``covered``: places in its stream that runs of ``min_tokens`` tokens shared by two pages of a host cover.
 
-    Pages that tell one ``story`` (if there is such a column) are copies of one another and count as one page.
     All pages are searched; those come back whose markup leaves something open.
     """
-    story = "story" if "story" in streams.columns else "page"
-    tokens = streams.select("page", *{story} - {"page"}, F.posexplode("outside").alias("at", "name"))
-    runs = repeated_prefixes(tokens, ["page", *{story} - {"page"}], F.col(story), min_tokens, repeated=F.col("first") != F.col("final"))
+    tokens = streams.select("page", F.posexplode("outside").alias("at", "name"))
+    runs = repeated_prefixes(tokens, ["page"], F.col("page"), min_tokens, repeated=F.col("first") != F.col("final"))
     runs = runs.join(streams.where("open").select("page").distinct(), "page", "left_semi")
     covered = runs.select("page", F.explode(F.sequence("at", F.col("at") + (min_tokens - 1))).alias("at"))
     return covered.groupBy("page").agg(F.collect_set("at").alias("covered"))
@@ -233,18 +230,21 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     without blocks that three quarters of the host's stories have. Where the markup is silent,
     blocks that are not boilerplate by markup lose their covered tokens, and the unique
     runs that remain are the text. Other text of articles is no part of the token
-    streams: a story on two pages is a copy, not boilerplate. Hosts are never gathered:
+    streams: a story on two pages is a copy, not boilerplate, and pages of a host with one html are copies
+    wherever the markup is silent. What wraps an article (a form, a sidebar's layout) does not
+    make it boilerplate, unless it is a navigation, a footer or a list of comments; an article outside
+    such wrappers comes first. A page of which boilerplate would leave nothing keeps its blocks. Hosts are never gathered:
     token ids hold their host, so that a host with a third of all pages is spread like
     the rest. Pages are parsed twice, for the streams and for the text; they stay in
     their tasks unless what is covered or the templates are more than a broadcast may hold.
 
     Defined cases: null html is empty; a null url is a host of its own; a null id keeps
-    its row; rows that repeat an id get a row each, and rows with one id and one html
+    its row; rows that repeat an id get a row each, and rows of one host with one html
     count as one page; an empty table gives an empty result; other columns are ignored
     whatever their names.
     """
     parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
-    parsed = parsed.select("id", "url", F.xxhash64("id", "html").alias("page"), _host(F.col("url")).alias("host"), "html")
+    parsed = parsed.withColumn("host", _host(F.col("url"))).select("id", "url", F.xxhash64("host", "html").alias("page"), "host", "html")
     streams = stored(_streams(parsed.select("page", "host", "html")))
     covered = broadcast_if_small(covered_tokens(streams, min_tokens), F.size("covered") * 8 + 64)
     templates = broadcast_if_small(host_templates(streams), F.size("templates") * 8 + 128)
