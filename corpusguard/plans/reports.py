@@ -33,8 +33,8 @@ UPGRADE_SQL = (
     numbered AS (SELECT path, unnest(string_split(content, chr(10))) AS text, unnest(range(len(string_split(content, chr(10)))))::INTEGER + 1 AS line FROM upgrading),
     plain AS (SELECT path, line, trim(text) AS evidence, regexp_replace(regexp_replace(text, '/[*].*?([*]/|$)', '', 'g'), '(//|#).*$', '\\1') AS code FROM numbered),
     upgrade_hits AS (
-        SELECT path, rule_id, severity, category, line, substr(evidence, 1, 150) AS evidence FROM plain, rules, range(20) AS r(nth)
-        WHERE list_contains(list_transform(names, lambda n: lower(n)), lower(list_last(string_split(path, '/')))) AND nth < len(regexp_extract_all(code, pattern, 0, 'i'))
+        SELECT path, rule_id, severity, category, line, substr(evidence, 1, 150) AS evidence, unnest(range(len(regexp_extract_all(code, pattern, 0, 'i')))) AS nth FROM plain, rules
+        WHERE list_contains(list_transform(names, lambda n: lower(n)), lower(list_last(string_split(path, '/'))))
     )"""
 )
 

@@ -31,3 +31,15 @@ def test_entry(spark):
 
     assert "path" in __spark_entry__.entry(spark).columns
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["upgrade_scan", "upgrade_report"])
+def test_a_line_with_many_matches(spark, tmp_path, name):
+    rows = [(0, "exit(); " * 47 + "\nreturn;", "en", "web"), (3, None, "en", "web"), (5, "die();" * 21, "de", "book")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(catalogue.ORACLE_SQL[name])
+    assert canonical(found.columns, [tuple(r) for r in found.collect()]) == canonical([d[0] for d in want.description], want.fetchall())
+    assert name == "upgrade_scan" or found.first().total > 68
