@@ -150,3 +150,24 @@ def test_upgrade_files(spark):
         (".htaccess", "UPG020", 1, "SetHandler x"), ("a/UPGRADE.php", "UPG011", 4, "/* die */ unlink($a); unlink($b);"), ("a/UPGRADE.php", "UPG011", 4, "/* die */ unlink($a); unlink($b);"),
         ("a/UPGRADE.php", "UPG030", 7, "*/ RETURN; # skip"), ("b/upgrade.PHP", "UPG001", 1, "eval($sql)"),
     ]
+
+
+@pytest.mark.parametrize("limit", [0, 9, 60, 1 << 20])
+def test_many_globs_meet_by_their_texts(spark, monkeypatch, limit):
+    monkeypatch.setattr(matching, "TRIE_BYTES", limit)  # all joined, some, or one trie of all
+    rng = random.Random(limit)
+    part = lambda: "".join(rng.choice("ab.(é😀") for _ in range(rng.randint(0, 4)))
+    paths = ["/".join(part() for _ in range(rng.randint(1, 4))) for _ in range(150)] + ["", "a\nb/.a", "a" * 40 + ".x", "/", "d/", None]
+    globs = ["/".join(rng.choice(["**", part(), part() + "*", "*" + part(), part() + "?" + part(), "{a,b}*" + part()]) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    globs += ["*", "**/*", "", "a*b/.a", "a" * 40 + ".*", "a" * 39 + "?.x", "**/|d/", "a|**/b*/**/a?", "**/**/a**/b"]
+    frame = spark.createDataFrame([(i % 3, p) for i, p in enumerate(paths)], "n int, path string")
+    table = spark.createDataFrame([(f"G{i % 50}", g) for i, g in enumerate(globs)], "ioc_id string, glob string")
+    trie = matching.GlobTrie([(f"G{i % 50}", g) for i, g in enumerate(globs)])
+    want = sorted({(i % 3, p, ioc) for i, p in enumerate(paths) if p is not None for ioc in trie.met(p)}, key=str)
+    assert len(want) > 300 and rows(matching.with_globs(frame, F.col("path"), table)) == want
+
+
+def test_a_step_does_not_read_every_key():
+    trie = matching.GlobTrie([(str(i), f"**/f{i}.*|**/*.x{i}") for i in range(3000)])
+    node = trie.root.deep
+    assert node.heads == {3, 4, 5, 6} and node.tails == {3, 4, 5, 6} and trie.met("a/f77.x5") == {"77", "5"}
