@@ -301,3 +301,15 @@ def test_file_events_over_batches(spark, tmp_path):
         seen = sorted((r.path, r.event, r.hash) for r in found)
         assert seen == sorted([[("a", "first_seen", "2"), ("b", "first_seen", "1")], [], [("a", "changed", "3"), ("c", "first_seen", "9")]][i] + (seen_before if i else []))
         seen_before = seen
+
+
+def test_entropy_reads_contents_where_they_lie(spark, monkeypatch):
+    from corpusguard.operators import manifest
+
+    monkeypatch.setattr(manifest, "COUNTED", 7)
+    assert manifest._entropy(bytes(range(64)) * 2) == 6.0
+    contents = [b"", None, b"a" * 60, bytes(range(256)), b"ab" * 20, bytes(range(128)) + b"\x00" * 128]
+    frame = spark.createDataFrame(list(enumerate(map(lambda c: None if c is None else bytearray(c), contents))), "id int, content binary")
+    for head, want in ((None, [0.0, 0.0, 0.0, 8.0, 0.0, 4.467]), (128, [0.0, 0.0, 0.0, 7.0, 0.0, 7.0])):
+        found = frame.coalesce(1).select("id", manifest.byte_entropy(F.col("content"), head=head).alias("e"))
+        assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString() and [r.e for r in found.orderBy("id").collect()] == want
