@@ -8,6 +8,7 @@ from functools import reduce
 from itertools import product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,13 @@ def matcher(spark: SparkSession, shared: object, find: Callable[[object, str], I
     """A function on columns that gives what ``find`` finds of each text with ``shared``, which is broadcast: an array, empty for null."""
     held = spark.sparkContext.broadcast(shared)
 
-    @F.pandas_udf("array<string>")
-    def met(texts: pd.Series) -> pd.Series:
-        value = held.value
-        return texts.map(lambda text: [] if text is None else list(find(value, text)))
+    @F.arrow_udf("array<string>")
+    def met(texts: pa.Array) -> pa.Array:
+        value, found = held.value, []
+        for at in range(0, len(texts), 256):  # few texts of a batch are Python's at once
+            part = [[] if text is None else list(find(value, text)) for text in texts.slice(at, 256).to_pylist()]
+            found.append(pa.array(part, pa.list_(pa.string())))
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.string()))
 
     return met
 
