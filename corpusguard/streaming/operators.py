@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,7 +43,10 @@ def user_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 ho
 
 
 class _Snapshots(StatefulProcessor):
-    """The last hash and time of a path, and a timer for when it should have been seen again."""
+    """The last hash and time of a path, and a timer for when it should have been seen again.
+
+    A path costs few calls to the store: a timer that a later row has overtaken stays and finds nothing to do.
+    """
 
     def __init__(self, gap_ms: int):
         self.gap = gap_ms
@@ -51,36 +54,31 @@ class _Snapshots(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "hash string, seen long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, digest = max((int(t.timestamp() * 1000), h) for chunk in rows for t, h in zip(chunk["ts"], chunk["hash"]))
-        old_hash, old_seen = self.last.get() if self.last.exists() else (None, None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        seen, digest = max((row.seen, row.hash) for row in rows)
+        old_hash, old_seen = self.last.get() or (None, None)
         if old_seen is not None:
             if (seen, digest) <= (old_seen, old_hash):
                 return
-            self.handle.deleteTimer(old_seen + self.gap)
             if seen - old_seen > self.gap:  # it was gone, whether or not the watermark had told
-                yield _event(key[0], "removed", old_hash, old_seen + self.gap)
+                yield Row(path=key[0], event="removed", hash=old_hash, at=old_seen + self.gap)
                 old_hash = old_seen = None
         self.last.update((digest, seen))
-        self.handle.registerTimer(seen + self.gap)
+        if seen != old_seen:
+            self.handle.registerTimer(seen + self.gap)
         if digest != old_hash:
-            yield _event(key[0], "added" if old_seen is None else "changed", digest, seen)
+            yield Row(path=key[0], event="added" if old_seen is None else "changed", hash=digest, at=seen)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists():
-            digest, seen = self.last.get()
-            if seen + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
-                self.last.clear()
-                yield _event(key[0], "removed", digest, seen + self.gap)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        digest, seen = self.last.get() or (None, None)
+        if seen is not None and seen + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+            yield Row(path=key[0], event="removed", hash=digest, at=seen + self.gap)
 
     def close(self) -> None:
         pass
 
 
-def _event(path: str, event: str, digest: str, at_ms: int) -> pd.DataFrame:
-    return pd.DataFrame({"path": [path], "event": [event], "hash": [digest], "ts": [pd.Timestamp(at_ms, unit="ms")]})
-
-
 def file_snapshots(rows: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
     """``path, event, hash, ts`` of a stream of snapshots ``(path, hash, ts)``: what was added, changed or removed.
 
@@ -92,7 +90,8 @@ def file_snapshots(rows: DataFrame, gap: str, delay: str = "1 hour") -> DataFram
     """
     known = rows.where("path IS NOT NULL AND hash IS NOT NULL AND ts IS NOT NULL").select("path", "hash", "ts").withWatermark("ts", delay)
     processor = _Snapshots(int(pd.Timedelta(gap).total_seconds() * 1000))
-    return known.groupBy("path").transformWithStateInPandas(processor, "path string, event string, hash string, ts timestamp", "append", "eventTime")
+    found = known.withColumn("seen", F.unix_millis("ts")).groupBy("path").transformWithState(processor, "path string, event string, hash string, at long", "append", "eventTime")
+    return found.select("path", "event", "hash", F.timestamp_millis("at").alias("ts"))
 
 
 def use_rocksdb(spark: SparkSession) -> None:
