@@ -167,10 +167,10 @@ def linked_by_rule(static: DataFrame, runtime: DataFrame) -> DataFrame:
     product is never built. :func:`related_ids` gives them for chosen findings.
     """
     sides = [df.select("id", "rule_id", F.lit(side).alias("side")) for side, df in enumerate((static, runtime))]
-    counts = sides[0].union(sides[1]).groupBy("rule_id").agg(*[F.countDistinct(F.when(F.col("side") == s, F.col("id"))).alias(f"n{s}") for s in (0, 1)])
-    counts = counts.where("n0 > 0 AND n1 > 0")
-    found = [df.join(counts, "rule_id").select("id", "rule_id", F.col(f"n{1 - side}").alias("n_related")) for side, df in enumerate(sides)]
-    return found[0].union(found[1])
+    both = checkpointed(sides[0].union(sides[1]))  # narrow; the scans that they come from run once
+    counts = both.groupBy("rule_id").agg(*[F.countDistinct(F.when(F.col("side") == s, F.col("id"))).alias(f"n{s}") for s in (0, 1)])
+    partners = F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
+    return both.join(counts.where("n0 > 0 AND n1 > 0"), "rule_id").select("id", "rule_id", partners.alias("n_related"))
 
 
 def related_ids(chosen: DataFrame, others: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusguard.catalogs import rules as catalog
 from corpusguard.functions import columns as C
+from corpusguard.functions.session import checkpointed
 from corpusguard.operators import diff, findings, rollup, scan
 from corpusguard.plans.registry import FILES_SQL, PLANTED_SQL, files, planted, query, snapshots, table
 from corpusguard.sources import interop
@@ -232,7 +233,7 @@ def corroboration(spark, sf_dir):
     SELECT id, rule_id, m.n AS n_related FROM c JOIN m USING (rule_id) UNION ALL SELECT 'R' || id, rule_id, n.n FROM r JOIN n USING (rule_id)"""
 )
 def runtime_static_link(spark, sf_dir):
-    rows = _findings(spark, sf_dir).select("id", "rule_id", "severity", "path")
+    rows = checkpointed(_findings(spark, sf_dir).select("id", "rule_id", "severity", "path"))
     runtime = rows.where("severity = 'CRITICAL' AND length(path) % 2 = 0").withColumn("id", F.concat(F.lit("R"), "id"))
     return findings.linked_by_rule(rows.where("severity IN ('CRITICAL', 'HIGH')"), runtime)
 

@@ -313,3 +313,16 @@ def test_entropy_reads_contents_where_they_lie(spark, monkeypatch):
     for head, want in ((None, [0.0, 0.0, 0.0, 8.0, 0.0, 4.467]), (128, [0.0, 0.0, 0.0, 7.0, 0.0, 7.0])):
         found = frame.coalesce(1).select("id", manifest.byte_entropy(F.col("content"), head=head).alias("e"))
         assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString() and [r.e for r in found.orderBy("id").collect()] == want
+
+
+def test_links_by_rule_scan_each_side_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    sides = [spark.createDataFrame([(f"{s}{i}", f"r{i % 3 + k}") for i in range(9)], "id string, rule_id string").mapInArrow(count, "id string, rule_id string") for k, s in enumerate("ab")]
+    assert {(r.id[0], r.rule_id, r.n_related) for r in findings.linked_by_rule(*sides).collect()} == {(s, r, 3) for s in "ab" for r in ("r1", "r2")}
+    assert seen.value == 18
