@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -16,22 +16,43 @@ from corpusguard.catalogs import files as catalog
 
 #: Pieces whose summaries are put together in one step; a file of more takes two steps.
 TOGETHER = 1_000
+#: Pieces, and bytes of them, that tasks hand on at once.
+PIECES, PIECE_BYTES = 2_000, 1 << 20
+
+
+def _batch(rows: list[tuple], names: tuple[str, str, str]) -> pa.RecordBatch:
+    """Rows of a path, a number and bytes."""
+    types = (pa.string(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows), types)], names=names)
 
 
 def chunked(files: DataFrame, size: int) -> DataFrame:
     """``path, number, content``: files in pieces of at most ``size`` bytes and three, cut between characters; an empty file is one piece."""
 
+    def pieces(path, content: bytes) -> Iterator[tuple[str, int, bytes]]:
+        start, number = 0, 0
+        while start < len(content) or not number:
+            end = start + size
+            for _ in range(3):
+                if end < len(content) and content[end] & 0xC0 == 0x80:
+                    end += 1
+            yield path, number, content[start:end]
+            start, number = end, number + 1
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bytes_held = [], 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                content, start, number = content or b"", 0, 0
-                while start < len(content) or not number:
-                    end = start + size
-                    for _ in range(3):
-                        if end < len(content) and content[end] & 0xC0 == 0x80:
-                            end += 1
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int32()), pa.array([content[start:end]])], names=["path", "number", "content"])
-                    start, number = end, number + 1
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for path, content in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    for piece in pieces(path, content or b""):
+                        held.append(piece)
+                        bytes_held += len(piece[2])
+                        if len(held) == PIECES or bytes_held > PIECE_BYTES:
+                            yield _batch(held, ("path", "number", "content"))
+                            held, bytes_held = [], 0
+        if held:
+            yield _batch(held, ("path", "number", "content"))
 
     return files.select("path", F.col("content").cast("binary")).mapInArrow(cut, "path string, number int, content binary")
 
@@ -190,29 +211,67 @@ def text_metrics(chunks: DataFrame) -> DataFrame:
         at = name.rfind(".")
         return tuple(catalog.COMMENT_MARKERS.get(name[at:].lower() if at > 0 else "", ()))
 
+    columns = ("path", "number", "piece")
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Summaries; those of neighbours that a task reads one after the other are put together at once, within thousands."""
+        found, path, at, last, held = [], None, 0, 0, None
         for batch in batches:
-            found = [pickle.dumps(Piece.of((c or b"").decode("utf-8", "replace"), markers_of(p))) for p, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["path", "number", "piece"])
-
-    def together(rows: pa.Table) -> tuple[str, int, Piece]:
-        rows = rows.sort_by("number")
-        path, markers = rows.column("path")[0].as_py(), markers_of(rows.column("path")[0].as_py())
-        pieces: Iterable[Piece] = map(pickle.loads, rows.column("piece").to_pylist())
-        return path, rows.column("number")[0].as_py(), reduce(lambda a, b: a.then(b, markers), pieces)
-
-    def by_thousands(rows: pa.Table) -> pa.Table:
-        path, number, piece = together(rows)
-        return pa.table({"path": [path], "number": pa.array([number], pa.int32()), "piece": pa.array([pickle.dumps(piece)], pa.binary())})
-
-    def of_file(rows: pa.Table) -> pa.Table:
-        path, _, piece = together(rows)
-        body = piece.whole(markers_of(path))
-        values = (body.lines, body.blank, *body.effect[0][1:], body.words, body.longest, body.total)
-        return pa.table({"path": [path], **{n: pa.array([v], pa.int64()) for n, v in zip(names, values)}})
+            for start in range(0, batch.num_rows, PIECES):
+                part = batch.slice(start, PIECES)
+                for p, number, content in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    markers = markers_of(p)
+                    piece = Piece.of((content or b"").decode("utf-8", "replace"), markers)
+                    if held is not None and p == path and number == last + 1 and number // TOGETHER == at // TOGETHER:
+                        held, last = held.then(piece, markers), number
+                        continue
+                    if held is not None:
+                        found.append((path, at, pickle.dumps(held)))
+                    path, at, last, held = p, number, number, piece
+                if found:
+                    yield _batch(found, columns)
+                    found = []
+        if held is not None:
+            yield _batch([(path, at, pickle.dumps(held))], columns)
+
+    def runs(batches: Iterator[pa.RecordBatch], by: Callable[[str, int], object]) -> Iterator[tuple[str, int, Piece] | None]:
+        """The rows of each key, which come one after the other in order, put together; None after each batch."""
+        key, path, number, held = None, None, 0, None
+        for batch in batches:
+            for p, n, piece in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held is not None and by(p, n) == key:
+                    held = held.then(pickle.loads(piece), markers_of(p))
+                    continue
+                if held is not None:
+                    yield path, number, held
+                key, path, number, held = by(p, n), p, n, pickle.loads(piece)
+            yield None
+        if held is not None:
+            yield path, number, held
+        yield None
+
+    def by_thousands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for run in runs(batches, lambda path, number: (path, number // TOGETHER)):
+            if run is not None:
+                found.append((*run[:2], pickle.dumps(run[2])))
+            elif found:
+                yield _batch(found, columns)
+                found = []
+
+    def of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for run in runs(batches, lambda path, number: path):
+            if run is not None:
+                body = run[2].whole(markers_of(run[0]))
+                found.append((run[0], body.lines, body.blank, *body.effect[0][1:], body.words, body.longest, body.total))
+            elif found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(zip(*found))], names=["path", *names])
+                found = []
 
     names = ("lines", "blank", "comments", "code", "words", "longest", "stripped_chars")
     schema = "path string, number int, piece binary"
     pieces = chunks.select("path", F.col("number").cast("int"), F.col("content").cast("binary")).mapInArrow(summarise, schema)
-    some = pieces.groupBy("path", F.floor(F.col("number") / TOGETHER).alias("part")).applyInArrow(by_thousands, schema)
-    return some.groupBy("path").applyInArrow(of_file, "path string, " + ", ".join(f"{n} long" for n in names))
+    part = F.floor(F.col("number") / TOGETHER)
+    some = pieces.repartition("path", part).sortWithinPartitions("path", "number").mapInArrow(by_thousands, schema)
+    return some.repartition("path").sortWithinPartitions("path", "number").mapInArrow(of_files, "path string, " + ", ".join(f"{n} long" for n in names))

@@ -1,3 +1,4 @@
+import pyarrow as pa
 """Files in pieces, values carried across ranges, bounded groups, the SQL face of the scan, and snapshots as a stream."""
 
 import random
@@ -140,3 +141,11 @@ def test_files_that_go_are_told(spark, tmp_path):
         [(p, "added", "1", 0) for p in ("always", "kept", "changed", "gone", "back")]
         + [("changed", "changed", "2", 24), ("new", "added", "1", 24), ("gone", "removed", "1", 30), ("back", "removed", "1", 30), ("back", "added", "1", 48)]
     )
+
+
+def test_pieces_go_in_batches_and_files_in_one_row(spark):
+    files = spark.createDataFrame([(f"f{i}.php", bytearray((f"a {i}\n/* b\n" * 300).encode())) for i in range(40)], "path string, content binary").coalesce(1)
+    pieces = chunks.chunked(files, 20)
+    sizes = pieces.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert sizes.count() < 50 < 2_000 < pieces.count()
+    assert rows(chunks.text_metrics(pieces)) == rows(manifest.text_metrics(files)) == rows(chunks.text_metrics(pieces.repartition(7)))
