@@ -43,7 +43,7 @@ def vectors_related(spark, sf_dir):
 @query(f"WITH {RELATED_SQL} SELECT 'AV-' || item_id AS vector, count(id) AS findings FROM benchmark LEFT JOIN related ON vector = 'AV-' || item_id GROUP BY item_id")
 def vectors_hit(spark, sf_dir):
     findings, vectors = _findings_and_vectors(spark, sf_dir)
-    return keywords.vectors_hit(keywords.vectors_related(findings, vectors), vectors)
+    return keywords.vectors_hit(keywords.vectors_related(findings, vectors), vectors, each_once=True)
 
 
 SYNERGY_SQL = (

@@ -171,3 +171,17 @@ def test_a_step_does_not_read_every_key():
     trie = matching.GlobTrie([(str(i), f"**/f{i}.*|**/*.x{i}") for i in range(3000)])
     node = trie.root.deep
     assert node.heads == {3, 4, 5, 6} and node.tails == {3, 4, 5, 6} and trie.met("a/f77.x5") == {"77", "5"}
+
+
+@pytest.mark.parametrize("limit", [4, 1 << 20])
+def test_pairs_of_vectors_are_not_shuffled(spark, monkeypatch, limit):
+    monkeypatch.setattr(matching, "BLOCK_BYTES", limit)  # several tables of words and indicators, or one
+    vectors = spark.createDataFrame([(f"V{i}", [f"word{i % 4} other"], None, [f"I{i % 3}", None]) for i in range(8)], "vector string, artifacts array<string>, patterns array<string>, iocs array<string>")
+    found = spark.createDataFrame([(f"f{i}", f"a word{i % 5}", None, "x", [f"I{i % 7}", None]) for i in range(40)], "id string, title string, description string, category string, ioc_ids array<string>")
+    want = {(f"f{i}", f"V{v}") for i in range(40) for v in range(8) if v % 4 == i % 5 or v % 3 == i % 7}
+    related = keywords.vectors_related(found, vectors)
+    assert rows(related) == sorted(want, key=str)
+    assert limit == 4 or "Exchange" not in related._jdf.queryExecution().executedPlan().toString()
+    twice = found.union(found.where("id < 'f2'"))
+    assert rows(keywords.vectors_related(twice, vectors)) == sorted(want, key=str)
+    assert rows(keywords.vectors_hit(related, vectors, each_once=True)) == rows(keywords.vectors_hit(related.union(related), vectors))
