@@ -170,20 +170,29 @@ def links(distinct: DataFrame, radius: int = 4, lanes: int = 1) -> DataFrame:
                 uncertain = np.array(part.column(lanes + 1).to_pylist(), np.int64) if lanes > 1 else None
                 for s in range(2 * lanes):
                     segment = fps[s // 2] >> HALF & (1 << HALF) - 1 if s % 2 else fps[s // 2] & (1 << HALF) - 1
-                    keys = (segment[:, None] ^ ball_masks(None if uncertain is None else uncertain[:, s])) | s << HALF
+                    flips = ball_masks(None if uncertain is None else uncertain[:, s])
+                    keys = (segment[:, None] ^ flips) | s << HALF
                     columns = [pa.array(keys.ravel()), pa.array(np.repeat(node, keys.shape[1]))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node"])
+                    if lanes > 1:
+                        columns.append(pa.array(flips.ravel()))
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "node", "flip"][: len(columns)])
 
     nodes = distinct.select(node_name(lanes).alias("node"), *names, *(["uncertain"] if lanes > 1 else []))
-    rows = nodes.mapInArrow(tables, "bucket long, node long")
+    rows = nodes.mapInArrow(tables, "bucket long, node long" + (", flip long" if lanes > 1 else ""))
     in_bucket = Window.partitionBy("bucket")
-    met = stored(rows.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1"))
+    if lanes == 1:
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(in_bucket)).where("n > 1")
+    else:
+        # members that flip the same bits have the same segment, and meet under it without a flip as well
+        rows = rows.select("*", F.count(F.lit(1)).over(in_bucket).alias("n"), F.min("flip").over(in_bucket).alias("least"), F.max("flip").over(in_bucket).alias("most"))
+        rows = rows.where("n > 1 AND (least < most OR most = 0)").select("bucket", "node", "n")
+    met = stored(rows)
     if lanes == 1:
         met = met.select("bucket", "n", F.col("node").alias("fp"), F.lit(0).alias("order"))
     else:
-        # where many meet, those that meet most become the ends of edges, so that buckets of one group name the same
-        often = met.groupBy("node").agg((-F.sum("n")).alias("order"))
-        met = stored(met.join(often, "node").join(nodes.drop("uncertain"), "node").select("bucket", "n", *names, "order"))
+        # a node's buckets, 37 a segment at most, are one row of it; where many meet, those that meet most become the ends of edges, so that buckets of one group name the same
+        own = met.groupBy("node").agg((-F.sum("n")).alias("order"), F.collect_list(F.struct("bucket", "n")).alias("met"))
+        met = stored(own.join(nodes.drop("uncertain"), "node").select(*names, "order", F.inline("met")).select("bucket", "n", *names, "order"))
 
     ends = [f"{end}{i}" for end in "ab" for i in range(lanes)]
     schema = ", ".join(f"{end} long" for end in ends)

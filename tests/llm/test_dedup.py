@@ -340,3 +340,14 @@ def test_components_against_union_find(spark):
         found = connected_components(spark.createDataFrame(edges, "a long, b long"))
         assert {r.node: r.component for r in found.collect()} == want and found.count() == len(want)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_buckets_of_one_segment_are_one(spark, monkeypatch):
+    kept, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    uncertain = [sum(i << 5 * i for i in range(simhash.UNCERTAIN))] * 8
+    values = [0x1234_5678_9ABC_DEF0 ^ i << 8 for i in range(60)]  # one segment of the first lane differs
+    nodes = spark.createDataFrame([(v, 5, 6, 7, uncertain) for v in values], "fp long, fp1 long, fp2 long, fp3 long, uncertain array<long>")
+    edges = {(r.a, r.b) for r in simhash.links(nodes, 44, 4).collect()}
+    assert len({x for e in edges for x in e}) == 60 and len(edges) == 59
+    assert kept[0].count() == 60 * 7  # under each equal segment once, not under each of its 37 values; in the other none is near
