@@ -43,7 +43,8 @@ class _Words(dict):
         self.model, self.parts = self.tokenizer.model, {}
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
+        found = self.model.tokenize(part)
+        ids = self.parts[part] = found[0].id.to_bytes(4, "little") if len(found) == 1 else b"".join([t.id.to_bytes(4, "little") for t in found])
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
