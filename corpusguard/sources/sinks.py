@@ -53,25 +53,30 @@ def save_evidence(manifest: DataFrame, folder: str, **about: str) -> DataFrame:
 def save_tree(files: DataFrame, root: str) -> int:
     """``files(path, content)`` as files below ``root``, a folder that the executors share; their number.
 
-    Each is written beside ``root`` and moved to its place, so that a task that runs again, or a
-    reader meanwhile, finds whole files. Paths that lead out of the folder are an error;
+    Each is written beside ``root``, in a folder of its task (tasks in one folder wait for each other), and
+    moved to its place, so that a task that runs again, or a reader meanwhile, finds whole files. Paths that lead out of the folder are an error;
     null contents are empty files; of rows with one path the last written stays.
     """
     root = local_path(root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(f"{root}.aside", exist_ok=True)
-        aside = os.path.join(f"{root}.aside", uuid.uuid4().hex)
+        own, made = os.path.join(f"{root}.aside", uuid.uuid4().hex), set()
+        os.makedirs(own)
+        aside = os.path.join(own, "file")
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = path.split("/")
                 if path.startswith("/") or ".." in parts or "" in parts:
                     raise ValueError(f"not a path below a folder: {path}")
                 place = os.path.join(root, *parts)
-                os.makedirs(os.path.dirname(place), exist_ok=True)
+                if (folder := os.path.dirname(place)) not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(aside, "wb") as f:
                     f.write(content or b"")
                 os.replace(aside, place)
+            made.clear()
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+        os.rmdir(own)
 
     return files.select("path", F.col("content").cast("binary")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import datasource as ds
@@ -77,43 +78,54 @@ class Tree:
     def __init__(self, root: str, wanted: Wanted):
         self.root, self.wanted = local_path(root).rstrip("/") or "/", wanted
 
-    def listed(self, folder: str) -> tuple[list[str], list[tuple[str, os.stat_result]]]:
-        """The folders in a folder and its wanted files, by their paths from the root; what goes meanwhile is left out."""
-        folders, files = [], []
+    def files_in(self, folder: str, folders: list[str]) -> Iterator[tuple[str, os.stat_result]]:
+        """The wanted files in a folder, by their paths from the root, one at a time; the folders in it come to ``folders``. What goes meanwhile is left out."""
+        wanted = self.wanted
+        any_name = not (wanted.prefixes or wanted.paths or wanted.extensions)
         try:
-            entries = sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name)
+            entries = os.scandir(os.path.join(self.root, folder))
         except FileNotFoundError:
-            return folders, files
-        for entry in entries:
-            path = f"{folder}/{entry.name}" if folder else entry.name
-            try:
-                if entry.is_dir(follow_symlinks=False):
-                    if entry.name not in catalog.DIFF_SKIP_DIRS and self.wanted.folder(path):
-                        folders.append(path)
-                elif self.wanted.name(path) and entry.is_file() and self.wanted.size((told := entry.stat()).st_size):
-                    files.append((path, told))
-            except FileNotFoundError:
-                continue
-        return folders, files
+            return
+        with entries:
+            for entry in entries:
+                path = f"{folder}/{entry.name}" if folder else entry.name
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        if entry.name not in catalog.DIFF_SKIP_DIRS and wanted.folder(path):
+                            folders.append(path)
+                        continue
+                    if not (any_name or wanted.name(path)) or not entry.is_file() or not wanted.size((told := entry.stat()).st_size):
+                        continue
+                except FileNotFoundError:
+                    continue
+                yield path, told
+
+    def listed(self, folder: str) -> tuple[list[str], list[str]]:
+        """The folders in a folder and its wanted files, in order, by their paths from the root."""
+        folders = []
+        files = sorted(path for path, _ in self.files_in(folder, folders))
+        return sorted(folders), files
 
     def below(self, folder: str) -> Iterator[tuple[str, os.stat_result]]:
         """The wanted files below a folder."""
         waiting = [folder]
         while waiting:
-            folders, files = self.listed(waiting.pop())
-            waiting += folders
-            yield from files
+            yield from self.files_in(waiting.pop(), waiting)
 
     def contents(self, paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
         """The files as Arrow batches of bounded bytes; a file is judged by its present length before it is opened."""
         rows, held = [], 0
         for path in paths:
+            place = os.path.join(self.root, path)
             try:
-                told = os.stat(os.path.join(self.root, path))
+                told = os.stat(place)
                 if not self.wanted.size(told.st_size):
                     continue
-                with open(os.path.join(self.root, path), "rb") as f:
-                    content = f.read(self.wanted.most + 1)
+                with open(place, "rb", buffering=0) as f:
+                    content = f.read(told.st_size + 1)
+                if len(content) != told.st_size:  # another length by now, or one that is not told
+                    with open(place, "rb") as f:
+                        content = f.read(self.wanted.most + 1)
             except FileNotFoundError:
                 continue
             if not self.wanted.size(len(content)):
@@ -209,13 +221,15 @@ class TreeReader(ds.DataSourceReader):
         return [*ready, ds.InputPartition(parts)]
 
     def _measured(self, folder: str) -> tuple[list[str], int, int]:
-        folders, files = self.tree.listed(folder)
-        return folders, len(files), sum(told.st_size for _, told in files)
+        folders, n, size = [], 0, 0
+        for _, told in self.tree.files_in(folder, folders):
+            n, size = n + 1, size + told.st_size
+        return sorted(folders), n, size
 
     def read(self, partition):
         def paths() -> Iterator[str]:
             for folder, deep, slices, number in partition.value:
-                for path, _ in self.tree.below(folder) if deep else self.tree.listed(folder)[1]:
+                for path in (p for p, _ in self.tree.below(folder)) if deep else self.tree.listed(folder)[1]:
                     if zlib.crc32(path.encode("utf-8", "surrogateescape")) % slices == number:
                         yield path
 
@@ -235,6 +249,8 @@ class TreeStreamReader(ds.DataSourceStreamReader):
 
     #: Committed entries of the log that are folded at once.
     FOLD = 20
+    #: Partitions that a batch has at least, if they then hold so many files.
+    SPREAD, SPREAD_FILES = 96, 500
 
     def __init__(self, options):
         self.tree, self.log = _tree(options), local_path(options["log"])
@@ -259,14 +275,15 @@ class TreeStreamReader(ds.DataSourceStreamReader):
         return {"entry": last}
 
     def partitions(self, start: dict, end: dict):
+        fresh = [(path, size) for number in range(start["entry"] + 1, end["entry"] + 1) for path, _, size in self._read(f"entry-{number:012d}")]
+        files = min(self.files, max(self.SPREAD_FILES, math.ceil(len(fresh) / self.SPREAD)))
         parts, held, found = [], 0, []
-        for number in range(start["entry"] + 1, end["entry"] + 1):
-            for path, _, size in self._read(f"entry-{number:012d}"):
-                if parts and (held + size > self.bytes or len(parts) >= self.files):
-                    found.append(ds.InputPartition(parts))
-                    parts, held = [], 0
-                parts.append(path)
-                held += size
+        for path, size in fresh:
+            if parts and (held + size > self.bytes or len(parts) >= files):
+                found.append(ds.InputPartition(parts))
+                parts, held = [], 0
+            parts.append(path)
+            held += size
         return [*found, ds.InputPartition(parts)] if parts else found
 
     def read(self, partition):
@@ -297,15 +314,16 @@ class TreeStreamReader(ds.DataSourceStreamReader):
                 seen |= {p: (m, s) for p, m, s in self._read(f"entry-{n:012d}")}
         return last, seen
 
-    def _read(self, name: str) -> Iterator[tuple[str, int, int]]:
+    def _read(self, name: str) -> Iterator[list]:
         with open(os.path.join(self.log, name), encoding="utf-8", errors="surrogateescape") as f:
-            yield from (tuple(json.loads(line)) for line in f)
+            while lines := list(islice(f, 1000)):  # parsed at once
+                yield from json.loads(f"[{','.join(lines)}]")
 
     def _write(self, name: str, rows: Iterable[tuple]) -> None:
         """A list of files, there as a whole or not at all."""
         path = os.path.join(self.log, name)
         with open(f"{path}.tmp-{os.getpid()}", "w", encoding="utf-8") as f:
-            f.writelines(json.dumps(row) + "\n" for row in rows)
+            f.writelines(f"[{json.dumps(path)}, {changed}, {size}]\n" for path, changed, size in rows)
         os.replace(f.name, path)
 
 

@@ -4,6 +4,7 @@ import re
 import tarfile
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,19 @@ def test_rules_are_searched_wherever_they_can_match():
             assert places.line(at) == line and places.commented(at) == (begun is not None or slashes), (text, at)
 
 
+def test_rules_likely_for_a_batch_are_those_that_can_match():
+    """Literals sought in a batch at once, against every pattern; plain words are spared nearly all of them."""
+    matcher = scan.RuleMatcher([(i, p) for i, _, _, p, _ in scan.RULES])
+    texts = [*SAMPLES, "\n".join(SAMPLES), *(s.upper() for s in SAMPLES), "inſtall.php eval(\u212a)", "\u212aint::d(1)", "mail($_POST[1], from)", "the mail is from them, see the handle", "İnclude($_GET[1])"]
+    likely = matcher.likely(pa.array(texts))
+    assert likely[texts.index("")] == matcher.common == likely[-2] and len(matcher.common) < 5 < len(matcher.rules)
+    for text, among in zip(texts, likely):
+        assert matcher.rules_met(text, among) == matcher.rules_met(text)
+        assert {i for i, _, _, p, _ in scan.RULES if re.search(p, text, re.I)} <= {matcher.rules[n][0] for n in among}
+        assert matcher.matches(text, among=among) == matcher.matches(text)
+    assert scan.RuleMatcher([]).likely(pa.array(["x"])) == [[]]
+
+
 def test_findings_have_their_lines():
     matcher = scan.RuleMatcher([(i, p) for i, _, _, p, _ in scan.RULES])
     assert matcher.matches("a\n  eval($x); eval($y)\n// eval($z)\n/*\neval($z) */ assert($q)") == [("SEC002", 2, "eval($x); eval($y)"), ("SEC002", 2, "eval($x); eval($y)"), ("SEC002", 5, "eval($z) */ assert($q)")]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusguard.sources import sinks, tree
+from corpusguard.streaming import operators as streams
 
 
 @pytest.fixture
@@ -150,3 +151,38 @@ def test_bounded_batches_of_a_stream(tmp_path):
         sizes.append(sum(len(part.value) for part in reader.partitions(start, end)))
         start = end
     assert sizes == [2, 2, 1]
+
+
+def test_a_batch_of_a_stream_reads_each_file_once_and_in_many_parts(spark, tmp_path):
+    """The checks of settings come with the rules, in one reading of a batch; a batch is dealt to many tasks before a task has its full share."""
+    tree.register(spark)
+    settings = {"conf/.htaccess": b"php_value auto_prepend_file /tmp/x.php\n", "conf/x/.user.ini": b"", "conf/y/.htaccess": b"# none\n"}
+    written(tmp_path / "tree", {f"src/{i}.php": b"<?php eval($_POST['x']); ?>" for i in range(600)} | settings)
+    files = spark.readStream.format("filetree").options(root=str(tmp_path / "tree"), log=str(tmp_path / "log")).load()
+    got = []
+    run = streams.check_arrivals(files).writeStream.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend((r.path, r.rule_id) for r in df.collect())).start()
+    run.awaitTermination()
+    assert sum(p["numInputRows"] for p in run.recentProgress) == 603
+    assert {g for g in got if g[0].startswith("conf/")} == {("conf/.htaccess", "SEC080"), ("conf/.htaccess", "htaccess_directive"), ("conf/x/.user.ini", "user_ini")} and len({g for g in got if g[1] == "WEB000"}) == 600
+    reader = tree.TreeStreamReader({"root": str(tmp_path / "tree"), "log": str(tmp_path / "log")})
+    parts = [p.value for p in reader.partitions({"entry": 0}, {"entry": 1})]
+    assert [len(p) for p in parts] == [500, 103] and len({f for p in parts for f in p}) == 603
+
+
+def test_files_that_grow_or_do_not_tell_their_length_are_read_whole(tmp_path, monkeypatch):
+    written(tmp_path, {"grown": b"x" * 20_000, "even": b"y" * 9_000, "none": b"", "large": b"z" * 30_000})
+    stat = os.stat
+    earlier = lambda p: os.stat_result((*stat(p)[:6], 10, *stat(p)[7:10]), {"st_mtime_ns": stat(p).st_mtime_ns}) if p.endswith(("grown", "large")) else stat(p)
+    with monkeypatch.context() as patched:
+        patched.setattr(tree.os, "stat", earlier)
+        found = [r for b in tree.Tree(str(tmp_path), tree.Wanted(most=20_000)).contents(["grown", "even", "none", "large", "gone"]) for r in b.to_pylist()]
+    assert [(r["path"], r["length"], len(r["content"])) for r in found] == [("grown", 20_000, 20_000), ("even", 9_000, 9_000), ("none", 0, 0)]
+
+
+def test_the_log_keeps_odd_names(tmp_path):
+    names = ["a], [b", 'q"\\', "n\nl", "é\u2028", os.fsdecode(b"\xff"), *(f"f{i}" for i in range(2500))]
+    written(tmp_path / "tree", dict.fromkeys(names, b"1"))
+    options = {"root": str(tmp_path / "tree"), "log": str(tmp_path / "log")}
+    reader = tree.TreeStreamReader(options)
+    end = reader.latestOffset()
+    assert sorted(f for p in reader.partitions({"entry": 0}, end) for f in p.value) == sorted(names) and tree.TreeStreamReader(options).latestOffset() == end
